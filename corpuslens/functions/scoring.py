@@ -71,6 +71,9 @@ def file_feature(name: str) -> Column:
         return count_containing(F.col(field), needles.split("|"))
     if name in ("patterns", "api_methods", "composables_used"):
         return F.size(F.col(name))
+    def uses(library: str) -> Column:
+        return F.exists("frameworks", lambda f: F.contains(f, F.lit(library)))
+
     named = {
         "lines": F.col("lines_of_code"),
         "has_category": F.coalesce(F.col("category") != "other", F.lit(False)),
@@ -78,8 +81,7 @@ def file_feature(name: str) -> Column:
         "has_design_system": F.col("design_system").isNotNull(),
         "has_utility_library": F.col("utility_library").isNotNull(),
         "state_library": first_match(
-            [(lib, F.exists(F.col("frameworks"), lambda f, lib=lib: F.contains(f, F.lit(lib))))
-             for lib in ("pinia", "vuex")], F.lit("none")),
+            [(lib, uses(lib)) for lib in ("pinia", "vuex")], F.lit("none")),
     }
     return named.get(name, F.col(name))
 

@@ -150,7 +150,7 @@ def _detect_sql(entries, out):
     return f"(SELECT CASE WHEN b.n > 0 THEN b.lib END FROM (SELECT list_max([{scored}]) AS b)) AS {out}"
 
 
-CUSTOM_LIBRARIES = [("house-kit", [r"[A-Z]\w+Card", r"house-kit"]), ("house-utils", [r"\bre[a-z]+\b"])]
+CUSTOM_LIBRARIES = [("house-kit", [r"[A-Z]\w+Card", r"house-kit"]), ("house-utils", [r"[a-z]+tion"])]
 
 
 @query("detect_library", f"SELECT doc_id, {_detect_sql(R.DESIGN_SYSTEM_PATTERNS, 'design_system')}, "

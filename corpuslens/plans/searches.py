@@ -1 +1,88 @@
-"""stub"""
+"""Queries: predicates and faceted search."""
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from corpuslens.functions import scoring as S
+from corpuslens.operators import facets as A
+from corpuslens.plans import sqlgen as Q
+from corpuslens.plans.aggregates import POSTINGS, postings
+from corpuslens.plans.features import FILES, joined
+from corpuslens.plans.registry import query
+from corpuslens.plans.scores import scored
+
+
+def _exists(values, word):
+    return f"len(list_filter({values}, lambda v: contains(lower(v), '{word}'))) > 0"
+
+
+@query("search_files", f"""SELECT doc_id, project, file_role, total_score FROM scored WHERE file_role = 'page'
+       AND "apiConnection" >= 50 AND ({_exists('keywords', 'rest')} OR {_exists('keywords', 'grpc')})
+       AND {_exists('keywords', 'form')} AND {_exists('keywords', 'sea')} AND {_exists('entities', 'dto')}
+       AND {_exists('components_used', 'card')} AND {_exists('api_methods', 'get')}""", FILES, Q.SCORED)
+def _(t):
+    return A.search_files(scored(t), role="page", keywords=["REST", "grpc"], keywords_all=["form", "Sea"],
+                          min_scores={"apiConnection": 50}, entities=["Dto"], components=["card"], methods=["get"]
+                          ).select("doc_id", "project", "file_role", "total_score")
+
+
+_SHORTCUTS = [
+    ("keywords", f"{_exists('keywords', 'search')} OR {_exists('keywords', 'modal')}", 10),
+    ("function", _exists("keywords", "table"), 10), ("min_score", '"typeUsage" >= 50', None),
+    ("role", "file_role = 'store' AND project = 'src1'", 10), ("entity", _exists("entities", "user"), 10),
+    ("recommended", f"{_exists('keywords', 'search')} AND file_role = 'page' AND {_exists('entities', 'the')}", 5),
+]
+
+
+@query("search_files_shortcuts", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{n}' AS shortcut, doc_id FROM scored WHERE {w}{f' ORDER BY doc_id LIMIT {k}' if k else ''})"
+    for n, w, k in _SHORTCUTS), FILES, Q.SCORED)
+def _(t):
+    df = scored(t).select("doc_id", "project", "file_role", "keywords", "entities", "typeUsage")
+    parts = {"keywords": A.by_keywords(df, "search", "modal"), "function": A.by_function(df, "table"),
+             "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1"),
+             "entity": A.by_entity(df, "user"), "recommended": A.recommended_code(df, "search", "page", ["the"])}
+    return reduce(lambda a, b: a.unionByName(b),
+                  [p.select(F.lit(n).alias("shortcut"), "doc_id") for n, p in parts.items()])
+
+
+@query("search_cases_exact", f"""SELECT id, project, category, raw_score FROM cases WHERE category = 'table-browse'
+       AND list_has_any({Q.split('tags_s')}, ['search', 'form'])""", ("cases",))
+def _(t):
+    return A.search_exact(t.cases, category="table-browse", tags=["search", "form"]).select("id", "project", "category", "raw_score")
+
+
+_ANY = "doc_id IN (SELECT doc_id FROM postings WHERE facet = '{}' AND term IN ({}))"
+
+
+@query("search_facets", "SELECT doc_id, grade, total_score FROM graded WHERE coalesce(total_score, 0) >= 40 AND "
+       + _ANY.format("tag", "'search', 'grpc'") + " AND " + _ANY.format("grade", "'poor'") + " AND "
+       + _ANY.format("project", "'src3'"), FILES, POSTINGS)
+def _(t):
+    return A.search_facets(postings(t), scored(t), "doc_id", project="src3", tags=["search", "grpc"], grade="poor",
+                           min_total=40).select("doc_id", "grade", "total_score")
+
+
+@query("search_score_ranges", """SELECT doc_id, structure, "apiConnection", total_score FROM graded
+       WHERE "apiConnection" >= 50 AND structure <= 70 AND "errorHandling" BETWEEN 20 AND 60""", FILES, Q.SCORED | {
+       "graded": f"SELECT *, {Q.grade('total_score')} AS grade FROM scored"})
+def _(t):
+    return A.score_ranges(scored(t), {"apiConnection": (50, None), "structure": (None, 70), "errorHandling": (20, 60)}
+                          ).select("doc_id", "structure", "apiConnection", "total_score")
+
+
+# listing order over the page exemplars: unscored rows have a null total
+_LIST = {"listed": f"""SELECT id, project, raw_score AS total_score, {Q.split('tags_s')} AS excellent_in,
+         CASE WHEN raw_score > 60 THEN 'A' WHEN api_type = 'grpc' THEN 'C' END AS legacy_tier FROM cases"""}
+
+
+@query("list_cases_ranked", """SELECT id, project, total_score, len(excellent_in) AS n_excellent, legacy_tier FROM listed
+       ORDER BY total_score DESC NULLS LAST, CASE WHEN total_score IS NOT NULL THEN len(excellent_in) ELSE 0 END DESC,
+       CASE legacy_tier WHEN 'A' THEN 4 WHEN 'C' THEN 2 ELSE 0 END DESC, project, id""",
+       ("cases",), _LIST)
+def _(t):
+    listed = t.cases.select("id", "project", F.col("raw_score").alias("total_score"), F.col("tags").alias("excellent_in"),
+                            F.when(F.col("raw_score") > 60, "A").when(F.col("api_type") == "grpc", "C").alias("legacy_tier"))
+    return A.rank_cases(listed).select("id", "project", "total_score", F.size("excellent_in").cast("bigint").alias("n_excellent"),
+                                       "legacy_tier")
