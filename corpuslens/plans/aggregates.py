@@ -74,13 +74,9 @@ def _posting_sql(facets, lists, source):
 POSTINGS = {**Q.SCORED, "postings": _posting_sql(CASE_FACETS, ("excellent_in", "keywords"), "graded")}
 
 
-def postings(t):
-    return A.facet_postings(scored(t), CASE_FACETS, "doc_id")
-
-
 @query("build_facet_index", "SELECT facet, term, doc_id FROM postings", FILES, POSTINGS)
 def _(t):
-    return postings(t)
+    return A.facet_postings(scored(t), CASE_FACETS, "doc_id")
 
 
 @query("build_file_facet_index", _posting_sql(FILE_FACETS, ("keywords", "entities"), "features"), FILES, Q.FEATURES)
@@ -98,7 +94,7 @@ _CLOSED = ", ".join([f"('excellence', '{d}')" for d in R.DIMENSIONS]
        UNION ALL SELECT 'total', 'projects', count(DISTINCT project) FROM graded
        UNION ALL SELECT 'total', 'tags', count(DISTINCT term) FROM postings WHERE facet = 'tag'""", FILES, POSTINGS)
 def _(t):
-    return A.facet_stats(postings(t))
+    return A.facet_stats(t.postings)
 
 
 @query("corpus_summary", """SELECT count(*) AS total_files, avg(total_score) AS average_score,
@@ -107,7 +103,7 @@ def _(t):
          (SELECT path, total_score FROM scored ORDER BY total_score DESC, path LIMIT 5)) AS top_files FROM scored""",
        FILES, Q.SCORED)
 def _(t):
-    s = U.corpus_summary(scored(t), excellent_from=60)
+    s = U.corpus_summary(t.case_store, excellent_from=60)
     return s.withColumn("top_files", F.array_join("top_files", ","))
 
 

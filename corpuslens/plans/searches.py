@@ -4,13 +4,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions import scoring as S
 from corpuslens.operators import facets as A
 from corpuslens.plans import sqlgen as Q
-from corpuslens.plans.aggregates import POSTINGS, postings
+from corpuslens.plans.aggregates import POSTINGS
 from corpuslens.plans.features import FILES, joined
 from corpuslens.plans.registry import query
-from corpuslens.plans.scores import scored
 
 
 def _exists(values, word):
@@ -18,12 +16,12 @@ def _exists(values, word):
 
 
 @query("search_files", f"""SELECT doc_id, project, file_role, total_score FROM scored WHERE file_role = 'page'
-       AND "apiConnection" >= 50 AND ({_exists('keywords', 'rest')} OR {_exists('keywords', 'grpc')})
+       AND "apiConnection" >= 40 AND ({_exists('keywords', 'rest')} OR {_exists('keywords', 'sort')} OR {_exists('keywords', 'stat')})
        AND {_exists('keywords', 'form')} AND {_exists('keywords', 'sea')} AND {_exists('entities', 'dto')}
        AND {_exists('components_used', 'card')} AND {_exists('api_methods', 'get')}""", FILES, Q.SCORED)
 def _(t):
-    return A.search_files(scored(t), role="page", keywords=["REST", "grpc"], keywords_all=["form", "Sea"],
-                          min_scores={"apiConnection": 50}, entities=["Dto"], components=["card"], methods=["get"]
+    return A.search_files(t.case_store, role="page", keywords=["REST", "sort", "stat"], keywords_all=["form", "Sea"],
+                          min_scores={"apiConnection": 40}, entities=["Dto"], components=["card"], methods=["get"]
                           ).select("doc_id", "project", "file_role", "total_score")
 
 
@@ -39,7 +37,7 @@ _SHORTCUTS = [
     f"SELECT * FROM (SELECT '{n}' AS shortcut, doc_id FROM scored WHERE {w}{f' ORDER BY doc_id LIMIT {k}' if k else ''})"
     for n, w, k in _SHORTCUTS), FILES, Q.SCORED)
 def _(t):
-    df = scored(t).select("doc_id", "project", "file_role", "keywords", "entities", "typeUsage")
+    df = t.case_store.select("doc_id", "project", "file_role", "keywords", "entities", "typeUsage")
     parts = {"keywords": A.by_keywords(df, "search", "modal"), "function": A.by_function(df, "table"),
              "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1"),
              "entity": A.by_entity(df, "user"), "recommended": A.recommended_code(df, "search", "page", ["the"])}
@@ -60,7 +58,7 @@ _ANY = "doc_id IN (SELECT doc_id FROM postings WHERE facet = '{}' AND term IN ({
        + _ANY.format("tag", "'search', 'grpc'") + " AND " + _ANY.format("grade", "'poor'") + " AND "
        + _ANY.format("project", "'src3'"), FILES, POSTINGS)
 def _(t):
-    return A.search_facets(postings(t), scored(t), "doc_id", project="src3", tags=["search", "grpc"], grade="poor",
+    return A.search_facets(t.postings, t.case_store, "doc_id", project="src3", tags=["search", "grpc"], grade="poor",
                            min_total=40).select("doc_id", "grade", "total_score")
 
 
@@ -68,7 +66,7 @@ def _(t):
        WHERE "apiConnection" >= 50 AND structure <= 70 AND "errorHandling" BETWEEN 20 AND 60""", FILES, Q.SCORED | {
        "graded": f"SELECT *, {Q.grade('total_score')} AS grade FROM scored"})
 def _(t):
-    return A.score_ranges(scored(t), {"apiConnection": (50, None), "structure": (None, 70), "errorHandling": (20, 60)}
+    return A.score_ranges(t.case_store, {"apiConnection": (50, None), "structure": (None, 70), "errorHandling": (20, 60)}
                           ).select("doc_id", "structure", "apiConnection", "total_score")
 
 

@@ -15,6 +15,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpuslens.operators.facets import facet_postings
+from corpuslens.operators.incremental import extract_features, score_cases
+from corpuslens.sources.store import written_once
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -125,7 +129,9 @@ VIEWS = {
              p1 AS entity,
              CASE WHEN turn = 0 THEN 'pages/' WHEN n > 250 THEN 'composables/' ELSE 'src/components/' END
                || lower(p1) || '/index.vue' AS draft_path,
-             CASE WHEN n < 200 THEN 'grpc' WHEN n < 300 THEN 'openapi' END AS api_type
+             CASE WHEN n < 200 THEN 'grpc' WHEN n < 300 THEN 'openapi' END AS api_type,
+             concat_ws('|', 'guide-' || CAST(turn AS STRING), 'guide-' || CAST(CAST(floor(n / 10.0) AS INTEGER) AS STRING),
+                            CASE WHEN n > 90 THEN 'guide-' || CAST(CAST(floor(n / 7.0) AS INTEGER) AS STRING) END) AS wanted_s
       FROM request_words""",
     # one guide per benchmark item
     "guide_words": f"""
@@ -143,7 +149,7 @@ VIEWS = {
              CASE WHEN n < 140 THEN 'guide-' || CAST(item_id + 1 AS STRING) ELSE '' END AS requires_s,
              CASE WHEN n > 180 THEN 'guide-' || CAST(item_id - 1 AS STRING) ELSE '' END AS excludes_s,
              p1 || ' ' || p2 || CASE WHEN n > 170 THEN ' list and table rules' ELSE ' lodash rules' END AS summary,
-             n > 300 AS mandatory, text AS content, 'rules/' || lower(p1) || '.md' AS file_path
+             n > 385 AS mandatory, text AS content, 'rules/' || lower(p1) || '.md' AS file_path
       FROM guide_words""",
     # a package.json per nation (depth 1) and per customer (depth 2)
     "manifests": """
@@ -280,5 +286,16 @@ class Tables:
     @cached_property
     def features(self) -> DataFrame:
         """Files with everything extracted from their text, one narrow stage."""
-        from corpuslens.operators.incremental import extract_features
-        return extract_features(self.files, path="path", text="content")
+        return extract_features(self.files)
+
+    @cached_property
+    def case_store(self) -> DataFrame:
+        """Scored file records, written once; texts stay with the files."""
+        return written_once(self.spark, f"cases-{self.sf_dir}", lambda: score_cases(self.features).drop("content", "low"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Posting table of the file records, partitioned by facet."""
+        facets = {"project": "project", "excellence": "excellent_in", "tag": "keywords", "grade": "grade"}
+        return written_once(self.spark, f"postings-{self.sf_dir}",
+                            lambda: facet_postings(self.case_store, facets, "doc_id"), ["facet"])
