@@ -16,7 +16,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.operators.facets import facet_postings
+from corpuslens.functions.text import request_keywords
 from corpuslens.operators.incremental import extract_features, score_cases
+from corpuslens.operators.recommend import recommend
 from corpuslens.sources.store import written_once
 
 BASE_TABLES = [
@@ -191,6 +193,11 @@ VIEWS = {
              concat_ws('|', lang, CASE WHEN n < 400 THEN 'search' END, CASE WHEN n > 700 THEN 'form' END) AS tags_s,
              CASE WHEN n > 100 THEN CAST(n - 1 AS DOUBLE) / 10 END AS raw_score
       FROM page_urls""",
+    # files that belong to an exemplar
+    "case_files": """
+      SELECT doc_id, CAST(floor(doc_id / 4.0) AS BIGINT) AS case_id, path, content,
+             CASE WHEN lang = 'en' THEN 'paging of ' || p1 ELSE p2 || ' view' END AS purpose
+      FROM files""",
     # stored project records of several historical shapes, one per order
     "records": """
       SELECT CAST(o_orderkey AS STRING) AS id,
@@ -240,7 +247,7 @@ VIEWS = {
 
 DEPENDS = {
     "files": ["file_names"], "file_meta": ["file_names", "files"], "requests": ["request_words"],
-    "guides": ["guide_words"], "cases": ["page_urls"], "modules": ["file_names"],
+    "guides": ["guide_words"], "cases": ["page_urls"], "case_files": ["file_names", "files"], "modules": ["file_names"],
     "stored": ["file_names", "files"],
 }
 
@@ -299,3 +306,15 @@ class Tables:
         facets = {"project": "project", "excellence": "excellent_in", "tag": "keywords", "grade": "grade"}
         return written_once(self.spark, f"postings-{self.sf_dir}",
                             lambda: facet_postings(self.case_store, facets, "doc_id"), ["facet"])
+
+    @cached_property
+    def request_rows(self) -> DataFrame:
+        """Requests with their extracted keywords."""
+        low = self.requests.withColumn("low", F.lower("description"))
+        return low.withColumn("keywords", request_keywords(F.col("low"), F.col("target_function")))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Recommended records per request, written once."""
+        asked = self.request_rows.withColumn("entities", F.array("entity"))
+        return written_once(self.spark, f"hits-{self.sf_dir}", lambda: recommend(asked, self.case_store))
