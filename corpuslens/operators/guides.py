@@ -8,6 +8,7 @@ from corpuslens.functions import rules as R, text as X
 from corpuslens.functions.scoring import lookup
 from corpuslens.operators.joins import mandatory_ids, union_distinct_ids
 from corpuslens.operators.strings import substring_pairs
+from corpuslens.sources.store import pin
 
 OPTIONAL = {"api_type": "string", "scope": "string", "design_system": "string", "utility_library": "string",
             "mandatory": "array<string>"}
@@ -53,8 +54,9 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int = 10, request_k
     options = ["api_type", "scope", "design_system", "utility_library"]
     req = requests.select(request_key, *options, F.array_sort(F.array_distinct("keywords")).alias("keywords"),
                           F.coalesce("mandatory", F.array().cast("array<string>")).alias("mandatory"))
-    req = req.withColumns({"profile": F.sha2(F.to_json(F.struct(*options)), 256),
-                           "sig": F.sha2(F.to_json(F.struct(*options, "keywords", "mandatory")), 256)})
+    req = pin(req.withColumns({
+        "profile": F.sha2(F.to_json(F.struct(*options)), 256),
+        "sig": F.sha2(F.to_json(F.struct(*options, "keywords", "mandatory")), 256)}), "requests")
     sigs = req.select("sig", "profile", "keywords", "mandatory").dropDuplicates(["sig"])
     profiles = req.select("profile", *options).dropDuplicates(["profile"])
 
@@ -132,7 +134,7 @@ def combined_text(kept: DataFrame, guides: DataFrame, request_key: str = "reques
 def guides_for(requests: DataFrame, guides: DataFrame, max_guides: int = 5, max_chars: int | None = 50000,
                request_key: str = "request_id") -> DataFrame:
     """Search, keep the first few, combine, and cut the text to its budget."""
-    found = search_guides(requests, guides, max(max_guides, 10), request_key).filter(F.col("rank") <= max_guides)
+    found = pin(search_guides(requests, guides, max_guides, request_key), "found")
     kept = combine_guides(found.select(request_key, "id", F.col("rank").alias("position")), guides, request_key)
     return combined_text(kept, guides, request_key, max_chars)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions import rules as R, text as X
 from corpuslens.operators.strings import substring_pairs
 from corpuslens.operators.vectors import overlap
+from corpuslens.sources.store import pin
 
 ANY = "*"
 
@@ -41,7 +42,7 @@ def recommend(requests: DataFrame, corpus: DataFrame, k: int = 5, request_key: s
     """
     req = requests.select(request_key, F.col(role).alias("want_role"), _lowered("keywords").alias("wanted"),
                           _lowered("entities").alias("want_entities"))
-    req = req.withColumn("sig", F.sha2(F.to_json(F.struct("want_role", "wanted", "want_entities")), 256))
+    req = pin(req.withColumn("sig", F.sha2(F.to_json(F.struct("want_role", "wanted", "want_entities")), 256)), "requests")
     sigs = req.select("sig", "want_role", "wanted", F.when(F.size("want_entities") > 0, F.col("want_entities"))
                       .otherwise(F.array(F.lit(ANY))).alias("want_entities")).distinct()
     anchors = sigs.select("sig", "want_role", "wanted", F.explode("want_entities").alias("entity"))
@@ -116,7 +117,7 @@ def best_practice(requests: DataFrame, signatures: DataFrame, n: int = 3, min_sc
     stands in. Ties go by top score, then id.
     """
     req = requests.select(request_key, F.coalesce(role, F.lit(ANY)).alias("role_key"), "dimensions")
-    req = req.withColumn("sig", F.concat_ws("|", "role_key", F.array_join("dimensions", ",")))
+    req = pin(req.withColumn("sig", F.concat_ws("|", "role_key", F.array_join("dimensions", ","))), "requests")
     sigs = req.select("sig", "role_key", "dimensions").distinct()
     pool = signatures.select(F.explode(F.array_distinct(F.array(F.col(role), F.lit(ANY)))).alias("role_key"), "scores", "n", "ids")
     means = pool.groupBy("role_key").agg(

@@ -77,7 +77,7 @@ class _Block:
 
     def __init__(self, rows: pa.Table, key: str, filters: list[str]):
         col = lambda n, default=None: rows[n].to_pylist() if n in rows.column_names else [default] * rows.num_rows
-        self.keys = col(key)
+        self.keys, self.key_type = col(key), rows.schema.field(key).type
         vectors = col("vector")
         self.dim = max((len(v) for v in vectors if v), default=0)
         self.has_vector = np.array([bool(v) and len(v) == self.dim for v in vectors], dtype=bool)
@@ -192,10 +192,12 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
             hits = [(r, b) for r, b in enumerate(best) if b is not None]
             if hits:
                 rows = np.repeat([r for r, _ in hits], [len(b[0]) for _, b in hits])
-                yield pa.RecordBatch.from_pydict({
-                    request_key: [block.keys[r] for r in rows], key: [i for _, b in hits for i in b[0].tolist()],
-                    "similarity": np.concatenate([b[1] for _, b in hits]), "any_vector": seen_vector[rows],
-                    "scale": np.where(block.has_vector[rows], scale, 1.0)})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block.keys[r] for r in rows], block.key_type),
+                    pa.array([i for _, b in hits for i in b[0].tolist()], part.schema.field(key).type),
+                    pa.array(np.concatenate([b[1] for _, b in hits])), pa.array(seen_vector[rows]),
+                    pa.array(np.where(block.has_vector[rows], scale, 1.0))],
+                    names=[request_key, key, "similarity", "any_vector", "scale"])
 
         return corpus.select(*columns).mapInArrow(best_of_partition, out_schema)
 

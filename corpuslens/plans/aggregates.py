@@ -33,7 +33,7 @@ def _(t):
 @query("project_rollup_values", "SELECT project, field, value, count(DISTINCT doc_id) AS files, min(doc_id) AS first_seen "
        "FROM long_values GROUP BY ALL", META, ROLLUP)
 def _(t):
-    return U.project_values(t.file_meta).filter(F.col("field").isin(U.LIST_FIELDS)).select(
+    return t.project_values.filter(F.col("field").isin(U.LIST_FIELDS)).select(
         "project", "field", "value", "files", "first_seen")
 
 

@@ -8,7 +8,8 @@ from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.aggregates import POSTINGS
 from corpuslens.plans.features import FILES, META, REQUESTS, joined
 from corpuslens.plans.registry import query
-from corpuslens.plans.scores import ANNOTATION_SQL, ROLLUP, project_rows
+from corpuslens.plans.scores import ANNOTATION_SQL, ROLLUP
+from corpuslens.sources.store import written_once
 
 _ANNOTATED = {
     **Q.FEATURES,
@@ -57,8 +58,13 @@ def meta_by_lang(t):
     return t.file_meta.withColumn("project", F.concat_ws("/", "project", "lang"))
 
 
+def fine_values(t):
+    """Values per project and language, written once: every comparison reads them."""
+    return written_once(t.spark, f"fine-values-{t.sf_dir}", lambda: U.project_values(meta_by_lang(t)))
+
+
 def fine_rollup(t):
-    return U.project_rollup(U.project_values(meta_by_lang(t)))
+    return U.project_rollup(fine_values(t))
 
 
 def pairs(t):
@@ -80,10 +86,6 @@ MISSING = _MISSING
 COMPARED_FIELDS = ["patterns", "api_methods", "components_used"]
 
 
-def fine_values(t):
-    return U.project_values(meta_by_lang(t))
-
-
 @query("anti_join_missing", "SELECT project, exemplar, field, value FROM missing", META, _MISSING)
 def _(t):
     return J.anti_join_missing(pairs(t), fine_values(t), COMPARED_FIELDS)
@@ -155,5 +157,5 @@ def _(t):
 @query("except_patterns", """SELECT field, value FROM long_values WHERE project = 'src1' AND field IN ('patterns', 'components_used')
        EXCEPT SELECT field, value FROM long_values WHERE project = 'src2'""", META, ROLLUP)
 def _(t):
-    v = U.project_values(t.file_meta).filter(F.col("field").isin("patterns", "components_used"))
+    v = t.project_values.filter(F.col("field").isin("patterns", "components_used"))
     return J.except_patterns(v.filter("project = 'src1'"), v.filter("project = 'src2'"))

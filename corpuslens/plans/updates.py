@@ -1 +1,272 @@
-"""stub"""
+"""Queries: incremental, stateful and streaming work; migration; annotation."""
+
+from pyspark.sql import functions as F
+
+from corpuslens.functions import rules as R, text as X
+from corpuslens.operators import annotate as N, incremental as I, migrate as H, rollup as U, vectors as V
+from corpuslens.plans import sqlgen as Q
+from corpuslens.plans.features import FILES, META, STRIP, joined
+from corpuslens.plans.registry import query
+from corpuslens.plans.scores import ROLLUP, RULE, project_rows
+from corpuslens.sources.store import fresh_path, latest
+from corpuslens.streaming import ingest as T
+
+_HASH = "substr(sha256({}.content), 1, 16)"
+_OUTCOME = f"""CASE WHEN s.doc_id IS NULL THEN 'new_file' WHEN s.scoring_version <> '{R.SCORING_VERSION}' THEN 'version_outdated'
+    WHEN {_HASH.format('s')} <> {_HASH.format('f')} THEN 'content_changed' ELSE 'up_to_date' END"""
+CHANGES = {"changes": f"SELECT f.doc_id, {_HASH.format('f')} AS content_hash, {_OUTCOME} AS outcome FROM files f LEFT JOIN stored s ON f.doc_id = s.doc_id"}
+
+
+def stored_hashes(t):
+    return t.stored.select("doc_id", "scoring_version", X.content_hash(F.col("content")).alias("content_hash"), "created_at")
+
+
+def scan(t):
+    return t.files.withColumn("content_hash", X.content_hash(F.col("content")))
+
+
+@query("change_detection", "SELECT doc_id, content_hash, outcome FROM changes", ("files", "stored"), CHANGES)
+def _(t):
+    return I.detect_changes(scan(t).select("doc_id", "content_hash"), stored_hashes(t)).select("doc_id", "content_hash", "outcome")
+
+
+@query("build_file_case", f"""SELECT doc_id, id, file_type, file_role, lines, content_hash, total_score, grade, {Q.joined('keywords')} AS keywords,
+       {Q.joined('entities')} AS entities, {Q.joined('api_methods')} AS api_methods, array_to_string(list_concat([file_type, file_role], keywords[1:5]), ',') AS tags
+       FROM graded""", FILES, Q.SCORED)
+def _(t):
+    c = I.build_cases(t.files, now=F.lit("2025-06-01 00:00:00").cast("timestamp"))
+    return c.select("doc_id", "id", "file_type", "file_role", "lines", "content_hash", "total_score", "grade",
+                    *[joined(F.col(x)).alias(x) for x in ("keywords", "entities", "api_methods")], F.array_join("tags", ",").alias("tags"))
+
+
+@query("build_exemplar", f"""SELECT project, total_score, array_to_string(excellent_in, ',') AS excellent_in, rule_no, '{R.SCORING_VERSION}' AS scoring_version
+       FROM (SELECT *, {RULE} AS rule_no FROM exemplars) WHERE rule_no > 0""", META, ROLLUP)
+def _(t):
+    return U.build_exemplars(project_rows(t)).select("project", "total_score", F.array_join("excellent_in", ",").alias("excellent_in"),
+                                                     "decision.rule_no", "scoring_version")
+
+
+_NOW = "2025-06-01 00:00:00"
+
+
+@query("incremental_upsert", f"""SELECT c.doc_id, c.content_hash, CASE WHEN c.outcome = 'up_to_date' THEN 'kept' ELSE c.outcome END AS outcome,
+       coalesce(s.created_at, '{_NOW}') AS created_at, CASE WHEN c.outcome = 'up_to_date' THEN s.created_at ELSE '{_NOW}' END AS updated_at,
+       g.total_score FROM changes c JOIN graded g USING (doc_id) LEFT JOIN stored s USING (doc_id)""", ("files", "stored"), {**CHANGES, **Q.SCORED})
+def _(t):
+    first = F.lit("2025-01-01 00:00:00")
+    store = I.build_cases(t.stored.select("doc_id", "content").join(t.files.drop("content"), "doc_id"), now=first)
+    store = store.drop("scoring_version").join(t.stored.select("doc_id", "scoring_version"), "doc_id")
+    after = I.apply_changes(t.files, store, F.lit(_NOW))
+    return after.select("doc_id", "content_hash", "outcome", "created_at", "updated_at", "total_score")
+
+
+@query("resume_and_retry", """SELECT event_id, project, path, retry_count, CASE WHEN retry_count < 3 THEN 'retry' ELSE 'parked' END AS action,
+       CASE WHEN retry_count < 3 THEN retry_count + 1 END AS attempt FROM failures""", ("failures",))
+def _(t):
+    return I.retry_plan(t.failures)
+
+
+# --- stored project records of three shapes, built from the flat view
+
+def stored_records(t):
+    c, shape = F.col, F.col("shape")
+    some = lambda *pairs: F.array_compact(F.array(*[F.when(cond, F.lit(v)) for v, cond in pairs]))
+    true = F.lit(True)
+    meta = F.struct(
+        c("legacy_api").alias("api_type"), some(("vue3", true), ("pinia", c("amount") > 200000)).alias("frameworks"),
+        some(("api-client", c("amount") > 100000), ("error-recovery", true), ("lazy-cache", c("has_framework"))).alias("patterns"),
+        some(("CommonTable", true), ("CommonForm", c("amount") > 50000)).alias("components_used"),
+        F.when(c("amount") > 300000, "high").otherwise("low").alias("average_complexity"))
+    count = lambda cond: F.when(cond, 2).otherwise(0).cast("bigint")
+    patterns = F.struct(
+        F.when(shape == "legacy", c("stored_total").cast("double")).alias("score"),
+        F.when(shape.isin("metadata", "scored"), meta).alias("metadata"),
+        F.struct((c("legacy_api") == "grpc").alias("has_grpc"), (c("legacy_api") == "openapi").alias("has_openapi"),
+                 c("legacy_api").alias("api_type")).alias("api_info"),
+        F.when(c("has_framework"), F.lit("vuex")).alias("framework"),
+        F.create_map(F.lit("useStateStore"), count(c("amount") > 150000), F.lit("useTypeGuard"), count(true)).alias("composable_usage"),
+        F.create_map(F.lit("CommonList"), count(c("amount") > 120000), F.lit("CommonCard"), count(F.lit(False))).alias("component_usage"))
+    scores = F.struct(*[(c("stored_total") % 100).cast("double").alias(d) for d in R.DIMENSIONS])
+    scored = shape == "scored"
+    return t.records.select(
+        "id", "project_name", "category", F.when(c("amount") > 10000, F.array(F.lit("a.vue"))).alias("files"),
+        F.when(shape != "none", patterns).alias("patterns"), F.when(scored, scores).alias("scores"),
+        F.when(scored, (c("stored_total") % 100).cast("bigint")).alias("total_score"),
+        F.when(scored, F.array().cast("array<string>")).alias("excellent_in"), "scoring_version",
+        F.when(c("amount") > 5000, F.struct(c("created_at"), c("created_at").alias("updated_at"),
+                                            F.array(F.lit("v2.0")).alias("tags"))).alias("metadata"))
+
+
+_SCORED = "shape = 'scored'"
+_MISSING_FIELDS = Q.present(["CASE WHEN project_name IS NULL THEN 'project_name' END", "CASE WHEN category IS NULL THEN 'category' END",
+                             "CASE WHEN amount <= 10000 THEN 'files' END", "CASE WHEN shape = 'none' THEN 'patterns' END",
+                             "CASE WHEN amount <= 5000 THEN 'metadata' END"])
+SHAPES = {"shapes": f"""SELECT *, CASE shape WHEN 'scored' THEN '2.0' WHEN 'metadata' THEN '1.5' WHEN 'legacy' THEN '1.0' ELSE 'unknown' END AS version,
+    {_MISSING_FIELDS} AS missing_fields, {_SCORED} AND scoring_version <> '{R.SCORING_VERSION}' AS outdated,
+    version <> '2.0' OR len(missing_fields) > 0 OR outdated AS needs_migration FROM records"""}
+
+
+@query("shape_version", "SELECT id, version, array_to_string(missing_fields, ',') AS missing_fields, outdated, needs_migration FROM shapes",
+       ("records",), SHAPES)
+def _(t):
+    return H.shape_version(stored_records(t)).select("id", "version", F.array_join("missing_fields", ",").alias("missing_fields"),
+                                                     "outdated", "needs_migration")
+
+
+def _migrate_feature(name):
+    if name.startswith("patterns~"):
+        return f"len(list_filter(mp, lambda x: {Q.any_of('x', name.split('~')[1].split('|'))}))"
+    return {"patterns": "len(mp)", "components_used": "len(mc)", "complexity": "mx", "api_type": "legacy_api",
+            "has_api": "(legacy_api <> 'none')", "has_design_system": "false", "has_utility_library": "false",
+            "state_library": "(CASE WHEN list_contains(mf, 'pinia') THEN 'pinia' WHEN list_contains(mf, 'vuex') THEN 'vuex' ELSE 'none' END)"
+            }.get(name, "0")
+
+
+MIGRATED = {
+    **SHAPES,
+    "mig0": f"""SELECT *, CASE WHEN shape = 'none' THEN 'none' ELSE legacy_api END AS legacy_api2,
+        CASE WHEN shape IN ('metadata', 'scored') THEN {Q.present(["'vue3'", "CASE WHEN amount > 200000 THEN 'pinia' END"])}
+             WHEN shape = 'legacy' AND has_framework THEN ['vuex'] ELSE [] END AS mf,
+        CASE WHEN shape IN ('metadata', 'scored') THEN {Q.present(["CASE WHEN amount > 100000 THEN 'api-client' END", "'error-recovery'", "CASE WHEN has_framework THEN 'lazy-cache' END"])}
+             WHEN shape = 'legacy' THEN {Q.present(["CASE WHEN amount > 150000 THEN 'useStateStore' END", "'useTypeGuard'"])} ELSE [] END AS mp,
+        CASE WHEN shape IN ('metadata', 'scored') THEN {Q.present(["'CommonTable'", "CASE WHEN amount > 50000 THEN 'CommonForm' END"])}
+             WHEN shape = 'legacy' AND amount > 120000 THEN ['CommonList'] ELSE [] END AS mc,
+        CASE WHEN shape IN ('metadata', 'scored') THEN CASE WHEN amount > 300000 THEN 'high' ELSE 'low' END ELSE 'medium' END AS mx,
+        needs_migration AND (shape <> 'scored' OR stored_total % 100 = 0 OR outdated) AS rescored FROM shapes""",
+    "mig1": f"SELECT * EXCLUDE (legacy_api2) REPLACE (legacy_api2 AS legacy_api), {Q.score_columns(R.PROJECT_SCORE_TERMS, _migrate_feature).replace('legacy_api', 'legacy_api2')} FROM mig0",
+    "mig": f"""SELECT *, CASE WHEN rescored THEN {Q.total()} ELSE stored_total % 100 END AS total_score,
+        CASE WHEN rescored THEN {Q.excellent()} ELSE [] END AS excellent FROM mig1""",
+}
+_TAGS = ("CASE WHEN needs_migration THEN list_concat(CASE WHEN amount > 5000 THEN ['v2.0'] ELSE [] END, "
+         "list_concat(['multi-score', 'v2.0', 'score-' || (floor(total_score / 10) * 10)::INT], list_transform(excellent, lambda d: 'excellent-' || d))) "
+         "ELSE CASE WHEN amount > 5000 THEN ['v2.0'] END END")
+
+
+@query("migrate_shape", f"""SELECT id, CASE WHEN needs_migration THEN 'migrated' ELSE 'skipped' END AS status, rescored, total_score::BIGINT AS total_score,
+       array_to_string(excellent, ',') AS excellent_in, {Q.joined(_TAGS)} AS tags,
+       CASE WHEN rescored THEN '{R.SCORING_VERSION}' ELSE scoring_version END AS scoring_version FROM mig""", ("records",), MIGRATED)
+def _(t):
+    m = H.migrate(stored_records(t), F.lit(_NOW).cast("timestamp_ntz"))
+    return m.select("id", "status", "rescored", "total_score", F.array_join("excellent_in", ",").alias("excellent_in"),
+                    joined(F.col("tags")).alias("tags"), "scoring_version")
+
+
+_AGE = "date_diff('day', created_at::DATE, DATE '1999-06-01')"
+VALID = {"checked": f"""SELECT id, CASE WHEN project_name IS NULL OR category IS NULL THEN 'missing fields' WHEN shape = 'none' THEN 'no patterns'
+    WHEN shape <> 'scored' THEN 'no scores' WHEN amount <= 10000 THEN 'no files'
+    WHEN amount > 5000 AND {_AGE} > 30 THEN 'older than limit: ' || {_AGE} || ' days' END AS reason FROM records"""}
+
+
+def validated(t):
+    return H.validate(stored_records(t), F.lit("1999-06-01").cast("date"))
+
+
+@query("stale_records", "SELECT id, reason, reason IS NULL AS valid FROM checked", ("records",), VALID)
+def _(t):
+    return validated(t).select("id", "reason", "valid")
+
+
+IDS = {
+    "stripped": f"SELECT *, {STRIP} AS new_id, CAST(right(old_id, 13) AS BIGINT) AS stamp FROM stamped_ids WHERE {STRIP} IS NOT NULL",
+    "ids": f"""SELECT old_id, new_id, CASE WHEN row_number() OVER (PARTITION BY new_id ORDER BY stamp DESC, old_id DESC) = 1 THEN 'migrated'
+        ELSE 'conflict' END AS status, count(*) OVER (PARTITION BY new_id) AS copies FROM stripped
+        UNION ALL SELECT old_id, old_id, 'skipped', 1 FROM stamped_ids WHERE {STRIP} IS NULL""",
+}
+
+
+@query("migrate_ids", "SELECT old_id, new_id, status, copies FROM ids", ("stamped_ids",), IDS)
+def _(t):
+    return H.migrate_ids(t.stamped_ids).select("old_id", "new_id", "status", "copies")
+
+
+@query("migration_stats", """SELECT 'ids' AS run, status, count(*) AS n FROM ids GROUP BY status
+       UNION ALL SELECT 'shapes', CASE WHEN needs_migration THEN 'migrated' ELSE 'skipped' END, count(*) FROM shapes GROUP BY ALL
+       UNION ALL SELECT 'validation', CASE WHEN reason IS NULL THEN 'valid' ELSE 'rejected' END, count(*) FROM checked GROUP BY ALL""",
+       ("stamped_ids", "records"), {**IDS, **SHAPES, **VALID})
+def _(t):
+    ids = H.migrate_ids(t.stamped_ids).select(F.lit("ids").alias("run"), "status")
+    shapes = H.shape_version(stored_records(t)).select(F.lit("shapes"), F.when(F.col("needs_migration"), "migrated").otherwise("skipped"))
+    checked = validated(t).select(F.lit("validation"), F.when(F.col("valid"), "valid").otherwise("rejected"))
+    return H.status_stats(ids.union(shapes).union(checked), "run", "status")
+
+
+# --- streams: each query works off the whole table as its source
+
+def stream_of(t, table):
+    """The table as a file stream; the glob takes a single file as well as a folder."""
+    path = t.path(table)
+    return t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+@query("stream_ingest", f"SELECT doc_id, content_hash, outcome FROM changes", ("files", "stored"), CHANGES)
+def _(t):
+    store = fresh_path(t.spark, "ingest-store")
+    T.write_batch(stored_hashes(t).withColumn("outcome", F.lit("up_to_date")), store, 0)
+    files = t.file_stream(stream_of(t, "documents"))
+    T.run_available(files, "ingest", T.ingest_batch(store))
+    return T.current(t.spark, store, "doc_id").select("doc_id", "content_hash", "outcome")
+
+
+@query("stream_dedup", "SELECT DISTINCT lang, substr(sha256(text), 1, 16) AS content_hash FROM documents")
+def _(t):
+    log = fresh_path(t.spark, "dedup")
+    seen = stream_of(t, "documents").select("lang", X.content_hash(F.col("text")).alias("content_hash"),
+                                            F.lit("2025-06-01 00:00:00").cast("timestamp").alias("scanned_at"))
+    T.run_available(T.dedup_stream(seen, ["lang", "content_hash"], "scanned_at"), "dedup",
+                    lambda df, i: T.write_batch(df, log, i))
+    return T.read_log(t.spark, log).select("lang", "content_hash")
+
+
+@query("stream_latest_state", """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type
+       FROM events GROUP BY user_id""")
+def _(t):
+    log = fresh_path(t.spark, "latest")
+    rows = stream_of(t, "events").select("user_id", "ts", "event_id", "event_type")
+    T.run_available(rows, "latest", T.latest_batch(log, "user_id", "ts", "event_id"))
+    newest = T.read_log(t.spark, log)
+    return latest(newest, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("stream_outcome_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def _(t):
+    log = fresh_path(t.spark, "windows")
+    rows = stream_of(t, "events").select(T.utc("ts").alias("at"), "event_type")
+    T.run_available(T.outcome_windows(rows, "at", "event_type"), "windows",
+                    lambda df, i: T.write_batch(df, log, i), mode="update")
+    counts = T.read_log(t.spark, log).groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return counts.select(T.utc_day("window_start").alias("day"), "event_type", "n")
+
+
+# --- annotation and embedding
+
+_LINES = "len(string_split(content, chr(10)))"
+_LEVELS = Q.case([(c, f"{_LINES} < {b}") for c, b in R.COMPLEXITY_BOUNDS], "very-high")
+_GUARDED = "(contains(content, 'try') AND contains(content, 'catch'))"
+
+
+@query("annotate_files", f"""SELECT doc_id, {Q.case([("composable", "contains(path, 'composables')"), ("api", "contains(path, '/api/')"),
+       ("utility", "contains(path, 'utils')"), ("page", "contains(path, 'pages')")], "other")} AS category, {_LEVELS} AS complexity,
+       CASE WHEN contains(content, 'export ') THEN 'high' ELSE 'low' END AS reusability,
+       CASE WHEN {_GUARDED} AND contains(content, 'throw') THEN 'comprehensive' WHEN {_GUARDED} THEN 'basic' ELSE 'none' END AS error_handling,
+       CASE WHEN contains(content, 'interface ') THEN 'good' ELSE 'poor' END AS type_definitions, {_LINES} AS lines_of_code,
+       {_GUARDED} AND contains(content, 'interface ') AS is_excellent, NULL AS error FROM files""", FILES)
+def _(t):
+    return N.annotate(t.files, N.rule_annotator)
+
+
+_HAS_API = "(contains(content, 'client.') OR contains(content, 'axios') OR contains(content, 'fetch('))"
+
+
+@query("quick_classify", f"""SELECT doc_id, {_HAS_API} AS has_api, contains(content, '<El') AS has_components, {_LEVELS} AS estimated_complexity
+       FROM files WHERE {_HAS_API} AND {_LINES} >= 12""", FILES)
+def _(t):
+    return N.quick_classify(t.files).filter("worth_deep_analysis").select("doc_id", "has_api", "has_components", "estimated_complexity")
+
+
+@query("embed_texts")
+def _(t):
+    texts = t.file_meta.select("doc_id", X.embedding_text(
+        F.col("category"), api_methods=F.col("api_methods"), components=F.col("components_used"),
+        composables=F.col("composables_used"), patterns=F.col("patterns"), entities=F.col("entities")).alias("summary"))
+    return V.embed(texts, "summary").select("doc_id", F.array_join(F.transform(
+        "embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))

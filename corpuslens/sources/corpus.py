@@ -19,6 +19,7 @@ from corpuslens.operators.facets import facet_postings
 from corpuslens.functions.text import request_keywords
 from corpuslens.operators.incremental import extract_features, score_cases
 from corpuslens.operators.recommend import recommend
+from corpuslens.operators.rollup import project_values
 from corpuslens.sources.store import written_once
 
 BASE_TABLES = [
@@ -283,9 +284,13 @@ class Tables:
             return self.view(name)
         raise AttributeError(name)
 
-    def view(self, name: str) -> DataFrame:
+    def file_stream(self, documents: DataFrame) -> DataFrame:
+        """The file view over a stream of documents."""
+        return self.view("files", documents=documents)
+
+    def view(self, name: str, **tables: DataFrame) -> DataFrame:
         sql = f"{view_sql(name)} SELECT * FROM {name}"
-        used = {t: getattr(self, t) for t in BASE_TABLES if "{" + t + "}" in sql}
+        used = {t: tables.get(t) or getattr(self, t) for t in BASE_TABLES if "{" + t + "}" in sql}
         df = self.spark.sql(sql, **used)
         lists = {c[:-2]: _list(c) for c in df.columns if c.endswith("_s")}
         return df.withColumns(lists).drop(*[c for c in df.columns if c.endswith("_s")]) if lists else df
@@ -307,6 +312,11 @@ class Tables:
         return written_once(self.spark, f"postings-{self.sf_dir}",
                             lambda: facet_postings(self.case_store, facets, "doc_id"), ["facet"])
 
+    @cached_property
+    def project_values(self) -> DataFrame:
+        """Distinct metadata values per project, written once."""
+        return written_once(self.spark, f"project-values-{self.sf_dir}", lambda: project_values(self.file_meta))
+
     @cached_property
     def request_rows(self) -> DataFrame:
         """Requests with their extracted keywords."""

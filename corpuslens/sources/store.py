@@ -44,6 +44,15 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """``df`` as a written table, for a result that several branches of a plan read.
+
+    Without it every branch would extract the same requests again, and a lost
+    executor would redo the whole lineage instead of rereading a file.
+    """
+    return write_table(df, name)
+
+
 def written_once(spark: SparkSession, key: str, build, partition_by: list[str] | None = None) -> DataFrame:
     """Table ``key`` of this application, built and written on first use."""
     slot = (spark.sparkContext.applicationId, key)
@@ -55,20 +64,21 @@ def written_once(spark: SparkSession, key: str, build, partition_by: list[str] |
     return spark.read.parquet(_written[slot])
 
 
-def read_cases(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """JSON record store as (records, quarantine).
+def read_cases(spark: SparkSession, path: str, schema: str, required: list[str],
+               one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """JSON record store as (records, quarantine); one document per file, or per line.
 
     Unparsable documents go to the quarantine with their text; parsed ones
     that lack a required field are some other kind of record and are left out.
     """
     columns = T.StructType.fromDDL(f"{schema}, _corrupt STRING")
-    raw = (spark.read.schema(columns).option("multiLine", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt").json(path)
-           .withColumn("_file", F.col("_metadata.file_path")))
-    good = raw.filter(F.col("_corrupt").isNull())
+    parsed = F.from_json("value", columns, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = (spark.read.text(path, wholetext=one_per_file)
+           .select(F.col("_metadata.file_path").alias("_file"), "value", parsed.alias("_r")))
+    good = raw.filter("_r._corrupt IS NULL").select("_r.*", "_file").drop("_corrupt")
     for column in required:
         good = good.filter(F.col(column).isNotNull())
-    return good.drop("_corrupt"), raw.filter(F.col("_corrupt").isNotNull()).select("_file", "_corrupt")
+    return good, raw.filter("_r._corrupt IS NOT NULL").select("_file", F.col("value").alias("_corrupt"))
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:

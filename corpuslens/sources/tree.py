@@ -95,7 +95,7 @@ def unquoted(value: Column) -> Column:
 
 
 def as_list(value: Column) -> Column:
-    items = F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), F.trim)
+    items = F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: F.trim(x))
     return F.coalesce(F.filter(items, lambda x: x != ""), F.array().cast("array<string>"))
 
 
