@@ -4,27 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-GRAM = 3
-
 
 def substring_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, hay: str) -> DataFrame:
     """Distinct (needle, hay) with the needle inside the hay text.
 
-    A needle lies in a text exactly when it starts one of its suffixes. Both
-    sides meet on the first three characters (one, for shorter needles), so
-    this is an equi join with a prefix test. Suffixes are cut at the longest
-    needle. Empty needles match nothing.
+    A needle of length n lies in a text exactly when it equals one of the
+    text's pieces of length n. Texts are cut into pieces of just those lengths
+    that needles have, and the join is on equality: only true matches are ever
+    paired, whatever the needles have in common. Meant for names and rule
+    texts; a text of c characters gives at most c pieces per needle length.
+    Empty needles match nothing.
     """
     n = needles.select(needle).distinct().filter(F.length(needle) > 0)
-    longest = n.agg(F.coalesce(F.max(F.length(needle)), F.lit(1)).alias("m")).scalar()
-    short = F.length(needle) < GRAM
-    n = n.withColumn("_g", F.when(short, F.concat(F.lit("1"), F.substring(needle, 1, 1)))
-                     .otherwise(F.concat(F.lit(str(GRAM)), F.substring(needle, 1, GRAM))))
-    h = haystacks.select(hay).distinct().filter(F.length(hay) > 0).withColumn("_longest", longest)
-    suffixes = h.select(hay, F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(hay)), lambda i: F.substr(F.col(hay), i, F.col("_longest")))).alias("_s"))
-    grams = F.array(F.concat(F.lit("1"), F.substring("_s", 1, 1)),
-                    F.concat(F.lit(str(GRAM)), F.substring("_s", 1, GRAM)))
-    keyed = suffixes.select(hay, "_s", F.explode(grams).alias("_g")).distinct()
-    return (keyed.join(n, "_g").filter(F.startswith(F.col("_s"), F.col(needle)))
-            .select(needle, hay).distinct())
+    lengths = n.agg(F.array_sort(F.collect_set(F.length(needle))).alias("lengths")).scalar()
+    h = haystacks.select(hay).distinct().filter(F.length(hay) > 0).withColumn("_l", lengths)
+    sized = h.select(hay, F.explode(F.filter("_l", lambda x: x <= F.length(hay))).alias("_n"))
+    pieces = sized.select(hay, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(hay) - F.col("_n") + 1),
+        lambda i: F.substr(F.col(hay), i, F.col("_n"))))).alias(needle))
+    return pieces.join(n, needle).select(needle, hay)

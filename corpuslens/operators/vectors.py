@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpuslens.sources.store import pin, ship_package
+
 BLOCK_ROWS = 4096  # requests per pass over the corpus
 MATRIX_CELLS = 2_000_000  # request × record scores held at once in a task
 
@@ -201,7 +203,11 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
 
         return corpus.select(*columns).mapInArrow(best_of_partition, out_schema)
 
-    merged = reduce(lambda a, b: a.unionByName(b), [run(b) for b in _blocks(requests, request_key, block_rows)])
+    ship_package(corpus.sparkSession)
+    blocks = _blocks(requests, request_key, block_rows)
+    if len(blocks) > 1:  # each block reads the corpus again
+        corpus = pin(corpus.select(*columns), "corpus")
+    merged = reduce(lambda a, b: a.unionByName(b), [run(b) for b in blocks])
     per_request = Window.partitionBy(request_key)
     best = per_request.orderBy(F.desc("similarity"), key)
     ranked = merged.withColumn("any_vector", F.max("any_vector").over(per_request)).withColumn(
@@ -240,6 +246,7 @@ def embed(df: DataFrame, text: str, encode=None, dim: int = 64, out: str = "embe
         except Exception:
             return pd.Series([one(v) for v in values])
 
+    ship_package(df.sparkSession)
     return df.withColumn(out, vectors(F.col(text)))
 
 

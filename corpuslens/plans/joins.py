@@ -64,7 +64,7 @@ def fine_values(t):
 
 
 def fine_rollup(t):
-    return U.project_rollup(fine_values(t))
+    return written_once(t.spark, f"fine-rollup-{t.sf_dir}", lambda: U.project_rollup(fine_values(t)))
 
 
 def pairs(t):

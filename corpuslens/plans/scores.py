@@ -61,7 +61,7 @@ RULE = (f"CASE WHEN total_score >= {R.SAVE_TOTAL} THEN 1 WHEN len(excellent_in)
 
 
 def project_rows(t):
-    return U.project_rollup(t.project_values)
+    return t.project_rollup
 
 
 @query("project_scores_8", f"SELECT project, {Q.SCORES}, {Q.total()} AS total_score FROM proj_scored", META, ROLLUP)

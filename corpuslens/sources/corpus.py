@@ -19,7 +19,7 @@ from corpuslens.operators.facets import facet_postings
 from corpuslens.functions.text import request_keywords
 from corpuslens.operators.incremental import extract_features, score_cases
 from corpuslens.operators.recommend import recommend
-from corpuslens.operators.rollup import project_values
+from corpuslens.operators.rollup import project_rollup, project_values
 from corpuslens.sources.store import written_once
 
 BASE_TABLES = [
@@ -38,8 +38,7 @@ def _pascal(word: str, default: str) -> str:
 VIEWS = {
     # one source file per document: path, and code wrapped around the whole text
     "file_names": f"""
-      SELECT doc_id, source AS project, lang, n_chars, text,
-             {_pascal(_WORD1, 'Note')} AS p1, {_pascal(_WORD2, 'Entry')} AS p2,
+      SELECT doc_id, project, lang, n_chars, text, {_pascal('w1', 'Note')} AS p1, {_pascal('w2', 'Entry')} AS p2,
              CASE WHEN lang = 'en' AND n_chars < 1000 THEN 'pages'
                   WHEN lang = 'en' AND n_chars < 2000 THEN 'src/components/common'
                   WHEN lang = 'en' THEN 'composables'
@@ -52,7 +51,7 @@ VIEWS = {
                   WHEN n_chars < 1000 THEN 'types'
                   WHEN n_chars < 2000 THEN 'plugins'
                   ELSE 'components' END AS folder
-      FROM {{documents}}""",
+      FROM (SELECT doc_id, source AS project, lang, n_chars, text, {_WORD1} AS w1, {_WORD2} AS w2 FROM {{documents}}) w""",
     "files": """
       SELECT doc_id, project, lang, n_chars, folder, p1, p2,
              folder || '/' || lower(p1) || '/'
@@ -121,8 +120,8 @@ VIEWS = {
       FROM files f LEFT JOIN {labels} l ON f.doc_id = l.doc_id""",
     # one request per user turn
     "request_words": f"""
-      SELECT conv_id, turn, text, length(text) AS n, {_pascal(_WORD1, 'Note')} AS p1
-      FROM {{conversations}} WHERE role = 'user'""",
+      SELECT conv_id, turn, text, n, {_pascal('w1', 'Note')} AS p1 FROM
+        (SELECT conv_id, turn, text, length(text) AS n, {_WORD1} AS w1 FROM {{conversations}} WHERE role = 'user') w""",
     "requests": """
       SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS request_id,
              text || CASE WHEN n < 150 THEN ' search list page' WHEN n < 300 THEN ' form with table and error state'
@@ -138,8 +137,8 @@ VIEWS = {
       FROM request_words""",
     # one guide per benchmark item
     "guide_words": f"""
-      SELECT item_id, text, length(text) AS n, {_pascal(_WORD1, 'Note')} AS p1, {_pascal(_WORD2, 'Entry')} AS p2
-      FROM {{benchmark}}""",
+      SELECT item_id, text, n, {_pascal('w1', 'Note')} AS p1, {_pascal('w2', 'Entry')} AS p2 FROM
+        (SELECT item_id, text, length(text) AS n, {_WORD1} AS w1, {_WORD2} AS w2 FROM {{benchmark}}) w""",
     "guides": """
       SELECT 'guide-' || CAST(item_id AS STRING) AS id,
              CASE WHEN n < 120 THEN 'project' WHEN n < 160 THEN 'repo' WHEN n < 200 THEN 'org' ELSE 'global' END AS scope,
@@ -317,6 +316,11 @@ class Tables:
         """Distinct metadata values per project, written once."""
         return written_once(self.spark, f"project-values-{self.sf_dir}", lambda: project_values(self.file_meta))
 
+    @cached_property
+    def project_rollup(self) -> DataFrame:
+        """One row per project, written once."""
+        return written_once(self.spark, f"rollup-{self.sf_dir}", lambda: project_rollup(self.project_values))
+
     @cached_property
     def request_rows(self) -> DataFrame:
         """Requests with their extracted keywords."""
