@@ -184,8 +184,9 @@ def detect_library(text: Column, patterns, custom=()) -> Column:
             reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in regexes]).alias("n"),
             F.lit(-i).alias("o"), F.lit(name).alias("lib"))
         for i, (name, regexes) in enumerate(entries)])
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["lib"])
+    # bound once: the counts behind it are the whole cost
+    best = F.transform(F.array(F.array_max(scored)), lambda b: F.when(b["n"] > 0, b["lib"]))
+    return F.get(best, F.lit(0))
 
 
 def component_category(name: Column, rules=R.COMPONENT_CATEGORIES) -> Column:

@@ -20,7 +20,7 @@ from corpuslens.functions.text import request_keywords
 from corpuslens.operators.incremental import extract_features, score_cases
 from corpuslens.operators.recommend import recommend
 from corpuslens.operators.rollup import project_rollup, project_values
-from corpuslens.sources.store import written_once
+from corpuslens.sources.store import spread, written_once
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -290,6 +290,8 @@ class Tables:
     def view(self, name: str, **tables: DataFrame) -> DataFrame:
         sql = f"{view_sql(name)} SELECT * FROM {name}"
         used = {t: tables.get(t) or getattr(self, t) for t in BASE_TABLES if "{" + t + "}" in sql}
+        if "documents" in used and not tables:
+            used["documents"] = spread(used["documents"])
         df = self.spark.sql(sql, **used)
         lists = {c[:-2]: _list(c) for c in df.columns if c.endswith("_s")}
         return df.withColumns(lists).drop(*[c for c in df.columns if c.endswith("_s")]) if lists else df
