@@ -96,6 +96,45 @@ def project_scores() -> list[Column]:
     return score_columns(R.PROJECT_SCORE_TERMS, lambda name: F.col(f"`{name}`"))
 
 
+def metadata_feature(name: str) -> Column:
+    """Features of an imported project metadata row, lists and maps on the row.
+
+    Columns: total_files, files_by_category, api_type, api_methods, frameworks,
+    patterns, dependencies, design_system, utility_library, components_used,
+    composables_used, excellent_files (struct of path, reasons),
+    average_complexity, files_with_good_error_handling, files_with_good_types.
+    """
+    none = F.array().cast("array<string>")
+
+    def values(column: str) -> Column:
+        return F.coalesce(F.col(column), none)
+
+    if name.startswith("excellent~"):
+        needles = name.split("~")[1].split("|")
+        return F.coalesce(F.size(F.filter("excellent_files", lambda f: F.exists(
+            f["reasons"], lambda r: contains_any(F.lower(r), needles)))), F.lit(0))
+    if "~" in name:
+        field, needles = name.split("~")
+        return count_containing(values(field), needles.split("|"))
+    if name in ("patterns", "api_methods", "components_used", "composables_used"):
+        return F.size(values(name))
+    files = F.nullif(F.col("total_files"), F.lit(0))
+    return {
+        "categories": F.size("files_by_category"), "complexity": F.col("average_complexity"), "api_type": F.col("api_type"),
+        "has_api": F.coalesce(F.col("api_type") != "none", F.lit(False)),
+        "has_design_system": F.col("design_system").isNotNull(), "has_utility_library": F.col("utility_library").isNotNull(),
+        "excellent_ratio": F.size("excellent_files") / files,
+        "good_error_ratio": F.col("files_with_good_error_handling") / files,
+        "good_type_ratio": F.col("files_with_good_types") / files,
+        "state_library": first_match([(lib, F.array_contains(values("frameworks"), lib)) for lib in ("pinia", "vuex")], F.lit("none")),
+    }[name]
+
+
+def metadata_scores() -> list[Column]:
+    """Eight scores of an imported project metadata row."""
+    return score_columns(R.PROJECT_SCORE_TERMS, metadata_feature)
+
+
 def _text_clause(clause, c: dict[str, Column]) -> Column:
     kind, arg, pts = clause
     if kind.startswith("per_"):

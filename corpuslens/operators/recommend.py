@@ -119,6 +119,7 @@ def best_practice(requests: DataFrame, signatures: DataFrame, n: int = 3, min_sc
     req = requests.select(request_key, F.coalesce(role, F.lit(ANY)).alias("role_key"), "dimensions")
     req = pin(req.withColumn("sig", F.concat_ws("|", "role_key", F.array_join("dimensions", ","))), "requests")
     sigs = req.select("sig", "role_key", "dimensions").distinct()
+    signatures = pin(signatures, "signatures")
     pool = signatures.select(F.explode(F.array_distinct(F.array(F.col(role), F.lit(ANY)))).alias("role_key"), "scores", "n", "ids")
     means = pool.groupBy("role_key").agg(
         F.sum("n").alias("total"),

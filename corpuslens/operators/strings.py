@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def substring_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, hay: str) -> DataFrame:
+def substring_pairs(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> DataFrame:
     """Distinct (needle, hay) with the needle inside the hay text.
 
     A needle of length n lies in a text exactly when it equals one of the
@@ -17,8 +17,10 @@ def substring_pairs(needles: DataFrame, haystacks: DataFrame, needle: str, hay:
     """
     n = needles.select(needle).distinct().filter(F.length(needle) > 0)
     lengths = n.agg(F.array_sort(F.collect_set(F.length(needle))).alias("lengths")).scalar()
-    h = haystacks.select(hay).distinct().filter(F.length(hay) > 0).withColumn("_l", lengths)
+    h = hays.select(hay).distinct().filter(F.length(hay) > 0).withColumn("_l", lengths)
     sized = h.select(hay, F.explode(F.filter("_l", lambda x: x <= F.length(hay))).alias("_n"))
+    # few, short texts make much work: do not let them fall into one task
+    sized = sized.repartition(hays.sparkSession.sparkContext.defaultParallelism)
     pieces = sized.select(hay, F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length(hay) - F.col("_n") + 1),
         lambda i: F.substr(F.col(hay), i, F.col("_n"))))).alias(needle))

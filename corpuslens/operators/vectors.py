@@ -144,12 +144,15 @@ def _score_batch(block: _Block, batch: pa.RecordBatch, weights, vector: str, key
 
 
 def _blocks(requests: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
-    """Requests in parts of about ``block_rows`` rows each."""
-    n = -(-requests.count() // block_rows)
-    if n <= 1:
-        return [requests]
-    part = F.pmod(F.xxhash64(key), F.lit(n))
-    return [requests.filter(part == i) for i in range(n)]
+    """Requests in parts of about ``block_rows`` rows each, with vectors of one length per part."""
+    size = F.coalesce(F.size("vector"), F.lit(-1))
+    blocks = []
+    for length, rows in requests.groupBy(size.alias("n")).count().collect():  # one row per vector length
+        part = requests.filter(size == length)
+        n = -(-rows // block_rows)
+        bucket = F.pmod(F.xxhash64(key), F.lit(n))
+        blocks += [part] if n == 1 else [part.filter(bucket == i) for i in range(n)]
+    return blocks
 
 
 def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[float, float] = (0.7, 0.3),
@@ -175,6 +178,8 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
 
         def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(block.keys)
+            if not n:
+                return
             best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
             seen_vector = np.zeros(n, dtype=bool)
             step = max(1, MATRIX_CELLS // n)
@@ -207,7 +212,7 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
     blocks = _blocks(requests, request_key, block_rows)
     if len(blocks) > 1:  # each block reads the corpus again
         corpus = pin(corpus.select(*columns), "corpus")
-    merged = reduce(lambda a, b: a.unionByName(b), [run(b) for b in blocks])
+    merged = reduce(lambda a, b: a.unionByName(b), [run(b) for b in blocks or [requests]])
     per_request = Window.partitionBy(request_key)
     best = per_request.orderBy(F.desc("similarity"), key)
     ranked = merged.withColumn("any_vector", F.max("any_vector").over(per_request)).withColumn(

@@ -24,7 +24,7 @@ def read_text_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole files as text with their path below ``root``."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     return raw.select(relative_path(F.col("path"), root).alias("relative_path"),
-                      F.decode("content", F.lit("UTF-8")).alias("content"))
+                      F.col("content").cast("string").alias("content"))
 
 
 def source_files(files: DataFrame, folders: list[str] | None = R.SCAN_FOLDERS,
