@@ -60,13 +60,14 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int = 10, request_k
     sigs = req.select("sig", "profile", "keywords", "mandatory").dropDuplicates(["sig"])
     profiles = req.select("profile", *options).dropDuplicates(["profile"])
 
-    # the api type gate is an equi join; "" stands for a request without one
+    # scores are kept in tenths, as integers, so that equal scores are equal;
+    # the api type gate is an equi join, "" stands for a request without one
     gates = profiles.select("*", F.explode(F.when(F.col("api_type").isNull(), F.array(F.lit("")))
                             .otherwise(F.array_distinct(F.array("api_type", F.lit("any"))))).alias("gate")).alias("r")
     doors = guides.select("*", F.explode(F.array(F.lit(""), F.col("api_type"))).alias("gate")).alias("g")
     base = (F.when(F.col("r.api_type").isNull(), 0).otherwise(30)
             + F.when(F.col("r.scope") == F.col("g.scope"), 20).otherwise(0)
-            + _library_points("design_system") + _library_points("utility_library")).cast("double") + F.col("g.priority") / 10
+            + _library_points("design_system") + _library_points("utility_library")) * 10 + F.col("g.priority")
     admitted = gates.join(doors, F.col("r.gate") == F.col("g.gate")).select("r.profile", "g.id", base.alias("base"))
     # mandatory guides take no part, so look that many places further
     auto = mandatory_ids(guides)
@@ -77,17 +78,18 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int = 10, request_k
     words = sigs.select("sig", "profile", F.explode("keywords").alias("keyword"))
     hits = (words.join(keyword_points(words, guides), "keyword")
             .groupBy("sig", "profile", "id").agg(F.sum("points").alias("points"))
-            .join(admitted, ["profile", "id"]).select("sig", "id", (F.col("base") + F.col("points")).alias("score")))
+            .join(admitted, ["profile", "id"]).select("sig", "id", (F.col("base") + F.col("points") * 10).alias("score")))
     calm = (sigs.join(leaders, "profile").filter(F.col("_n") <= k + F.size("mandatory"))
             .select("sig", "id", F.col("base").alias("score")))
     scored = hits.unionByName(calm).groupBy("sig", "id").agg(F.max("score").alias("score"))
     must = sigs.select("sig", F.explode(F.array_distinct(F.concat(
         "mandatory", F.coalesce(auto, F.array().cast("array<string>"))))).alias("id"))
     must = must.join(guides.select("id"), "id", "left_semi")
-    ranked = scored.join(must, ["sig", "id"], "left_anti").unionByName(must.select("sig", "id", F.lit(1000.0).alias("score")))
+    ranked = scored.join(must, ["sig", "id"], "left_anti").unionByName(must.select("sig", "id", F.lit(10000).alias("score")))
     order = Window.partitionBy("sig").orderBy(F.desc("score"), "id")
     best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return req.select(request_key, "sig").join(best, "sig").select(request_key, "rank", "id", "score")
+    return req.select(request_key, "sig").join(best, "sig").select(
+        request_key, "rank", "id", (F.col("score") / 10).alias("score"))
 
 
 def combine_guides(wanted: DataFrame, guides: DataFrame, request_key: str = "request_id") -> DataFrame:
@@ -118,7 +120,7 @@ def combine_guides(wanted: DataFrame, guides: DataFrame, request_key: str = "req
 
     kept = lists.select(request_key, F.posexplode(F.aggregate("gs", none, step)).alias("position", "id"))
     return kept.join(guides.select("id", "scope", "priority", "version"), "id").select(
-        request_key, "position", "id", "priority", "version", "scope")
+        request_key, F.col("position").cast("bigint").alias("position"), "id", "priority", "version", "scope")
 
 
 def combined_text(kept: DataFrame, guides: DataFrame, request_key: str = "request_id",

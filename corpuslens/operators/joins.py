@@ -90,9 +90,13 @@ def anti_join_missing(pairs: DataFrame, values: DataFrame, fields: list[str] | N
     return offered.join(own, ["project", "field", "value"], "left_anti")
 
 
-def except_patterns(exemplar_values: DataFrame, project_values: DataFrame) -> DataFrame:
-    """Set form: the (field, value) rows of one side that the other lacks."""
-    return exemplar_values.select("field", "value").subtract(project_values.select("field", "value"))
+def except_patterns(pairs: DataFrame, values: DataFrame, field: str = "patterns") -> DataFrame:
+    """Set form for one field: exemplar rows of every pair EXCEPT the project's own rows."""
+    pairs, values = pairs.select("project", "exemplar"), values.filter(F.col("field") == field)
+    theirs = pairs.join(values.select(F.col("project").alias("exemplar"), "field", "value"), "exemplar")
+    own = pairs.join(values.select("project", "field", "value"), "project")
+    columns = ["project", "exemplar", "field", "value"]
+    return theirs.select(*columns).subtract(own.select(*columns))
 
 
 def missing_values(wanted: Column, present: Column) -> Column:

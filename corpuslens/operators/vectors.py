@@ -10,6 +10,8 @@ a block holds become further blocks over the same plan.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -256,8 +258,7 @@ def embed(df: DataFrame, text: str, encode=None, dim: int = 64, out: str = "embe
 
 
 def hashed_counts(texts: list[str], dim: int) -> list[np.ndarray | None]:
-    import xxhash
-
+    place = functools.cache(lambda word: int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dim)
     out: list[np.ndarray | None] = []
     for text in texts:
         if text is None:
@@ -265,7 +266,7 @@ def hashed_counts(texts: list[str], dim: int) -> list[np.ndarray | None]:
             continue
         v = np.zeros(dim, dtype="float64")
         for word in text.lower().split():
-            v[xxhash.xxh64_intdigest(word) % dim] += 1.0
+            v[place(word)] += 1.0
         norm = np.linalg.norm(v)
         out.append(v / norm if norm else v)
     return out

@@ -110,7 +110,7 @@ def _(t):
 @query("excellent_snippets", f"""SELECT doc_id, reason, score FROM (SELECT doc_id, unnest({Q.split('excellent_reasons_s')}) AS reason,
        70 + length(reason) AS score FROM file_meta) WHERE score >= 85""", META)
 def _(t):
-    snippets = F.transform("excellent_reasons", lambda r: F.struct(r.alias("reason"), (F.length(r) + 70).alias("score")))
+    snippets = F.transform("excellent_reasons", lambda r: F.struct(r.alias("reason"), (F.length(r) + 70).cast("bigint").alias("score")))
     rows = U.explode_snippets(t.file_meta.select("doc_id", snippets.alias("snippets")))
     return rows.select("doc_id", "snippet.reason", "snippet.score")
 
@@ -125,10 +125,11 @@ _ITEMS = {**NAMING, "items": f"""SELECT project, name, max(doc_id) AS doc_id, {_
 
 
 @query("package_components", """SELECT project, 'component' AS kind, name, category, usage, description, doc_id FROM items
-       UNION ALL SELECT project, 'pattern', prefix || '[A-Z]\\w+', NULL, NULL, NULL, NULL FROM prefixed WHERE prefix IS NOT NULL""",
+       UNION ALL SELECT project, 'pattern', prefix || '[A-Z]\\w+', NULL, NULL, NULL, -1 FROM prefixed WHERE prefix IS NOT NULL""",
        ("file_meta", "modules"), _ITEMS)
 def _(t):
-    return P.package_components(t.file_meta, P.name_components(t.files, t.modules))
+    items = P.package_components(t.file_meta, P.name_components(t.files, t.modules))
+    return items.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
 
 
 _FN = {
@@ -176,9 +177,9 @@ def _(t):
 
 
 @query("scan_outcome_stats", """SELECT user_id, event_type, count(*) AS n, event_type = 'error' AS failed FROM events GROUP BY user_id, event_type
-       UNION ALL SELECT NULL, event_type, count(*), event_type = 'error' FROM events GROUP BY event_type""")
+       UNION ALL SELECT -1, event_type, count(*), event_type = 'error' FROM events GROUP BY event_type""")
 def _(t):
-    return I.outcome_stats(t.events, "user_id", "event_type")
+    return I.outcome_stats(t.events, "user_id", "event_type").withColumn("user_id", F.coalesce("user_id", F.lit(-1)))  # all projects
 
 
 @query("file_case_text_stats", """SELECT project, sum(lines_of_code)::BIGINT AS total_lines_of_code,

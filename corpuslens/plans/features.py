@@ -185,13 +185,13 @@ def _(t):
         "path", "api_type", "confidence", joined(F.col("api_packages")).alias("api_packages"))
 
 
-_SYSTEMS = "[" + ", ".join(map(Q.lit, R.KNOWN_DESIGN_SYSTEMS)) + "]"
+SYSTEMS = "[" + ", ".join(map(Q.lit, R.KNOWN_DESIGN_SYSTEMS)) + "]"
 
 
 @query("manifest_libraries", f"""SELECT path,
-       {Q.joined(f"list_filter(packages, lambda d: list_contains({_SYSTEMS}, d))")} AS design_systems,
+       {Q.joined(f"list_filter(packages, lambda d: list_contains({SYSTEMS}, d))")} AS design_systems,
        {Q.joined("list_filter(packages, lambda d: " + Q.any_of('d', R.KNOWN_UTILITIES) + ")")} AS utilities,
-       list_filter(ordered, lambda d: list_contains({_SYSTEMS}, d))[1] AS design_system,
+       list_filter(ordered, lambda d: list_contains({SYSTEMS}, d))[1] AS design_system,
        list_filter(ordered, lambda d: {Q.any_of('d', R.KNOWN_UTILITIES)})[1] AS utility_library
        FROM (SELECT *, list_concat(json_keys(json, '$.dependencies'), json_keys(json, '$.devDependencies')) AS ordered,
                     list_distinct(ordered) AS packages FROM manifests)""", ("manifests",))
@@ -288,14 +288,14 @@ def _(t):
         F.col("description"), F.col("target_function"), F.array("entity")).alias("query_text"))
 
 
-_META_WORDS = "list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(" \
+META_WORDS = "list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(" \
     f"{Q.split('patterns_s')}, {Q.split('frameworks_s')}), {Q.present(['api_type'])}), {Q.split('features_s')}), " \
     f"{Q.split('api_methods_s')}[1:5]), {Q.split('entities_s')}), " \
     "CASE WHEN complexity = 'high' THEN ['complex', 'advanced'] ELSE [] END), " \
     "CASE WHEN error_handling = 'comprehensive' THEN ['error-handling', 'recovery', 'resilience'] ELSE [] END)"
 
 
-@query("metadata_keywords", f"SELECT doc_id, {Q.joined(f'list_transform({_META_WORDS}, lambda w: lower(w))')} AS keywords "
+@query("metadata_keywords", f"SELECT doc_id, {Q.joined(f'list_transform({META_WORDS}, lambda w: lower(w))')} AS keywords "
                             "FROM file_meta", META)
 def _(t):
     c = F.col

@@ -154,8 +154,7 @@ def _(t):
     return A.intersect_facets(t.postings, {"tag": ["search", "list"], "project": ["src1", "src2", "src3"], "grade": ["poor"]}, "doc_id")
 
 
-@query("except_patterns", """SELECT field, value FROM long_values WHERE project = 'src1' AND field IN ('patterns', 'components_used')
-       EXCEPT SELECT field, value FROM long_values WHERE project = 'src2'""", META, ROLLUP)
+@query("except_patterns", """SELECT p.project, p.exemplar, value FROM pairs p JOIN long_values v ON v.project = p.exemplar AND field = 'patterns'
+       EXCEPT SELECT p.project, p.exemplar, value FROM pairs p JOIN long_values v ON v.project = p.project AND field = 'patterns'""", META, PAIRS)
 def _(t):
-    v = t.project_values.filter(F.col("field").isin("patterns", "components_used"))
-    return J.except_patterns(v.filter("project = 'src1'"), v.filter("project = 'src2'"))
+    return J.except_patterns(pairs(t), fine_values(t), "patterns").drop("field")

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpuslens.functions import rules as R, scoring as S, text as X
 from corpuslens.operators import guides as G, joins as J, packages as P, recommend as C, similar as M, vectors as V
 from corpuslens.plans import sqlgen as Q
-from corpuslens.plans.features import API_TYPE, CATEGORY_10, FILES, MANIFESTS, META, REQUESTS, joined
+from corpuslens.plans.features import API_TYPE, CATEGORY_10, FILES, MANIFESTS, META, META_WORDS, REQUESTS, SYSTEMS, joined
 from corpuslens.plans.joins import _groups
 from corpuslens.plans.registry import query
 
@@ -267,13 +267,58 @@ def _(t):
                         (F.floor(F.col("score") * 10 + 0.5) / 10).alias("score"))
 
 
-@query("combine_guides")
+def combine_ctes(wanted: str) -> dict[str, str]:
+    """Combination of ``wanted`` (rid, id, pos): a fold over each request's sorted list."""
+    item = "{{'id': {}, 'ex': {}, 'ok': {}, 'kept': []::VARCHAR[]}}"
+    return {
+        "gc_guides": f"SELECT *, {Q.split('requires_s')} AS rq, {Q.split('excludes_s')} AS ex, "
+                     f"{Q.lookup('scope', R.SCOPE_RANK, 0)} AS scope_rank FROM guides",
+        "gc_must": "SELECT id, row_number() OVER (ORDER BY id) AS pos FROM guides WHERE mandatory",
+        "gc_ids": f"""SELECT rid, id, min((src, pos)) AS o FROM (SELECT rid, id, 1 AS src, pos FROM {wanted} UNION ALL
+            SELECT rid, m.id, 0, m.pos FROM (SELECT DISTINCT rid FROM {wanted}) CROSS JOIN gc_must m) GROUP BY ALL""",
+        "gc_rows": "SELECT i.rid, i.o, g.* FROM gc_ids i JOIN gc_guides g USING (id)",
+        "gc_asked": "SELECT rid, list(id) AS requested FROM gc_rows GROUP BY rid",
+        "gc_lists": "SELECT rid, list(" + item.format("id", "ex", "len(list_filter(rq, lambda x: NOT list_contains(requested, x))) = 0")
+                    + " ORDER BY scope_rank DESC, priority DESC, version DESC, o) AS gs FROM gc_rows JOIN gc_asked USING (rid) GROUP BY rid",
+        "gc_kept": "SELECT rid, list_reduce(list_prepend(" + item.format("''", "[]::VARCHAR[]", "true") + ", gs), lambda a, x: "
+                   "{'id': x.id, 'ex': x.ex, 'ok': x.ok, 'kept': CASE WHEN x.ok AND NOT list_has_any(x.ex, a.kept) "
+                   "THEN list_append(a.kept, x.id) ELSE a.kept END}).kept AS kept FROM gc_lists",
+        "gc_places": "SELECT rid, generate_subscripts(kept, 1) - 1 AS position, unnest(kept) AS id FROM gc_kept",
+        "gc_text": """SELECT rid, substr(string_agg('# ' || summary || chr(10) || chr(10) || content,
+            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position), 1, 50000) AS combined, count(*) AS n_guides
+            FROM gc_places JOIN guides USING (id) GROUP BY rid""",
+    }
+
+
+def search_ctes(requests: str, k: int) -> dict[str, str]:
+    """Guide search for ``requests`` (rid, keywords, api_type), then combination of the first k."""
+    return {
+        "gt": f"SELECT *, {Q.split('tags_s')} AS tags FROM guides",
+        "gc_scores": f"""SELECT r.rid, g.id, CASE WHEN g.mandatory THEN 10000 ELSE CASE WHEN r.api_type IS NULL THEN 0 ELSE 300 END + g.priority
+            + coalesce(list_sum(list_transform(r.keywords, lambda k:
+                CASE WHEN len(list_filter(g.tags, lambda x: contains(lower(x), lower(k)))) > 0 THEN 150 ELSE 0 END
+                + CASE WHEN contains(lower(g.summary), lower(k)) THEN 100 ELSE 0 END
+                + CASE WHEN contains(lower(g.content), lower(k)) THEN 50 ELSE 0 END)), 0) END AS score
+            FROM {requests} r JOIN gt g ON g.mandatory OR r.api_type IS NULL OR g.api_type = r.api_type OR g.api_type = 'any'""",
+        "gc_found": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS pos FROM gc_scores) WHERE pos <= {k}",
+        **combine_ctes("gc_found"),
+    }
+
+
+WANTED = {"gc_wanted": f"SELECT request_id AS rid, unnest(w) AS id, generate_subscripts(w, 1) AS pos FROM "
+                       f"(SELECT request_id, {Q.split('wanted_s')} AS w FROM requests)"}
+
+
+@query("combine_guides", "SELECT rid AS request_id, position, id, priority, version, scope FROM gc_places JOIN guides USING (id)",
+       ("requests", "guides"), {**WANTED, **combine_ctes("gc_wanted")})
 def _(t):
     wanted = t.requests.select("request_id", F.posexplode("wanted").alias("position", "id"))
     return G.combine_guides(wanted, t.guides)
 
 
-@query("guides_for_metadata")
+@query("guides_for_metadata", "SELECT rid AS doc_id, combined, n_guides FROM gc_text", ("file_meta", "guides"), {
+       "asking": f"SELECT doc_id AS rid, api_type, list_distinct(list_transform({META_WORDS}, lambda w: lower(w))) AS keywords FROM file_meta",
+       **search_ctes("asking", 5)})
 def _(t):
     return G.guides_for(G.metadata_requests(t.file_meta), t.guides, request_key="doc_id")
 
@@ -354,7 +399,28 @@ def _(t):
     return J.union_keywords(t.request_rows, hits)
 
 
-@query("request_context")
+_CONTEXT = {
+    **RECOMMEND, **HIT_ROWS, **DIMS, **{k: v for k, v in BEST.items() if k not in RECOMMEND and k not in DIMS}, **MANIFESTS,
+    "all_words": f"""SELECT request_id, list(DISTINCT keyword) AS keywords FROM (SELECT request_id, unnest(keywords) AS keyword FROM req
+        UNION ALL SELECT request_id, unnest(list_concat(h.keywords, {Q.split('patterns_s')})) FROM hit_rows h JOIN file_meta USING (doc_id))
+        GROUP BY request_id""",
+    "found": """SELECT request_id, count(*) AS recommendations, arg_min(project, rank) AS project FROM hit_rows GROUP BY request_id""",
+    "apis": f"SELECT request_id, arg_min(v, rank) FILTER (v IS NOT NULL) AS api_type FROM (SELECT request_id, rank, {_VERDICT} AS v FROM hit_rows) GROUP BY request_id",
+    "asking": "SELECT request_id AS rid, keywords, api_type FROM found JOIN all_words USING (request_id) JOIN apis USING (request_id)",
+    **search_ctes("asking", 5),
+    "shown": """SELECT d.request_id, count(*) AS examples FROM dims d JOIN forms_id f ON d.file_role IS NOT DISTINCT FROM f.file_role
+        AND d.dimensions = f.dimensions JOIN kept k ON k.form = f.form AND k.rank <= 3 GROUP BY d.request_id""",
+    "facts": f"""SELECT regexp_replace(path, '^n', 'src') AS project, {API_TYPE} AS project_api,
+        list_filter(packages, lambda d: list_contains({SYSTEMS}, d))[1] AS design_system FROM deps""",
+}
+
+
+@query("request_context", """SELECT d.request_id, array_to_string(d.dimensions, ',') AS dimensions, coalesce(recommendations, 0) AS recommendations, project,
+       coalesce(n_guides, 0) AS n_guides, coalesce(length(combined), 0) AS guide_chars, coalesce(examples, 0) AS examples, project_api, design_system,
+       CASE WHEN recommendations IS NULL THEN 'No recommendations found, skipping guide loading'
+            WHEN n_guides IS NULL THEN 'No relevant guides found for the given keywords' ELSE '' END AS warnings
+       FROM dims d LEFT JOIN found USING (request_id) LEFT JOIN gc_text g ON g.rid = d.request_id LEFT JOIN shown USING (request_id)
+       LEFT JOIN facts USING (project)""", ("files", "file_meta", "requests", "guides", "manifests"), _CONTEXT)
 def _(t):
     """Per request: recommendations, keywords, guides, project facts, examples and warnings."""
     rows = hit_rows(t)
@@ -376,4 +442,6 @@ def _(t):
         F.when(F.col("recommendations").isNotNull() & F.col("n_guides").isNull(), F.lit("No relevant guides found for the given keywords"))))
     return (requests.select("request_id", F.array_join("dimensions", ",").alias("dimensions"))
             .join(found, "request_id", "left").join(texts, "request_id", "left").join(examples, "request_id", "left")
-            .join(facts, "project", "left").withColumn("warnings", F.array_join(warnings, "; ")))
+            .join(facts, "project", "left").withColumn("warnings", F.array_join(warnings, "; "))
+            .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("recommendations", "n_guides", "guide_chars", "examples")})
+            .withColumn("guide_chars", F.col("guide_chars").cast("bigint")))

@@ -45,10 +45,11 @@ def _(t):
                   [p.select(F.lit(n).alias("shortcut"), "doc_id") for n, p in parts.items()])
 
 
-@query("search_cases_exact", f"""SELECT id, project, category, raw_score FROM cases WHERE category = 'table-browse'
+@query("search_cases_exact", f"""SELECT id, project, category, coalesce(raw_score, -1) AS score FROM cases WHERE category = 'table-browse'
        AND list_has_any({Q.split('tags_s')}, ['search', 'form'])""", ("cases",))
 def _(t):
-    return A.search_exact(t.cases, category="table-browse", tags=["search", "form"]).select("id", "project", "category", "raw_score")
+    return A.search_exact(t.cases, category="table-browse", tags=["search", "form"]).select(
+        "id", "project", "category", F.coalesce("raw_score", F.lit(-1.0)).alias("score"))
 
 
 _ANY = "doc_id IN (SELECT doc_id FROM postings WHERE facet = '{}' AND term IN ({}))"
@@ -75,12 +76,12 @@ _LIST = {"listed": f"""SELECT id, project, raw_score AS total_score, {Q.split('t
          CASE WHEN raw_score > 60 THEN 'A' WHEN api_type = 'grpc' THEN 'C' END AS legacy_tier FROM cases"""}
 
 
-@query("list_cases_ranked", """SELECT id, project, total_score, len(excellent_in) AS n_excellent, legacy_tier FROM listed
+@query("list_cases_ranked", """SELECT id, project, coalesce(total_score, -1) AS total, len(excellent_in) AS n_excellent, legacy_tier FROM listed
        ORDER BY total_score DESC NULLS LAST, CASE WHEN total_score IS NOT NULL THEN len(excellent_in) ELSE 0 END DESC,
        CASE legacy_tier WHEN 'A' THEN 4 WHEN 'C' THEN 2 ELSE 0 END DESC, project, id""",
        ("cases",), _LIST)
 def _(t):
     listed = t.cases.select("id", "project", F.col("raw_score").alias("total_score"), F.col("tags").alias("excellent_in"),
                             F.when(F.col("raw_score") > 60, "A").when(F.col("api_type") == "grpc", "C").alias("legacy_tier"))
-    return A.rank_cases(listed).select("id", "project", "total_score", F.size("excellent_in").cast("bigint").alias("n_excellent"),
+    return A.rank_cases(listed).select("id", "project", F.coalesce("total_score", F.lit(-1.0)).alias("total"), F.size("excellent_in").cast("bigint").alias("n_excellent"),
                                        "legacy_tier")

@@ -44,7 +44,7 @@ def _(t):
 
 # the record store as JSON: Spanish records are cut short, German ones are of another kind
 @query("read_case_store", """SELECT doc_id, project, path, 'record' AS status FROM files WHERE lang NOT IN ('es', 'de')
-       UNION ALL SELECT NULL, NULL, NULL, 'corrupt' FROM files WHERE lang = 'es'""", FILES)
+       UNION ALL SELECT -1, NULL, NULL, 'corrupt' FROM files WHERE lang = 'es'""", FILES)
 def _(t):
     doc = F.to_json(F.struct("doc_id", "project", "path", F.when(F.col("lang") != "de", F.struct(
         F.col("n_chars").alias("structure"))).alias("scores")))
@@ -53,7 +53,7 @@ def _(t):
      .write.text(path))
     good, bad = O.read_cases(t.spark, path, "doc_id BIGINT, project STRING, path STRING, scores STRUCT<structure: BIGINT>",
                              ["path", "scores"], one_per_file=False)
-    nothing = [F.lit(None).cast("bigint").alias("doc_id"), *[F.lit(None).cast("string").alias(c) for c in ("project", "path")]]
+    nothing = [F.lit(-1).cast("bigint").alias("doc_id"), *[F.lit(None).cast("string").alias(c) for c in ("project", "path")]]
     return good.select("doc_id", "project", "path", F.lit("record").alias("status")).unionByName(
         bad.select(*nothing, F.lit("corrupt").alias("status")))
 
@@ -95,11 +95,12 @@ def _(t):
                        "mandatory", "content", "summary", F.array_join("requires", "|").alias("requires"), F.array_join("excludes", "|").alias("excludes"))
 
 
-@query("case_by_id", """SELECT k.vec_id AS doc_id, d.doc_id IS NOT NULL AS found, d.source, d.n_chars
+@query("case_by_id", """SELECT k.vec_id AS doc_id, d.doc_id IS NOT NULL AS found, d.source, coalesce(d.n_chars, -1) AS n_chars
        FROM (SELECT vec_id FROM embeddings UNION SELECT l_partkey FROM lineitem) k LEFT JOIN documents d ON k.vec_id = d.doc_id""")
 def _(t):
     keys = t.embeddings.select(F.col("vec_id").alias("doc_id")).union(t.lineitem.select("l_partkey")).distinct()
-    return A.by_keys(t.documents.select("doc_id", "source", "n_chars"), keys, "doc_id").select("doc_id", "found", "source", "n_chars")
+    return A.by_keys(t.documents.select("doc_id", "source", "n_chars"), keys, "doc_id").select(
+        "doc_id", "found", "source", F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
 
 
 @query("load_first_case", "SELECT id, project, category FROM cases WHERE category = 'detail' AND api_type = 'grpc' ORDER BY id LIMIT 1", ("cases",))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import rules as R, text as X
 from corpuslens.operators import annotate as N, incremental as I, migrate as H, rollup as U, vectors as V
 from corpuslens.plans import sqlgen as Q
-from corpuslens.plans.features import FILES, META, STRIP, joined
+from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, joined
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import ROLLUP, RULE, project_rows
 from corpuslens.sources.store import fresh_path, latest
@@ -61,9 +61,9 @@ def _(t):
 
 
 @query("resume_and_retry", """SELECT event_id, project, path, retry_count, CASE WHEN retry_count < 3 THEN 'retry' ELSE 'parked' END AS action,
-       CASE WHEN retry_count < 3 THEN retry_count + 1 END AS attempt FROM failures""", ("failures",))
+       CASE WHEN retry_count < 3 THEN retry_count + 1 ELSE 0 END AS attempt FROM failures""", ("failures",))
 def _(t):
-    return I.retry_plan(t.failures)
+    return I.retry_plan(t.failures).withColumn("attempt", F.coalesce("attempt", F.lit(0)))
 
 
 # --- stored project records of three shapes, built from the flat view
@@ -249,7 +249,7 @@ _GUARDED = "(contains(content, 'try') AND contains(content, 'catch'))"
        CASE WHEN contains(content, 'export ') THEN 'high' ELSE 'low' END AS reusability,
        CASE WHEN {_GUARDED} AND contains(content, 'throw') THEN 'comprehensive' WHEN {_GUARDED} THEN 'basic' ELSE 'none' END AS error_handling,
        CASE WHEN contains(content, 'interface ') THEN 'good' ELSE 'poor' END AS type_definitions, {_LINES} AS lines_of_code,
-       {_GUARDED} AND contains(content, 'interface ') AS is_excellent, NULL AS error FROM files""", FILES)
+       {_GUARDED} AND contains(content, 'interface ') AS is_excellent, CAST(NULL AS VARCHAR) AS error FROM files""", FILES)
 def _(t):
     return N.annotate(t.files, N.rule_annotator)
 
@@ -263,10 +263,18 @@ def _(t):
     return N.quick_classify(t.files).filter("worth_deep_analysis").select("doc_id", "has_api", "has_components", "estimated_complexity")
 
 
-@query("embed_texts")
+_CELLS = {
+    "words": f"SELECT doc_id, unnest(string_split(lower({EMBEDDING_TEXT}), ' ')) AS w FROM file_meta",
+    "cells": """SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 64 AS place, count(*)::DOUBLE AS n FROM words
+        WHERE w <> '' GROUP BY ALL""",
+}
+
+
+@query("embed_texts", """SELECT doc_id, place, floor(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) * 1e4 + 0.5) / 1e4 AS weight
+       FROM cells""", META, _CELLS)
 def _(t):
     texts = t.file_meta.select("doc_id", X.embedding_text(
         F.col("category"), api_methods=F.col("api_methods"), components=F.col("components_used"),
         composables=F.col("composables_used"), patterns=F.col("patterns"), entities=F.col("entities")).alias("summary"))
-    return V.embed(texts, "summary").select("doc_id", F.array_join(F.transform(
-        "embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+    cells = V.embed(texts, "summary").select("doc_id", F.posexplode("embedding").alias("place", "x")).filter("x <> 0")
+    return cells.select("doc_id", "place", (F.floor(F.col("x").cast("double") * 1e4 + 0.5) / 1e4).alias("weight"))

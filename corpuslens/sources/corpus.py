@@ -146,7 +146,7 @@ VIEWS = {
              concat_ws('|', lower(p1), CASE WHEN n < 150 THEN 'search' END, CASE WHEN n > 120 THEN 'form' END,
                             CASE WHEN text LIKE '%tion%' THEN 'grpc-client' END,
                             CASE WHEN text LIKE '%ea%' THEN 'element-plus' END) AS tags_s,
-             CASE WHEN n > 250 THEN 100 ELSE n - 150 END AS priority,
+             CAST(CASE WHEN n > 250 THEN 100 ELSE n - 150 END AS INTEGER) AS priority,
              '2025.' || CASE WHEN n < 150 THEN '01' WHEN n < 200 THEN '06' ELSE '11' END || '.01' AS version,
              CASE WHEN n < 140 THEN 'guide-' || CAST(item_id + 1 AS STRING) ELSE '' END AS requires_s,
              CASE WHEN n > 180 THEN 'guide-' || CAST(item_id - 1 AS STRING) ELSE '' END AS excludes_s,
