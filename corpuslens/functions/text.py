@@ -52,21 +52,25 @@ def file_role(path: Column, strict: bool = False, dirs=R.ROLE_DIRS) -> Column:
         F.lit("other"))
 
 
-def file_category(path: Column) -> Column:
-    """Ten-way taxonomy used when ranking files for a page."""
+def file_category(path: Column, strict: bool = False) -> Column:
+    """Ten-way taxonomy used when ranking files for a page; ``strict`` as for roles."""
     low = F.lower(path)
+
+    def inside(name: str) -> Column:
+        return _has_dir(low, name, strict)
+
     shared = contains_any(low, ["common", "shared"])
-    component = _has_dir(low, "components") | low.endswith(".vue")
+    component = inside("components") | low.endswith(".vue")
     return first_match([
-        ("page", _has_dir(low, "pages") | F.contains(low, F.lit(".page."))),
+        ("page", inside("pages") | F.contains(low, F.lit(".page."))),
         ("shared-component", component & shared),
         ("component", component),
-        ("composable", _has_dir(low, "composables") | F.contains(low, F.lit("use"))),
-        ("api", _has_dir(low, "api") | _has_dir(low, "server")),
-        ("type", _has_dir(low, "types") | low.endswith(".d.ts")),
-        ("store", _has_dir(low, "stores") | _has_dir(low, "store")),
-        ("utility", _has_dir(low, "utils") | _has_dir(low, "helpers")),
-        ("service", _has_dir(low, "services")),
+        ("composable", inside("composables") | F.contains(low, F.lit("use"))),
+        ("api", inside("api") | inside("server")),
+        ("type", inside("types") | low.endswith(".d.ts")),
+        ("store", inside("stores") | inside("store")),
+        ("utility", inside("utils") | inside("helpers")),
+        ("service", inside("services")),
     ], F.lit("other"))
 
 

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from corpuslens.functions import rules as R
-from corpuslens.sources.store import ship_package
 
 Annotator = Callable[[list[str], list[str]], list[dict]]
 
@@ -57,7 +56,6 @@ def annotate(df: DataFrame, fn: Annotator, schema: str = ANNOTATION_SCHEMA, defa
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 
-    ship_package(df.sparkSession)
     return df.select(key, path, text).mapInPandas(run, f"{key} {key_type}, {schema}, error STRING")
 
 

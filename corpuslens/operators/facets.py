@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import ArrayType
 
 from corpuslens.functions import rules as R
@@ -169,6 +169,14 @@ def first_match(df: DataFrame, order: str = "id", **equal: str) -> DataFrame:
     return df.orderBy(order).limit(1)
 
 
+def load_one(df: DataFrame, value, key: str = "id") -> Row:
+    """The record with that key; a missing one is an error."""
+    row = df.filter(F.col(key) == value).first()
+    if row is None:
+        raise KeyError(f"no record with {key} = {value!r}")
+    return row
+
+
 def by_keys(df: DataFrame, keys: DataFrame, key: str = "id", found: str = "found") -> DataFrame:
     """Bulk point lookup: every key comes back, ``found`` tells whether it exists."""
     return keys.join(df.withColumn(found, F.lit(True)), key, "left").withColumn(

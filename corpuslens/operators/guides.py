@@ -107,7 +107,7 @@ def combine_guides(wanted: DataFrame, guides: DataFrame, request_key: str = "req
     rows = ids.join(facts, "id").select(request_key, F.struct(
         (-lookup(F.col("scope"), R.SCOPE_RANK, 0)).alias("s"), (-F.col("priority")).alias("p"),
         # newest first: versions are YYYY.MM.DD
-        (-F.regexp_replace("version", r"\.", "").cast("bigint")).alias("v"), F.col("rank").alias("o"),
+        (-F.coalesce(F.regexp_replace("version", r"\.", "").try_cast("bigint"), F.lit(0))).alias("v"), F.col("rank").alias("o"),
         "id", "requires", "excludes").alias("g"))
     lists = rows.groupBy(request_key).agg(F.array_sort(F.collect_list("g")).alias("gs")).withColumn(
         "requested", F.transform("gs", lambda g: g["id"]))

@@ -38,12 +38,17 @@ def score_cases(features: DataFrame, scores: list[Column] | None = None) -> Data
             .withColumn("grade", S.grade(F.col("total_score"))))
 
 
-def build_cases(files: DataFrame, extra_keywords: Column | None = None, now: Column | None = None) -> DataFrame:
-    """Whole record per file: features, scores and metadata tags, in one stage."""
+def build_cases(files: DataFrame, extra_keywords: Column | None = None, now: Column | None = None,
+                scores: list[Column] | None = None) -> DataFrame:
+    """Whole record per file: features, scores and metadata tags, in one stage.
+
+    ``scores`` are the eight score columns to use, by default the plain ones
+    from text; ``scoring.text_scores`` gives the richer variant.
+    """
     df = extract_features(files)
     if extra_keywords is not None:
         df = df.withColumn("keywords", F.array_distinct(F.concat("keywords", extra_keywords)))
-    df = score_cases(df)
+    df = score_cases(df, scores)
     stamp = F.current_timestamp() if now is None else now
     return df.withColumns({
         "scoring_version": F.lit(R.SCORING_VERSION),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -11,17 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 _local_dirs: dict[str, str] = {}
 _written: dict[tuple[str, str], str] = {}
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for tasks that run Python functions."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="corpuslens-py-"), "corpuslens")
-        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
-        _shipped.add(app)
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -154,3 +154,9 @@ def test_similar_gives_credit_for_open_criteria(spark):
     r = M.similar(df, full).first()
     assert r.match_score == 35 + 25 + 0 + 8 + 5 + 5 and r.match_reasons == ["category exact", "api type", "frameworks", "tags", "quality"]
     assert M.similar(df, {"category": "login"}, min_score=60).count() == 0
+
+
+def test_load_one_raises_for_a_missing_key(cases):
+    assert A.load_one(cases, "002").project == "project-a"
+    with pytest.raises(KeyError):
+        A.load_one(cases, "nope")
