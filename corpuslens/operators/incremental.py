@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import rules as R, scoring as S, text as X
+from corpuslens.sources.store import pin
 
 
 def extract_features(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
@@ -84,7 +85,7 @@ def detect_changes(scan: DataFrame, store: DataFrame, version: str = R.SCORING_V
     """Outcome per scanned file: the first rule that holds, in fixed order.
 
     ``scan``: key, content_hash. ``store``: key, content_hash, scoring_version.
-    Only hashes travel through the join, never file contents.
+    Pass them without texts, so that only hashes travel through the join.
     """
     known = store.select(key, F.col("content_hash").alias("stored_hash"),
                          F.col("scoring_version").alias("stored_version"), F.lit(True).alias("known"))
@@ -97,20 +98,38 @@ def detect_changes(scan: DataFrame, store: DataFrame, version: str = R.SCORING_V
             .drop("stored_hash", "stored_version", "known"))
 
 
+def changed_files(scan: DataFrame, store: DataFrame, key: str = "doc_id", version: str = R.SCORING_VERSION) -> DataFrame:
+    """Keys to rebuild, as a small written table: key, content_hash, outcome, first_seen.
+
+    Outcomes are settled on keys and hashes alone. The table is then joined to
+    the scan: when little has changed it is broadcast, and no text moves.
+    """
+    hashes = scan.select(key, X.content_hash(F.col("content")).alias("content_hash")).groupBy(key).agg(
+        F.max("content_hash").alias("content_hash"))  # a file scanned twice counts once
+    outcomes = detect_changes(hashes, store, version, key=key).filter(F.col("outcome") != "up_to_date")
+    return pin(outcomes.join(store.select(key, F.col("created_at").alias("first_seen")), key, "left"), "changed")
+
+
+def rebuild(scan: DataFrame, changed: DataFrame, now: Column, key: str = "doc_id", repeats: bool = False) -> DataFrame:
+    """New records of the changed files; known files keep their first ``created_at``.
+
+    ``repeats``: the scan may hold the same version of a file more than once.
+    """
+    files = scan.withColumn("content_hash", X.content_hash(F.col("content"))).join(changed, [key, "content_hash"])
+    return (build_cases(files.dropDuplicates([key]) if repeats else files, now=now)
+            .withColumn("created_at", F.coalesce("first_seen", now)).drop("first_seen"))
+
+
 def apply_changes(scan: DataFrame, store: DataFrame, now: Column, key: str = "doc_id",
                   version: str = R.SCORING_VERSION) -> DataFrame:
     """Store after a rescan: changed files rebuilt, unchanged and unseen ones kept.
 
-    ``scan``: files (key, project, path, content). ``store``: records with
-    content_hash, scoring_version, created_at. A rebuilt record keeps its
-    created_at; the stored text is only read for records that stay.
+    A first scan has nothing to compare: ``build_cases`` alone makes the store.
+    ``scan``: files (key, project, path, content), each once. ``store``: records with
+    content_hash, scoring_version, created_at.
     """
-    hashed = scan.withColumn("content_hash", X.content_hash(F.col("content")))
-    outcomes = detect_changes(hashed, store, version, key=key)
-    changed = outcomes.filter(F.col("outcome") != "up_to_date")
-    rebuilt = (build_cases(changed, now=now)
-               .join(store.select(key, F.col("created_at").alias("first_seen")), key, "left")
-               .withColumn("created_at", F.coalesce("first_seen", now)).drop("first_seen"))
+    changed = changed_files(scan, store, key, version)
+    rebuilt = rebuild(scan, changed, now, key)
     kept = store.join(changed.select(key), key, "left_anti")
     columns = [c for c in store.columns if c in rebuilt.columns] + ["outcome"]
     return (rebuilt.select(*columns)

@@ -62,21 +62,33 @@ def category_bonus(file_category: Column, page_category: str | None) -> Column:
     return F.when(at == 0, 5).otherwise(F.greatest(F.lit(5), 35 - at * 5))
 
 
-def relevance(files: DataFrame, analysis: dict, page_score: str = "match_score", text: str = "content") -> DataFrame:
-    """Add file_category and relevance: page match, category, features, size.
+def file_points(files: DataFrame, analysis: dict, text: str = "content") -> DataFrame:
+    """Add file_category and points: category, features and size. Narrow.
 
-    Needs path, purpose, the text and the page's match score.
+    Needs path, purpose and the text; everything that reads the text is done
+    here, before any join.
     """
     df = files.withColumns({"file_category": X.file_category(F.col("path")), "_lines": X.line_count(F.col(text))})
-    score = half_up(F.col(page_score) * 0.4) + category_bonus(F.col("file_category"), analysis.get("category"))
+    score = category_bonus(F.col("file_category"), analysis.get("category"))
     features = analysis.get("features") or []
     if features:
         df = df.withColumn("_hay", F.lower(F.concat_ws("\n", text, "path", "purpose")))
         hits = reduce(lambda a, b: a + b, [F.contains("_hay", F.lit(f.lower())).cast("int") for f in features])
         score = score + half_up(F.lit(20) * (hits / F.lit(len(features))))
     size = F.when(F.col("_lines").between(50, 500), 10).when(F.col("_lines") > 500, 5).otherwise(0)
-    df = df.withColumn("relevance", F.least(score + size, F.lit(100)).cast("bigint"))
-    return df.drop("_lines", "_hay")
+    return df.withColumn("points", score + size).drop("_lines", "_hay")
+
+
+def relevance(files: DataFrame, pages: DataFrame, analysis: dict, text: str = "content", keep_text: bool = False) -> DataFrame:
+    """Files of the pages with file_category and relevance (at most 100).
+
+    ``files``: case_id, path, purpose and the text; ``pages``: case_id and
+    match_score. The text stays behind unless asked for.
+    """
+    scored = file_points(files, analysis, text)
+    joined = (scored if keep_text else scored.drop(text)).join(pages, "case_id")
+    total = half_up(F.col("match_score") * 0.4) + F.col("points")
+    return joined.withColumn("relevance", F.least(total, F.lit(100)).cast("bigint")).drop("points")
 
 
 def keep_best(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -94,7 +106,7 @@ def recommend_page(cases: DataFrame, files: DataFrame, analysis: dict, k: int =
     criteria["tags"] = analysis.get("features")
     sources = similar(cases, criteria, min_score=35, k=5).select(
         F.col("id").alias("case_id"), F.col("project").alias("source_project"), "match_score")
-    ranked = relevance(files.join(sources, "case_id"), analysis).filter(F.col("relevance") >= min_relevance)
+    ranked = relevance(files, sources, analysis, keep_text=True).filter(F.col("relevance") >= min_relevance)
     ranked = ranked.withColumn("file_name", X.base_name(F.col("path")))
     best = keep_best(ranked, ["file_category", "file_name"], F.desc("relevance"), "case_id", "path")
     return best.orderBy(F.desc("relevance"), "case_id", "path").limit(k)

@@ -193,7 +193,7 @@ _RELEVANT = {
 def relevant_files(t):
     score, _ = M.match_score(_ANALYSIS_CRITERIA)
     pages = scored_cases(t).select(F.col("id").alias("case_id"), score.alias("match_score"))
-    return M.relevance(t.case_files.join(pages, "case_id"), ANALYSIS)
+    return M.relevance(t.case_files, pages, ANALYSIS)
 
 
 @query("file_relevance", "SELECT doc_id, case_id, file_category, relevance FROM rel", ("cases", "case_files"), _RELEVANT)
@@ -214,7 +214,7 @@ def _(t):
        (PARTITION BY file_category, file_name ORDER BY relevance DESC, doc_id) AS n FROM rel) WHERE n = 1""",
        ("cases", "case_files"), _RELEVANT)
 def _(t):
-    files = relevant_files(t).drop("content").withColumn("file_name", X.base_name(F.col("path")))
+    files = relevant_files(t).withColumn("file_name", X.base_name(F.col("path")))
     return M.keep_best(files, ["file_category", "file_name"], F.desc("relevance"), "doc_id").select(
         "doc_id", "file_category", "file_name", "relevance")
 
@@ -223,7 +223,7 @@ def _(t):
        f"list_position([{', '.join(map(Q.lit, R.FILE_CATEGORY_ORDER))}], file_category)::BIGINT AS category_place FROM rel",
        ("cases", "case_files"), _RELEVANT)
 def _(t):
-    return M.group_ordered(relevant_files(t).drop("content")).select(
+    return M.group_ordered(relevant_files(t)).select(
         "doc_id", "file_category", "path", "relevance", "category_place")
 
 

@@ -12,8 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.functions import rules as R, text as X
-from corpuslens.operators.incremental import build_cases, detect_changes
+from corpuslens.functions import rules as R
+from corpuslens.operators.incremental import changed_files, rebuild
 from corpuslens.sources.store import fresh_path, latest
 
 
@@ -47,20 +47,16 @@ def start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
 def ingest_batch(store: str, key: str = "doc_id", version: str = R.SCORING_VERSION) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: rebuild the changed files of a batch and log them.
 
-    ``store`` must hold a first batch (it may be empty). Only key, hash and
-    version of the store are read, and a file scanned twice in a batch counts once.
+    ``store`` must hold a first batch (it may be empty). Only key, hash, version
+    and creation time of the store are read.
     """
     def each(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
         log = read_log(spark, store).filter(F.col("batch") < batch_id + 1)
         known = latest(log.select(key, "content_hash", "scoring_version", "created_at", "batch"), key, "batch")
-        scan = files.withColumn("content_hash", X.content_hash(F.col("content"))).dropDuplicates([key])
-        changed = detect_changes(scan, known, version, key=key).filter(F.col("outcome") != "up_to_date")
-        rebuilt = build_cases(changed, now=F.current_timestamp()).join(
-            known.select(key, F.col("created_at").alias("first_seen")), key, "left")
-        columns = [c for c in log.columns if c != "batch"]
-        rows = rebuilt.withColumn("created_at", F.coalesce("first_seen", F.col("created_at").cast("string"))).select(*columns)
-        write_batch(rows, store, batch_id + 1)
+        changed = changed_files(files, known, key, version)
+        rebuilt = rebuild(files, changed, F.current_timestamp().cast("string"), key, repeats=True)
+        write_batch(rebuilt.select(*[c for c in log.columns if c != "batch"]), store, batch_id + 1)
     return each
 
 
