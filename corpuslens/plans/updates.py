@@ -8,7 +8,7 @@ from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, joined
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import ROLLUP, RULE, project_rows
-from corpuslens.sources.store import fresh_path, latest
+from corpuslens.sources.store import fresh_path, latest, written_once
 from corpuslens.streaming import ingest as T
 
 _HASH = "substr(sha256({}.content), 1, 16)"
@@ -54,8 +54,12 @@ _NOW = "2025-06-01 00:00:00"
        g.total_score FROM changes c JOIN graded g USING (doc_id) LEFT JOIN stored s USING (doc_id)""", ("files", "stored"), {**CHANGES, **Q.SCORED})
 def _(t):
     first = F.lit("2025-01-01 00:00:00")
-    store = I.build_cases(t.stored.select("doc_id", "content").join(t.files.drop("content"), "doc_id"), now=first)
-    store = store.drop("scoring_version").join(t.stored.select("doc_id", "scoring_version"), "doc_id")
+
+    def snapshot():
+        files = t.stored.select("doc_id", "content", F.col("scoring_version").alias("v")).join(t.files.drop("content"), "doc_id")
+        return I.build_cases(files, now=first).withColumn("scoring_version", F.col("v")).drop("v")
+
+    store = written_once(t.spark, f"snapshot-{t.sf_dir}", snapshot)
     after = I.apply_changes(t.files, store, F.lit(_NOW))
     return after.select("doc_id", "content_hash", "outcome", "created_at", "updated_at", "total_score")
 
