@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-_local_dirs: dict[str, str] = {}
 _written: dict[tuple[str, str], str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. A temporary folder is
-    only made where that is unset and Spark runs inside one machine.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, a
+    folder below the session's warehouse serves.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="corpuslens-")
-    return _local_dirs[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 import check
+from corpuslens import plans
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -12,14 +13,14 @@ def con():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(plans.queries()))
 def test_query(spark, con, name):
     ok, message, _ = check.compare(spark, con, name, SF_DIR)
     assert ok, message
 
 
 def test_every_query_has_a_check():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(plans.queries()) == set(plans.oracle_sql())
 
 
 def test_entry(spark):
