@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import lines, mixing, sharding
+from corpuslens.llm import bitsliced, lines, mixing, quantised, sharding
 from corpuslens.llm.common import documents
 
 # White space the contracts strip and split at, as SQL.
@@ -41,6 +41,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return bitsliced.search(vectors, F.col("id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len(embedding) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return quantised.near_duplicates(vectors, cosine=0.93)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.weigh(documents(spark, sf_dir), target_entropy=0.97, max_repeats=2.0)
     return mixing.schedule(mix)
@@ -49,6 +73,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_mixing": op8_mixing,
 }
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL}
