@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import bitsliced, lines, mixing, quantised, sharding
+from corpuslens.llm import bitsliced, lines, minhash, mixing, quantised, sharding
 from corpuslens.llm.common import documents
 
 # White space the contracts strip and split at, as SQL.
@@ -70,11 +70,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(mix)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL}
