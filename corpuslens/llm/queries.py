@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import bitsliced, lines, minhash, mixing, quantised, sharding
+from corpuslens.llm import bitsliced, lines, minhash, mixing, quantised, sharding, toxicity
 from corpuslens.llm.common import documents
 
 # White space the contracts strip and split at, as SQL.
@@ -74,6 +74,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return (toxicity.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
+            .select("doc_id", "held_out", "score", "predicted", "n_hits"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -81,5 +87,6 @@ QUERIES = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_top_k": OP5_SQL}
