@@ -25,8 +25,8 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 40) -
     return w
 
 
-def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, l2: float = 1e-4,
-               rounds: int = 60, rate: float = 0.5) -> np.ndarray:
+def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, l2: float = 1e-6,
+               rounds: int = 400, rate: float = 1.0) -> np.ndarray:
     """Weights of hashed features (index 0 is the intercept) by gradient steps with Adagrad scaling."""
     owner = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
