@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import bitsliced, lines, minhash, mixing, quality, quantised, sharding, toxicity
+from corpuslens.llm import bitsliced, language_model, lines, minhash, mixing, quality, quantised, sharding, toxicity
 from corpuslens.llm.common import documents
 
 # White space the contracts strip and split at, as SQL.
@@ -41,6 +41,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return language_model.score(docs, language_model.held_out_seventh())
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "score", F.col("kept").cast("int").alias("predicted"), "votes_bad")
@@ -88,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_language_model": op3_language_model,
     "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
