@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import bitsliced, language_model, lines, minhash, mixing, quality, quantised, sharding, toxicity
+from corpuslens.llm import bitsliced, language_model, lines, minhash, mixing, pieces, quality, quantised, sharding, toxicity
 from corpuslens.llm.common import documents
 
 # White space the contracts strip and split at, as SQL.
@@ -75,6 +75,13 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(vectors, cosine=0.93)
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = pieces.encode(docs, pieces.Vocabulary.read(pieces.MODEL), k=2)
+    return coded.select("doc_id", "ids", "n_pieces", "score", F.get("others", F.lit(0)).alias("second_score"),
+                        "decoded_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.weigh(documents(spark, sf_dir), target_entropy=0.97, max_repeats=2.0)
     return mixing.schedule(mix)
@@ -97,6 +104,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_mixing": op8_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
