@@ -16,6 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+import types
+from array import array
 from collections import defaultdict
 from typing import NamedTuple
 
@@ -136,8 +139,10 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, cache: int = CACHE):
-        self.vocabulary, self.limit = vocabulary, cache
+    """Segments texts word by word; without ``ranked`` only the best segmentation can be asked for."""
+
+    def __init__(self, vocabulary: Vocabulary, ranked: bool = True, cache: int = CACHE):
+        self.vocabulary, self.ranked, self.limit = vocabulary, ranked, cache
         self.words: dict[str, tuple[bytes, float, float]] = {}
         self.names = vocabulary.names()
         # pieces and their beginnings (id -1), so that a lookup can stop where no piece goes on
@@ -185,16 +190,18 @@ class Encoder:
                 ids.extend(reversed(self.vocabulary.unknown_ids(word[i])))
             j = i
         ids.reverse()
-        rest, second = [_NEVER] * n + [0.0], _NEVER
-        for i, j, s in reversed(arcs):
-            s += rest[j]
-            if s > rest[i]:
-                rest[i] = s
-            if on_best[j] != i and forward[i] + s > second:
-                second = forward[i] + s
+        second = _NEVER
+        if self.ranked:
+            rest = [_NEVER] * n + [0.0]
+            for i, j, s in reversed(arcs):
+                s += rest[j]
+                if s > rest[i]:
+                    rest[i] = s
+                if on_best[j] != i and forward[i] + s > second:
+                    second = forward[i] + s
         if len(self.words) >= self.limit:
             self.words.clear()
-        out = self.words[word] = (np.array(ids, dtype=np.int32).tobytes(), forward[n], max(0.0, forward[n] - second))
+        out = self.words[word] = (array("i", ids).tobytes(), forward[n], max(0.0, forward[n] - second))
         return out
 
     def split(self, text: str) -> list[str]:
@@ -236,15 +243,13 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_for(vocabulary: Vocabulary, name: str) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    if name not in _encoders:
-        _encoders.clear()
-        _encoders[name] = Encoder(vocabulary)
-    return _encoders[name]
+def encoder_for(parts: tuple, ranked: bool, name: str) -> Encoder:
+    """The worker's encoder, kept from task to task in a module of its own: functions reach a worker as copies, and
+    what belongs to them does not outlive a task."""
+    kept = sys.modules.setdefault("_corpuslens_worker", types.ModuleType("_corpuslens_worker")).__dict__
+    if kept.get("name") != (name, ranked):
+        kept["name"], kept["encoder"] = (name, ranked), Encoder(Vocabulary(*parts), ranked)
+    return kept["encoder"]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "doc_id",
@@ -257,10 +262,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
     empty table gives no rows; other columns are left out.
     """
     name = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)     # as large as the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))     # as large as the vocabulary
 
     def apply(batches):
-        coder = encoder_for(shared.value, name)
+        coder = encoder_for(shared.value, k > 1, name)
         for b in batches:
             out = []
             for doc, text in zip(b["id"], b["text"]):
@@ -277,11 +282,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    name = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
+    shared = encoded.sparkSession.sparkContext.broadcast(tuple(vocabulary))
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        coder = Encoder(shared.value)
+        coder = encoder_for(shared.value, False, name)
         return pd.Series([None if i is None else coder.decode(i) for i in ids], dtype=object)
 
     return encoded.withColumn(out_col, text(F.col(ids_col)))
