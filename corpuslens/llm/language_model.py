@@ -74,7 +74,7 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str, held_out, block_b
                 words = text.encode("utf-8", "surrogatepass").lower().split()
                 number = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 number.append(0)
-                ids.append(None if pd.isna(doc) else doc)
+                ids.append(doc)
                 held.append(bool(h))
                 lengths.append(len(number))
                 tokens.append(np.array(number, dtype=np.int32))
@@ -87,9 +87,10 @@ def encode_blocks(docs: DataFrame, id_col: str, text_col: str, held_out, block_b
         if ids:
             yield block()
 
-    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), text_of(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(encode, f"block long, ids array<{kind}>, held array<boolean>, lengths binary, "
+    # ids travel as strings: pandas has no integers with nulls
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), held_out.alias("held"),
+                       text_of(text_col).alias("text"))
+    return rows.mapInPandas(encode, "block long, ids array<string>, held array<boolean>, lengths binary, "
                                     "tokens binary, vocabulary binary")
 
 
@@ -206,13 +207,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return pd.concat(out) if out else pd.DataFrame(
             {c: [] for c in ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     replies = answers.filter("block >= 0").select(
         F.col("block").alias("a_block"), F.col("bucket").alias("a_bucket"), F.col("tokens").alias("a_tokens"),
         F.col("pairs").alias("a_pairs"))
     return blocks.groupBy("block").cogroup(replies.groupBy("a_block")).applyInPandas(
-        apply, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-               "score double").withColumnRenamed("id", id_col)
+        apply, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+               "score double").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out",
+                                      "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def held_out_seventh(id_col: str = "doc_id"):

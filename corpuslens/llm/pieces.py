@@ -20,6 +20,7 @@ import sys
 import types
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -264,20 +265,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
     name = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))     # as large as the vocabulary
 
-    def apply(batches):
+    @F.pandas_udf("ids array<int>, n_pieces long, score double, others array<double>, decoded_sha256 string")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder_for(shared.value, k > 1, name)
-        for b in batches:
+        for texts in batches:
             out = []
-            for doc, text in zip(b["id"], b["text"]):
+            for text in texts:
                 (ids, score), *others = coder.encode(text, k)
                 digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc, ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest))
-            yield pd.DataFrame(out, columns=["id", "ids", "n_pieces", "score", "others", "decoded_sha256"])
+                out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest))
+            yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(
-        apply, f"id {kind}, ids array<int>, n_pieces long, score double, others array<double>, "
-               "decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), apply(text_of(text_col)).alias("_s")).select(id_col, "_s.*")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -199,35 +200,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     return model._replace(weights=weights)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-          at_least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """``docs`` with score (0 to 1, higher is better), votes_bad and kept; other columns pass through.
 
     Whole texts are scored. A text without words has no features and is not kept, with a score of 0. Columns named
     score, votes_bad or kept are replaced.
     """
-    names = [c for c in docs.columns if c not in ("score", "votes_bad", "kept")]
     weights = model.weights
 
-    def apply(batches):
+    @F.pandas_udf("score double, votes_bad int")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         buckets: dict[str, int] = {}
-        for b in batches:
+        for texts in batches:
             scores, bad = [], []
-            for text in b["_text"]:
+            for text in texts:
                 found, shapes, n = _measure(text)
                 bad.append(votes(found).count(BAD) if n else 0)
                 z = sum(weights[i] * v for i, v in features(found, shapes, n, buckets).items()) if n else -np.inf
                 scores.append(float(sigmoid(np.float64(z))) if n else 0.0)
-            yield b.drop(columns="_text").assign(score=scores, votes_bad=bad)
+            yield pd.DataFrame({"score": scores, "votes_bad": np.array(bad, dtype=np.int32)})
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
-                       for f in docs.schema.fields if f.name in names)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], text_of(f"`{text_col}`").alias("_text"))
-    return (rows.mapInPandas(apply, f"{fields}, score double, votes_bad int")
-            .withColumn("kept", F.col("score") >= at_least))
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "votes_bad", "kept")]
+    scored = docs.select(F.struct(*names).alias("_row"), apply(text_of(f"`{text_col}`")).alias("_s"))
+    return scored.select("_row.*", "_s.*").withColumn("kept", F.col("score") >= at_least)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5) -> DataFrame:
     """Fit on ``docs`` and score them. A null text counts as empty; repeated rows and ids are rows like others; an
     empty table gives no rows."""
-    return score(docs, fit(docs, id_col, text_col), id_col, text_col, at_least)
+    return score(docs, fit(docs, id_col, text_col), text_col, at_least)

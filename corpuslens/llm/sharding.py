@@ -162,15 +162,14 @@ def shard(docs: DataFrame, shards: int, tolerance: float = 0.01, id_col: str = "
         first.append(seen.get(o, 0))
         seen[o] = seen.get(o, 0) + int(n)
 
-    def place(batches):
-        for b in batches:
-            k, r = b["_key"].to_numpy(), b["_row"].to_numpy()
-            at = bins_of(keys, ids, k, r)
-            yield b.assign(_bin=at, shard=np.asarray(owner)[at], _first=np.asarray(first)[at])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    placed = rows.mapInPandas(place, f"doc_id {kind}, size long, text_crc32 long, _key long, _row long, "
-                                     "_bin long, shard int, _first long")
+    @F.pandas_udf("_bin long, shard int, _first long")
+    def place(key: pd.Series, row: pd.Series) -> pd.DataFrame:
+        at = bins_of(keys, ids, key.to_numpy(), row.to_numpy())
+        return pd.DataFrame({"_bin": at, "shard": np.asarray(owner, dtype=np.int32)[at],
+                             "_first": np.asarray(first)[at]})
+
+    placed = rows.select("doc_id", "size", "text_crc32", "_key", "_row", place("_key", "_row").alias("_p")).select(
+        "doc_id", "size", "text_crc32", "_key", "_row", "_p.*")
     slot = F.col("_first") + F.row_number().over(W.partitionBy("_bin").orderBy("_key", "_row")) - 1
     return placed.withColumn("slot", slot.cast("long")).select("doc_id", "size", "text_crc32", "shard", "slot")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -190,26 +191,28 @@ def learn(sample: DataFrame, entries: int = ENTRIES, min_docs: int = 4, min_weig
     return lexicon._replace(curve=curve.tolist())
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted, n_hits) of every document, on its whole text; null counts as empty."""
-    def apply(batches):
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """``docs`` with score, predicted and n_hits, from whole texts; null counts as empty.
+
+    Columns of those names are replaced.
+    """
+    @F.pandas_udf("score double, predicted int, n_hits long")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton, curve = lexicon.automaton(), np.array(lexicon.curve)
-        for b in batches:
+        for texts in batches:
             found, x = [], []
-            for text in b["_t"]:
+            for text in texts:
                 folded = fold(text)
                 got = hits(automaton, folded)
                 found.append(len(got))
                 x.append(measures(got, folded.count(" ") - 1))
-            x = np.array(x).reshape(len(b), len(curve) - 1)
-            s = sigmoid(curve[0] + x @ curve[1:])
-            yield pd.DataFrame({"_id": b["_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32),
+            s = sigmoid(curve[0] + np.array(x).reshape(len(texts), len(curve) - 1) @ curve[1:])
+            yield pd.DataFrame({"score": s, "predicted": (s >= 0.5).astype(np.int32),
                                 "n_hits": np.array(found, dtype=np.int64)})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
-    return rows.mapInPandas(apply, f"_id {kind}, score double, predicted int, n_hits long").withColumnRenamed(
-        "_id", id_col)
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted", "n_hits")]
+    scored = docs.select(F.struct(*names).alias("_row"), apply(text_of(f"`{text_col}`")).alias("_s"))
+    return scored.select("_row.*", "_s.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -220,5 +223,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     not used. An empty table gives no rows; repeated rows are scored alike.
     """
     lexicon = learn(labelled(docs, labels, id_col, text_col, label_col, train_rows))
-    return (score(docs, lexicon, id_col, text_col)
+    return (score(docs, lexicon, text_col)
             .withColumn("held_out", remainder(F.col(id_col), 5) == 0))
