@@ -100,7 +100,7 @@ def hits(automaton, folded: str) -> dict[int, float]:
 
 def measures(found: dict[int, float], n_words: int) -> list[float]:
     total = sum(found.values())
-    return [np.log1p(total), total / (n_words + 10.0), max(found.values(), default=0.0), np.log1p(n_words)]
+    return [np.log1p(total), total / (n_words + 10.0), max(found.values(), default=0.0)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
@@ -150,7 +150,7 @@ def learn(sample: DataFrame, entries: int = ENTRIES, min_docs: int = 4, min_weig
     whole = counts.filter("f = ''").first()
     if whole is None or not whole.toxic or not whole.clean:
         share = 0.0 if whole is None or not whole.toxic else 1.0
-        return Lexicon({}, [], [35.0 if share else -35.0, 0.0, 0.0, 0.0, 0.0])
+        return Lexicon({}, [], [35.0 if share else -35.0, 0.0, 0.0, 0.0])
     weight = (F.log((F.col("toxic") + 0.5) / F.lit(whole.toxic + 1.0))
               - F.log((F.col("clean") + 0.5) / F.lit(whole.clean + 1.0)))
     strength = F.col("toxic") * F.col("w")
