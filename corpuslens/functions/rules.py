@@ -208,7 +208,7 @@ ANNOTATION_API = {"grpc": 85, "rest": 70, "graphql": 75}
 #   ("from", feature, [(bound, points)], else_points)
 #   ("per", feature, each, cap)            points per unit, capped
 #   ("share", feature, points)             floor(ratio * points)
-# A feature "patterns~a|b" counts the patterns that contain a or b.
+# A feature (field, [needles]) counts the values of the field that contain a needle.
 
 # --- fixed values: file scores
 FILE_SCORE_TERMS = {
@@ -221,24 +221,24 @@ FILE_SCORE_TERMS = {
         ("per", "api_methods", 4, 20), ("pick", "category", {"api": 5})],
     "designSystem": [
         ("base", 30), ("flag", "has_design_system", 45),
-        ("per", "frameworks~element|vuetify|ui", 8, 15), ("pick", "category", {"page": 10})],
+        ("per", ("frameworks", ["element", "vuetify", "ui"]), 8, 15), ("pick", "category", {"page": 10})],
     "utilityUsage": [
         ("base", 25), ("flag", "has_utility_library", 45),
-        ("per", "dependencies~lodash|date-fns|vueuse", 10, 20),
+        ("per", ("dependencies", ["lodash", "date-fns", "vueuse"]), 10, 20),
         ("pick", "category", {"utility": 10, "composable": 10})],
     "errorHandling": [
         ("base", 30), ("pick", "error_handling", {"comprehensive": 45, "basic": 25}),
-        ("per", "patterns~error|try-catch|exception", 10, 25)],
+        ("per", ("patterns", ["error", "try-catch", "exception"]), 10, 25)],
     "typeUsage": [
         ("base", 40), ("pick", "type_definitions", {"excellent": 40, "good": 28, "basic": 15}),
-        ("per", "patterns~type|interface|generic", 7, 20)],
+        ("per", ("patterns", ["type", "interface", "generic"]), 7, 20)],
     "stateManagement": [
         ("base", 35), ("pick", "state_library", {"pinia": 30, "vuex": 20}),
         ("per", "composables_used", 4, 20), ("pick", "category", {"composable": 15})],
     "performance": [
         ("base", 45), ("pick", "complexity", {"trivial": 25, "low": 25, "medium": 15}),
         ("under", "lines", [(150, 15), (250, 10)]),
-        ("per", "patterns~lazy|computed|memo", 7, 15)],
+        ("per", ("patterns", ["lazy", "computed", "memo"]), 7, 15)],
 }
 
 # --- fixed values: project scores
@@ -247,38 +247,50 @@ PROJECT_SCORE_TERMS = {
         ("base", 30), ("from", "categories", [(5, 25), (3, 20), (2, 15)], 5),
         ("pick", "complexity", {"trivial": 20, "low": 20, "medium": 15, "high": 8}),
         ("share", "excellent_ratio", 20), ("per", "patterns", 2, 10),
-        ("per", "excellent~구조|structure|분리|네이밍", 3, 10)],
+        ("per", ("excellent", ["구조", "structure", "분리", "네이밍"]), 3, 10)],
     "apiConnection": [
         ("base", 20), ("flag", "has_api", 25), ("pick", "api_type", {"grpc": 10, "mixed": 5}),
-        ("per", "api_methods", 1.5, 15), ("per", "patterns~api|client|interceptor", 5, 15),
-        ("per", "excellent~api|grpc|rest|클라이언트", 4, 15)],
+        ("per", "api_methods", 1.5, 15), ("per", ("patterns", ["api", "client", "interceptor"]), 5, 15),
+        ("per", ("excellent", ["api", "grpc", "rest", "클라이언트"]), 4, 15)],
     "designSystem": [
         ("base", 30), ("flag", "has_design_system", 40),
         ("over", "components_used", [(10, 15), (5, 10), (0, 5)], 0, 0),
-        ("per", "dependencies~element-plus|vuetify|primevue|naive-ui|ant-design-vue", 10, 10),
-        ("per", "excellent~디자인|design|ui|컴포넌트", 3, 10)],
+        ("per", ("dependencies", ["element-plus", "vuetify", "primevue", "naive-ui", "ant-design-vue"]), 10, 10),
+        ("per", ("excellent", ["디자인", "design", "ui", "컴포넌트"]), 3, 10)],
     "utilityUsage": [
         ("base", 20), ("flag", "has_utility_library", 35),
         ("over", "composables_used", [(10, 20), (5, 15)], 2, 15),
-        ("per", "dependencies~lodash|date-fns|dayjs|ramda|vueuse", 8, 15),
-        ("per", "patterns~helper|utility|composable", 5, 15)],
+        ("per", ("dependencies", ["lodash", "date-fns", "dayjs", "ramda", "vueuse"]), 8, 15),
+        ("per", ("patterns", ["helper", "utility", "composable"]), 5, 15)],
     "errorHandling": [
         ("base", 25), ("share", "good_error_ratio", 35),
-        ("per", "patterns~error|exception|try-catch", 7, 20),
-        ("per", "excellent~error|예외|에러|처리", 5, 20)],
+        ("per", ("patterns", ["error", "exception", "try-catch"]), 7, 20),
+        ("per", ("excellent", ["error", "예외", "에러", "처리"]), 5, 20)],
     "typeUsage": [
         ("base", 35), ("share", "good_type_ratio", 35),
-        ("per", "patterns~type|interface|generic", 5, 15), ("share", "excellent_ratio", 15)],
+        ("per", ("patterns", ["type", "interface", "generic"]), 5, 15), ("share", "excellent_ratio", 15)],
     "stateManagement": [
         ("base", 30), ("pick", "state_library", {"pinia": 30, "vuex": 20}),
         ("over", "composables_used", [(8, 25), (4, 18)], 3, 15),
-        ("per", "patterns~state|store|pinia", 5, 15)],
+        ("per", ("patterns", ["state", "store", "pinia"]), 5, 15)],
     "performance": [
         ("base", 40), ("pick", "complexity", {"trivial": 25, "low": 20, "medium": 15, "high": 8}),
-        ("per", "patterns~lazy|computed|memo|virtual|cache", 6, 20),
+        ("per", ("patterns", ["lazy", "computed", "memo", "virtual", "cache"]), 6, 20),
         ("share", "excellent_ratio", 15)],
 }
 
+
+
+def feature_name(feature) -> str:
+    """Column of a term's feature: its own name, or one for (field, [needles])."""
+    return feature if isinstance(feature, str) else f"{feature[0]}_like_{feature[1][0]}"
+
+
+#: Name of each counted feature -> (field, needles).
+COUNTED = {feature_name(t[1]): t[1] for table in (FILE_SCORE_TERMS, PROJECT_SCORE_TERMS)
+           for terms in table.values() for t in terms if t[0] != "base" and not isinstance(t[1], str)}
+
+
 # --- fixed values: scores from raw text. A clause adds points when its test
 # holds: "lines" (strictly between), "raw"/"low" substring of the text as is or
 # lower-cased (any), "low_all" (all), "not_raw", "tag"; "per_*" add per item.
@@ -363,71 +375,87 @@ PATTERN_PRIORITY = {
 
 # --- fixed values: words that point a request at a quality dimension
 DIMENSION_WORDS = [
-    ("apiConnection", """api grpc rest fetch axios client server endpoint request response
-        http websocket graphql backend service call invoke
-        서버 클라이언트 요청 응답 호출 통신 연결 엔드포인트""".split()),
-    ("errorHandling", """error try catch throw exception validation validate check guard
-        handle handler fallback retry recover fail success
-        에러 오류 예외 검증 유효성 처리 실패 성공 재시도""".split()),
-    ("typeUsage", """type interface generic typescript typing typed schema model dto
-        class enum union intersection extends implements
-        타입 인터페이스 제네릭 스키마 모델 정의 타입스크립트""".split()),
-    ("stateManagement", """state store pinia vuex reactive ref computed watch action mutation
-        getter setter persist hydrate subscribe dispatch
-        상태 스토어 반응형 액션 뮤테이션 구독 저장 관리""".split()),
-    ("designSystem", """element el- ui component button input form table dialog modal
-        layout style css scss tailwind theme icon card menu nav
-        컴포넌트 디자인 레이아웃 스타일 테마 아이콘 UI 화면""".split()),
-    ("structure", """structure pattern architecture composable hook mixin plugin module
-        organize layout hierarchy dependency inject provide factory singleton
-        구조 패턴 아키텍처 컴포저블 훅 모듈 구성 조직 계층""".split()),
-    ("performance", """performance optimize lazy cache memo virtual debounce throttle
-        async await promise concurrent parallel batch chunk stream
-        성능 최적화 캐시 지연 비동기 병렬 메모이제이션 가상화""".split()),
-    ("utilityUsage", """utility helper util common shared lib tool format parse convert
-        transform sanitize escape encode decode serialize deserialize
-        유틸 헬퍼 도우미 공통 변환 포맷 파싱 직렬화""".split()),
+    ("apiConnection", [
+        "api", "grpc", "rest", "fetch", "axios", "client", "server", "endpoint", "request", "response",
+        "http", "websocket", "graphql", "backend", "service", "call", "invoke", "서버", "클라이언트", "요청", "응답",
+        "호출", "통신", "연결", "엔드포인트",
+    ]),
+    ("errorHandling", [
+        "error", "try", "catch", "throw", "exception", "validation", "validate", "check", "guard",
+        "handle", "handler", "fallback", "retry", "recover", "fail", "success", "에러", "오류", "예외", "검증",
+        "유효성", "처리", "실패", "성공", "재시도",
+    ]),
+    ("typeUsage", [
+        "type", "interface", "generic", "typescript", "typing", "typed", "schema", "model", "dto",
+        "class", "enum", "union", "intersection", "extends", "implements", "타입", "인터페이스", "제네릭", "스키마",
+        "모델", "정의", "타입스크립트",
+    ]),
+    ("stateManagement", [
+        "state", "store", "pinia", "vuex", "reactive", "ref", "computed", "watch", "action", "mutation",
+        "getter", "setter", "persist", "hydrate", "subscribe", "dispatch", "상태", "스토어", "반응형", "액션",
+        "뮤테이션", "구독", "저장", "관리",
+    ]),
+    ("designSystem", [
+        "element", "el-", "ui", "component", "button", "input", "form", "table", "dialog", "modal",
+        "layout", "style", "css", "scss", "tailwind", "theme", "icon", "card", "menu", "nav", "컴포넌트",
+        "디자인", "레이아웃", "스타일", "테마", "아이콘", "UI", "화면",
+    ]),
+    ("structure", [
+        "structure", "pattern", "architecture", "composable", "hook", "mixin", "plugin", "module",
+        "organize", "layout", "hierarchy", "dependency", "inject", "provide", "factory", "singleton",
+        "구조", "패턴", "아키텍처", "컴포저블", "훅", "모듈", "구성", "조직", "계층",
+    ]),
+    ("performance", [
+        "performance", "optimize", "lazy", "cache", "memo", "virtual", "debounce", "throttle", "async",
+        "await", "promise", "concurrent", "parallel", "batch", "chunk", "stream", "성능", "최적화", "캐시", "지연",
+        "비동기", "병렬", "메모이제이션", "가상화",
+    ]),
+    ("utilityUsage", [
+        "utility", "helper", "util", "common", "shared", "lib", "tool", "format", "parse", "convert",
+        "transform", "sanitize", "escape", "encode", "decode", "serialize", "deserialize", "유틸", "헬퍼",
+        "도우미", "공통", "변환", "포맷", "파싱", "직렬화",
+    ]),
 ]
 DEFAULT_DIMENSIONS = ["structure", "apiConnection"]
 
 # --- fixed values: catalogue (library, kind, slot or category, names)
 CATALOGUE = [
-    ("element-plus", "component", {"table": "ElTable", "button": "ElButton", "input": "ElInput",
-                                   "modal": "ElDialog", "layout": "ElContainer", "select": "ElSelect"}),
-    ("vuetify", "component", {"table": "VDataTable", "button": "VBtn", "input": "VTextField",
-                              "modal": "VDialog", "layout": "VContainer", "select": "VSelect",
-                              "card": "VCard"}),
-    ("quasar", "component", {"table": "QTable", "button": "QBtn", "input": "QInput",
-                             "modal": "QDialog", "layout": "QLayout", "select": "QSelect"}),
-    ("primevue", "component", {"table": "DataTable", "button": "Button", "input": "InputText",
-                               "modal": "Dialog", "select": "Dropdown"}),
-    ("ant-design-vue", "component", {"table": "ATable", "button": "AButton", "input": "AInput",
-                                     "modal": "AModal", "layout": "ALayout", "select": "ASelect"}),
-    ("naive-ui", "component", {"table": "NDataTable", "button": "NButton", "input": "NInput",
-                               "modal": "NModal", "layout": "NLayout", "select": "NSelect",
-                               "card": "NCard"}),
+    ("element-plus", "component", {"table": ["ElTable"], "button": ["ElButton"], "input": ["ElInput"],
+                                   "modal": ["ElDialog"], "layout": ["ElContainer"], "select": ["ElSelect"]}),
+    ("vuetify", "component", {"table": ["VDataTable"], "button": ["VBtn"], "input": ["VTextField"],
+                              "modal": ["VDialog"], "layout": ["VContainer"], "select": ["VSelect"],
+                              "card": ["VCard"]}),
+    ("quasar", "component", {"table": ["QTable"], "button": ["QBtn"], "input": ["QInput"],
+                             "modal": ["QDialog"], "layout": ["QLayout"], "select": ["QSelect"]}),
+    ("primevue", "component", {"table": ["DataTable"], "button": ["Button"], "input": ["InputText"],
+                               "modal": ["Dialog"], "select": ["Dropdown"]}),
+    ("ant-design-vue", "component", {"table": ["ATable"], "button": ["AButton"], "input": ["AInput"],
+                                     "modal": ["AModal"], "layout": ["ALayout"], "select": ["ASelect"]}),
+    ("naive-ui", "component", {"table": ["NDataTable"], "button": ["NButton"], "input": ["NInput"],
+                               "modal": ["NModal"], "layout": ["NLayout"], "select": ["NSelect"],
+                               "card": ["NCard"]}),
     ("vueuse", "function", {
-        "state": "useLocalStorage useSessionStorage useStorage",
-        "event": "useMouse useMousePressed useDraggable",
-        "dom": "useElementSize useElementVisibility useIntersectionObserver",
-        "animation": "useTransition useInterval useTimeout",
-        "network": "useFetch useAsyncState",
-        "utility": "useDebounce useThrottle useClipboard"}),
-    ("lodash", "function", {"array": "chunk uniq flatten", "object": "get set merge",
-                            "function": "debounce throttle", "string": "camelCase kebabCase"}),
-    ("date-fns", "function", {"format": "format", "parse": "parseISO",
-                              "manipulation": "addDays subDays",
-                              "comparison": "differenceInDays isAfter isBefore"}),
-    ("axios", "function", {"request": "get post put delete", "instance": "create"}),
-    ("dayjs", "function", {"display": "format", "manipulation": "add subtract",
-                           "comparison": "diff isBefore isAfter"}),
-    ("element-plus", "function", {"form": "useFormItem", "style": "useNamespace useZIndex",
-                                  "i18n": "useLocale", "props": "useSize useDisabled"}),
-    ("vuetify", "function", {"responsive": "useDisplay", "theme": "useTheme",
-                             "layout": "useLayout", "i18n": "useLocale useRtl",
-                             "utility": "useDate"}),
-    ("quasar", "function", {"core": "useQuasar", "dialog": "useDialogPluginComponent",
-                            "meta": "useMeta", "form": "useFormChild"}),
+        "state": ["useLocalStorage", "useSessionStorage", "useStorage"],
+        "event": ["useMouse", "useMousePressed", "useDraggable"],
+        "dom": ["useElementSize", "useElementVisibility", "useIntersectionObserver"],
+        "animation": ["useTransition", "useInterval", "useTimeout"],
+        "network": ["useFetch", "useAsyncState"],
+        "utility": ["useDebounce", "useThrottle", "useClipboard"]}),
+    ("lodash", "function", {"array": ["chunk", "uniq", "flatten"], "object": ["get", "set", "merge"],
+                            "function": ["debounce", "throttle"], "string": ["camelCase", "kebabCase"]}),
+    ("date-fns", "function", {"format": ["format"], "parse": ["parseISO"],
+                              "manipulation": ["addDays", "subDays"],
+                              "comparison": ["differenceInDays", "isAfter", "isBefore"]}),
+    ("axios", "function", {"request": ["get", "post", "put", "delete"], "instance": ["create"]}),
+    ("dayjs", "function", {"display": ["format"], "manipulation": ["add", "subtract"],
+                           "comparison": ["diff", "isBefore", "isAfter"]}),
+    ("element-plus", "function", {"form": ["useFormItem"], "style": ["useNamespace", "useZIndex"],
+                                  "i18n": ["useLocale"], "props": ["useSize", "useDisabled"]}),
+    ("vuetify", "function", {"responsive": ["useDisplay"], "theme": ["useTheme"],
+                             "layout": ["useLayout"], "i18n": ["useLocale", "useRtl"],
+                             "utility": ["useDate"]}),
+    ("quasar", "function", {"core": ["useQuasar"], "dialog": ["useDialogPluginComponent"],
+                            "meta": ["useMeta"], "form": ["useFormChild"]}),
 ]
 
 
@@ -437,5 +465,5 @@ def catalogue_rows(entries=CATALOGUE):
         (library, kind, slot, name)
         for library, kind, slots in entries
         for slot, names in slots.items()
-        for name in names.split()
+        for name in names
     ]

@@ -33,7 +33,7 @@ def _term(term, feature: Callable[[str], Column]) -> Column:
     kind, rest = term[0], term[1:]
     if kind == "base":
         return F.lit(float(rest[0]))
-    value = feature(rest[0])
+    value = feature(R.feature_name(rest[0]))
     if kind == "pick":
         return _steps([(value == k, p) for k, p in rest[1].items()], 0)
     if kind == "flag":
@@ -66,9 +66,9 @@ def count_containing(values: Column, needles: list[str]) -> Column:
 
 def file_feature(name: str) -> Column:
     """Features of a file metadata row, by the names the score terms use."""
-    if "~" in name:
-        field, needles = name.split("~")
-        return count_containing(F.col(field), needles.split("|"))
+    if name in R.COUNTED:
+        field, needles = R.COUNTED[name]
+        return count_containing(F.col(field), needles)
     if name in ("patterns", "api_methods", "composables_used"):
         return F.size(F.col(name))
     def uses(library: str) -> Column:
@@ -96,37 +96,47 @@ def project_scores() -> list[Column]:
     return score_columns(R.PROJECT_SCORE_TERMS, lambda name: F.col(f"`{name}`"))
 
 
-def metadata_feature(name: str) -> Column:
-    """Features of an imported project metadata row, lists and maps on the row.
+METADATA_FIELDS = {
+    "total_files": "bigint", "files_by_category": "map<string,bigint>", "api_type": "string",
+    "api_methods": "array<string>", "frameworks": "array<string>", "patterns": "array<string>",
+    "dependencies": "array<string>", "design_system": "string", "utility_library": "string",
+    "components_used": "array<string>", "composables_used": "array<string>",
+    "excellent_files": "array<struct<path:string,reasons:array<string>>>", "average_complexity": "string",
+    "files_with_good_error_handling": "bigint", "files_with_good_types": "bigint",
+}
 
-    Columns: total_files, files_by_category, api_type, api_methods, frameworks,
-    patterns, dependencies, design_system, utility_library, components_used,
-    composables_used, excellent_files (struct of path, reasons),
-    average_complexity, files_with_good_error_handling, files_with_good_types.
+
+def metadata_feature(name: str, prefix: str = "") -> Column:
+    """Features of an imported project metadata row with the columns METADATA_FIELDS, lists and maps on the row.
+
+    ``prefix`` stands before the names of the columns.
     """
-    none = F.array().cast("array<string>")
+    def field(column: str) -> Column:
+        return F.col(prefix + column)
 
     def values(column: str) -> Column:
-        return F.coalesce(F.col(column), none)
+        return F.coalesce(field(column), F.array().cast("array<string>"))
 
-    if name.startswith("excellent~"):
-        needles = name.split("~")[1].split("|")
-        return F.coalesce(F.size(F.filter("excellent_files", lambda f: F.exists(
+    if name in R.COUNTED:
+        counted, needles = R.COUNTED[name]
+        if counted != "excellent":
+            return count_containing(values(counted), needles)
+        return F.coalesce(F.size(F.filter(field("excellent_files"), lambda f: F.exists(
             f["reasons"], lambda r: contains_any(F.lower(r), needles)))), F.lit(0))
-    if "~" in name:
-        field, needles = name.split("~")
-        return count_containing(values(field), needles.split("|"))
     if name in ("patterns", "api_methods", "components_used", "composables_used"):
         return F.size(values(name))
-    files = F.nullif(F.col("total_files"), F.lit(0))
+    files = F.nullif(field("total_files"), F.lit(0))
     return {
-        "categories": F.size("files_by_category"), "complexity": F.col("average_complexity"), "api_type": F.col("api_type"),
-        "has_api": F.coalesce(F.col("api_type") != "none", F.lit(False)),
-        "has_design_system": F.col("design_system").isNotNull(), "has_utility_library": F.col("utility_library").isNotNull(),
-        "excellent_ratio": F.size("excellent_files") / files,
-        "good_error_ratio": F.col("files_with_good_error_handling") / files,
-        "good_type_ratio": F.col("files_with_good_types") / files,
-        "state_library": first_match([(lib, F.array_contains(values("frameworks"), lib)) for lib in ("pinia", "vuex")], F.lit("none")),
+        "categories": F.size(field("files_by_category")), "complexity": field("average_complexity"),
+        "api_type": field("api_type"),
+        "has_api": F.coalesce(field("api_type") != "none", F.lit(False)),
+        "has_design_system": field("design_system").isNotNull(),
+        "has_utility_library": field("utility_library").isNotNull(),
+        "excellent_ratio": F.size(field("excellent_files")) / files,
+        "good_error_ratio": field("files_with_good_error_handling") / files,
+        "good_type_ratio": field("files_with_good_types") / files,
+        "state_library": first_match([(lib, F.array_contains(values("frameworks"), lib)) for lib in ("pinia", "vuex")],
+                                     F.lit("none")),
     }[name]
 
 

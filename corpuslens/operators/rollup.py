@@ -15,11 +15,11 @@ DOMINANT = {"api_type": "none", "design_system": None, "utility_library": None}
 
 
 def _score_features() -> list[str]:
-    return sorted({t[1] for terms in R.PROJECT_SCORE_TERMS.values() for t in terms if t[0] != "base"})
+    return sorted({R.feature_name(t[1]) for terms in R.PROJECT_SCORE_TERMS.values() for t in terms if t[0] != "base"})
 
 
 def _reason_flags() -> list[str]:
-    return [f for f in _score_features() if f.startswith("excellent~")]
+    return [f for f in _score_features() if R.COUNTED.get(f, ("",))[0] == "excellent"]
 
 
 def project_values(meta: DataFrame, by: str = "project", order: str = "doc_id") -> DataFrame:
@@ -39,7 +39,7 @@ def project_values(meta: DataFrame, by: str = "project", order: str = "doc_id")
     def reason(needles: list[str]) -> Column:
         return F.exists("excellent_reasons", lambda r: contains_any(F.lower(r), needles))
 
-    flags = [one(f, F.when(F.col("is_excellent") & reason(f.split("~")[1].split("|")), F.lit("yes")))
+    flags = [one(f, F.when(F.col("is_excellent") & reason(R.COUNTED[f][1]), F.lit("yes")))
              for f in _reason_flags()]
     pairs = F.concat(*[one(f, F.col(f)) for f in SINGLE_FIELDS], *[many(f) for f in LIST_FIELDS],
                      one("excellent", F.when(F.col("is_excellent"), F.lit("yes"))), *flags)
@@ -68,9 +68,9 @@ def project_rollup(values: DataFrame, by: str = "project") -> DataFrame:
                 for f in DOMINANT}
     counts = {name: distinct(name) for name in LIST_FIELDS}
     for name in _score_features():
-        if "~" in name and not name.startswith("excellent~"):
-            f, needles = name.split("~")
-            counts[name] = F.count_if((field == f) & contains_any(F.col("value"), needles.split("|")))
+        f, needles = R.COUNTED.get(name, ("excellent", []))
+        if f != "excellent":
+            counts[name] = F.count_if((field == f) & contains_any(F.col("value"), needles))
     for name in _reason_flags():
         counts[name] = files_with(name, "yes")
     return (values.groupBy(by).agg(

@@ -161,7 +161,7 @@ def _(t):
 
 
 # a catalogue of our own vocabulary, so that lookups hit the derived names
-HOUSE = [("house-kit", "component", {"table": "ElThe ElAnd ElThat", "card": "TheCard AndCard TheseCard"}),
+HOUSE = [("house-kit", "component", {"table": ["ElThe", "ElAnd", "ElThat"], "card": ["TheCard", "AndCard", "TheseCard"]}),
          ("house-utils", "function", {"state": "useThe useAnd", "network": "useThat useThan"})]
 _HOUSE_ROWS = ", ".join(f"({', '.join(map(Q.lit, r))})" for r in R.catalogue_rows(R.CATALOGUE + HOUSE))
 

@@ -21,16 +21,15 @@ def _dominant(field):
 
 
 def _counted(name):
-    if name.startswith("excellent~"):
-        needles = name.split("~")[1].split("|")
+    field, needles = R.COUNTED.get(name, (name, []))
+    if field == "excellent":
         return (f"(SELECT count(*) FROM file_meta m WHERE m.project = p.project AND is_excellent "
                 f"AND {Q.any_of('lower(excellent_reasons_s)', needles)})")
-    field, _, needles = name.partition("~")
-    extra = f" AND {Q.any_of('value', needles.split('|'))}" if needles else ""
+    extra = f" AND {Q.any_of('value', needles)}" if needles else ""
     return f"(SELECT count(DISTINCT value) FROM long_values v WHERE v.project = p.project AND field = '{field}'{extra})"
 
 
-_COUNTED = [f for f in U._score_features() if "~" in f] + U.LIST_FIELDS
+_COUNTED = [f for f in U._score_features() if f in R.COUNTED] + U.LIST_FIELDS
 ROLLUP = {
     "long_values": _LONG,
     **{f"dom_{f}": _dominant(f) for f in U.DOMINANT},

@@ -56,7 +56,7 @@ def term(t, feature) -> str:
     kind, rest = t[0], t[1:]
     if kind == "base":
         return f"{float(rest[0])}::DOUBLE"
-    v = feature(rest[0])
+    v = feature(R.feature_name(rest[0]))
     if kind == "pick":
         return _number([(f"{v} = {lit(k)}", p) for k, p in rest[1].items()], "0")
     if kind == "flag":
@@ -85,9 +85,9 @@ def lit_name(name: str) -> str:
 
 
 def file_feature(name: str) -> str:
-    if "~" in name:
-        field, needles = name.split("~")
-        return f"len(list_filter({split(field + '_s')}, lambda x: {any_of('x', needles.split('|'))}))"
+    if name in R.COUNTED:
+        field, needles = R.COUNTED[name]
+        return f"len(list_filter({split(field + '_s')}, lambda x: {any_of('x', needles)}))"
     if name in ("patterns", "api_methods", "composables_used"):
         return f"len({split(name + '_s')})"
     return {
