@@ -80,7 +80,21 @@ def stored_records(t):
         c("legacy_api").alias("api_type"), some(("vue3", true), ("pinia", c("amount") > 200000)).alias("frameworks"),
         some(("api-client", c("amount") > 100000), ("error-recovery", true), ("lazy-cache", c("has_framework"))).alias("patterns"),
         some(("CommonTable", true), ("CommonForm", c("amount") > 50000)).alias("components_used"),
-        F.when(c("amount") > 300000, "high").otherwise("low").alias("average_complexity"))
+        F.when(c("amount") > 300000, "high").otherwise("low").alias("average_complexity"),
+        F.lit(10).cast("bigint").alias("total_files"),
+        F.when(c("amount") > 150000, F.create_map(*[F.lit(v).cast("bigint") if isinstance(v, int) else F.lit(v)
+                                                    for v in ("page", 4, "component", 3, "api", 3)]))
+        .otherwise(F.create_map(F.lit("page"), F.lit(10).cast("bigint"))).alias("files_by_category"),
+        some(("getUser", true), ("listUsers", c("amount") > 200000)).alias("api_methods"),
+        some(("lodash", true), ("element-plus", c("amount") > 250000)).alias("dependencies"),
+        F.when(c("amount") > 100000, "element-plus").alias("design_system"),
+        F.when(c("has_framework"), "vueuse").alias("utility_library"),
+        some(("useUser", true), ("useRoute", c("amount") > 50000)).alias("composables_used"),
+        F.when(c("amount") > 180000, F.array(F.struct(F.lit("a.vue").alias("path"), F.array(
+            F.lit("Clean structure"), F.lit("API error handling")).alias("reasons"))))
+        .otherwise(F.array().cast("array<struct<path:string,reasons:array<string>>>")).alias("excellent_files"),
+        F.lit(4).cast("bigint").alias("files_with_good_error_handling"),
+        F.lit(7).cast("bigint").alias("files_with_good_types"))
     count = lambda cond: F.when(cond, 2).otherwise(0).cast("bigint")
     patterns = F.struct(
         F.when(shape == "legacy", c("stored_total").cast("double")).alias("score"),
@@ -117,13 +131,28 @@ def _(t):
                                                      "outdated", "needs_migration")
 
 
+_KNOWN = "shape IN ('metadata', 'scored')"
+
+
 def _migrate_feature(name):
-    if name.startswith("patterns~"):
-        return f"len(list_filter(mp, lambda x: {Q.any_of('x', name.split('~')[1].split('|'))}))"
+    lists = {"patterns": "mp", "dependencies": "md", "excellent": "me"}
+    if name in R.COUNTED:
+        field, needles = R.COUNTED[name]
+        if field == "excellent":    # files with such a reason: the fixture has one file or none
+            return f"(CASE WHEN len(list_filter(me, lambda x: {Q.any_of('lower(x)', needles)})) > 0 THEN 1 ELSE 0 END)"
+        return f"len(list_filter({lists[field]}, lambda x: {Q.any_of('x', needles)}))"
     return {"patterns": "len(mp)", "components_used": "len(mc)", "complexity": "mx", "api_type": "legacy_api",
-            "has_api": "(legacy_api <> 'none')", "has_design_system": "false", "has_utility_library": "false",
+            "has_api": "(legacy_api <> 'none')",
+            "has_design_system": f"({_KNOWN} AND amount > 100000)",
+            "has_utility_library": f"({_KNOWN} AND has_framework)",
+            "categories": f"(CASE WHEN NOT {_KNOWN} THEN 0 WHEN amount > 150000 THEN 3 ELSE 1 END)",
+            "api_methods": f"(CASE WHEN NOT {_KNOWN} THEN 0 WHEN amount > 200000 THEN 2 ELSE 1 END)",
+            "composables_used": f"(CASE WHEN NOT {_KNOWN} THEN 0 WHEN amount > 50000 THEN 2 ELSE 1 END)",
+            "excellent_ratio": f"(CASE WHEN {_KNOWN} AND amount > 180000 THEN 0.1 ELSE 0 END)",
+            "good_error_ratio": f"(CASE WHEN {_KNOWN} THEN 0.4 ELSE 0 END)",
+            "good_type_ratio": f"(CASE WHEN {_KNOWN} THEN 0.7 ELSE 0 END)",
             "state_library": "(CASE WHEN list_contains(mf, 'pinia') THEN 'pinia' WHEN list_contains(mf, 'vuex') THEN 'vuex' ELSE 'none' END)"
-            }.get(name, "0")
+            }[name]
 
 
 MIGRATED = {
@@ -136,6 +165,8 @@ MIGRATED = {
         CASE WHEN shape IN ('metadata', 'scored') THEN {Q.present(["'CommonTable'", "CASE WHEN amount > 50000 THEN 'CommonForm' END"])}
              WHEN shape = 'legacy' AND amount > 120000 THEN ['CommonList'] ELSE [] END AS mc,
         CASE WHEN shape IN ('metadata', 'scored') THEN CASE WHEN amount > 300000 THEN 'high' ELSE 'low' END ELSE 'medium' END AS mx,
+        CASE WHEN {_KNOWN} THEN {Q.present(["'lodash'", "CASE WHEN amount > 250000 THEN 'element-plus' END"])} ELSE [] END AS md,
+        CASE WHEN {_KNOWN} AND amount > 180000 THEN ['Clean structure', 'API error handling'] ELSE [] END AS me,
         needs_migration AND (shape <> 'scored' OR stored_total % 100 = 0 OR outdated) AS rescored FROM shapes""",
     "mig1": f"SELECT * EXCLUDE (legacy_api2) REPLACE (legacy_api2 AS legacy_api), {Q.score_columns(R.PROJECT_SCORE_TERMS, _migrate_feature).replace('legacy_api', 'legacy_api2')} FROM mig0",
     "mig": f"""SELECT *, CASE WHEN rescored THEN {Q.total()} ELSE stored_total % 100 END AS total_score,
@@ -207,18 +238,21 @@ def _(t):
     store = fresh_path(t.spark, "ingest-store")
     T.write_batch(stored_hashes(t).withColumn("outcome", F.lit("up_to_date")), store, 0)
     files = t.file_stream(stream_of(t, "documents"))
-    T.run_available(files, "ingest", T.ingest_batch(store))
+    T.run_available(files, store, T.ingest_batch(store))
     return T.current(t.spark, store, "doc_id").select("doc_id", "content_hash", "outcome")
 
 
-@query("stream_dedup", "SELECT DISTINCT lang, substr(sha256(text), 1, 16) AS content_hash FROM documents")
+@query("stream_dedup", "SELECT doc_id, sha256(text) AS content_hash FROM documents GROUP BY ALL")
 def _(t):
     log = fresh_path(t.spark, "dedup")
-    seen = stream_of(t, "documents").select("lang", X.content_hash(F.col("text")).alias("content_hash"),
-                                            F.lit("2025-06-01 00:00:00").cast("timestamp").alias("scanned_at"))
-    T.run_available(T.dedup_stream(seen, ["lang", "content_hash"], "scanned_at"), "dedup",
+    # every document is scanned twice, some minutes apart; the event time goes on with the ids
+    at = F.timestamp_seconds(F.lit(1748736000) + F.col("doc_id") % 600 + F.col("later"))
+    seen = (stream_of(t, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"),
+                                             F.explode(F.array(F.lit(0), F.lit(300))).alias("later"))
+            .select("doc_id", "content_hash", at.alias("scanned_at")))
+    T.run_available(T.dedup_stream(seen, ["doc_id", "content_hash"], "scanned_at"), log,
                     lambda df, i: T.write_batch(df, log, i))
-    return T.read_log(t.spark, log).select("lang", "content_hash")
+    return T.read_log(t.spark, log).select("doc_id", "content_hash")
 
 
 @query("stream_latest_state", """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type
@@ -226,7 +260,7 @@ def _(t):
 def _(t):
     log = fresh_path(t.spark, "latest")
     rows = stream_of(t, "events").select("user_id", "ts", "event_id", "event_type")
-    T.run_available(rows, "latest", T.latest_batch(log, "user_id", "ts", "event_id"))
+    T.run_available(rows, log, T.latest_batch(log, "user_id", "ts", "event_id"))
     newest = T.read_log(t.spark, log)
     return latest(newest, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
@@ -235,7 +269,7 @@ def _(t):
 def _(t):
     log = fresh_path(t.spark, "windows")
     rows = stream_of(t, "events").select(T.utc("ts").alias("at"), "event_type")
-    T.run_available(T.outcome_windows(rows, "at", "event_type"), "windows",
+    T.run_available(T.outcome_windows(rows, "at", "event_type"), log,
                     lambda df, i: T.write_batch(df, log, i), mode="update")
     counts = T.read_log(t.spark, log).groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return counts.select(T.utc_day("window_start").alias("day"), "event_type", "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _written: dict[tuple[str, str], str] = {}
@@ -114,3 +115,45 @@ def delete_results(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     present = store.select(key).distinct().withColumn("deleted", F.lit(True))
     return keys.select(key).distinct().join(present, key, "left").withColumn(
         "deleted", F.coalesce("deleted", F.lit(False)))
+
+
+class RecordStore:
+    """Keyed records that are saved, loaded by key and deleted, as versioned snapshots.
+
+    A write makes a whole new snapshot and then a pointer to it; readers follow the newest pointer. A write that
+    fails before its pointer is complete leaves the old snapshot in force. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def version(self) -> int:
+        """Newest complete version; 0 before the first save."""
+        try:
+            found = self.spark.read.schema("version BIGINT").parquet(f"{self.path}/pointers/*")
+            return found.agg(F.max("version")).first()[0] or 0
+        except AnalysisException:
+            return 0
+
+    def load(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/snapshots/{self.version()}")
+
+    def get(self, key) -> DataFrame:
+        return self.load().filter(F.col(self.key) == key)
+
+    def replace(self, records: DataFrame) -> DataFrame:
+        """Make ``records`` the next version and return it."""
+        version = self.version() + 1
+        records.write.mode("overwrite").parquet(f"{self.path}/snapshots/{version}")
+        point = self.spark.range(1, numPartitions=1).select(F.lit(version).cast("bigint").alias("version"))
+        point.write.mode("overwrite").parquet(f"{self.path}/pointers/{version}")
+        return self.load()
+
+    def save(self, batch: DataFrame, *order: str) -> DataFrame:
+        """Insert or replace records by key; the last write per key wins."""
+        if not self.version():
+            return self.replace(latest(batch, self.key, *order).select(*batch.columns))
+        return self.replace(upsert(self.load(), batch, self.key, *order))
+
+    def delete(self, keys: DataFrame) -> DataFrame:
+        return self.replace(delete_by_key(self.load(), keys, self.key))

@@ -1,9 +1,10 @@
 """Structured Streaming: continuous scans, latest state and windowed counts.
 
 Plain parquet has no atomic update, so each micro-batch writes one folder of
-its own (``batch=<id>``) and replaces it when Spark retries the batch. Readers
-take the newest row per key. A lost executor or a restarted query therefore
-neither repeats nor loses a write.
+its own (``batch=<n>/source=<query and batch id>``) and replaces it when Spark
+retries the batch. Readers take the newest row per key. A lost executor or a
+restarted query therefore neither repeats nor loses a write, and neither does
+a run with another checkpoint: its batches are numbered after those there.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.functions import rules as R
 from corpuslens.operators.incremental import changed_files, rebuild
-from corpuslens.sources.store import fresh_path, latest
+from corpuslens.sources.store import latest, work_dir
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int, source: str = "none") -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}/source={source}")
 
 
 def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -28,14 +29,28 @@ def read_log(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def current(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Newest record per key over all batches."""
-    log = read_log(spark, path)
+    log = read_log(spark, path).drop("source")
     return latest(log, key, "batch")
 
 
-def run_available(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Work off what the source holds now, then stop (one scheduled run)."""
-    checkpoint = fresh_path(stream.sparkSession, f"{name}-checkpoint")
-    start(stream, checkpoint, each, mode).awaitTermination()
+def batch_place(log: DataFrame, batch_id: int) -> tuple[int, str]:
+    """(number, source) of a batch in a log: its own place if it was written before, else the next."""
+    query = log.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    source = f"{query}-{batch_id}"
+    places = log.select("batch", "source").distinct()       # partition columns only
+    found = places.agg(F.max("batch").alias("last"), F.max(F.when(F.col("source") == source, F.col("batch"))).alias("own"))
+    row = found.first()
+    return (row.own if row.own is not None else (-1 if row.last is None else row.last) + 1), source
+
+
+def run_available(stream: DataFrame, store: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Work off what the source holds now, then stop (one scheduled run).
+
+    The checkpoint belongs to the store, so that the next run goes on where this one ended. A bare name is a folder
+    in the work folder.
+    """
+    path = store if "/" in store else f"{work_dir(stream.sparkSession)}/{store}"
+    start(stream, f"{path}/_checkpoint", each, mode).awaitTermination()
 
 
 def start(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append",
@@ -52,11 +67,13 @@ def ingest_batch(store: str, key: str = "doc_id", version: str = R.SCORING_VERSI
     """
     def each(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
-        log = read_log(spark, store).filter(F.col("batch") < batch_id + 1)
-        known = latest(log.select(key, "content_hash", "scoring_version", "created_at", "batch"), key, "batch")
+        log = read_log(spark, store)
+        number, source = batch_place(log, batch_id)
+        known = latest(log.filter(F.col("batch") < number)
+                       .select(key, "content_hash", "scoring_version", "created_at", "batch"), key, "batch")
         changed = changed_files(files, known, key, version)
         rebuilt = rebuild(files, changed, F.current_timestamp().cast("string"), key, repeats=True)
-        write_batch(rebuilt.select(*[c for c in log.columns if c != "batch"]), store, batch_id + 1)
+        write_batch(rebuilt.select(*[c for c in log.columns if c not in ("batch", "source")]), store, number, source)
     return each
 
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import Row, functions as F
 
-from corpuslens.functions import rules as R, text as X
+from corpuslens.functions import rules as R, scoring as S, text as X
 from corpuslens.operators import annotate as N, incremental as I, migrate as H
-from corpuslens.sources.store import fresh_path
+from corpuslens.sources.store import RecordStore, fresh_path
 from corpuslens.streaming import ingest as T
 
 FILES = [(1, "p", "pages/a.vue", "one"), (2, "p", "pages/b.vue", "two"), (3, "p", "pages/c.vue", "three"), (4, "p", "pages/d.vue", "four")]
@@ -174,3 +174,57 @@ def test_windows_over_several_files(spark, tmp_path):
 def test_sliding_windows_overlap(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", "ok")], "at STRING, outcome STRING").withColumn("at", F.to_timestamp("at"))
     assert T.outcome_windows(df, "at", "outcome", "2 days", "1 day").count() == 2
+
+
+def test_two_scheduled_runs_lose_nothing(spark, tmp_path):
+    store, source = str(tmp_path / "store"), str(tmp_path / "in")
+    T.write_batch(stored(spark).select("doc_id", "content_hash", "scoring_version", "created_at",
+                                       F.lit("kept").alias("outcome")).limit(0), store, 0)
+
+    def run(each_store):
+        stream = spark.readStream.schema(scan(spark).schema).parquet(f"{source}/*")
+        T.run_available(stream, each_store, T.ingest_batch(store))
+        return {r.doc_id for r in T.current(spark, store, "doc_id").collect()}
+
+    drop_in(scan(spark, [(1, "p", "a.ts", "one"), (2, "p", "b.ts", "two")]), source, "one")
+    assert run(store) == {1, 2}
+    drop_in(scan(spark, [(3, "p", "c.ts", "three")]), source, "two")
+    assert run(store) == {1, 2, 3}
+    drop_in(scan(spark, [(4, "p", "d.ts", "four")]), source, "three")
+    assert run(str(tmp_path / "other-checkpoint")) == {1, 2, 3, 4}      # a new checkpoint numbers on
+
+
+def test_record_store(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "records"), "k")
+    assert store.version() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "k STRING, v INT")
+    store.save(rows(("a", 1), ("a", 2), ("b", 5)), "v")
+    store.save(rows(("b", 7), ("c", 1)), "v")
+    assert sorted(map(tuple, store.load().collect())) == [("a", 2), ("b", 7), ("c", 1)]
+    assert store.get("b").first().v == 7
+    # a write that fails before its pointer leaves the old snapshot
+    rows(("x", 9)).write.parquet(f"{store.path}/snapshots/3")
+    assert store.version() == 2 and store.get("x").count() == 0
+    store.delete(rows(("a", 0), ("nobody", 0)).select("k"))
+    assert sorted(r.k for r in RecordStore(spark, store.path, "k").load().collect()) == ["b", "c"]
+
+
+def test_migrated_project_scores_as_a_project_of_its_metadata(spark):
+    meta = dict(total_files=10, files_by_category={"page": 4, "component": 3, "api": 3}, api_type="grpc",
+                api_methods=["getUser", "listUsers"], frameworks=["vue3", "pinia"], patterns=["api-client", "error-recovery"],
+                dependencies=["element-plus", "lodash"], design_system="element-plus", utility_library="vueuse",
+                components_used=["ElTable", "ElForm"], composables_used=["useUser"],
+                excellent_files=[("a.vue", ["clean structure"])], average_complexity="medium",
+                files_with_good_error_handling=4, files_with_good_types=7)
+    fields = ", ".join(f"{k}: {v}" for k, v in S.METADATA_FIELDS.items())
+    schema = ("id STRING, project_name STRING, category STRING, files ARRAY<STRING>, patterns STRUCT<score: DOUBLE, "
+              f"metadata: STRUCT<{fields}>, api_info: STRUCT<has_grpc: BOOLEAN, has_openapi: BOOLEAN, api_type: STRING>, "
+              "framework: STRING, composable_usage: MAP<STRING, BIGINT>, component_usage: MAP<STRING, BIGINT>>, scores STRUCT<"
+              + ", ".join(f"{d}: DOUBLE" for d in R.DIMENSIONS) + ">, total_score BIGINT, excellent_in ARRAY<STRING>, "
+              "scoring_version STRING, metadata STRUCT<created_at: TIMESTAMP_NTZ, updated_at: TIMESTAMP_NTZ, tags: ARRAY<STRING>>")
+    record = ("v15", "p", "c", ["a.vue"], (None, tuple(meta[k] for k in S.METADATA_FIELDS), None, None, None, None),
+              None, None, None, None, None)
+    got = H.migrate(spark.createDataFrame([record], schema), F.lit("2025-01-01").cast("timestamp_ntz")).first()
+    want = spark.createDataFrame([tuple(meta[k] for k in S.METADATA_FIELDS)],
+                                 ", ".join(f"{k} {v}" for k, v in S.METADATA_FIELDS.items())).select(*S.metadata_scores()).first()
+    assert got.scores.asDict() == want.asDict()
