@@ -242,11 +242,11 @@ def query_text(description: Column, target: Column | None = None, entities: Colu
 
 
 def metadata_keywords(patterns, frameworks, api_type, features, methods, entities,
-                      level: Column, error_handling: Column) -> Column:
-    """Guide keywords of a metadata record, lower-cased and distinct."""
+                      level: Column, error_handling: Column, k_methods: int | None = None) -> Column:
+    """Guide keywords of a metadata record, lower-cased and distinct; of the first ``k_methods`` methods if given."""
     words = F.concat(
         patterns, frameworks, F.array_compact(F.array(api_type)), features,
-        F.slice(methods, 1, 5), entities,
+        methods if k_methods is None else F.slice(methods, 1, k_methods), entities,
         F.when(level == "high", F.array(F.lit("complex"), F.lit("advanced"))).otherwise(_none()),
         F.when(error_handling == "comprehensive",
                F.array(F.lit("error-handling"), F.lit("recovery"), F.lit("resilience"))).otherwise(_none()))

@@ -106,12 +106,12 @@ def search_files(df: DataFrame, project: str | None = None, file_type: str | Non
     return df.orderBy(order).limit(limit) if limit else df
 
 
-# shortcuts keep the default limits of the search they stand for
-def by_keywords(df: DataFrame, *words: str, limit: int | None = 10) -> DataFrame:
+# shortcuts: a limit keeps the first rows in id order
+def by_keywords(df: DataFrame, *words: str, limit: int | None = None) -> DataFrame:
     return search_files(df, keywords=list(words), limit=limit)
 
 
-def by_function(df: DataFrame, name: str, limit: int | None = 10) -> DataFrame:
+def by_function(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     return search_files(df, keywords=[name], limit=limit)
 
 
@@ -119,16 +119,16 @@ def by_min_score(df: DataFrame, dimension: str, least: float, limit: int | None
     return search_files(df, min_scores={dimension: least}, limit=limit)
 
 
-def by_role(df: DataFrame, role: str, project: str | None = None, limit: int | None = 10) -> DataFrame:
+def by_role(df: DataFrame, role: str, project: str | None = None, limit: int | None = None) -> DataFrame:
     return search_files(df, project=project, role=role, limit=limit)
 
 
-def by_entity(df: DataFrame, entity: str, limit: int | None = 10) -> DataFrame:
+def by_entity(df: DataFrame, entity: str, limit: int | None = None) -> DataFrame:
     return search_files(df, entities=[entity], limit=limit)
 
 
 def recommended_code(df: DataFrame, function: str, role: str | None = None, entities: list[str] | None = None,
-                     limit: int = 5) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     return search_files(df, keywords=[function], role=role, entities=entities, limit=limit)
 
 

@@ -36,8 +36,9 @@ def keyword_points(words: DataFrame, guides: DataFrame) -> DataFrame:
     return per_field.groupBy("keyword", "id").agg(F.sum(lookup(F.col("field"), KEYWORD_POINTS)).alias("points"))
 
 
-def search_guides(requests: DataFrame, guides: DataFrame, k: int = 10, request_key: str = "request_id") -> DataFrame:
-    """Best k guides per request: (request, rank, id, score).
+def search_guides(requests: DataFrame, guides: DataFrame, k: int | None = 10,
+                  request_key: str = "request_id") -> DataFrame:
+    """Best k guides per request (None: all): (request, rank, id, score).
 
     ``requests``: key, keywords, and optionally api_type, scope,
     design_system, utility_library, mandatory (ids). An api type admits only
@@ -48,6 +49,7 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int = 10, request_k
     keyword hit can only be in the answer when it is among the first k for
     those options; hits come from an equi join on the keyword.
     """
+    k = (1 << 31) - 1 - 100_000 if k is None else k
     for name, kind in OPTIONAL.items():
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
@@ -133,17 +135,17 @@ def combined_text(kept: DataFrame, guides: DataFrame, request_key: str = "reques
     return out if max_chars is None else out.withColumn("combined", F.substring("combined", 1, max_chars))
 
 
-def guides_for(requests: DataFrame, guides: DataFrame, max_guides: int = 5, max_chars: int | None = 50000,
-               request_key: str = "request_id") -> DataFrame:
-    """Search, keep the first few, combine, and cut the text to its budget."""
+def guides_for(requests: DataFrame, guides: DataFrame, max_guides: int | None = None,
+               max_chars: int | None = None, request_key: str = "request_id") -> DataFrame:
+    """Search, keep the first ``max_guides`` if given, combine, and cut the text to ``max_chars`` if given."""
     found = pin(search_guides(requests, guides, max_guides, request_key), "found")
     kept = combine_guides(found.select(request_key, "id", F.col("rank").alias("position")), guides, request_key)
     return combined_text(kept, guides, request_key, max_chars)
 
 
-def metadata_requests(meta: DataFrame, request_key: str = "doc_id") -> DataFrame:
+def metadata_requests(meta: DataFrame, request_key: str = "doc_id", k_methods: int | None = None) -> DataFrame:
     """Guide requests of metadata rows: their keywords and api type."""
     c = F.col
     return meta.select(request_key, "api_type", X.metadata_keywords(
         c("patterns"), c("frameworks"), c("api_type"), c("features"), c("api_methods"), c("entities"),
-        c("complexity"), c("error_handling")).alias("keywords"))
+        c("complexity"), c("error_handling"), k_methods).alias("keywords"))

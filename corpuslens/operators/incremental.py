@@ -40,11 +40,12 @@ def score_cases(features: DataFrame, scores: list[Column] | None = None) -> Data
 
 
 def build_cases(files: DataFrame, extra_keywords: Column | None = None, now: Column | None = None,
-                scores: list[Column] | None = None) -> DataFrame:
+                scores: list[Column] | None = None, tag_keywords: int | None = None) -> DataFrame:
     """Whole record per file: features, scores and metadata tags, in one stage.
 
     ``scores`` are the eight score columns to use, by default the plain ones
-    from text; ``scoring.text_scores`` gives the richer variant.
+    from text; ``scoring.text_scores`` gives the richer variant. Tags hold all
+    keywords, or the first ``tag_keywords``.
     """
     df = extract_features(files)
     if extra_keywords is not None:
@@ -53,7 +54,7 @@ def build_cases(files: DataFrame, extra_keywords: Column | None = None, now: Col
     stamp = F.current_timestamp() if now is None else now
     return df.withColumns({
         "scoring_version": F.lit(R.SCORING_VERSION),
-        "tags": F.concat(F.array("file_type", "file_role"), F.slice("keywords", 1, 5)),
+        "tags": F.concat(F.array("file_type", "file_role"), F.col("keywords") if tag_keywords is None else F.slice("keywords", 1, tag_keywords)),
         "created_at": stamp, "updated_at": stamp, "analyzed_at": stamp,
     }).drop("low")
 

@@ -10,15 +10,19 @@ MARKDOWN_LINK = r"\[[^\]]+\]\(([^)]+)\)"
 
 
 def grep_lines(df: DataFrame, needle: str, definition: str, usage: str, text: str = "text",
-               k_definitions: int = 10, k_usages: int = 5, preview: int = 30) -> DataFrame:
-    """Texts with the needle: their definition and usage lines and a preview. Narrow."""
+               k_definitions: int | None = None, k_usages: int | None = None, preview: int | None = None) -> DataFrame:
+    """Texts with the needle: their definition and usage lines and a preview, all or the first few. Narrow."""
     lines = F.split(F.col(text), "\n")
     found = df.filter(F.contains(F.col(text), F.lit(needle))).withColumn("_lines", lines)
     comment = r"^\s*//"
+
+    def first(values, k: int | None):
+        return values if k is None else F.slice(values, 1, k)
+
     return found.withColumns({
-        "definitions": F.slice(F.filter("_lines", lambda x: x.rlike(definition)), 1, k_definitions),
-        "usages": F.slice(F.filter("_lines", lambda x: x.rlike(usage) & ~x.rlike(comment)), 1, k_usages),
-        "preview": F.array_join(F.slice("_lines", 1, preview), "\n"),
+        "definitions": first(F.filter("_lines", lambda x: x.rlike(definition)), k_definitions),
+        "usages": first(F.filter("_lines", lambda x: x.rlike(usage) & ~x.rlike(comment)), k_usages),
+        "preview": F.array_join(first(F.col("_lines"), preview), "\n"),
     }).drop("_lines")
 
 

@@ -1,28 +1,26 @@
 """Vector similarity and hybrid retrieval.
 
-Top-k runs as blocks: a block of requests (bounded in rows) travels to every
-partition of the corpus, each partition scores its batches with one matrix
-product and keeps its own best k per request, and a window merges these short
-lists. No request/record pair is ever a row, and no partition emits more than
-k rows per request, however large or skewed the corpus is. More requests than
-a block holds become further blocks over the same plan.
+Top-k runs as blocks: requests are dealt into blocks of bounded size and the
+corpus into splits of bounded size; every block meets every split, which scores
+with one matrix product and keeps the best k per request, and a window merges
+these short lists. No request/record pair is ever a row, and no split returns
+more than k rows per request, however large or skewed the corpus is. The plan
+is the same for any number of requests, and none of them passes the driver.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslens.sources.store import pin
-
-BLOCK_ROWS = 4096  # requests per pass over the corpus
+BLOCK_ROWS = 4096  # requests in a block
+SPLIT_ROWS = 1 << 16  # records in a split
 MATRIX_CELLS = 2_000_000  # request × record scores held at once in a task
 
 
@@ -77,7 +75,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Block:
-    """Bounded set of requests as arrays; travels to the tasks with the function."""
+    """Bounded set of requests as arrays."""
 
     def __init__(self, rows: pa.Table, key: str, filters: list[str]):
         col = lambda n, default=None: rows[n].to_pylist() if n in rows.column_names else [default] * rows.num_rows
@@ -115,15 +113,15 @@ def _contains_matrix(lists: list, words: list[str]) -> np.ndarray:
     return out
 
 
-def _score_batch(block: _Block, batch: pa.RecordBatch, weights, vector: str, keyword_only_weight: float):
+def _score_batch(block: _Block, batch: pa.Table, weights, vector: str, keyword_only_weight: float):
     """(scores requests × rows with dropped rows -inf, candidate mask, vector mask)."""
     n = batch.num_rows
     ok = np.ones((len(block.keys), n), dtype=bool)
     for name, wanted in block.filters.items():
-        have = np.array(batch[name].to_pylist(), dtype=object)
-        for r, value in enumerate(wanted):
-            if value is not None:
-                ok[r] &= have == value
+        codes, values = pd.factorize(np.array(batch[name].to_pylist(), dtype=object))
+        place = {v: i for i, v in enumerate(values)}
+        asked = np.array([-2 if v is None else place.get(v, -3) for v in wanted])   # -2: any
+        ok &= (asked[:, None] == -2) | (asked[:, None] == codes[None, :])
     if any(block.entities):
         words = sorted({e for es in block.entities for e in es})
         place = {w: i for i, w in enumerate(words)}
@@ -132,7 +130,7 @@ def _score_batch(block: _Block, batch: pa.RecordBatch, weights, vector: str, key
             if es:
                 ok[r] &= holds[:, [place[e] for e in es]].any(axis=1)
     units, usable = _matrix(batch[vector], block.dim)
-    present = batch[vector].is_valid().to_numpy(zero_copy_only=False)
+    present = batch[vector].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
     shared = np.zeros((len(block.keys), n))
     if block.words:
         hits = _contains_matrix(batch["keywords"].to_pylist(), block.words).astype("float64")
@@ -145,18 +143,6 @@ def _score_batch(block: _Block, batch: pa.RecordBatch, weights, vector: str, key
     return np.where(ok, score, -np.inf), ok, with_vector
 
 
-def _blocks(requests: DataFrame, key: str, block_rows: int) -> list[DataFrame]:
-    """Requests in parts of about ``block_rows`` rows each, with vectors of one length per part."""
-    size = F.coalesce(F.size("vector"), F.lit(-1))
-    blocks = []
-    for length, rows in requests.groupBy(size.alias("n")).count().collect():  # one row per vector length
-        part = requests.filter(size == length)
-        n = -(-rows // block_rows)
-        bucket = F.pmod(F.xxhash64(key), F.lit(n))
-        blocks += [part] if n == 1 else [part.filter(bucket == i) for i in range(n)]
-    return blocks
-
-
 def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[float, float] = (0.7, 0.3),
            request_key: str = "request_id", key: str = "id", vector: str = "embedding", filters: tuple[str, ...] = (),
            keyword_only_weight: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -166,7 +152,9 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
     ``filters`` columns (null means any). ``corpus``: key, vector column, and
     the same lists and filter columns. A record without a vector scores half
     its overlap and needs some; when no candidate of a request has a vector,
-    or the request has none, overlap alone counts.
+    or the request has none, overlap alone counts. Ranks go by scores rounded to
+    nine places, so that they do not hang on how blocks were cut. A request key
+    that occurs twice is asked once.
     """
     wanted = [c for c in (request_key, "vector", "keywords", "entities", *filters) if c in requests.columns]
     lists = [c for c in ("keywords", "entities") if c in wanted]
@@ -174,46 +162,52 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
     out_schema = (f"{request_key} {requests.schema[request_key].dataType.simpleString()}, "
                   f"{key} {corpus.schema[key].dataType.simpleString()}, similarity DOUBLE, any_vector BOOLEAN, scale DOUBLE")
 
-    def run(block_df: DataFrame) -> DataFrame:
-        block = _Block(block_df.select(*wanted).toArrow(), request_key, list(filters))
-        scale = 1.0 / keyword_only_weight
-
-        def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = len(block.keys)
-            if not n:
-                return
-            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
-            seen_vector = np.zeros(n, dtype=bool)
-            step = max(1, MATRIX_CELLS // n)
-            for part in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
-                score, ok, with_vector = _score_batch(block, part, weights, vector, keyword_only_weight)
-                seen_vector |= (ok & with_vector).any(axis=1)
-                part_ids = np.asarray(part[key].to_pylist())
-                for r in range(n):
-                    top = _best(score[r], part_ids, k)
-                    if len(top):
-                        found = part_ids[top], score[r][top]
-                        if best[r] is not None:
-                            found = tuple(np.concatenate(x) for x in zip(best[r], found))
-                            keep = _best(found[1], found[0], k)
-                            found = found[0][keep], found[1][keep]
-                        best[r] = found
-            hits = [(r, b) for r, b in enumerate(best) if b is not None]
-            if hits:
-                rows = np.repeat([r for r, _ in hits], [len(b[0]) for _, b in hits])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block.keys[r] for r in rows], block.key_type),
-                    pa.array([i for _, b in hits for i in b[0].tolist()], part.schema.field(key).type),
-                    pa.array(np.concatenate([b[1] for _, b in hits])), pa.array(seen_vector[rows]),
-                    pa.array(np.where(block.has_vector[rows], scale, 1.0))],
-                    names=[request_key, key, "similarity", "any_vector", "scale"])
-
-        return corpus.select(*columns).mapInArrow(best_of_partition, out_schema)
-
-    blocks = _blocks(requests, request_key, block_rows)
-    if len(blocks) > 1:  # each block reads the corpus again
-        corpus = pin(corpus.select(*columns), "corpus")
-    merged = reduce(lambda a, b: a.unionByName(b), [run(b) for b in blocks or [requests]])
+    scale = 1.0 / keyword_only_weight
+
+    def best_of_split(asked: pa.Table, records: pa.Table) -> pa.Table:
+        block = _Block(asked, request_key, list(filters))
+        records = records.rename_columns([c.removeprefix("c_") for c in records.column_names])
+        n = len(block.keys)
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+        seen_vector = np.zeros(n, dtype=bool)
+        step = max(1, MATRIX_CELLS // max(n, 1))
+        for part in (records.slice(i, step) for i in range(0, records.num_rows, step)):
+            score, ok, with_vector = _score_batch(block, part, weights, vector, keyword_only_weight)
+            score = np.floor(score * 1e9 + 0.5) / 1e9
+            seen_vector |= (ok & with_vector).any(axis=1)
+            part_ids = np.asarray(part[key].to_pylist())
+            for r in range(n):
+                top = _best(score[r], part_ids, k)
+                if len(top):
+                    found = part_ids[top], score[r][top]
+                    if best[r] is not None:
+                        found = tuple(np.concatenate(x) for x in zip(best[r], found))
+                        keep = _best(found[1], found[0], k)
+                        found = found[0][keep], found[1][keep]
+                    best[r] = found
+        hits = [(r, b) for r, b in enumerate(best) if b is not None]
+        rows = np.repeat([r for r, _ in hits], [len(b[0]) for _, b in hits]).astype(int)
+        return pa.table({
+            request_key: pa.array([block.keys[r] for r in rows], block.key_type),
+            key: pa.array([i for _, b in hits for i in b[0].tolist()], records.schema.field(key).type),
+            "similarity": pa.array(np.concatenate([b[1] for _, b in hits]) if hits else np.zeros(0)),
+            "any_vector": pa.array(seen_vector[rows]),
+            "scale": pa.array(np.where(block.has_vector[rows], scale, 1.0))})
+
+    splits = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                 math.ceil(corpus.count() / SPLIT_ROWS))
+    blocks = max(1, math.ceil(requests.count() / block_rows))
+    asked = (requests.select(*wanted).dropDuplicates([request_key])
+             .withColumn("_length", F.coalesce(F.size("vector"), F.lit(-1)))
+             .withColumn("_block", F.pmod(F.xxhash64(request_key), F.lit(blocks)).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+    left = asked.withColumn("_split", every)
+    places = (asked.select(F.col("_length").alias("c_length"), F.col("_block").alias("c_block")).distinct()
+              .withColumn("c_split", every))
+    right = (corpus.select(*[F.col(c).alias(f"c_{c}") for c in columns])
+             .withColumn("c_split", F.pmod(F.xxhash64(f"c_{key}"), F.lit(splits)).cast("int")).join(places, "c_split"))
+    merged = left.groupBy("_length", "_block", "_split").cogroup(
+        right.groupBy("c_length", "c_block", "c_split")).applyInArrow(best_of_split, out_schema)
     per_request = Window.partitionBy(request_key)
     best = per_request.orderBy(F.desc("similarity"), key)
     ranked = merged.withColumn("any_vector", F.max("any_vector").over(per_request)).withColumn(

@@ -301,7 +301,7 @@ def _(t):
     c = F.col
     return t.file_meta.select("doc_id", joined(X.metadata_keywords(
         c("patterns"), c("frameworks"), c("api_type"), c("features"), c("api_methods"), c("entities"),
-        c("complexity"), c("error_handling"))).alias("keywords"))
+        c("complexity"), c("error_handling"), k_methods=5)).alias("keywords"))
 
 
 _GUIDE_WORDS = "list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(" \
@@ -333,7 +333,8 @@ def _(t):
        array_to_string(l[1:30], chr(10)) AS preview
        FROM (SELECT doc_id, content, string_split(content, chr(10)) AS l FROM files) WHERE contains(content, 'use')""", FILES)
 def _(t):
-    g = L.grep_lines(t.files.select("doc_id", "content"), "use", "const page|import.*lodash", r"[uU]se[A-Z][a-z]+\(", "content")
+    g = L.grep_lines(t.files.select("doc_id", "content"), "use", "const page|import.*lodash", r"[uU]se[A-Z][a-z]+\(", "content",
+                     k_definitions=10, k_usages=5, preview=30)
     return g.select("doc_id", F.array_join("definitions", "~").alias("definitions"),
                     F.array_join("usages", "~").alias("usages"), "preview")
 

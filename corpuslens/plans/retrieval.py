@@ -67,7 +67,7 @@ def _(t):
         "doc_id", V.overlap(F.col("wanted"), F.col("keywords")).alias("share"))
 
 
-# one hybrid request per vector label, with keywords, role and entity of its own
+# one hybrid request per vector label, with keywords, role and entity by the label's last digit
 _HYBRID_ROWS = [(0, "search form", None, None), (1, "rest list", "page", None), (2, "async error", None, "the"),
                 (3, "modal table", "store", None), (4, "grpc", "component", "ent"), (5, "", None, None),
                 (6, "search list form table", "api", None), (7, "modal", None, "dto"), (8, "sort", "util", None),
@@ -75,7 +75,7 @@ _HYBRID_ROWS = [(0, "search form", None, None), (1, "rest list", "page", None),
 _HYBRID = {
     **Q.FEATURES, **CENTROIDS,
     "asked": "SELECT label, vector, " + ", ".join(
-        "CASE label " + " ".join(f"WHEN {r[0]} THEN {Q.lit(r[i])}" for r in _HYBRID_ROWS) + f" END AS {n}"
+        "CASE label % 10 " + " ".join(f"WHEN {r[0]} THEN {Q.lit(r[i])}" for r in _HYBRID_ROWS) + f" END AS {n}"
         for i, n in ((1, "words"), (2, "role"), (3, "entity"))) + " FROM centroids",
     "cand": f"""SELECT c.label, f.doc_id, e.embedding IS NOT NULL AS has, {_COS} AS cos,
         {_overlap_sql("list_filter(string_split(words, ' '), lambda x: x <> '')", 'f.keywords')} AS ov
@@ -92,8 +92,8 @@ _HYBRID = {
        (SELECT *, row_number() OVER (PARTITION BY label ORDER BY floor(s * 1e9 + 0.5) DESC, doc_id) AS rank FROM sim) WHERE rank <= 10""",
        FILES, _HYBRID)
 def _(t):
-    wanted = t.spark.createDataFrame(_HYBRID_ROWS, "label INT, words STRING, file_role STRING, entity STRING")
-    asked = centroids(t.embeddings, "label").join(wanted, "label").select(
+    wanted = t.spark.createDataFrame(_HYBRID_ROWS, "digit INT, words STRING, file_role STRING, entity STRING")
+    asked = centroids(t.embeddings, "label").withColumn("digit", F.col("label") % 10).join(wanted, "digit").select(
         "label", "vector", "file_role", F.filter(F.split("words", " "), lambda w: w != "").alias("keywords"),
         F.array_compact(F.array("entity")).alias("entities"))
     corpus = t.case_store.select("doc_id", "file_role", "keywords", "entities").join(
@@ -320,7 +320,8 @@ def _(t):
        "asking": f"SELECT doc_id AS rid, api_type, list_distinct(list_transform({META_WORDS}, lambda w: lower(w))) AS keywords FROM file_meta",
        **search_ctes("asking", 5)})
 def _(t):
-    return G.guides_for(G.metadata_requests(t.file_meta), t.guides, request_key="doc_id")
+    return G.guides_for(G.metadata_requests(t.file_meta, k_methods=5), t.guides, max_guides=5, max_chars=50000,
+                        request_key="doc_id")
 
 
 _DIM_COUNTS = ", ".join(
@@ -417,8 +418,8 @@ _CONTEXT = {
 
 @query("request_context", """SELECT d.request_id, array_to_string(d.dimensions, ',') AS dimensions, coalesce(recommendations, 0) AS recommendations, project,
        coalesce(n_guides, 0) AS n_guides, coalesce(length(combined), 0) AS guide_chars, coalesce(examples, 0) AS examples, project_api, design_system,
-       CASE WHEN recommendations IS NULL THEN 'No recommendations found, skipping guide loading'
-            WHEN n_guides IS NULL THEN 'No relevant guides found for the given keywords' ELSE '' END AS warnings
+       CASE WHEN recommendations IS NULL THEN 'no_recommendations'
+            WHEN n_guides IS NULL THEN 'no_guides' ELSE '' END AS warnings
        FROM dims d LEFT JOIN found USING (request_id) LEFT JOIN gc_text g ON g.rid = d.request_id LEFT JOIN shown USING (request_id)
        LEFT JOIN facts USING (project)""", ("files", "file_meta", "requests", "guides", "manifests"), _CONTEXT)
 def _(t):
@@ -432,14 +433,14 @@ def _(t):
         F.count(F.lit(1)).alias("recommendations"), F.min_by("project", "rank").alias("project"))
     wanted = found.select("request_id").join(words, "request_id").join(C.infer_api(rows), "request_id").select(
         "request_id", F.col("all_keywords").alias("keywords"), F.when(F.col("api_type") != "any", F.col("api_type")).alias("api_type"))
-    texts = G.guides_for(wanted, t.guides).select("request_id", "n_guides", F.length("combined").alias("guide_chars"))
+    texts = G.guides_for(wanted, t.guides, max_guides=5, max_chars=50000).select("request_id", "n_guides", F.length("combined").alias("guide_chars"))
     examples = C.best_practice(requests, C.score_signatures(t.case_store, 3)).groupBy("request_id").agg(
         F.count(F.lit(1)).alias("examples"))
     facts = P.manifest_libraries(P.manifest_api_type(P.parse_manifests(t.manifests)))
     facts = facts.select(F.regexp_replace("path", "^n", "src").alias("project"), F.col("api_type").alias("project_api"), "design_system")
     warnings = F.array_compact(F.array(
-        F.when(F.col("recommendations").isNull(), F.lit("No recommendations found, skipping guide loading")),
-        F.when(F.col("recommendations").isNotNull() & F.col("n_guides").isNull(), F.lit("No relevant guides found for the given keywords"))))
+        F.when(F.col("recommendations").isNull(), F.lit("no_recommendations")),
+        F.when(F.col("recommendations").isNotNull() & F.col("n_guides").isNull(), F.lit("no_guides"))))
     return (requests.select("request_id", F.array_join("dimensions", ",").alias("dimensions"))
             .join(found, "request_id", "left").join(texts, "request_id", "left").join(examples, "request_id", "left")
             .join(facts, "project", "left").withColumn("warnings", F.array_join(warnings, "; "))

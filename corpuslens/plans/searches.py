@@ -38,9 +38,9 @@ _SHORTCUTS = [
     for n, w, k in _SHORTCUTS), FILES, Q.SCORED)
 def _(t):
     df = t.case_store.select("doc_id", "project", "file_role", "keywords", "entities", "typeUsage")
-    parts = {"keywords": A.by_keywords(df, "search", "modal"), "function": A.by_function(df, "table"),
-             "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1"),
-             "entity": A.by_entity(df, "user"), "recommended": A.recommended_code(df, "search", "page", ["the"])}
+    parts = {"keywords": A.by_keywords(df, "search", "modal", limit=10), "function": A.by_function(df, "table", limit=10),
+             "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1", limit=10),
+             "entity": A.by_entity(df, "user", limit=10), "recommended": A.recommended_code(df, "search", "page", ["the"], limit=5)}
     return reduce(lambda a, b: a.unionByName(b),
                   [p.select(F.lit(n).alias("shortcut"), "doc_id") for n, p in parts.items()])
 

@@ -34,7 +34,7 @@ def _(t):
        {Q.joined('entities')} AS entities, {Q.joined('api_methods')} AS api_methods, array_to_string(list_concat([file_type, file_role], keywords[1:5]), ',') AS tags
        FROM graded""", FILES, Q.SCORED)
 def _(t):
-    c = I.build_cases(t.files, now=F.lit("2025-06-01 00:00:00").cast("timestamp"))
+    c = I.build_cases(t.files, now=F.lit("2025-06-01 00:00:00").cast("timestamp"), tag_keywords=5)
     return c.select("doc_id", "id", "file_type", "file_role", "lines", "content_hash", "total_score", "grade",
                     *[joined(F.col(x)).alias(x) for x in ("keywords", "entities", "api_methods")], F.array_join("tags", ",").alias("tags"))
 

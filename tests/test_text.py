@@ -89,8 +89,11 @@ def test_glob_takes_other_characters_literally(spark):
 
 def test_grep_caps_are_per_file(spark):
     text = "\n".join(["const usePaging = 1"] * 12 + ["usePaging(1)"] * 7 + ["// usePaging(2)"])
-    r = L.grep_lines(spark.createDataFrame([(text,), ("none",)], "text STRING"), "usePaging", "const usePaging", r"usePaging\(").collect()
+    r = L.grep_lines(spark.createDataFrame([(text,), ("none",)], "text STRING"), "usePaging", "const usePaging", r"usePaging\(",
+                     k_definitions=10, k_usages=5, preview=30).collect()
     assert len(r) == 1 and (len(r[0].definitions), len(r[0].usages)) == (10, 5) and r[0].preview.count("\n") == 19
+    whole = L.grep_lines(spark.createDataFrame([(text,)], "text STRING"), "usePaging", "const usePaging", r"usePaging\(").first()
+    assert (len(whole.definitions), len(whole.usages)) == (12, 7)  # without limits nothing is cut
 
 
 def test_rules_are_unique():
