@@ -351,7 +351,15 @@ FILE_CATEGORY_ORDER = [
 # --- fixed values: guides
 SCOPE_RANK = {"project": 4, "repo": 3, "org": 2, "global": 1}
 
-# --- fixed values: gap to-dos
+# --- fixed values: gap to-dos, by rule (id, files, lines of code, priority); rule 5 counts its lines per method
+GAP_RULES = {
+    2: ("improve-error-handling", ["composables/**/*.ts", "server/api/**/*.ts"], 80, "high"),
+    3: ("improve-type-definitions", ["types/**/*.ts", "composables/**/*.ts"], 50, "medium"),
+    4: ("reduce-complexity", ["**/*.ts", "**/*.vue"], 100, "medium"),
+    5: ("add-missing-api-methods", ["composables/useApi.ts", "server/api/**/*.ts"], 20, "low"),
+    6: ("use-better-components", ["pages/**/*.vue", "components/**/*.vue"], 40, "low"),
+}
+# --- fixed values: files, lines of code and priority of a missing pattern
 PATTERN_FILES = {
     "interceptor": "composables/useGrpcClient.ts",
     "error-recovery": "composables/useErrorHandler.ts",

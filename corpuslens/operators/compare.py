@@ -13,10 +13,11 @@ PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 def compare(pairs: DataFrame, rollup: DataFrame, missing: DataFrame) -> DataFrame:
     """One row per (project, exemplar): counts of missing values and quality gaps in points.
 
-    ``missing``: long rows from ``joins.anti_join_missing``.
+    ``missing``: counts from ``joins.missing_counts``, or the long rows of ``joins.anti_join_missing``.
     """
+    n = F.col("n") if "n" in missing.columns else F.lit(1)
     lacking = missing.groupBy("project", "exemplar").agg(
-        *[F.count_if(F.col("field") == f).alias(name) for f, name in
+        *[F.coalesce(F.sum(F.when(F.col("field") == f, n)), F.lit(0)).alias(name) for f, name in
           (("patterns", "missing_patterns"), ("api_methods", "unused_methods"), ("components_used", "unused_components"))])
 
     def side(prefix: str, key: str) -> DataFrame:
@@ -52,19 +53,19 @@ def gap_todos(compared: DataFrame, missing: DataFrame) -> DataFrame:
     c = F.col
     levels = F.concat(F.lit(" ("), c("project_complexity"), F.lit(" against "), c("exemplar_complexity"), F.lit(")"))
     points = lambda name: F.concat(F.lit("behind by "), c(name).cast("string"), F.lit(" points"))
+
+    def rule(number: int, reason: Column, times: Column | None = None) -> Column:
+        todo, files, loc, priority = R.GAP_RULES[number]
+        return _todo(number, todo, reason, files, F.lit(loc) if times is None else times * loc, priority)
+
     rules = F.array_compact(F.array(
-        F.when(c("error_handling_gap") > 20, _todo(2, "improve-error-handling", points("error_handling_gap"),
-               ["composables/**/*.ts", "server/api/**/*.ts"], F.lit(80), "high")),
-        F.when(c("type_quality_gap") > 20, _todo(3, "improve-type-definitions", points("type_quality_gap"),
-               ["types/**/*.ts", "composables/**/*.ts"], F.lit(50), "medium")),
-        F.when(c("complexity_difference") > 1, _todo(4, "reduce-complexity", F.concat(F.lit("more complex"), levels),
-               ["**/*.ts", "**/*.vue"], F.lit(100), "medium")),
-        F.when(c("unused_methods") > 0, _todo(5, "add-missing-api-methods",
-               F.concat(c("unused_methods").cast("string"), F.lit(" more api methods in the exemplar")),
-               ["composables/useApi.ts", "server/api/**/*.ts"], c("unused_methods") * 20, "low")),
-        F.when(c("unused_components").between(1, 10), _todo(6, "use-better-components",
-               F.concat(c("unused_components").cast("string"), F.lit(" components of the exemplar unused")),
-               ["pages/**/*.vue", "components/**/*.vue"], F.lit(40), "low"))))
+        F.when(c("error_handling_gap") > 20, rule(2, points("error_handling_gap"))),
+        F.when(c("type_quality_gap") > 20, rule(3, points("type_quality_gap"))),
+        F.when(c("complexity_difference") > 1, rule(4, F.concat(F.lit("more complex"), levels))),
+        F.when(c("unused_methods") > 0, rule(
+            5, F.concat(c("unused_methods").cast("string"), F.lit(" more api methods in the exemplar")), c("unused_methods"))),
+        F.when(c("unused_components").between(1, 10), rule(
+            6, F.concat(c("unused_components").cast("string"), F.lit(" components of the exemplar unused"))))))
     by_rule = compared.select("project", "exemplar", F.explode(rules).alias("t")).select("project", "exemplar", "t.*")
     p = F.col("value")
     capital = F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2), F.length(p)))

@@ -21,10 +21,11 @@ def join_postings(postings: DataFrame, cases: DataFrame, key: str = "id") -> Dat
 def join_guides_by_id(requests: DataFrame, guides: DataFrame, ids: str = "wanted", key: str = "request_id") -> DataFrame:
     """Guides a request names, in the order it names them; unknown ids drop out.
 
-    A repeated id counts at its first place.
+    ``position`` counts all named ids from 1; a repeated id counts at its first place.
     """
-    wanted = requests.select(key, F.posexplode(F.array_distinct(ids)).alias("position", "id"))
-    return wanted.join(guides, "id")
+    wanted = requests.select(key, F.posexplode(ids).alias("position", "id"))
+    first = wanted.groupBy(key, "id").agg((F.min("position") + 1).cast("bigint").alias("position"))
+    return first.join(guides, "id")
 
 
 def first_with_value(df: DataFrame, by: str, values: str, order: str, path: str) -> DataFrame:
@@ -90,6 +91,23 @@ def anti_join_missing(pairs: DataFrame, values: DataFrame, fields: list[str] | N
     return offered.join(own, ["project", "field", "value"], "left_anti")
 
 
+def missing_counts(pairs: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
+    """How many exemplar values each paired project lacks: (project, exemplar, field, n).
+
+    The exemplar's values less those the project has too. The project's own rows meet the exemplar's by equality, so
+    the work follows the projects' values and an exemplar of many projects is not repeated for each.
+    """
+    values = values.filter(F.col("field").isin(fields))
+    offered = pairs.select("project", "exemplar").join(
+        values.groupBy(F.col("project").alias("exemplar"), "field").agg(F.count(F.lit(1)).alias("offered")), "exemplar")
+    own = pairs.select("project", "exemplar").join(values.select("project", "field", "value"), "project")
+    theirs = values.select(F.col("project").alias("exemplar"), "field", "value")
+    shared = (own.join(theirs, ["exemplar", "field", "value"]).groupBy("project", "exemplar", "field")
+              .agg(F.count(F.lit(1)).alias("shared")))
+    return offered.join(shared, ["project", "exemplar", "field"], "left").select(
+        "project", "exemplar", "field", (F.col("offered") - F.coalesce("shared", F.lit(0))).alias("n"))
+
+
 def except_patterns(pairs: DataFrame, values: DataFrame, field: str = "patterns") -> DataFrame:
     """Set form for one field: exemplar rows of every pair EXCEPT the project's own rows."""
     pairs, values = pairs.select("project", "exemplar"), values.filter(F.col("field") == field)

@@ -154,6 +154,8 @@ def catalogue(spark: SparkSession, entries=R.CATALOGUE) -> DataFrame:
 def catalog_enrich(meta: DataFrame, catalog: DataFrame) -> DataFrame:
     """Uses per project and catalogue slot; items not in the catalogue count as unknown.
 
+    A name that the catalogue lists more than once is counted once, as ambiguous.
+
     Uses are counted per (project, kind, name) before the lookup join, so a
     component that fills a third of the corpus is one row there.
     """
@@ -162,7 +164,10 @@ def catalog_enrich(meta: DataFrame, catalog: DataFrame) -> DataFrame:
 
     counted = (uses("components_used", "component").unionByName(uses("composables_used", "function"))
                .groupBy("project", "kind", "name").agg(F.count(F.lit(1)).alias("n")))
-    return (counted.join(catalog, ["kind", "name"], "left")
+    several = F.count(F.lit(1)) > 1
+    known = catalog.groupBy("kind", "name").agg(
+        *[F.when(several, "ambiguous").otherwise(F.first(c)).alias(c) for c in ("library", "slot")])
+    return (counted.join(known, ["kind", "name"], "left")
             .groupBy("project", "kind", F.coalesce("library", F.lit("unknown")).alias("library"),
                      F.coalesce("slot", F.lit("unknown")).alias("slot"))
             .agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("names")))

@@ -106,7 +106,9 @@ def recommend_page(cases: DataFrame, files: DataFrame, analysis: dict, k: int =
     criteria["tags"] = analysis.get("features")
     sources = similar(cases, criteria, min_score=35, k=5).select(
         F.col("id").alias("case_id"), F.col("project").alias("source_project"), "match_score")
-    ranked = relevance(files, sources, analysis, keep_text=True).filter(F.col("relevance") >= min_relevance)
+    # the five cases come first: only their files are read as text
+    chosen = files.join(sources.select("case_id"), "case_id", "left_semi")
+    ranked = relevance(chosen, sources, analysis, keep_text=True).filter(F.col("relevance") >= min_relevance)
     ranked = ranked.withColumn("file_name", X.base_name(F.col("path")))
     best = keep_best(ranked, ["file_category", "file_name"], F.desc("relevance"), "case_id", "path")
     return best.orderBy(F.desc("relevance"), "case_id", "path").limit(k)

@@ -162,14 +162,18 @@ def _(t):
 
 # a catalogue of our own vocabulary, so that lookups hit the derived names
 HOUSE = [("house-kit", "component", {"table": ["ElThe", "ElAnd", "ElThat"], "card": ["TheCard", "AndCard", "TheseCard"]}),
-         ("house-utils", "function", {"state": "useThe useAnd", "network": "useThat useThan"})]
+         ("house-utils", "function", {"state": ["useThe", "useAnd"], "network": ["useThat", "useThan"]})]
 _HOUSE_ROWS = ", ".join(f"({', '.join(map(Q.lit, r))})" for r in R.catalogue_rows(R.CATALOGUE + HOUSE))
 
 
-@query("catalog_enrich", f"""SELECT project, kind, coalesce(library, 'unknown') AS library, coalesce(slot, 'unknown') AS slot,
-       sum(n)::BIGINT AS uses, count(*) AS names FROM uses LEFT JOIN (VALUES {_HOUSE_ROWS}) c(library, kind, slot, name) USING (kind, name)
+@query("catalog_enrich", f"""SELECT project, kind, library, slot, sum(n)::BIGINT AS uses, count(*) AS names FROM (
+       SELECT project, kind, name, n, CASE places WHEN 0 THEN 'unknown' WHEN 1 THEN one.library ELSE 'ambiguous' END AS library,
+       CASE places WHEN 0 THEN 'unknown' WHEN 1 THEN one.slot ELSE 'ambiguous' END AS slot FROM (
+         SELECT *, (SELECT count(*) FROM house h WHERE h.kind = u.kind AND h.name = u.name) AS places,
+         (SELECT any_value(h) FROM house h WHERE h.kind = u.kind AND h.name = u.name) AS one FROM uses u))
        GROUP BY ALL""", META,
-       {"uses": f"""SELECT project, kind, name, count(*) AS n FROM (
+       {"house": f"SELECT * FROM (VALUES {_HOUSE_ROWS}) c(library, kind, slot, name)",
+        "uses": f"""SELECT project, kind, name, count(*) AS n FROM (
             SELECT project, 'component' AS kind, unnest({Q.split('components_used_s')}) AS name FROM file_meta UNION ALL
             SELECT project, 'function', unnest({Q.split('composables_used_s')}) FROM file_meta) GROUP BY ALL"""})
 def _(t):

@@ -26,29 +26,37 @@ COMPARED = {**MISSING, "compared": f"""SELECT q.project, q.exemplar, p.complexit
 
 
 def compared(t):
-    missing = J.anti_join_missing(pairs(t), fine_values(t), COMPARED_FIELDS)
-    return K.compare(pairs(t), fine_rollup(t), missing), missing
+    counts = J.missing_counts(pairs(t), fine_values(t), COMPARED_FIELDS)
+    return K.compare(pairs(t), fine_rollup(t), counts)
 
 
 @query("compare_projects", "SELECT * FROM compared", META, COMPARED)
 def _(t):
-    return compared(t)[0]
+    return compared(t)
 
 
 def _rules_sql():
-    rows = [("2", "'improve-error-handling'", "80", "'high'", "error_handling_gap > 20"),
-            ("3", "'improve-type-definitions'", "50", "'medium'", "type_quality_gap > 20"),
-            ("4", "'reduce-complexity'", "100", "'medium'", "complexity_difference > 1"),
-            ("5", "'add-missing-api-methods'", "unused_methods * 20", "'low'", "unused_methods > 0"),
-            ("6", "'use-better-components'", "40", "'low'", "unused_components BETWEEN 1 AND 10")]
-    return " UNION ALL ".join(f"SELECT project, exemplar, {r} AS rule_no, {i} AS todo, {l}::BIGINT AS loc, {p} AS priority FROM compared WHERE {w}"
-                              for r, i, l, p, w in rows)
+    tests = {2: "error_handling_gap > 20", 3: "type_quality_gap > 20", 4: "complexity_difference > 1",
+             5: "unused_methods > 0", 6: "unused_components BETWEEN 1 AND 10"}
+
+    def row(number, test):
+        todo, files, loc, priority = R.GAP_RULES[number]
+        lines = f"unused_methods * {loc}" if number == 5 else str(loc)
+        return (f"SELECT project, exemplar, {number} AS rule_no, {Q.lit(todo)} AS todo, {Q.lit(', '.join(files))} AS files, "
+                f"({lines})::BIGINT AS loc, {Q.lit(priority)} AS priority FROM compared WHERE {test}")
+    return " UNION ALL ".join(row(*t) for t in tests.items())
+
+
+_PATTERN_FILE = Q.lookup("value", R.PATTERN_FILES,
+                         "('composables/use' || upper(substr(value, 1, 1)) || substr(value, 2) || '.ts')")
 
 
 @query("gap_todos", f"""{_rules_sql()} UNION ALL SELECT project, exemplar, 1, 'add-' || value || '-pattern',
-       {Q.lookup('value', R.PATTERN_LOC, 20)}, {Q.lookup('value', R.PATTERN_PRIORITY, 'low')} FROM missing WHERE field = 'patterns'""", META, COMPARED)
+       {_PATTERN_FILE}, {Q.lookup('value', R.PATTERN_LOC, 20)}, {Q.lookup('value', R.PATTERN_PRIORITY, 'low')} FROM missing WHERE field = 'patterns'""", META, COMPARED)
 def _(t):
-    return K.gap_todos(*compared(t)).select("project", "exemplar", "rule_no", "todo", "loc", "priority")
+    patterns = J.anti_join_missing(pairs(t), fine_values(t), ["patterns"])
+    todos = K.gap_todos(compared(t), patterns)
+    return todos.select("project", "exemplar", "rule_no", "todo", F.array_join("files", ", ").alias("files"), "loc", "priority")
 
 
 @query("reference_files_top3", f"""SELECT project, kind, rank, path, doc_id, score, {tier_sql('score')} AS tier FROM

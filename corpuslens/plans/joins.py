@@ -39,11 +39,7 @@ def _(t):
        (SELECT request_id, {Q.split('wanted_s')} AS w FROM requests)) GROUP BY ALL) JOIN guides USING (id)""",
        ("requests", "guides"))
 def _(t):
-    # places count all named ids; a repeat does not move later ones
-    wanted = t.requests.select("request_id", F.posexplode("wanted").alias("p", "id"))
-    first = wanted.groupBy("request_id", "id").agg((F.min("p") + 1).cast("bigint").alias("position"))
-    ordered = J.join_guides_by_id(t.requests, t.guides.select("id", "priority"))
-    return ordered.drop("position").join(first, ["request_id", "id"]).select("request_id", "id", "position", "priority")
+    return J.join_guides_by_id(t.requests, t.guides.select("id", "priority")).select("request_id", "id", "position", "priority")
 
 
 # projects of finer grain, so that api types differ between them
