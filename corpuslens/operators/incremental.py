@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens.functions import rules as R, scoring as S, text as X
@@ -144,6 +147,26 @@ def outcome_stats(df: DataFrame, by: str, outcome: str, failed: str = "error") -
     return counts.unionByName(overall).withColumn("failed", F.col(outcome) == failed)
 
 
+def run_with_retries(pending: DataFrame, work: Callable[[DataFrame], DataFrame], max_retries: int = 3) -> DataFrame:
+    """Run ``work`` on the pending rows, and again on those that fail, until all are done or parked.
+
+    ``pending`` has a ``retry_count`` from earlier runs; ``work`` returns its rows with an ``error`` column (null: done).
+    Every round is a written table, so a lost executor or a stopped run goes on from the last round. Returns all
+    rows with ``status`` (done or parked) and their count of tries.
+    """
+    parked = pending.filter(F.col("retry_count") >= max_retries).withColumn("status", F.lit("parked"))
+    left, ended = pending.filter(F.col("retry_count") < max_retries), [parked]
+    while True:
+        tried = pin(work(left), "attempt").withColumn("retry_count", F.col("retry_count") + 1)
+        failed = F.col("error").isNotNull()
+        ended.append(tried.filter(~failed).withColumn("status", F.lit("done")).select(parked.columns))
+        ended.append(tried.filter(failed & (F.col("retry_count") >= max_retries)).withColumn("status", F.lit("parked"))
+                     .select(parked.columns))
+        left = tried.filter(failed & (F.col("retry_count") < max_retries)).select(pending.columns)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+
+
 def retry_plan(failures: DataFrame, max_retries: int = 3) -> DataFrame:
     """Split failures into the next retry round and those that stay parked."""
     again = F.col("retry_count") < max_retries

@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -224,27 +225,32 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, request_key: str =
                   block_rows=block_rows)
 
 
-def embed(df: DataFrame, text: str, encode=None, dim: int = 64, out: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, text: str, encode=None, dim: int = 64, out: str = "embedding", load=None) -> DataFrame:
     """Add a vector per text by ``encode(list[str]) -> list[vector | None]``.
 
+    ``load() -> encode`` instead makes the encoder once per task, for models.
     Runs in Arrow batches, as parallel as the input is partitioned. A batch
     that fails is retried text by text, and a text that fails is left null.
     The default encoder needs no model: hashed word counts, unit length.
     """
-    fn = encode or (lambda texts: hashed_counts(texts, dim))
+    given = encode or (lambda texts: hashed_counts(texts, dim))
 
     @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = load() if load else given
+
         def one(value):
             try:
                 return fn([value])[0]
             except Exception:
                 return None
-        values = texts.tolist()
-        try:
-            return pd.Series([None if v is None else np.asarray(v, dtype="float32") for v in fn(values)])
-        except Exception:
-            return pd.Series([one(v) for v in values])
+
+        for texts in batches:
+            values = texts.tolist()
+            try:
+                yield pd.Series([None if v is None else np.asarray(v, dtype="float32") for v in fn(values)], dtype=object)
+            except Exception:
+                yield pd.Series([one(v) for v in values], dtype=object)
 
     return df.withColumn(out, vectors(F.col(text)))
 

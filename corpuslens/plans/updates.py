@@ -70,6 +70,20 @@ def _(t):
     return I.retry_plan(t.failures).withColumn("attempt", F.coalesce("attempt", F.lit(0)))
 
 
+@query("retry_until_parked", """SELECT event_id, CASE WHEN event_id % 5 < 3 - retry_count THEN 'done' ELSE 'parked' END AS status,
+       least(3, retry_count + event_id % 5 + 1) AS retry_count FROM failures WHERE retry_count < 3
+       UNION ALL SELECT event_id, 'parked', retry_count FROM failures WHERE retry_count >= 3""", ("failures",))
+def _(t):
+    """Work that succeeds at its (event_id % 5 + 1)-th try, from where earlier runs have left it."""
+    def work(pending):
+        tries = F.col("retry_count") - F.col("before")
+        return pending.withColumn("error", F.when(F.col("event_id") % 5 != tries, "not yet"))
+
+    pending = t.failures.select("event_id", "retry_count", F.col("retry_count").alias("before"))
+    done = I.run_with_retries(pending, work)
+    return done.select("event_id", "status", F.col("retry_count").cast("bigint").alias("retry_count"))
+
+
 # --- stored project records of three shapes, built from the flat view
 
 def stored_records(t):
@@ -289,7 +303,7 @@ _GUARDED = "(contains(content, 'try') AND contains(content, 'catch'))"
        CASE WHEN contains(content, 'interface ') THEN 'good' ELSE 'poor' END AS type_definitions, {_LINES} AS lines_of_code,
        {_GUARDED} AND contains(content, 'interface ') AS is_excellent, CAST(NULL AS VARCHAR) AS error FROM files""", FILES)
 def _(t):
-    return N.annotate(t.files, N.rule_annotator)
+    return N.rule_annotations(t.files)
 
 
 _HAS_API = "(contains(content, 'client.') OR contains(content, 'axios') OR contains(content, 'fetch('))"

@@ -20,9 +20,13 @@ def relative_path(path: Column, root: str) -> Column:
     return F.substr(plain, F.lit(len(bare) + 1))
 
 
-def read_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """Whole files as text with their path below ``root``."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+def read_text_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
+    """Whole files as text with their path below ``root``; of other extensions only names are listed, never contents."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(any_case) + "}")
+    raw = reader.load(root)
     return raw.select(relative_path(F.col("path"), root).alias("relative_path"),
                       F.col("content").cast("string").alias("content"))
 
@@ -113,5 +117,5 @@ def typed_guides(df: DataFrame, path: str = "relative_path") -> DataFrame:
 
 def read_guides(spark: SparkSession, root: str) -> DataFrame:
     """Every ``.md`` file with front matter below ``root``."""
-    texts = read_text_files(spark, root).filter(F.col("relative_path").endswith(".md"))
+    texts = read_text_files(spark, root, ["md"]).filter(F.col("relative_path").endswith(".md"))
     return typed_guides(front_matter(texts))

@@ -116,7 +116,7 @@ def test_one_bad_file_costs_only_itself(spark):
 
     rows = {r.doc_id: r for r in N.annotate(scan(spark).coalesce(1), model, batch_size=2).collect()}
     assert {i: r.error for i, r in rows.items()} == {1: None, 2: None, 3: "ValueError: cannot read", 4: None}
-    assert (rows[3].complexity, rows[3].lines_of_code, rows[1].lines_of_code) == ("low", None, 1)
+    assert (rows[3].complexity, rows[3].category, rows[3].lines_of_code, rows[1].lines_of_code) == ("low", "page", 1, 1)
     assert rows[1].category == "page"
 
 
