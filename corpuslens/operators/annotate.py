@@ -50,6 +50,7 @@ def annotate(df: DataFrame, fn: Annotator, schema: str = ANNOTATION_SCHEMA, defa
     key_type = df.schema[key].dataType.simpleString()
     derived = {f: c for f, c in (("category", X.annotation_category(F.col(path))),
                                  ("lines_of_code", X.line_count(F.col(text)))) if f in fields}
+    told = [f"_{f}" for f in derived]
 
     def attempt(paths: list[str], texts: list[str], known: list[dict]) -> list[dict]:
         try:
@@ -66,7 +67,7 @@ def annotate(df: DataFrame, fn: Annotator, schema: str = ANNOTATION_SCHEMA, defa
         for pdf in batches:
             texts = pdf[text] if max_chars is None else pdf[text].str.slice(0, max_chars)
             rows: list[dict] = []
-            known = pdf[[f"_{f}" for f in derived]].rename(columns=lambda c: c[1:]).to_dict("records")
+            known = pdf[told].rename(columns=lambda c: c[1:]).to_dict("records")
             for i in range(0, len(pdf), batch_size):
                 part = slice(i, i + batch_size)
                 rows += attempt(pdf[path].iloc[part].tolist(), texts.iloc[part].tolist(), known[part])
