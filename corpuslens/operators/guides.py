@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.functions import rules as R, text as X
 from corpuslens.functions.scoring import lookup
 from corpuslens.operators.joins import mandatory_ids, union_distinct_ids
-from corpuslens.operators.strings import substring_pairs
+from corpuslens.operators.strings import substring_matches
 from corpuslens.sources.store import pin
 
 OPTIONAL = {"api_type": "string", "scope": "string", "design_system": "string", "utility_library": "string",
@@ -31,8 +31,8 @@ def keyword_points(words: DataFrame, guides: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("summary").alias("field"), F.lower("summary").alias("hay")),
                 F.struct(F.lit("content").alias("field"), F.lower("content").alias("hay"))))).alias("x")).select("id", "x.*")
     lowered = words.select("keyword", F.lower("keyword").alias("needle")).distinct()
-    hits = substring_pairs(lowered, texts, "needle", "hay")
-    per_field = texts.join(hits, "hay").join(lowered, "needle").select("keyword", "id", "field").distinct()
+    hits = substring_matches(lowered, texts, "needle", "hay", ["id", "field"])
+    per_field = hits.join(lowered, "needle").select("keyword", "id", "field").distinct()
     return per_field.groupBy("keyword", "id").agg(F.sum(lookup(F.col("field"), KEYWORD_POINTS)).alias("points"))
 
 

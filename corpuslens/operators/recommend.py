@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import rules as R, text as X
 from corpuslens.operators.strings import substring_pairs
-from corpuslens.operators.vectors import overlap
 from corpuslens.sources.store import pin
 
 ANY = "*"
@@ -56,10 +55,16 @@ def recommend(requests: DataFrame, corpus: DataFrame, k: int = 5, request_key: s
                      [*group, "entity"], k, key)
     pool = everything.select(key, *group, "entity").unionByName(named)
 
-    scored = (anchors.join(pool, "entity")
-              .filter(F.col("want_role").isNull() | (F.col("want_role") == F.col(role)))
-              .withColumn("similarity", overlap(F.col("wanted"), F.col("present")))
-              .filter("similarity > 0").select("sig", key, "similarity").distinct())
+    # postings by entity, role and keyword: a request meets only records that hold one of its words
+    words = substring_pairs(sigs.select(F.explode("wanted").alias("word")),
+                            cases.select(F.explode("present").alias("held")), "word", "held")
+    asked = (anchors.select("sig", "entity", F.coalesce("want_role", F.lit(ANY)).alias("role_key"),
+                            F.size("wanted").alias("n_wanted"), F.explode("wanted").alias("word")).join(words, "word"))
+    posted = pool.select(key, "entity", F.explode(F.array(F.col(role), F.lit(ANY))).alias("role_key"), "present").select(
+        key, "entity", "role_key", F.explode("present").alias("held"))
+    hits = asked.join(posted, ["entity", "role_key", "held"]).select("sig", key, "n_wanted", "word").distinct()
+    scored = hits.groupBy("sig", key, "n_wanted").agg(
+        (F.count(F.lit(1)) / F.greatest("n_wanted", F.lit(1))).alias("similarity")).drop("n_wanted")
     order = Window.partitionBy("sig").orderBy(F.desc("similarity"), key)
     best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return req.select(request_key, "sig").join(best, "sig").select(request_key, "rank", key, "similarity")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpuslens.operators import joins as J, migrate as H, packages as P, vectors as V
+from corpuslens.operators.strings import substring_matches
 
 
 def test_missing_counts_are_the_counts_of_missing_values(spark):
@@ -50,3 +51,13 @@ def test_top_k_is_the_same_for_any_number_of_blocks(spark):
     results = [sorted(map(tuple, V.top_k(asks, corpus, 4, block_rows=n).collect()))
                for asks, n in ((asked, 4096), (asked, 3), (twice, 7))]
     assert results[0] == results[1] == results[2] and len(results[0]) == 80
+
+
+def test_substrings_of_long_texts_by_key(spark):
+    long = "x" * 500_000 + "needle" + "y" * 500_000
+    hays = spark.createDataFrame([(1, "a", long), (1, "b", "Nee dle"), (2, "a", "日本語 😀 n"), (3, "a", ""), (4, "a", None)],
+                                 "id INT, field STRING, hay STRING")
+    needles = spark.createDataFrame([(n,) for n in ("needle", "n", "本語", "😀", "", "eed", "xyz", "日本語 😀")], "needle STRING")
+    got = {(r.needle, r.id, r.field) for r in substring_matches(needles, hays, "needle", "hay", ["id", "field"]).collect()}
+    texts = {(r.id, r.field): r.hay or "" for r in hays.collect()}
+    assert got == {(n.needle, *k) for n in needles.collect() for k, t in texts.items() if n.needle and n.needle in t}
