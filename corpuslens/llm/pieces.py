@@ -20,7 +20,6 @@ import sys
 import types
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +30,8 @@ from corpuslens.llm.common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 400_000     # words kept per worker
+CACHE = 500_000             # words kept per worker
+GROUP_CHARS = 1 << 20       # text segmented at once
 # Fixed value: what an unknown character costs beyond the worst piece.
 UNKNOWN = 10.0
 _NEVER = -float("inf")
@@ -136,7 +136,46 @@ def normal(text: str) -> str:
     return SPACE + text.replace(SPACE, _ESCAPED).replace(" ", SPACE)
 
 
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+def word_pattern(vocabulary: Vocabulary) -> re.Pattern:
+    """Words with the spaces before them; line ends and the like stand alone if no piece holds them."""
+    used = {c for piece in vocabulary.pieces for c in piece}
+    alone = re.escape("".join(c for c in "\n\t\r\x0b\x0c" + _ESCAPED if c not in used) or _ESCAPED)
+    return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
+
+
+class Trie:
+    """The pieces as arrays: a walk advances many positions of many words by one character at a time."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        children: list[dict[str, int]] = [{}]
+        entry: list[tuple[int, float]] = [(-1, _NEVER)]
+        for piece, found in vocabulary.pieces.items():
+            at = 0
+            for c in piece:
+                if c not in children[at]:
+                    children[at][c] = len(children)
+                    children.append({})
+                    entry.append((-1, _NEVER))
+                at = children[at][c]
+            entry[at] = found
+        letters = sorted({c for piece in vocabulary.pieces for c in piece})
+        self.letter = np.zeros(0x110000, dtype=np.int32)      # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        self.width = len(letters) + 1
+        steps = sorted((at * self.width + number[c], to) for at, next_ in enumerate(children)
+                       for c, to in next_.items())
+        self.keys = np.array([k for k, _ in steps] or [-1], dtype=np.int64)
+        self.to = np.array([t for _, t in steps] or [0], dtype=np.int64)
+        self.id = np.array([i for i, _ in entry], dtype=np.int32)
+        self.score = np.array([s for _, s in entry])
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which go on, their states)"""
+        key = state * self.width + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        on = np.flatnonzero(self.keys[at] == key)
+        return on, self.to[at[on]]
 
 
 class Encoder:
@@ -144,76 +183,99 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, ranked: bool = True, cache: int = CACHE):
         self.vocabulary, self.ranked, self.limit = vocabulary, ranked, cache
-        self.words: dict[str, tuple[bytes, float, float]] = {}
-        self.names = vocabulary.names()
-        # pieces and their beginnings (id -1), so that a lookup can stop where no piece goes on
-        self.table: dict[str, tuple[int, float]] = {}
-        for piece, entry in vocabulary.pieces.items():
-            for n in range(1, len(piece)):
-                self.table.setdefault(piece[:n], (-1, 0.0))
-            self.table[piece] = entry
+        self.words: dict[str, tuple[bytes, float, float]] = {}      # ids as bytes, score, loss of the second choice
+        names = vocabulary.names()
+        ordered = [names[i] for i in range(max(names, default=0) + 1)] + [b""]      # the last: ids without a name
+        self.letters = np.frombuffer(b"".join(ordered) or b" ", dtype=np.uint8)
+        self.sizes = np.array([len(n) for n in ordered], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.trie, self.pattern = Trie(vocabulary), word_pattern(vocabulary)
 
     def word(self, word: str) -> tuple[bytes, float, float]:
-        """(ids as bytes, score, loss of the second choice), by one pass forward and one back.
-
-        The second choice is the best path over any arc that is not on the best path.
-        """
-        get, n = self.table.get, len(word)
-        forward, begins, own = [0.0] + [_NEVER] * n, [0] * (n + 1), [0] * (n + 1)
-        arcs = []
-        for i in range(n):
-            base = forward[i]
-            known = False
-            for j in range(i + 1, n + 1):
-                got = get(word[i:j])
-                if got is None:
-                    break
-                piece, s = got
-                if piece < 0:
-                    continue
-                known = known or j == i + 1
-                arcs.append((i, j, s))
-                s += base
-                if s > forward[j]:      # ties stay with the longer last piece
-                    forward[j], begins[j], own[j] = s, i, piece
-            if not known:
-                s = self.vocabulary.unknown_score
-                arcs.append((i, i + 1, s))
-                if base + s > forward[i + 1]:
-                    forward[i + 1], begins[i + 1], own[i + 1] = base + s, i, -1
-        ids: list[int] = []
-        on_best, j = [-1] * (n + 1), n
-        while j:
-            i = on_best[j] = begins[j]
-            if own[j] >= 0:
-                ids.append(own[j])
-            else:
-                ids.extend(reversed(self.vocabulary.unknown_ids(word[i])))
-            j = i
-        ids.reverse()
-        second = _NEVER
-        if self.ranked:
-            rest = [_NEVER] * n + [0.0]
-            for i, j, s in reversed(arcs):
-                s += rest[j]
-                if s > rest[i]:
-                    rest[i] = s
-                if on_best[j] != i and forward[i] + s > second:
-                    second = forward[i] + s
-        if len(self.words) >= self.limit:
+        """One word, for those that are long or hold unknown characters."""
+        two = Lattice(self.vocabulary, word).n_best(2 if self.ranked else 1)
+        loss = two[0][1] - two[1][1] if len(two) > 1 else -_NEVER
+        return array("i", two[0][0]).tobytes(), two[0][1], loss
+
+    def learn(self, words) -> None:
+        """Put words into the cache, those of one length together."""
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > self.limit:
             self.words.clear()
-        out = self.words[word] = (array("i", ids).tobytes(), forward[n], max(0.0, forward[n] - second))
-        return out
+            new = set(words)
+        by_length = defaultdict(list)
+        for w in new:
+            by_length[len(w)].append(w)
+        for n, group in by_length.items():
+            for begin in range(0, len(group), 2048):
+                self._learn(n, group[begin:begin + 2048])
+
+    def _learn(self, n: int, words: list[str]) -> None:
+        longest = min(self.vocabulary.longest, n)
+        if n > 64 or not len(self.vocabulary.pieces):
+            self.words.update((w, self.word(w)) for w in words)
+            return
+        m = len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(m, n).T
+        letter = self.trie.letter[codes]                    # position x word
+        score = np.full((longest, n, m), _NEVER)            # of the piece of a length that begins at a position
+        ids = np.full((longest, n, m), -1, dtype=np.int32)
+        begin, word = (x.ravel() for x in np.indices((n, m)))
+        state = np.zeros(len(begin), dtype=np.int64)
+        for size in range(longest):
+            on, state = self.trie.step(state, letter[begin + size, word])
+            begin, word = begin[on], word[on]
+            score[size, begin, word] = self.trie.score[state]
+            ids[size, begin, word] = self.trie.id[state]
+            inside = begin + size + 1 < n
+            begin, word, state = begin[inside], word[inside], state[inside]
+        plain = (ids[0] >= 0).all(axis=0)                   # every character is a piece
+        forward, size_of = np.zeros((n + 1, m)), np.zeros((n + 1, m), dtype=np.int64)
+        for end in range(1, n + 1):
+            best = np.full(m, _NEVER)
+            for size in range(min(longest, end), 0, -1):    # ties stay with the longer last piece
+                s = forward[end - size] + score[size - 1, end - size]
+                better = s > best
+                best = np.where(better, s, best)
+                size_of[end][better] = size
+            forward[end] = best
+        taken = np.full((n, m), -1, dtype=np.int32)         # id of the piece that begins at a position
+        on_best = np.zeros((longest, n, m), dtype=bool)
+        column, end = np.arange(m)[plain], np.full(int(plain.sum()), n)
+        while len(column):
+            size = size_of[end, column]
+            end = end - size
+            taken[end, column] = ids[size - 1, end, column]
+            on_best[size - 1, end, column] = True
+            column, end = column[end > 0], end[end > 0]
+        loss = np.full(m, -_NEVER)
+        if self.ranked:
+            rest, second = np.full((n + 1, m), _NEVER), np.full(m, _NEVER)
+            rest[n] = 0.0
+            for i in range(n - 1, -1, -1):
+                for size in range(1, min(longest, n - i) + 1):
+                    s = score[size - 1, i] + rest[i + size]
+                    rest[i] = np.maximum(rest[i], s)
+                    second = np.maximum(second, np.where(on_best[size - 1, i], _NEVER, forward[i] + s))
+            loss[plain] = np.maximum(0.0, forward[n][plain] - second[plain])
+        raw = taken.T[taken.T >= 0].tobytes()
+        ends = (4 * np.cumsum((taken >= 0).sum(axis=0))).tolist()
+        begins = [0] + ends[:-1]
+        for w, i, j, s, lost, ok in zip(words, begins, ends, forward[n].tolist(), loss.tolist(), plain.tolist()):
+            self.words[w] = (raw[i:j], s, lost) if ok else self.word(w)
 
     def split(self, text: str) -> list[str]:
         whole = normal(text)
-        return [whole] if self.vocabulary.crossing else _WORDS.findall(whole)
+        return [whole] if self.vocabulary.crossing else self.pattern.findall(whole)
 
-    def encode(self, text: str, k: int = 1) -> list[tuple[np.ndarray, float]]:
+    def encode(self, text: str, k: int = 1, words: list[str] | None = None) -> list[tuple[np.ndarray, float]]:
         """The ``k`` best segmentations of the text, as ids and scores; fewer if there are fewer."""
-        words = self.split(text)
-        get, make = self.words.get, self.word
-        raw, scores, loss = zip(*[get(w) or make(w) for w in words])
+        words = self.split(text) if words is None else words
+        try:
+            raw, scores, loss = zip(*map(self.words.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            raw, scores, loss = zip(*map(self.words.__getitem__, words))
         ids = np.frombuffer(b"".join(raw), dtype=np.int32)
         score = sum(scores)
         if k <= 1:
@@ -239,7 +301,13 @@ class Encoder:
 
     def decode(self, ids) -> str:
         """The text of the ids; unknown ids decode to nothing."""
-        raw = b"".join(map(self.names.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
+        ids = np.asarray(ids, dtype=np.int64)
+        ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        # byte i of the text is a byte of its piece, as far from the piece's begin as i is
+        at = np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        raw = self.letters[at].tobytes()
         text = raw.decode("utf-8", "surrogatepass" if b"\xed" in raw else "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -265,18 +333,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
     name = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))     # as large as the vocabulary
 
-    @F.pandas_udf("ids array<int>, n_pieces long, score double, others array<double>, decoded_sha256 string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def apply(batches):
         coder = encoder_for(shared.value, k > 1, name)
-        for texts in batches:
-            out = []
-            for text in texts:
-                (ids, score), *others = coder.encode(text, k)
-                digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest))
-            yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256"])
-
-    return docs.select(F.col(id_col), apply(text_of(text_col)).alias("_s")).select(id_col, "_s.*")
+        for b in batches:
+            begin = 0
+            while begin < len(b):       # groups of bounded size
+                end, size = begin, 0
+                while end < len(b) and size < GROUP_CHARS:
+                    size += len(b["text"].iat[end])
+                    end += 1
+                out, texts = [], b["text"].iloc[begin:end].tolist()
+                split = [coder.split(t) for t in texts]
+                coder.learn(set().union(*split))
+                for text, words in zip(texts, split):
+                    (ids, score), *others = coder.encode(text, k, words)
+                    digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest))
+                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256"]).assign(
+                    id=b["id"].iloc[begin:end].to_numpy())
+                begin = end
+
+    # ids travel as strings: pandas has no integers with nulls
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInPandas(apply, "id string, ids array<int>, n_pieces long, score double, others array<double>, "
+                                   "decoded_sha256 string").select(
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "ids", "n_pieces", "score", "others",
+        "decoded_sha256")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
