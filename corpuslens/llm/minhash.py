@@ -4,13 +4,16 @@ Documents become sets of word shingles (64-bit hashes). Equal sets are one
 class. A class's signature takes each shingle's random permutation of the
 slots, step by step, and stops as soon as no later step can lower a slot. Bands
 of the signature give buckets. Members of a bucket are first compared with its
-smallest member, which joins most groups; then members of a bucket that are
-still in different components are compared with each other, in blocks, by
-signature. Every link is confirmed on the full sets.
+smallest member, its pivot, which joins most groups. Members of a pivot that are
+still in different components are then compared with each other in blocks: a
+set is told by which of the pivot's shingles it holds and which others, so that
+every comparison is exact and no pair of members ever becomes a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -22,7 +25,8 @@ from corpuslens.sources.store import write_table
 
 BANDS = 32
 ROWS = 5
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
+FILTER_BITS = 1 << 24     # 2 MB
 # Odd multipliers of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
 MIX1 = 0xBF58476D1CE4E5B9
@@ -94,133 +98,171 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return best.reshape(len(sets), slots)
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_shingles, h1, h2, set) per document; the set as bytes of sorted hashes, with a 128-bit hash of it."""
-    def build(batches):
-        for b in batches:
-            sets = [shingles(word_hashes(t), size) for t in b["text"]]
-            raw = [s.tobytes() for s in sets]
-            whole = [xxhash.xxh3_128_digest(r) for r in raw]
-            halves = np.frombuffer(b"".join(whole), dtype=np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": b["id"], "n_shingles": [len(s) for s in sets],
-                                "h1": halves[:, 0], "h2": halves[:, 1], "set": raw})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(build, "id long, n_shingles long, h1 long, h2 long, set binary")
-
+def sign_documents(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
+    """(id, n_shingles, h1, h2, bands) per document: a 128-bit hash of its set, and the hashes of its bands.
 
-def signatures(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, n, sig, band hashes) of every class with a non-empty set."""
+    A document without words has no bands.
+    """
     slots = bands * rows
 
-    def sign(batches):
-        for b in batches:
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in b["set"]]
-            start = 0
-            while start < len(sets):        # groups of bounded size
-                end, size = start, 0
-                while end < len(sets) and (end == start or size + len(sets[end]) <= 200_000):
-                    size += len(sets[end])
+    @F.pandas_udf("n_shingles long, h1 long, h2 long, bands array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts, out, end = texts.tolist(), [], 0
+            while end < len(texts):             # groups of bounded size
+                size_of, sets = 0, []
+                while end < len(texts) and size_of < 50_000:
+                    sets.append(shingles(word_hashes(texts[end]), size))
+                    size_of += len(sets[-1])
                     end += 1
-                sig = super_minhash(sets[start:end], slots)
-                band = np.zeros((end - start, bands), dtype=np.uint64)
+                whole = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+                halves = np.frombuffer(whole, dtype=np.int64).reshape(-1, 2)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sig = super_minhash([sets[i] for i in full], slots)
+                band = np.zeros((len(full), bands), dtype=np.uint64)
                 for r in range(rows):
-                    band = mixed(band * np.uint64(GOLDEN) + sig.reshape(end - start, bands, rows)[:, :, r])
-                short = mixed(sig).astype(np.uint16)    # equality of slots, for estimates only
-                yield pd.DataFrame({"node": b["node"].to_numpy()[start:end],
-                                    "n": b["n"].to_numpy()[start:end],
-                                    "sig": [s.tobytes() for s in short], "bands": list(band.view(np.int64))})
-                start = end
+                    band = mixed(band * np.uint64(GOLDEN) + sig.reshape(len(full), bands, rows)[:, :, r])
+                bucket = [np.zeros(0, dtype=np.int64)] * len(sets)
+                for k, i in enumerate(full):
+                    bucket[i] = band[k].view(np.int64)
+                out.append(pd.DataFrame({"n_shingles": [len(s) for s in sets], "h1": halves[:, 0], "h2": halves[:, 1],
+                                         "bands": bucket}))
+            yield pd.concat(out, ignore_index=True)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), sign(text_of(text_col)).alias("s")).select("id", "s.*")
+
+
+def named_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents named by ``nodes``.
+
+    A bitmap of FILTER_BITS hash values of the nodes, of a fixed size, drops most other texts before they move; it
+    may let some pass, and a full one would let all pass. The join decides.
+    """
+    def slot(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    return classes.mapInPandas(sign, "node long, n long, sig binary, bands array<long>")
+    parts = (nodes.select(slot("node").alias("s"))
+             .groupBy(F.floor(F.col("s") / 32768).alias("part"))
+             .agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("bits")).collect())  # 4 KB a row
+    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for p in parts:
+        bitmap[p.part * 4096:(p.part + 1) * 4096] = np.frombuffer(p.bits, dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
+    @F.pandas_udf("boolean")
+    def may_be_named(s: pd.Series) -> pd.Series:
+        bits, s = np.frombuffer(shared.value, dtype=np.uint8), s.to_numpy()
+        return pd.Series((bits[s >> 3] >> (s & 7)) & 1 == 1)
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets meet 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("_sb"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    return texts.filter(may_be_named(slot("id"))).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
 
-    def check(batches):
+
+def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, set) of the documents named by ``nodes``, from their texts; the set as bytes of sorted hashes."""
+    @F.pandas_udf("binary")
+    def build(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(word_hashes(t), size).tobytes() for t in texts], dtype=object)
+
+    named = named_texts(docs, nodes, id_col, text_col)
+    return named.select(F.col("id").alias("node"), build("text").alias("set"))
+
+
+def seen_from(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every (node, pivot) with the node's set as seen from the pivot's, and whether they link.
+
+    ``held`` is a bitmap of the pivot's shingles (sorted) that the node has; ``others`` are the node's further ones.
+    """
+    mine = sets.select("node", F.col("set").alias("_mine"))
+    its = sets.select(F.col("node").alias("pivot"), F.col("set").alias("_its"))
+
+    def look(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b["_sa"], b["_sb"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.loc[ok, ["a", "b"]]
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb").mapInPandas(check, "a long, b long")
-
-
-def _in_reach(n1: str, n2: str, percent: int):
-    """Sizes of two sets that can meet the limit at all."""
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
-
-
-def links(classes: DataFrame, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b): confirmed links that join every two classes which the candidate links join."""
-    signed = write_table(signatures(classes, bands, rows), "signatures")
-    sets = classes.select("node", "set")
-    places = signed.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    buckets = places.groupBy("band", "bucket").agg(F.count("*").alias("members"), F.min("node").alias("pivot"))
-    shared = write_table(places.join(buckets.filter("members > 1"), ["band", "bucket"]), "buckets")
-
-    sizes = signed.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"))
-    stars = (shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot"), "n").distinct()
-             .join(sizes, "pivot").filter(_in_reach("n", "n_pivot", percent)).select("a", F.col("pivot").alias("b")))
-    first = write_table(verified(stars, sets, percent), "star-links")
-    joined = components(first)
-
-    # buckets whose members are not yet all in one component
-    member = (shared.join(joined, "node", "left")
-              .select("band", "bucket", "node", "n", "members", F.coalesce("component", "node").alias("component")))
-    open_buckets = (member.groupBy("band", "bucket")
-                    .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-                    .filter("_low < _high").select("band", "bucket"))
-    rest = write_table(member.join(open_buckets, ["band", "bucket"])
-                       .join(signed.select("node", "sig"), "node"), "open-buckets")
-    second = verified(across(rest, percent, bands * rows), sets, percent)
-    return first.union(second)
-
-
-def across(members: DataFrame, percent: int, slots: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) of one bucket and two components whose signatures do not rule out a link.
-
-    Buckets meet themselves in blocks of bounded size. Signatures that agree in fewer slots than a link at the limit
-    would with five standard deviations to spare are ruled out.
+            held, others, linked, size = [], [], [], []
+            for x, p in zip(b["_mine"], b["_its"]):
+                x, p = np.frombuffer(x, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(p, x), max(len(p) - 1, 0))
+                common = p[at] == x if len(p) else np.zeros(len(x), dtype=bool)
+                bits = np.zeros(-(-len(p) // 64) * 64, dtype=np.uint8)
+                bits[at[common]] = 1
+                both = int(common.sum())
+                held.append(np.packbits(bits).tobytes())
+                others.append(x[~common].tobytes())
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(p) - both))
+                size.append(len(x))
+            yield pd.DataFrame({"node": b["node"], "pivot": b["pivot"], "n": size, "held": held, "others": others,
+                                "linked": linked})
+
+    return pairs.join(mine, "node").join(its, "pivot").select("node", "pivot", "_mine", "_its").mapInPandas(
+        look, "node long, pivot long, n long, held binary, others binary, linked boolean")
+
+
+def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join every two classes which the candidate links join.
+
+    ``signed``: node, bands of every class. Full sets are made again from the texts, for classes that share a bucket
+    only.
+    """
+    places = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = (places.groupBy("band", "bucket")
+               .agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1"))
+    pairs = write_table(places.join(buckets, ["band", "bucket"]).select("node", "pivot").distinct(), "pivots")
+    sets = write_table(sets_of(docs, pairs.select("node").distinct(), id_col, text_col, size), "candidate-sets")
+    views = write_table(seen_from(pairs.filter("node <> pivot"), sets, percent), "pivot-views")
+    stars = views.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    joined = components(stars)
+    return stars.union(across(views, joined, percent))
+
+
+def across(views: DataFrame, joined: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links between members of a pivot that are in different components, one per pair of components found.
+
+    Members outside the pivot's commonest component meet all members, in blocks of bounded size.
     """
-    blocks = F.expr(f"cast(ceil(members / {block_rows}) as int)")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    key = ["band", "bucket"]
-    columns = ["node", "n", "component", "sig"]
-    left = dealt.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select(
-        *key, F.col("block").alias("i"), F.col("other").alias("j"), *columns)
-    right = dealt.withColumn("other", F.explode(F.expr("sequence(0, block)"))).select(
-        F.col("band").alias("r_band"), F.col("bucket").alias("r_bucket"), F.col("other").alias("r_i"),
-        F.col("block").alias("r_j"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    share = percent / 100
-    least = slots * share - 5 * np.sqrt(slots * share * (1 - share))
+    member = views.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = member.groupBy("pivot", "component").agg(F.count("*").alias("c"))
+    groups = (shares.groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("main"),
+                                          F.sum("c").alias("members"), F.max("c").alias("most"))
+              .filter("most < members")
+              .withColumn("blocks", F.expr(f"cast(ceil(members / {block_rows}) as int)"))
+              .withColumn("strays", F.expr(f"cast(ceil((members - most) / {block_rows}) as int)")))
+    open_ = write_table(member.join(write_table(groups, "pivot-groups"), "pivot"), "open-groups")
+    columns = ["node", "n", "component", "held", "others"]
+    left = (open_.filter("component <> main").withColumn("i", F.expr("pmod(xxhash64('i', node), strays)"))
+            .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("pivot", "i", "j", *columns))
+    right = (open_.withColumn("j", F.expr("pmod(xxhash64('j', node), blocks)"))
+             .withColumn("i", F.explode(F.expr("sequence(0, strays - 1)")))
+             .select(*[F.col(c).alias(f"r_{c}") for c in ["pivot", "i", "j", *columns]]))
+
+    def bits(column) -> np.ndarray:
+        return np.stack([np.frombuffer(h, dtype=np.uint64) for h in column])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        sx = np.stack([np.frombuffer(s, dtype=np.uint16) for s in x["sig"]])
-        sy = np.stack([np.frombuffer(s, dtype=np.uint16) for s in y["r_sig"]])
-        out_a, out_b = [], []
-        cy, ny, by = y["r_component"].to_numpy(), y["r_n"].to_numpy(), y["r_node"].to_numpy()
-        for i, (node, n, component) in enumerate(zip(x["node"], x["n"], x["component"])):
-            near = np.flatnonzero((cy != component) & (100 * np.minimum(n, ny) >= percent * np.maximum(n, ny)))
-            near = near[(sy[near] == sx[i]).sum(axis=1) >= least]
-            out_a.append(np.full(len(near), node))
-            out_b.append(by[near])
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    pairs = left.groupBy(*key, "i", "j").cogroup(right.groupBy("r_band", "r_bucket", "r_i", "r_j")).applyInPandas(
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(x) and len(y):
+            hx, hy = bits(x["held"]), bits(y["r_held"])
+            ny, cy, ids = y["r_n"].to_numpy(), y["r_component"].to_numpy(), y["r_node"].to_numpy()
+            more = [np.frombuffer(o, dtype=np.uint64) for o in y["r_others"]]
+            value = np.concatenate(more)
+            owner = np.repeat(np.arange(len(more)), [len(o) for o in more])
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            for node, n, component, held, others in zip(x["node"], x["n"], x["component"], hx, x["others"]):
+                near = np.flatnonzero((cy != component) & (100 * np.minimum(n, ny) >= percent * np.maximum(n, ny)))
+                if not len(near):
+                    continue
+                both = np.bitwise_count(hy[near] & held).sum(axis=1).astype(np.int64)
+                own = np.frombuffer(others, dtype=np.uint64)
+                first, last = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+                hits = [owner[i:j] for i, j in zip(first, last) if j > i]
+                if hits:
+                    both += np.bincount(np.concatenate(hits), minlength=len(y))[near]
+                for k in near[100 * both >= percent * (n + ny[near] - both)].tolist():
+                    found.setdefault((component, int(cy[k])), (node, int(ids[k])))
+        return pd.DataFrame(list(found.values()), columns=["a", "b"], dtype="int64")
+
+    return left.groupBy("pivot", "i", "j").cogroup(right.groupBy("r_pivot", "r_i", "r_j")).applyInPandas(
         compare, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -234,11 +276,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     With 32 bands of 5 rows a link of similarity 0.8 misses all buckets with a probability of about 3e-6.
     """
     kind = docs.schema[id_col].dataType
-    rows_of = write_table(document_sets(docs, id_col, text_col, size), "document-sets")
+    rows_of = write_table(sign_documents(docs, id_col, text_col, size, bands, rows), "document-signatures")
     usable = rows_of.filter("id IS NOT NULL AND n_shingles > 0")
     classes = write_table(usable.groupBy("h1", "h2").agg(
-        F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("set").alias("set")), "set-classes")
-    joined = components(links(classes, percent, bands, rows))
+        F.min("id").alias("node"), F.first("bands").alias("bands")), "set-classes")
+    joined = components(links(docs, classes, id_col, text_col, size, percent))
     per_class = (classes.select("h1", "h2", "node").join(joined, "node", "left")
                  .select("h1", "h2", F.coalesce("component", "node").alias("component_id")))
     out = rows_of.select("id", "n_shingles", "h1", "h2").join(
