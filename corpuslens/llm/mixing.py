@@ -159,9 +159,10 @@ def mix_documents(docs: DataFrame, target_entropy: float | None = None, max_repe
     mix = weigh(docs, target_entropy, max_repeats, budget, id_col, text_col, source_col)
     last = placements(mix, seed).filter("epoch > passes")
     cuts = last.groupBy("source").agg(F.max(F.struct("_key", "doc_id", "_text")).alias("_cut"))
-    plan = (mix.weights.select(F.col("source").alias("_source"), "passes")
-            .join(cuts.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-            .select("_source", "passes", "_cut"))
+    # written, so that its size is known before any text moves: one row per source
+    plan = write_table(mix.weights.select(F.col("source").alias("_source"), "passes")
+                       .join(cuts.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
+                       .select("_source", "passes", "_cut"), "mix-plan")
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
                       F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("doc_id"),
