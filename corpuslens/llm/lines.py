@@ -52,7 +52,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     then position) of a repeated line stays; otherwise all its lines go.
     """
     lines = write_table(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    repeated = repeated_lines(lines, min_docs)
+    # written, so that the join below reads it as it is and can deal out a very common line
+    repeated = write_table(repeated_lines(lines, min_docs), "repeated-lines")
     gone = lines.join(repeated, ["_h1", "_h2"])
     if keep_first:
         gone = gone.filter(~F.col("_first").eqNullSafe(F.struct("_id", "_text", "_pos")))
