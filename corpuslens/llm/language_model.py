@@ -25,7 +25,7 @@ from corpuslens.llm.common import partitions, remainder, text_of
 from corpuslens.llm.minhash import GOLDEN, mixed
 from corpuslens.sources.store import write_table
 
-BLOCK_BYTES = 16 << 20      # text in a block; a longer text is a block of its own
+BLOCK_BYTES = 8 << 20       # text in a block; a longer text is a block of its own
 SMOOTHING = 200.0           # weight of the unigrams in a state, in tokens
 END = b""                   # the end token: no word is empty
 
