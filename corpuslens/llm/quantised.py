@@ -120,16 +120,17 @@ def index_vectors(unique: DataFrame, quantiser: Quantiser, dim: int) -> DataFram
                                       "unit binary, codes binary, off double")
 
 
-def probes(index: DataFrame, quantiser: Quantiser, radius: float, spread: float) -> DataFrame:
+def probes(index: DataFrame, quantiser: Quantiser, radius: float, spread: float | None) -> DataFrame:
     """(label, list, ...) for every list a vector probes.
 
     A vector within ``radius`` can only lie in a list when the plane between that list and the vector's own is
-    within ``radius``; in d dimensions a difference of that length moves a vector towards a plane by radius / sqrt(d)
-    on the average, and lists up to ``spread`` times that are probed (never more than ``radius``, which is exact).
+    within ``radius``: all these lists are probed, which is exact. A ``spread`` probes less far and loses links: only
+    planes within spread * radius / sqrt(dimensions), the mean move towards a plane times ``spread`` if differences
+    are even over all dimensions, which those of vectors of low rank are not.
     Of two lists the vectors of the lower one probe the higher, so each pair is met once.
     """
     centres = quantiser.centroids
-    reach = min(radius, spread * radius / np.sqrt(centres.shape[1]))
+    reach = radius if spread is None else min(radius, spread * radius / np.sqrt(centres.shape[1]))
     apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
 
     def near(batches):
@@ -138,7 +139,7 @@ def probes(index: DataFrame, quantiser: Quantiser, radius: float, spread: float)
             own = b["list"].to_numpy()
             far = (centres ** 2).sum(axis=1)[None] - 2 * units @ centres.T
             gap = far - far[np.arange(len(b)), own][:, None]
-            ok = gap <= 2 * reach * apart[own]
+            ok = gap <= 2 * reach * apart[own] + 1e-9       # for rounding
             ok &= np.arange(len(centres))[None] >= own[:, None]
             row, target = np.nonzero(ok)
             yield pd.DataFrame({"label": b["label"].to_numpy()[row], "list": target.astype(np.int32),
@@ -219,14 +220,15 @@ def linked(index: DataFrame, asked: DataFrame, quantiser: Quantiser, cosine: flo
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", lists: int = LISTS, sample_rows: int = SAMPLE_ROWS,
-                    spread: float = 4.0) -> DataFrame:
+                    spread: float | None = None) -> DataFrame:
     """Per row: its id, n_links, component_id and kept.
 
     Vectors of one label link when their cosine is at least ``cosine``. A null label, a null id and a vector that is
     null, empty, zero or holds null or non-finite components links with nothing and is its own component. A shorter
     vector counts as filled up with zeros. Equal vectors of a label are one class, counted by their copies, and are
     searched once; rows that repeat an id share its node. An empty table gives no rows. The quantiser is fitted on
-    the ``sample_rows`` classes with the smallest hashes; every class is indexed.
+    the ``sample_rows`` classes with the smallest hashes; every class is indexed. All links are found unless a
+    ``spread`` is given (see ``probes``).
     """
     rows, unique = classes(vectors, id_col, vector_col, label_col)
     unique = write_table(unique, "vector-classes")

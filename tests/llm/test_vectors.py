@@ -122,3 +122,35 @@ def test_large_group_of_near_vectors_over_blocks(spark):
     got = quantised.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(2499, 0)}
     assert quantised.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def low_rank_vectors(rng, n, dim, rank, first=0):
+    basis = np.linalg.qr(rng.normal(size=(dim, rank)))[0].T
+    return [(first + i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(n, rank)) @ basis)]
+
+
+def brute_counts(rows, cosine=0.93):
+    u = np.zeros((len(rows), max(len(v) for _, v, _ in rows)))
+    for i, (_, v, _) in enumerate(rows):
+        u[i, :len(v)] = np.array(v, dtype=np.float32)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    n = (u @ u.T >= cosine).sum(axis=1) - 1
+    return {i: int(k) for (i, _, _), k in zip(rows, n)}
+
+
+def test_no_link_is_lost_between_vectors_of_low_rank(spark):
+    rng = np.random.default_rng(12)
+    rows = low_rank_vectors(rng, 1500, 256, 4)
+    want = brute_counts(rows)
+    got = {r.vec_id: r.n_links for r in quantised.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(want.values()) > 1000 and got == want
+
+
+def test_one_long_vector_loses_no_link(spark):
+    rng = np.random.default_rng(13)
+    hot = low_rank_vectors(rng, 500, 16, 3)
+    other = [(500 + i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(1000, 16)))]
+    rows = hot + other + [(9000, rng.normal(size=256).tolist(), 0)]
+    want = brute_counts(rows)
+    got = {r.vec_id: r.n_links for r in quantised.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(want.values()) > 1000 and got == want
