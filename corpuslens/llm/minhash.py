@@ -99,7 +99,7 @@ def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
 
 
 def sign_documents(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, h1, h2, bands) per document: a 128-bit hash of its set, and the hashes of its bands.
+    """(id, t, n_shingles, h1, h2, bands) per document: hashes of its text (t), its set (128 bits) and its bands.
 
     A document without words has no bands.
     """
@@ -129,11 +129,12 @@ def sign_documents(docs: DataFrame, id_col: str, text_col: str, size: int, bands
                                          "bands": bucket}))
             yield pd.concat(out, ignore_index=True)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), sign(text_of(text_col)).alias("s")).select("id", "s.*")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("t"),
+                       sign(text_of(text_col)).alias("s")).select("id", "t", "s.*")
 
 
 def named_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents named by ``nodes``.
+    """(node, text) of the documents named by ``nodes`` (node, id, t): by id and text, as ids may repeat.
 
     A bitmap of FILTER_BITS hash values of the nodes, of a fixed size, drops most other texts before they move; it
     may let some pass, and a full one would let all pass. The join decides.
@@ -141,7 +142,7 @@ def named_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
     def slot(column: str):
         return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    parts = (nodes.select(slot("node").alias("s"))
+    parts = (nodes.select(slot("id").alias("s"))
              .groupBy(F.floor(F.col("s") / 32768).alias("part"))
              .agg(F.bitmap_construct_agg(F.pmod("s", F.lit(32768))).alias("bits")).collect())  # 4 KB a row
     bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -155,7 +156,8 @@ def named_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
         return pd.Series((bits[s >> 3] >> (s & 7)) & 1 == 1)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return texts.filter(may_be_named(slot("id"))).join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    met = texts.filter(may_be_named(slot("id"))).withColumn("t", F.xxhash64("text"))
+    return met.join(nodes, ["id", "t"]).select("node", "text")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -165,7 +167,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size:
         return pd.Series([shingles(word_hashes(t), size).tobytes() for t in texts], dtype=object)
 
     named = named_texts(docs, nodes, id_col, text_col)
-    return named.select(F.col("id").alias("node"), build("text").alias("set"))
+    return named.select("node", build("text").alias("set"))
 
 
 def seen_from(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,14 +202,15 @@ def seen_from(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that join every two classes which the candidate links join.
 
-    ``signed``: node, bands of every class. Full sets are made again from the texts, for classes that share a bucket
+    ``signed``: node, bands, id and t of every class. Full sets are made again from the texts, for classes that share a bucket
     only.
     """
     places = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = (places.groupBy("band", "bucket")
                .agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1"))
     pairs = write_table(places.join(buckets, ["band", "bucket"]).select("node", "pivot").distinct(), "pivots")
-    sets = write_table(sets_of(docs, pairs.select("node").distinct(), id_col, text_col, size), "candidate-sets")
+    nodes = signed.select("node", "id", "t").join(pairs.select("node").distinct(), "node")
+    sets = write_table(sets_of(docs, nodes, id_col, text_col, size), "candidate-sets")
     views = write_table(seen_from(pairs.filter("node <> pivot"), sets, percent), "pivot-views")
     stars = views.filter("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     joined = components(stars)
@@ -272,20 +275,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Words are runs of non-space characters with A-Z lower-cased. A document's set holds its distinct shingles of
     ``size`` words, or all its words as one shingle if there are fewer; without words it is empty and links with
     nothing. Documents link when 100 * intersection >= ``percent`` * union; equal sets always do. Rows with a null
-    id link with nothing and are kept; rows that repeat an id share its component. An empty table gives no rows.
+    id link with nothing and are kept; rows that repeat an id, with the same text or others, are one document and share
+    its component. An empty table gives no rows.
     With 32 bands of 5 rows a link of similarity 0.8 misses all buckets with a probability of about 3e-6.
     """
     kind = docs.schema[id_col].dataType
     rows_of = write_table(sign_documents(docs, id_col, text_col, size, bands, rows), "document-signatures")
     usable = rows_of.filter("id IS NOT NULL AND n_shingles > 0")
+    # A class has a number of its own: its smallest id may be that of another class too.
     classes = write_table(usable.groupBy("h1", "h2").agg(
-        F.min("id").alias("node"), F.first("bands").alias("bands")), "set-classes")
-    joined = components(links(docs, classes, id_col, text_col, size, percent))
-    per_class = (classes.select("h1", "h2", "node").join(joined, "node", "left")
-                 .select("h1", "h2", F.coalesce("component", "node").alias("component_id")))
+        F.min(F.struct("id", "t")).alias("first"), F.first("bands").alias("bands"))
+        .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.id", "first.t", "bands"), "set-classes")
+    # ids with more than one set: all their rows are one document
+    several = write_table(rows_of.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min(F.struct("h1", "h2")).alias("_low"), F.max(F.struct("h1", "h2")).alias("_high"))
+        .filter("_low <> _high").select("id"), "repeated-ids")
+    places = write_table(usable.join(several, "id").select("id", "h1", "h2").distinct()
+                         .join(classes.select("node", "h1", "h2"), ["h1", "h2"]).select("id", "node"), "repeated-places")
+    meeting = places.groupBy("id").agg(F.min("node").alias("b"))
+    same = places.join(meeting, "id").select(F.col("node").alias("a"), "b")
+    joined = components(links(docs, classes, id_col, text_col, size, percent).union(same))
+    # written, so that the join below can deal out a very large component
+    linked = write_table(classes.select("node", "id").join(joined, "node"), "linked-classes")
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = linked.join(least, "component").select("node", "component_id")
+    per_class = (classes.select("h1", "h2", "node", "id").join(named, "node", "left")
+                 .select("h1", "h2", "node", F.coalesce("component_id", "id").alias("component_id")))
+    per_class = write_table(per_class, "class-components")
+    # rows without words whose id has others with words
+    wordless = (meeting.join(per_class.select(F.col("node").alias("b"), "component_id"), "b")
+                .select("id", F.col("component_id").alias("_other")))
+    per_class = per_class.drop("node")
     out = rows_of.select("id", "n_shingles", "h1", "h2").join(
-        per_class, ["h1", "h2"], "left").withColumn(
+        per_class, ["h1", "h2"], "left").join(wordless, "id", "left").withColumn(
         "component_id", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id"))
-        .otherwise(F.col("id")))
+        .otherwise(F.coalesce("_other", "id")))
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

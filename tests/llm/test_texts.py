@@ -69,6 +69,22 @@ def test_links_that_miss_the_first_member_are_found(spark):
     assert got == root and set(root.values()) == {0}
 
 
+def test_repeated_id_with_two_texts_and_strays_in_its_bucket(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(300)]
+    # chains of neighbours that link, around the first text of id 0, and strays just below the limit
+    rows = [(0, " ".join(words)), (0, " ".join(f"z{i}" for i in range(40))), (0, "")]
+    rows += [(10 + i, edited(words, rng, 12 + i % 6)) for i in range(40)]
+    rows += [(100 + i, edited([f"z{k}" for k in range(40)], rng, 1)) for i in range(10)]
+    # an id that joins two groups, and shares the set of a smaller id
+    rows += [(200, "some quite other text here"), (201, "some quite other text here"), (201, "and one more of them at last"),
+             (202, "and one more of them at last"), (203, ""), (203, None)]
+    root, sets = brute_groups(rows, 4, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=4, rows=3).collect()
+    assert len(got) == len(rows) and len(set(root.values())) > 5
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(i, c, i == c) for i, c in root.items()}
+
+
 def test_no_documents(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
