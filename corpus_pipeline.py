@@ -19,22 +19,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify(docs).filter("kept").select(*docs.columns)
 
 
-def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: of a line found in ten or more documents the first occurrence stays.
+PASSAGE_WORDS = 50
 
-    ``n_chars`` follows the text.
-    """
-    kept = lines.drop_lines(docs, min_docs=10, min_chars=1, keep_first=True)
+
+def _without_lines(docs: DataFrame, **rule) -> DataFrame:
+    """Of a line that ``rule`` finds repeated the first occurrence stays; ``n_chars`` follows the text."""
+    kept = lines.drop_lines(docs, min_chars=1, keep_first=True, **rule)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: of a line found in ten or more documents the first occurrence stays.
+
+    Long lines found in fewer go after near-dedup, which reads them whole.
+    """
+    return _without_lines(docs, min_docs=10)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest id of each group stays."""
+    """MinHash near-dedup: the document with the smallest id of each group stays.
+
+    Of a line of PASSAGE_WORDS words or more found in two or more of these the first occurrence stays: in this order
+    the one that stays is never in a document that goes.
+    """
     flags = minhash.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
     gone = flags.filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = write_table(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "single-documents")
+    return _without_lines(single, min_docs=2, min_words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpuslens.llm.common import SPACES, ascii_lower, partitions, text_of
+from corpuslens.llm.common import SPACES, ascii_lower, partitions, text_of, word_count
 from corpuslens.sources.store import write_table
 
 WORD_BITS = 64
 
 
-def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """(_id, _text, _pos, _h1, _h2) per line that has a key of at least ``min_chars`` code points.
+def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1,
+                min_words: int = 0) -> DataFrame:
+    """(_id, _text, _pos, _h1, _h2) per line that has a key of at least ``min_chars`` code points and ``min_words`` words.
 
     ``_text`` is a hash of the text: rows of a repeated id with other texts are other documents, equal rows are one.
     Two hashes with different seeds identify a key.
@@ -27,7 +28,10 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"),
                         F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("_pos", "_line"))
     key = keyed.withColumn("_line", F.trim(F.col("_line"), F.lit(SPACES)))
-    return (key.filter(F.length("_line") >= min_chars)
+    key = key.filter(F.length("_line") >= min_chars)
+    if min_words:
+        key = key.filter(word_count(F.col("_line")) >= min_words)
+    return (key
             .select("_id", "_text", "_pos", F.xxhash64("_line").alias("_h1"),
                     F.xxhash64(F.lit("line"), F.col("_line")).alias("_h2")))
 
@@ -44,14 +48,14 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2,
-                 min_chars: int = 1, keep_first: bool = True) -> DataFrame:
+                 min_chars: int = 1, keep_first: bool = True, min_words: int = 0) -> DataFrame:
     """(_id, _text, keep) per document that loses a line; others keep all and have no row.
 
     ``keep`` is a sparse bitmap: entries (word, bits) for every 64 lines with a dropped line, bit ``pos % 64`` set
     for a line that stays; words without an entry are all ones. With ``keep_first`` the first occurrence (by id,
     then position) of a repeated line stays; otherwise all its lines go.
     """
-    lines = write_table(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    lines = write_table(line_hashes(docs, id_col, text_col, min_chars, min_words), "line-hashes")
     # written, so that the join below reads it as it is and can deal out a very common line
     repeated = write_table(repeated_lines(lines, min_docs), "repeated-lines")
     gone = lines.join(repeated, ["_h1", "_h2"])
@@ -65,14 +69,14 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2,
-               min_chars: int = 1, keep_first: bool = True) -> DataFrame:
+               min_chars: int = 1, keep_first: bool = True, min_words: int = 0) -> DataFrame:
     """``docs`` with repeated lines removed from the text, plus n_lines and n_dropped.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. A null or empty text is one
     empty line, which has no key and stays; a null text comes back empty. Other columns pass through; columns named
     n_lines or n_dropped are replaced. A table without rows gives none.
     """
-    maps = (keep_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first)
+    maps = (keep_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first, min_words)
             .select(F.col("_id").alias("_doc"), F.col("_text").alias("_hash"), "keep"))
     base = docs.drop("n_lines", "n_dropped")
     kept = [c for c in base.columns]

@@ -86,3 +86,21 @@ def test_pipeline_stages(spark):
     ids_of = pieces.decode(coded(spark, mix, SF_DIR), pieces.Vocabulary.read(pieces.MODEL)).collect()
     assert Counter((r.doc_id, r.text) for r in ids_of) == copies
     assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in ids_of)
+
+
+def test_pipeline_keeps_one_copy_of_a_long_line_in_two_documents(spark):
+    def words(tag, n):
+        return " ".join(f"{tag}{k}" for k in range(n))
+
+    passage, short = words("passage", 60), words("short", 49)
+    rows = [(i, f"{words(f'own{i}x', 200)}\n{passage}\n{short}") for i in (1, 2, 3)]
+    rows += [(4, rows[0][1] + " end"), (5, words("other", 80))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    got = corpus_pipeline.write_table(docs, "passages")
+    for name in ("line dedup", "minhash near-dedup"):
+        got = corpus_pipeline.write_table(dict(corpus_pipeline.STAGES)[name](spark, got, ""), "passages")
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert got.columns == docs.columns and sorted(texts) == [1, 2, 3, 5]
+    assert [i for i, t in sorted(texts.items()) if passage in t] == [1]
+    assert [i for i, t in sorted(texts.items()) if short in t] == [1, 2, 3]
+    assert texts[2] == f"{words('own2x', 200)}\n{short}" and all(r.n_chars == len(r.text) for r in got.collect())
