@@ -1,9 +1,10 @@
 """Line dedup by range-partitioned line hashes and per-document keep bitmaps.
 
-Hashes of lines are dealt by range and sorted by document and position, so each
-partition streams its lines in order: the first occurrence of a line and its
-number of documents fall out of a partial aggregation, and a line so common
-that it spans partitions leaves one partial row in each. Only the decisions go
+Hashes of lines are dealt by range with document and text. A hash aggregate finds
+a line's first place in each document; the sort asked for below it never runs, as
+the optimizer removes it. The first occurrence of a line and its number of
+documents come from a partial aggregation, and a line so common that it spans
+partitions leaves one partial row in each. Only the decisions go
 back, as bitmaps of 64 lines a word; texts meet them in one join.
 """
 
