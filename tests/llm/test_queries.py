@@ -26,12 +26,18 @@ COLUMNS = {
     "op9_minhash_near_dedup": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint",
                                "kept": "boolean"},
     "op10_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint",
+                          "codebooks_sha256": "string"},
+    "op12_chat_formatting": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint",
+                             "loss_sha256": "string", "formatted_chars": "bigint"},
+    "op13_merkle_manifest": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string",
+                             "proof_sha256": "string", "folded_root": "string", "verified": "boolean"},
 }
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry_module.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(ORACLE_SQL) <= set(names)
 
 
@@ -39,10 +45,10 @@ def test_all_ten_and_the_pipeline_are_registered():
 def test_query_has_its_columns(spark, name):
     df = QUERIES[name](spark, SF_DIR)
     assert COLUMNS.get(name, {}).items() <= dict(df.dtypes).items()
-    if name in ("op5_exact_top_k", "op8_mixing"):
+    if name in ("op5_exact_top_k", "op8_mixing", "op12_chat_formatting"):
         assert df.count() > 0
     else:
-        assert df.count() == (500 if name == "op6_embedding_near_dedup" else 200)
+        assert df.count() == (500 if name in ("op6_embedding_near_dedup", "op11_vector_codes") else 200)
 
 
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
