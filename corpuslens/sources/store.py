@@ -7,6 +7,8 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+ROW_GROUP_BYTES = 32 << 20     # a task holds one row group in memory while it writes
+
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -33,7 +35,7 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     columns are pruned, and extraction is not repeated inside each predicate.
     """
     path = fresh_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
