@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,6 +27,8 @@ from corpuslens.sources.store import write_table
 BANDS = 32
 ROWS = 5
 BLOCK_ROWS = 512
+PACK_BYTES = 4 << 20       # of sets that meet their pivots in one group
+SLICE_BYTES = 4 << 20
 FILTER_BITS = 1 << 24     # 2 MB
 # Odd multipliers of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -162,53 +165,77 @@ def named_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, set) of the documents named by ``nodes``, from their texts; the set as bytes of sorted hashes."""
-    @F.pandas_udf("binary")
-    def build(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(word_hashes(t), size).tobytes() for t in texts], dtype=object)
-
-    named = named_texts(docs, nodes, id_col, text_col)
-    return named.select("node", build("text").alias("set"))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:           # texts become Python strings one by one, sets leave in slices of bounded bytes
+            nodes, sets, held = [], [], 0
+            for node, text in zip(b.column("node"), b.column("text")):
+                nodes.append(node.as_py())
+                sets.append(shingles(word_hashes(text.as_py()), size).tobytes())
+                held += len(sets[-1])
+                if held >= SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
+                                                     ["node", "set"])
+                    nodes, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
+                                             ["node", "set"])
+
+    return named_texts(docs, nodes, id_col, text_col).mapInArrow(build, "node long, set binary")
 
 
 def seen_from(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every (node, pivot) with the node's set as seen from the pivot's, and whether they link.
 
-    ``held`` is a bitmap of the pivot's shingles (sorted) that the node has; ``others`` are the node's further ones.
+    ``pairs``: node, pivot, bytes (of the node's set). ``held`` is a bitmap of the pivot's shingles (sorted) that the
+    node has; ``others`` are the node's further ones. A pivot's set goes once to each block of its members, and blocks
+    meet in packs of about PACK_BYTES.
     """
-    mine = sets.select("node", F.col("set").alias("_mine"))
-    its = sets.select(F.col("node").alias("pivot"), F.col("set").alias("_its"))
-
-    def look(batches):
-        for b in batches:
-            held, others, linked, size = [], [], [], []
-            for x, p in zip(b["_mine"], b["_its"]):
-                x, p = np.frombuffer(x, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(p, x), max(len(p) - 1, 0))
-                common = p[at] == x if len(p) else np.zeros(len(x), dtype=bool)
-                bits = np.zeros(-(-len(p) // 64) * 64, dtype=np.uint8)
-                bits[at[common]] = 1
-                both = int(common.sum())
-                held.append(np.packbits(bits).tobytes())
-                others.append(x[~common].tobytes())
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(p) - both))
-                size.append(len(x))
-            yield pd.DataFrame({"node": b["node"], "pivot": b["pivot"], "n": size, "held": held, "others": others,
-                                "linked": linked})
-
-    return pairs.join(mine, "node").join(its, "pivot").select("node", "pivot", "_mine", "_its").mapInPandas(
+    sizes = write_table(pairs.groupBy("pivot").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("_most")),
+                        "pivot-sizes")
+    # the pivot's own set is about as large as its members'
+    total = sizes.agg(F.sum(F.col("bytes") + F.col("_most"))).first()[0] or 0
+    packs = int(max(1, total // PACK_BYTES))
+    sizes = sizes.select("pivot", F.ceil(F.col("bytes") / PACK_BYTES).cast("int").alias("blocks"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("pack", F.pmod(F.xxhash64(F.lit("pack"), "pivot", "block"), F.lit(packs)))
+
+    members = pairs.join(sizes, "pivot").withColumn("block", F.expr("cast(pmod(xxhash64('block', node), blocks) as int)"))
+    mine = packed(members.select("node", "pivot", "block")).join(
+        sets.select("node", F.col("set").alias("_mine")), "node").select("pack", "node", "pivot", "_mine")
+    its = packed(sizes.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("pivot", "block")).join(
+        sets.select(F.col("node").alias("pivot"), F.col("set").alias("_its")), "pivot").select("pack", "pivot", "_its")
+
+    def look(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        its_set = {p: np.frombuffer(s, dtype=np.uint64) for p, s in zip(pivots["pivot"], pivots["_its"])}
+        held, others, linked, size = [], [], [], []
+        for pivot, x in zip(members["pivot"], members["_mine"]):
+            x, p = np.frombuffer(x, dtype=np.uint64), its_set[pivot]
+            at = np.minimum(np.searchsorted(p, x), max(len(p) - 1, 0))
+            common = p[at] == x if len(p) else np.zeros(len(x), dtype=bool)
+            bits = np.zeros(-(-len(p) // 64) * 64, dtype=np.uint8)
+            bits[at[common]] = 1
+            both = int(common.sum())
+            held.append(np.packbits(bits).tobytes())
+            others.append(x[~common].tobytes())
+            linked.append(both > 0 and 100 * both >= percent * (len(x) + len(p) - both))
+            size.append(len(x))
+        return pd.DataFrame({"node": members["node"], "pivot": members["pivot"], "n": size, "held": held,
+                             "others": others, "linked": linked})
+
+    return mine.groupBy("pack").cogroup(its.groupBy("pack")).applyInPandas(
         look, "node long, pivot long, n long, held binary, others binary, linked boolean")
 
 
 def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(a, b): confirmed links that join every two classes which the candidate links join.
 
-    ``signed``: node, bands, id and t of every class. Full sets are made again from the texts, for classes that share a bucket
+    ``signed``: node, n_shingles, bands, id and t of every class. Full sets are made again from the texts, for classes that share a bucket
     only.
     """
-    places = signed.select("node", F.posexplode("bands").alias("band", "bucket"))
+    places = signed.select("node", (8 * F.col("n_shingles")).alias("bytes"), F.posexplode("bands").alias("band", "bucket"))
     buckets = (places.groupBy("band", "bucket")
                .agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1"))
-    pairs = write_table(places.join(buckets, ["band", "bucket"]).select("node", "pivot").distinct(), "pivots")
+    pairs = write_table(places.join(buckets, ["band", "bucket"]).select("node", "pivot", "bytes").distinct(), "pivots")
     nodes = signed.select("node", "id", "t").join(pairs.select("node").distinct(), "node")
     sets = write_table(sets_of(docs, nodes, id_col, text_col, size), "candidate-sets")
     views = write_table(seen_from(pairs.filter("node <> pivot"), sets, percent), "pivot-views")
@@ -284,8 +311,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     usable = rows_of.filter("id IS NOT NULL AND n_shingles > 0")
     # A class has a number of its own: its smallest id may be that of another class too.
     classes = write_table(usable.groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "t")).alias("first"), F.first("bands").alias("bands"))
-        .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.id", "first.t", "bands"), "set-classes")
+        F.min(F.struct("id", "t")).alias("first"), F.first("bands").alias("bands"),
+        F.first("n_shingles").alias("n_shingles"))
+        .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.id", "first.t", "n_shingles", "bands"),
+        "set-classes")
     # ids with more than one set: all their rows are one document
     several = write_table(rows_of.filter("id IS NOT NULL").groupBy("id").agg(
         F.min(F.struct("h1", "h2")).alias("_low"), F.max(F.struct("h1", "h2")).alias("_high"))
