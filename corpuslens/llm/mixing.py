@@ -135,13 +135,14 @@ def schedule(mix: Mix, block_tokens: int = 200_000, seed: int = 42) -> DataFrame
     """The training order: (block, position) per copy of a document.
 
     A block takes each source's weight times ``block_tokens`` from its passes; within a block the copies are
-    permuted. Positions count from 0.
+    permuted. Documents of sources without tokens cost nothing: they are dealt over all blocks by hash. Positions
+    count from 0.
     """
     placed = placements(mix, seed)
     through = (F.col("epoch") - 1) * F.col("_all") + F.col("before")
+    blocks = max(1, int((mix.weights.agg(F.sum("budget")).first()[0] or 0) // block_tokens))
     block = F.when(F.col("weight") > 0, F.floor(through / (F.col("weight") * F.lit(float(block_tokens))))
-                   ).otherwise(F.lit(0)).cast("long")
-    # documents without tokens of sources without tokens cost nothing; they follow block 0 in hash order
+                   ).otherwise(F.pmod(F.xxhash64(F.lit("block"), "_key"), F.lit(blocks))).cast("long")
     out = placed.withColumn("block", block).withColumn("_at", F.xxhash64(F.lit(seed), F.col("block"), F.col("_key")))
     place = F.row_number().over(W.partitionBy("block").orderBy("_at", "source", "doc_id", "_text", "epoch")) - 1
     return out.withColumn("position", place.cast("long")).select(

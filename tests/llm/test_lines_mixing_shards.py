@@ -193,3 +193,16 @@ def test_mix_with_a_budget_stops_there(spark):
     for r in mixing.schedule(mix).collect():
         taken[r.source] += r.tokens
     assert taken == {"x": 80, "y": 20}      # budgets 80.2 and 19.8, rounded to whole tokens
+
+
+def test_documents_without_tokens_are_dealt_over_all_blocks(spark):
+    rows = [(i, "one two three four five six seven eight nine ten", "full") for i in range(50)]
+    rows += [(1000 + i, None if i % 2 else " ", "bare") for i in range(600)]
+    mix = mixing.weigh(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = mixing.schedule(mix, block_tokens=50).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    bare = Counter(r.block for r in got if r.source == "bare")
+    assert len(bare) == 10 and max(bare.values()) < 120
+    for block in bare:
+        assert sorted(r.position for r in got if r.block == block) == list(range(sum(r.block == block for r in got)))
+    assert mixing.schedule(mixing.weigh(spark.createDataFrame([], "doc_id long, text string, source string"))).count() == 0
