@@ -11,6 +11,7 @@ length, go through a logistic curve fitted on the same sample.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,6 +26,7 @@ from corpuslens.llm.linear import fit_dense, sigmoid
 from corpuslens.sources.store import write_table
 
 TRAIN_ROWS = 20_000     # labelled documents the lexicon is learned from
+BROADCAST_ROWS = 1_000_000
 ENTRIES = 4_000         # entries kept, by strength of evidence
 PER_TEXT = 5            # uses of an entry that count in one text, so that no text speaks for many
 STARTS = range(3, 9)    # lengths of beginnings of words
@@ -92,9 +94,10 @@ def hits(automaton, folded: str) -> dict[int, float]:
             spared.append((start, end))
         elif w > best.get(start, 0.0):
             best[start] = w
+    at = sorted(best) if spared else []
     for start, end in spared:
-        for at in [a for a in best if start <= a < end]:
-            del best[at]
+        for k in range(bisect_left(at, start), bisect_left(at, end)):
+            best.pop(at[k], None)
     return best
 
 
@@ -105,15 +108,22 @@ def measures(found: dict[int, float], n_words: int) -> list[float]:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
              train_rows: int) -> DataFrame:
-    """(text, y) of at most ``train_rows`` labelled training rows, those with the smallest hashes of their id.
+    """(text, y) of at most ``train_rows`` labelled training rows, those with the smallest hashes of id and text.
 
-    Only ids come to be known everywhere; a repeated label counts as toxic if any is.
+    A row that repeats an id and its text counts once; a repeated label counts as toxic if any is. Rows meet their
+    labels by id and a hash of the text; texts come only to those taken.
     """
     train = labels.filter(F.col(label_col).isNotNull() & (remainder(F.col(id_col), 5) != 0))
-    ids = (train.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-           .orderBy(F.xxhash64(id_col), id_col).limit(train_rows).withColumnRenamed(id_col, "_id"))
-    return write_table(docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))
-                       .join(F.broadcast(ids), "_id").select("text", "y"), "toxic-sample")
+    known = train.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = text_of(text_col)
+    taken = (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t")).join(known, "_id").distinct()
+             .orderBy(F.xxhash64("_id", "_t"), "_id", "_t").limit(train_rows))
+    taken = write_table(taken, "toxic-rows")
+    if train_rows <= BROADCAST_ROWS:    # three numbers a row
+        taken = F.broadcast(taken)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), text.alias("text"))
+    met = rows.join(taken, ["_id", "_t"]).groupBy("_id", "_t").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    return write_table(met.select("text", "y"), "toxic-sample")
 
 
 def _features(folded: str):

@@ -311,3 +311,20 @@ def test_pieces_round_trip(spark):
     for r in back:
         assert r.n_pieces == len(r.ids) and all(s <= r.score for s in r.others)
     assert pieces.encode(docs.limit(0), v).count() == 0
+
+
+def test_toxicity_sample_is_bounded_though_ids_repeat(spark):
+    docs = [(1, f"text {i}") for i in range(400)] + [(i, f"own {i}") for i in range(2, 60)] + [(2, "own 2")] * 30
+    labels = [(i, i % 2) for i in range(1, 60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 100)
+    assert got.count() == 100
+    whole = [r.text for r in toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 10_000).collect()]
+    assert len(whole) == len(set(whole)) > 400
+
+
+def test_toxicity_hits_outside_many_exceptions():
+    lexicon = toxicity.Lexicon({" bad ": 2.0}, [" bad apple ", " not bad "], [0.0] * 4)
+    text = toxicity.fold("bad apple not bad " * 20000 + "bad luck")
+    assert list(toxicity.hits(lexicon.automaton(), text).values()) == [2.0]
