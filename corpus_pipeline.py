@@ -51,17 +51,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: sources are repeated, up to a quarter more often than the largest, towards equal weights.
+    """Mixing: sources are repeated, at most twice as often as the largest, towards equal weights.
 
     The budget is the least that passes every source once, so that no document is lost.
     """
-    return mixing.mix_documents(docs, target_entropy=0.97, max_repeats=1.25)
+    return mixing.mix_documents(docs, target_entropy=0.97, max_repeats=2.0)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece encoding of every row."""
-    coded = pieces.encode(docs.select("doc_id", "text"), pieces.Vocabulary.read(pieces.MODEL))
-    return coded.select("doc_id", "ids", "n_pieces", "score", "decoded_sha256")
+    """SentencePiece encoding of every row, with the score of the second-best segmentation."""
+    coded = pieces.encode(docs.select("doc_id", "text"), pieces.Vocabulary.read(pieces.MODEL), k=2)
+    return coded.select("doc_id", "ids", "n_pieces", "score", F.get("others", F.lit(0)).alias("second_score"),
+                        "decoded_sha256")
 
 
 STAGES = [
