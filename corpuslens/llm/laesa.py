@@ -27,8 +27,8 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 PIVOTS = 8
-CHUNK_ROWS = 2048
-FIRST, SECOND = 8, 32       # entries tried at once, by ascending bound; then all that remain
+CHUNK_ROWS = 4096
+FIRST = 8       # entries of the lowest bounds, which every part tries at once
 
 
 class Codebook(NamedTuple):
@@ -63,39 +63,25 @@ def nearest(x: np.ndarray, far: np.ndarray, entries: np.ndarray, entry_far: np.n
     than that, so an entry is left out only when it is truly farther.
     """
     n, k = len(x), len(entries)
-    low = np.zeros((n, k))
+    low = np.zeros((k, n))
     for p in range(far.shape[1]):
-        np.maximum(low, np.abs(far[:, p, None] - entry_far[None, :, p]), out=low)
+        np.maximum(low, np.abs(entry_far[:, p, None] - far[None, :, p]), out=low)
     slack = 1e-14 * (far.max(initial=0.0) + entry_far.max(initial=0.0))
     bound = np.square(np.maximum(low - slack, 0.0)) * (1 - 1e-12)
-    best = np.full(n, np.iinfo(np.int64).max)
-    index = np.full(n, k, dtype=np.int64)
-
-    def settle(rows: np.ndarray, distance: np.ndarray, which: np.ndarray) -> None:
-        least = distance.min(axis=1)
-        first = np.where(distance == least[:, None], which, k).min(axis=1)
-        better = (least < best[rows]) | ((least == best[rows]) & (first < index[rows]))
-        best[rows[better]], index[rows[better]] = least[better], first[better]
-
-    rows = np.arange(n)
-    for width in (FIRST, SECOND):
-        if not len(rows):
-            return index, best
-        width = min(width, k)
-        open_bound = bound[rows]
-        which = np.argpartition(open_bound, width - 1, axis=1)[:, :width] if width < k else np.tile(np.arange(k), (len(rows), 1))
-        settle(rows, squares(entries[which], x[rows][:, None, :]), which)
-        bound[rows[:, None], which] = np.inf        # tried
-        rows = rows[(bound[rows] <= best[rows][:, None]).any(axis=1)]
-    row, which = np.nonzero(bound[rows] <= best[rows][:, None])
-    if len(row):
-        row = rows[row]
-        distance = np.concatenate([squares(entries[which[s:s + 65536]], x[row[s:s + 65536]])
-                                   for s in range(0, len(row), 65536)])
-        order = np.lexsort((which, distance, row))
-        row, which, distance = row[order], which[order], distance[order]
-        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        settle(row[head], distance[head, None], which[head, None])
+    # each part's own first entries
+    rows, width = np.arange(n), min(FIRST, k)
+    which = np.argpartition(bound, width - 1, axis=0)[:width]
+    distance = squares(entries[which], x[None])
+    best = distance.min(axis=0, initial=np.iinfo(np.int64).max)
+    index = np.where(distance == best, which, k).min(axis=0, initial=k)
+    bound[which, rows[None]] = np.inf
+    # then entry by entry, the promising ones first, for the parts that may be nearer to it
+    for e in np.argsort(bound.min(axis=1, initial=np.inf)).tolist():
+        rows = np.flatnonzero(bound[e] <= best)
+        if len(rows):
+            apart = squares(x[rows], entries[e][None])
+            nearer = (apart < best[rows]) | ((apart == best[rows]) & (e < index[rows]))
+            best[rows[nearer]], index[rows[nearer]] = apart[nearer], e
     return index, best
 
 
