@@ -64,7 +64,7 @@ _LINE = {"order_lines": "SELECT l_orderkey AS o_orderkey, l_linenumber, l_partke
 @query("upsert_case", """SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
        UNION ALL SELECT l_orderkey, arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) FROM lineitem GROUP BY l_orderkey""")
 def _(t):
-    store = O.RecordStore(t.spark, O.fresh_path(t.spark, "order-store"), "o_orderkey")
+    store = O.RecordStore(t.spark, O.fresh_path(t.spark, "order-store"), "o_orderkey", buckets=8)
     store.replace(t.orders.select("o_orderkey", F.col("o_totalprice").alias("price")))
     batch = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"),
                               "l_linenumber", "l_partkey", "l_suppkey")
@@ -75,7 +75,7 @@ def _(t):
        UNION ALL SELECT DISTINCT l_orderkey, true FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def _(t):
     keys = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    store = O.RecordStore(t.spark, O.fresh_path(t.spark, "order-store"), "o_orderkey")
+    store = O.RecordStore(t.spark, O.fresh_path(t.spark, "order-store"), "o_orderkey", buckets=8)
     store.replace(t.orders)
     left = store.delete(keys).select("o_orderkey", F.lit(False).alias("deleted"))
     gone = O.delete_results(t.orders, keys, "o_orderkey").filter("deleted")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ROW_GROUP_BYTES = 32 << 20     # a task holds one row group in memory while it writes
@@ -110,42 +110,144 @@ def delete_results(store: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 class RecordStore:
-    """Keyed records that are saved, loaded by key and deleted, as versioned snapshots.
+    """Keyed records that are saved, loaded by key and deleted, in buckets by a hash of the key.
 
-    A write makes a whole new snapshot and then a pointer to it; readers follow the newest pointer. A write that
-    fails before its pointer is complete leaves the old snapshot in force. One writer at a time.
+    A save writes only the buckets that hold keys of its batch, into a folder of its version, and then a manifest: a
+    table that says for every bucket which version's folder has it, its rows and its range of keys. Readers follow the
+    newest complete manifest, so a write that fails before leaves the old version in force. Files that none of the
+    last ``grace`` manifests names are removed. One writer at a time. Rows without a key are not stored.
+
+    A bucket is one file and one task's work: let ``buckets`` grow with the store (about a gigabyte each). The number
+    is fixed by the first save. What the driver holds is one manifest row a bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
+    MANIFEST = "bucket INT, written BIGINT, rows BIGINT, low STRING, high STRING, buckets INT, schema STRING"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 64, grace: int = 3):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.buckets, self.grace = buckets, max(1, grace)
+
+    def versions(self) -> list[int]:
+        """Versions with a complete manifest, ascending."""
+        return [v for v in _numbered(self.spark, f"{self.path}/manifests") if _exists(
+            self.spark, f"{self.path}/manifests/{v}/_SUCCESS")]
 
     def version(self) -> int:
         """Newest complete version; 0 before the first save."""
-        try:
-            found = self.spark.read.schema("version BIGINT").parquet(f"{self.path}/pointers/*")
-            return found.agg(F.max("version")).first()[0] or 0
-        except AnalysisException:
-            return 0
+        return max(self.versions(), default=0)
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """Per bucket of a version (by default the newest): bucket, written, rows, low and high key."""
+        version = version or self.version()
+        return (self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifests/{version}")
+                .filter("bucket >= 0").drop("buckets", "schema"))
 
-    def load(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/snapshots/{self.version()}")
+    def load(self, version: int | None = None) -> DataFrame:
+        _, schema, places = self._read_manifest(version or self.version())
+        return self._rows(schema, places)
 
     def get(self, key) -> DataFrame:
-        return self.load().filter(F.col(self.key) == key)
+        """The record of ``key``, from its own bucket."""
+        buckets, schema, places = self._read_manifest(self.version())
+        kind = schema[self.key].dataType
+        one = self.spark.range(1, numPartitions=1).select(_bucket(F.lit(key).cast(kind), buckets).alias("b")).first().b
+        return self._rows(schema, {one: places[one]} if one in places else {}).filter(F.col(self.key) == key)
 
     def replace(self, records: DataFrame) -> DataFrame:
         """Make ``records`` the next version and return it."""
-        version = self.version() + 1
-        records.write.mode("overwrite").parquet(f"{self.path}/snapshots/{version}")
-        point = self.spark.range(1, numPartitions=1).select(F.lit(version).cast("bigint").alias("version"))
-        point.write.mode("overwrite").parquet(f"{self.path}/pointers/{version}")
-        return self.load()
+        newest = self.version()
+        buckets = self._read_manifest(newest)[0] if newest else self.buckets
+        return self._write(newest + 1, records.filter(F.col(self.key).isNotNull()), buckets, records.schema, {})
 
     def save(self, batch: DataFrame, *order: str) -> DataFrame:
         """Insert or replace records by key; the last write per key wins."""
-        if not self.version():
-            return self.replace(latest(batch, self.key, *order).select(*batch.columns))
-        return self.replace(upsert(self.load(), batch, self.key, *order))
+        newest = self.version()
+        new = latest(batch.filter(F.col(self.key).isNotNull()), self.key, *order)
+        if not newest:
+            return self.replace(new.select(*batch.columns))
+        return self._change(newest, new, lambda old: upsert(old, new, self.key, *order))
 
     def delete(self, keys: DataFrame) -> DataFrame:
-        return self.replace(delete_by_key(self.load(), keys, self.key))
+        return self._change(self.version(), keys, lambda old: delete_by_key(old, keys, self.key))
+
+    def _change(self, newest: int, keys: DataFrame, change) -> DataFrame:
+        """Next version: ``change`` of the rows in the buckets of ``keys``, all other buckets as they are."""
+        buckets, schema, places = self._read_manifest(newest)
+        key = F.col(self.key).cast(schema[self.key].dataType)       # a hash depends on the type
+        touched = {r.b for r in keys.filter(key.isNotNull()).select(_bucket(key, buckets).alias("b"))
+                   .distinct().collect()}       # at most ``buckets``
+        old = self._rows(schema, {b: v for b, v in places.items() if b in touched})
+        rest = {b: v for b, v in places.items() if b not in touched}
+        return self._write(newest + 1, change(old), buckets, schema, rest)
+
+    def _read_manifest(self, version: int) -> tuple[int, T.StructType, dict[int, int]]:
+        rows = self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifests/{version}").collect()
+        head = next(r for r in rows if r.bucket < 0)
+        schema = T.StructType.fromJson(json.loads(head.schema))
+        return head.buckets, schema, {r.bucket: r.written for r in rows if r.bucket >= 0}
+
+    def _rows(self, schema: T.StructType, places: dict[int, int]) -> DataFrame:
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/data/{written}/_bucket={b}" for b, written in sorted(places.items())]
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _write(self, version: int, records: DataFrame, buckets: int, schema: T.StructType,
+               rest: dict[int, int]) -> DataFrame:
+        folder = f"{self.path}/data/{version}"
+        typed = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        placed = typed.withColumn("_bucket", _bucket(F.col(self.key), buckets))
+        placed.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+        fields = T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])
+        written = (self.spark.read.schema(fields).parquet(folder).groupBy(F.col("_bucket").alias("bucket"))
+                   .agg(F.count("*").alias("rows"), F.min(self.key).cast("string").alias("low"),
+                        F.max(self.key).cast("string").alias("high"))
+                   .select("bucket", F.lit(version).cast("bigint").alias("written"), "rows", "low", "high"))
+        if rest:
+            kept = self.spark.createDataFrame([(b,) for b in rest], "bucket INT")
+            written = written.unionByName(self.manifest(version - 1).join(kept, "bucket"))
+        none = F.lit(None)
+        head = self.spark.range(1, numPartitions=1).select(
+            F.lit(-1).alias("bucket"), none.cast("bigint").alias("written"), none.cast("bigint").alias("rows"),
+            none.cast("string").alias("low"), none.cast("string").alias("high"), F.lit(buckets).alias("buckets"),
+            F.lit(schema.json()).alias("schema"))
+        rows = written.withColumn("buckets", none.cast("int")).withColumn("schema", none.cast("string"))
+        rows.unionByName(head).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifests/{version}")
+        self._remove_old()
+        return self.load(version)
+
+    def _remove_old(self) -> None:
+        versions = self.versions()
+        kept = versions[-self.grace:]
+        named = {v for version in kept for v in self._read_manifest(version)[2].values()}
+        for version in versions[:-self.grace]:
+            _remove(self.spark, f"{self.path}/manifests/{version}")
+        for version in _numbered(self.spark, f"{self.path}/data"):
+            if version < kept[0] and version not in named:
+                _remove(self.spark, f"{self.path}/data/{version}")
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def _numbered(spark: SparkSession, path: str) -> list[int]:
+    """Names of the folders of ``path`` that are numbers, ascending."""
+    files, place = _file_system(spark, path)
+    found = files.listStatus(place) if files.exists(place) else []
+    return sorted(int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)

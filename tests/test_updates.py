@@ -202,11 +202,43 @@ def test_record_store(spark, tmp_path):
     store.save(rows(("b", 7), ("c", 1)), "v")
     assert sorted(map(tuple, store.load().collect())) == [("a", 2), ("b", 7), ("c", 1)]
     assert store.get("b").first().v == 7
-    # a write that fails before its pointer leaves the old snapshot
-    rows(("x", 9)).write.parquet(f"{store.path}/snapshots/3")
+    # a write that fails before its manifest is complete leaves the old version
+    rows(("x", 9)).write.parquet(f"{store.path}/data/3/_bucket=0")
+    (tmp_path / "records" / "manifests" / "3").mkdir()
     assert store.version() == 2 and store.get("x").count() == 0
     store.delete(rows(("a", 0), ("nobody", 0)).select("k"))
     assert sorted(r.k for r in RecordStore(spark, store.path, "k").load().collect()) == ["b", "c"]
+    # keys of another type, none at all, and a store that becomes empty
+    store.save(spark.createDataFrame([(None, 3), ("d", 4)], "k STRING, v LONG"), "v")
+    assert sorted(map(tuple, store.load().collect())) == [("b", 7), ("c", 1), ("d", 4)]
+    left = store.delete(store.load().select("k"))
+    assert left.count() == 0 and dict(left.dtypes) == {"k": "string", "v": "int"}
+    assert store.get("b").count() == 0 and store.save(rows(("e", 1)), "v").count() == 1
+
+
+def test_a_save_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    store = RecordStore(spark, str(tmp_path / "records"), "k", buckets=64, grace=2)
+    store.save(spark.range(2000).select(F.col("id").alias("k"), F.lit(0).alias("v")), "v")
+    first = {r.bucket: r for r in store.manifest().collect()}
+    assert len(first) == 64 and sum(r.rows for r in first.values()) == 2000
+    batch = spark.createDataFrame([(5, 1), (900, 1), (5000, 1)], "k INT, v INT")
+    store.save(batch, "v")
+    second = {r.bucket: r for r in store.manifest().collect()}
+    rewritten = [b for b, r in second.items() if r.written == 2]
+    assert 0 < len(rewritten) <= 3 and {b for b in second if second[b] == first[b]} == set(second) - set(rewritten)
+    assert sorted(p.name for p in (tmp_path / "records" / "data" / "2").glob("_bucket=*")) == sorted(
+        f"_bucket={b}" for b in rewritten)
+    assert store.load().agg(F.sum("v"), F.count("*")).first()[:] == (3, 2001)
+    assert store.load(1).agg(F.sum("v"), F.count("*")).first()[:] == (0, 2000)      # an old version stays readable
+    assert len(store.get(900).inputFiles()) == 1 and store.get(900).first().v == 1
+    for v in (2, 3, 4):
+        store.save(batch.withColumn("v", F.lit(v)), "v")
+    assert store.versions() == [4, 5]                                               # beyond the grace, files go
+    assert sorted(int(p.name) for p in (tmp_path / "records" / "data").iterdir()) == [1, 4, 5]
+    assert store.load().agg(F.sum("v"), F.count("*")).first()[:] == (12, 2001)
+    store.replace(spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v")))
+    store.delete(spark.createDataFrame([(3,)], "k LONG"))
+    assert sorted(int(p.name) for p in (tmp_path / "records" / "data").iterdir()) == [6, 7]
 
 
 def test_migrated_project_scores_as_a_project_of_its_metadata(spark):
