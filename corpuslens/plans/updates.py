@@ -8,7 +8,7 @@ from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, joined
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import ROLLUP, RULE, project_rows
-from corpuslens.sources.store import fresh_path, latest, written_once
+from corpuslens.sources.store import RecordStore, fresh_path, written_once
 from corpuslens.streaming import ingest as T
 
 _HASH = "substr(sha256({}.content), 1, 16)"
@@ -272,11 +272,10 @@ def _(t):
 @query("stream_latest_state", """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type
        FROM events GROUP BY user_id""")
 def _(t):
-    log = fresh_path(t.spark, "latest")
+    store = fresh_path(t.spark, "latest")
     rows = stream_of(t, "events").select("user_id", "ts", "event_id", "event_type")
-    T.run_available(rows, log, T.latest_batch(log, "user_id", "ts", "event_id"))
-    newest = T.read_log(t.spark, log)
-    return latest(newest, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+    T.run_available(rows, store, T.latest_state(store, "user_id", "ts", "event_id", buckets=8))
+    return RecordStore(t.spark, store, "user_id").load().select("user_id", "event_id", "event_type")
 
 
 @query("stream_outcome_counts", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")

@@ -117,7 +117,7 @@ class RecordStore:
     newest complete manifest, so a write that fails before leaves the old version in force. Files that none of the
     last ``grace`` manifests names are removed. One writer at a time. Rows without a key are not stored.
 
-    A bucket is one file and one task's work: let ``buckets`` grow with the store (about a gigabyte each). The number
+    ``save`` lets the last write win, ``merge`` the highest order. A bucket is one file and one task's work: let ``buckets`` grow with the store (about a gigabyte each). The number
     is fixed by the first save. What the driver holds is one manifest row a bucket.
     """
 
@@ -167,6 +167,15 @@ class RecordStore:
             return self.replace(new.select(*batch.columns))
         return self._change(newest, new, lambda old: upsert(old, new, self.key, *order))
 
+    def merge(self, batch: DataFrame, *order: str) -> DataFrame:
+        """Insert records by key, or replace those that are lower by ``order``: late and repeated ones change nothing."""
+        newest = self.version()
+        if not newest:
+            return self.save(batch, *order)
+        new = latest(batch.filter(F.col(self.key).isNotNull()), self.key, *order)
+        return self._change(newest, new, lambda old: latest(
+            old.unionByName(new.select(*old.columns)), self.key, *order).select(*old.columns))
+
     def delete(self, keys: DataFrame) -> DataFrame:
         return self._change(self.version(), keys, lambda old: delete_by_key(old, keys, self.key))
 
@@ -176,6 +185,8 @@ class RecordStore:
         key = F.col(self.key).cast(schema[self.key].dataType)       # a hash depends on the type
         touched = {r.b for r in keys.filter(key.isNotNull()).select(_bucket(key, buckets).alias("b"))
                    .distinct().collect()}       # at most ``buckets``
+        if not touched:
+            return self.load(newest)
         old = self._rows(schema, {b: v for b, v in places.items() if b in touched})
         rest = {b: v for b, v in places.items() if b not in touched}
         return self._write(newest + 1, change(old), buckets, schema, rest)

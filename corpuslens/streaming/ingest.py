@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens.functions import rules as R
 from corpuslens.operators.incremental import changed_files, rebuild
-from corpuslens.sources.store import latest, work_dir
+from corpuslens.sources.store import RecordStore, latest, work_dir
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, source: str = "none") -> None:
@@ -82,10 +82,15 @@ def dedup_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_batch(log: str, key: str, *order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: newest row per key of the batch, logged."""
+def latest_state(store: str, key: str, *order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the newest row per key, kept in a record store at ``store``.
+
+    A batch meets only the buckets of its keys and leaves one row per live key there, so that a read costs the live
+    keys however many batches there were. Rows older than the stored one and batches that Spark repeats change
+    nothing, with whatever checkpoint.
+    """
     def each(rows: DataFrame, batch_id: int) -> None:
-        write_batch(latest(rows, key, *order), log, batch_id)
+        RecordStore(rows.sparkSession, store, key, buckets).merge(rows, *order)
     return each
 
 

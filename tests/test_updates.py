@@ -241,6 +241,31 @@ def test_a_save_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
     assert sorted(int(p.name) for p in (tmp_path / "records" / "data").iterdir()) == [6, 7]
 
 
+def test_latest_state_over_runs_late_and_repeated_rows(spark, tmp_path):
+    source, store = str(tmp_path / "events"), str(tmp_path / "state")
+    schema = "k LONG, at LONG, v STRING"
+
+    def run(*rows, checkpoint=store):
+        if rows:
+            spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        T.run_available(spark.readStream.schema(schema).parquet(source), checkpoint,
+                        T.latest_state(store, "k", "at", "v", buckets=4))
+        return {r.k: (r.at, r.v) for r in RecordStore(spark, store, "k").load().collect()}
+
+    assert run((1, 5, "a"), (1, 7, "b"), (2, 1, "x"), (None, 1, "no key")) == {1: (7, "b"), 2: (1, "x")}
+    assert run((1, 6, "late"), (3, 1, "new"), (2, 1, "x")) == {1: (7, "b"), 2: (1, "x"), 3: (1, "new")}
+    want = {1: (7, "b"), 2: (9, "y"), 3: (1, "new")}
+    assert run((2, 9, "y")) == want
+    assert run(checkpoint=str(tmp_path / "again")) == want          # all rows once more
+    for at in range(10, 14):
+        run((1, at, "v"))
+    state = RecordStore(spark, store, "k")
+    assert len(state.load().inputFiles()) <= 4 and state.manifest().agg(F.sum("rows")).first()[0] == 3
+    version = state.version()
+    T.latest_state(store, "k", "at", "v")(spark.createDataFrame([], schema), 99)    # an empty batch writes nothing
+    assert state.version() == version
+
+
 def test_migrated_project_scores_as_a_project_of_its_metadata(spark):
     meta = dict(total_files=10, files_by_category={"page": 4, "component": 3, "api": 3}, api_type="grpc",
                 api_methods=["getUser", "listUsers"], frameworks=["vue3", "pinia"], patterns=["api-client", "error-recovery"],
