@@ -1,13 +1,15 @@
 """Queries: incremental, stateful and streaming work; migration; annotation."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from corpuslens.functions import rules as R, text as X
-from corpuslens.operators import annotate as N, incremental as I, migrate as H, rollup as U, vectors as V
+from corpuslens.operators import annotate as N, incremental as I, migrate as H, replies as P, rollup as U, vectors as V
 from corpuslens.plans import sqlgen as Q
-from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, joined
+from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, _detect_sql, joined
 from corpuslens.plans.registry import query
-from corpuslens.plans.scores import ROLLUP, RULE, project_rows
+from corpuslens.plans.scores import ANNOTATION_SQL, ROLLUP, RULE, project_rows
 from corpuslens.sources.store import RecordStore, fresh_path, written_once
 from corpuslens.streaming import ingest as T
 
@@ -305,6 +307,57 @@ def _(t):
     return N.rule_annotations(t.files)
 
 
+def _replies(paths, texts):
+    """A model's stand-in: rules in the form of replies, one in seven each cut, of wrong types, missing or mere prose."""
+    out = []
+    for text in texts:
+        lines, kind = text.count("\n") + 1, len(text) % 7
+        if kind == 3:
+            raise ValueError("no reply")
+        reply = {"patterns": ["export"] if "export " in text else [], "features": [text[:12]], "hasDocumentation": lines > 1,
+                 "complexity": N._level(lines), "isExcellent": lines >= 12, "reusability": "high" if lines < 5 else "low",
+                 "errorHandling": "comprehensive" if lines >= 30 else "none", "typeDefinitions": "good", "apiType": "rest"}
+        if kind == 2:
+            reply |= {"patterns": "lone", "complexity": 7, "isExcellent": "maybe"}
+        said = json.dumps(reply)
+        if kind == 1:
+            said = said[:said.index('"isExcellent"')]
+        out.append("I cannot tell." if kind == 4 else f"Here it is:\n```json\n{said}\n```" if kind == 5 else said)
+    return out
+
+
+_RECORDS = {
+    "said": f"""SELECT doc_id, content, length(content) % 7 AS kind, {_LINES} AS lines_of_code, {_LEVELS} AS level,
+        {_detect_sql(R.DESIGN_SYSTEM_PATTERNS, 'design_system')} FROM files""",
+    "records": """SELECT doc_id, lines_of_code, design_system,
+        CASE WHEN kind IN (3, 4) THEN 'low' WHEN kind = 2 THEN 'medium' ELSE level END AS complexity,
+        CASE WHEN kind IN (3, 4) THEN 'low' WHEN kind = 1 THEN 'medium' WHEN lines_of_code < 5 THEN 'high' ELSE 'low' END AS reusability,
+        CASE WHEN kind IN (3, 4) THEN 'none' WHEN kind = 1 THEN 'basic' WHEN lines_of_code >= 30 THEN 'comprehensive' ELSE 'none' END AS error_handling,
+        CASE WHEN kind IN (3, 4) THEN 'poor' WHEN kind = 1 THEN 'basic' ELSE 'good' END AS type_definitions,
+        CASE WHEN kind IN (1, 3, 4) THEN NULL ELSE 'rest' END AS api_type, '' AS api_methods_s, '' AS frameworks_s,
+        CASE WHEN kind IN (3, 4) THEN '' WHEN kind = 2 THEN 'lone' WHEN contains(content, 'export ') THEN 'export' ELSE '' END AS patterns_s,
+        CASE WHEN kind IN (3, 4) OR trim(substr(content, 1, 12)) = '' THEN '' ELSE substr(content, 1, 12) END AS features,
+        kind NOT IN (3, 4) AND lines_of_code > 1 AS has_documentation, kind IN (0, 5, 6) AND lines_of_code >= 12 AS is_excellent,
+        CASE kind WHEN 1 THEN 'reply: cut or malformed' WHEN 3 THEN 'reply: ValueError: no reply' WHEN 4 THEN 'reply: no object'
+          WHEN 2 THEN 'complexity: not a level|patterns: not a list|is_excellent: not a flag' ELSE '' END AS errors
+        FROM said""",
+}
+
+
+@query("annotate_replies", "SELECT * EXCLUDE (api_methods_s, frameworks_s, patterns_s), patterns_s AS patterns FROM records",
+       FILES, _RECORDS)
+def _(t):
+    records = P.annotate_records(t.files, _replies).select("doc_id", "record.*")
+    one = lambda c: F.array_join(c, "|").alias(c)
+    return records.select("doc_id", "lines_of_code", "design_system", *[l for l in P.LEVELS], "has_documentation", "is_excellent",
+                          *[one(c) for c in ("features", "errors", "patterns")])
+
+
+@query("annotated_cases", f"SELECT doc_id, {ANNOTATION_SQL}, patterns_s AS patterns FROM records", FILES, _RECORDS)
+def _(t):
+    return P.annotated_cases(t.files, _replies).select("doc_id", *R.DIMENSIONS, F.array_join("patterns", "|").alias("patterns"))
+
+
 _HAS_API = "(contains(content, 'client.') OR contains(content, 'axios') OR contains(content, 'fetch('))"
 
 
