@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.functions import rules as R, text as X
 from corpuslens.functions.scoring import lookup
-from corpuslens.operators.joins import mandatory_ids, union_distinct_ids
+from corpuslens.operators.joins import union_distinct_ids, with_mandatory
 from corpuslens.operators.strings import substring_matches
 from corpuslens.sources.store import pin
 
@@ -49,7 +49,6 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int | None = 10,
     keyword hit can only be in the answer when it is among the first k for
     those options; hits come from an equi join on the keyword.
     """
-    k = (1 << 31) - 1 - 100_000 if k is None else k
     for name, kind in OPTIONAL.items():
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
@@ -71,25 +70,26 @@ def search_guides(requests: DataFrame, guides: DataFrame, k: int | None = 10,
             + F.when(F.col("r.scope") == F.col("g.scope"), 20).otherwise(0)
             + _library_points("design_system") + _library_points("utility_library")) * 10 + F.col("g.priority")
     admitted = gates.join(doors, F.col("r.gate") == F.col("g.gate")).select("r.profile", "g.id", base.alias("base"))
-    # mandatory guides take no part, so look that many places further
-    auto = mandatory_ids(guides)
-    first = Window.partitionBy("profile").orderBy(F.desc("base"), "id")
-    leaders = admitted.withColumn("_m", auto).filter(~F.array_contains(F.coalesce("_m", F.array().cast("array<string>")), F.col("id")))
-    leaders = leaders.withColumn("_n", F.row_number().over(first))
+    # mandatory guides are added below; a request may name k more that lead here
+    leaders = admitted.join(guides.filter("mandatory").select("id"), "id", "left_anti")
+    if k is not None:
+        named = sigs.agg(F.max(F.size("mandatory"))).first()[0] or 0
+        first = Window.partitionBy("profile").orderBy(F.desc("base"), "id")
+        leaders = leaders.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + named)
 
     words = sigs.select("sig", "profile", F.explode("keywords").alias("keyword"))
     hits = (words.join(keyword_points(words, guides), "keyword")
             .groupBy("sig", "profile", "id").agg(F.sum("points").alias("points"))
             .join(admitted, ["profile", "id"]).select("sig", "id", (F.col("base") + F.col("points") * 10).alias("score")))
-    calm = (sigs.join(leaders, "profile").filter(F.col("_n") <= k + F.size("mandatory"))
-            .select("sig", "id", F.col("base").alias("score")))
+    calm = sigs.join(leaders, "profile").select("sig", "id", F.col("base").alias("score"))
     scored = hits.unionByName(calm).groupBy("sig", "id").agg(F.max("score").alias("score"))
-    must = sigs.select("sig", F.explode(F.array_distinct(F.concat(
-        "mandatory", F.coalesce(auto, F.array().cast("array<string>"))))).alias("id"))
-    must = must.join(guides.select("id"), "id", "left_semi")
+    # among equal scores the first k ids are enough
+    asked = sigs.select("sig", F.explode("mandatory").alias("id")).join(guides.select("id"), "id", "left_semi")
+    must = asked.select("sig", "id").union(with_mandatory(sigs.select("sig"), guides, k).select("sig", "id")).distinct()
     ranked = scored.join(must, ["sig", "id"], "left_anti").unionByName(must.select("sig", "id", F.lit(10000).alias("score")))
     order = Window.partitionBy("sig").orderBy(F.desc("score"), "id")
-    best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = ranked.withColumn("rank", F.row_number().over(order))
+    best = best if k is None else best.filter(F.col("rank") <= k)
     return req.select(request_key, "sig").join(best, "sig").select(
         request_key, "rank", "id", (F.col("score") / 10).alias("score"))
 
@@ -103,7 +103,8 @@ def combine_guides(wanted: DataFrame, guides: DataFrame, request_key: str = "req
     rule is sequential within a request, so it runs as a fold over the
     request's own (short) list.
     """
-    auto = wanted.select(request_key).distinct().select(request_key, F.posexplode(mandatory_ids(guides)).alias("position", "id"))
+    # places of mandatory guides are alike: ids decide below
+    auto = with_mandatory(wanted.select(request_key).distinct(), guides).withColumn("position", F.lit(0))
     ids = union_distinct_ids(auto, wanted.select(request_key, "id", "position"), request_key)
     facts = guides.select("id", "scope", "priority", "version", "requires", "excludes")
     rows = ids.join(facts, "id").select(request_key, F.struct(

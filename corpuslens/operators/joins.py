@@ -128,13 +128,19 @@ def union_mandatory(scored: DataFrame, mandatory: DataFrame, key: str = "id") ->
     return scored.join(mandatory.select(key), key, "left_anti").unionByName(first.select(*scored.columns))
 
 
-def mandatory_ids(guides: DataFrame) -> Column:
-    """Ids of the guides that always apply, as one array (a scalar subquery).
+def with_mandatory(requests: DataFrame, guides: DataFrame, first: int | None = None) -> DataFrame:
+    """``requests`` with each guide that always applies (``id``), or with the ``first`` of them by id.
 
-    Guides are rules people write, so their ids are few; requests explode the
-    array instead of meeting the guides in a join without a key.
+    The result has requests x guides rows by its meaning. Requests are dealt over slots and the mandatory guides
+    copied to each, so that they meet in an equi join that every task has a share of.
     """
-    return guides.filter("mandatory").agg(F.array_sort(F.collect_list("id")).alias("ids")).scalar()
+    spread = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    must = guides.filter("mandatory").select("id").distinct()
+    if first is not None:
+        must = must.orderBy("id").limit(first)
+    copies = must.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = requests.withColumn("_slot", F.pmod(F.xxhash64(*requests.columns), F.lit(spread)).cast("int"))
+    return dealt.join(copies, "_slot").drop("_slot")
 
 
 def union_distinct_ids(first: DataFrame, second: DataFrame, by: str = "request_id", key: str = "id",

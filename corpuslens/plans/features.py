@@ -304,6 +304,16 @@ def _(t):
         c("complexity"), c("error_handling"), k_methods=5)).alias("keywords"))
 
 
+@query("metadata_keywords_whole",
+       f"SELECT doc_id, {Q.joined(f'list_transform({META_WORDS.replace(chr(91) + "1:5" + chr(93), "")}, lambda w: lower(w))')} AS keywords "
+       "FROM file_meta", META)
+def _(t):
+    c = F.col
+    return t.file_meta.select("doc_id", joined(X.metadata_keywords(
+        c("patterns"), c("frameworks"), c("api_type"), c("features"), c("api_methods"), c("entities"),
+        c("complexity"), c("error_handling"))).alias("keywords"))
+
+
 _GUIDE_WORDS = "list_concat(list_concat(list_concat(list_concat(list_concat(list_concat(" \
     f"{Q.split('patterns_s')}, {Q.split('frameworks_s')}), {Q.split('entities_s')}), {Q.split('features_s')}), " \
     f"{Q.present(['category', 'api_type'])}), CASE WHEN design_system IS NOT NULL THEN [design_system, 'design-system'] ELSE [] END), " \
@@ -339,6 +349,17 @@ def _(t):
                     F.array_join("usages", "~").alias("usages"), "preview")
 
 
+@query("grep_lines_whole", r"""SELECT doc_id,
+       array_to_string(list_filter(l, lambda x: regexp_matches(x, 'const page|import.*lodash')), '~') AS definitions,
+       array_to_string(list_filter(l, lambda x: regexp_matches(x, '[uU]se[A-Z][a-z]+\(') AND NOT regexp_matches(x, '^\s*//')), '~') AS usages,
+       content AS preview
+       FROM (SELECT doc_id, content, string_split(content, chr(10)) AS l FROM files) WHERE contains(content, 'use')""", FILES)
+def _(t):
+    g = L.grep_lines(t.files.select("doc_id", "content"), "use", "const page|import.*lodash", r"[uU]se[A-Z][a-z]+\(", "content")
+    return g.select("doc_id", F.array_join("definitions", "~").alias("definitions"),
+                    F.array_join("usages", "~").alias("usages"), "preview")
+
+
 FLAGS = {
     "has_vue_import": r"import\s*\{[^}]*reactive[^}]*ref[^}]*\}\s*from\s*['\"]vue['\"]",
     "has_composable_call": r"use[A-Z]\w+\(", "has_try": r"(?s)try\s*\{.*catch", "has_email": r"[a-z]+@[a-z]+\.[a-z]+",

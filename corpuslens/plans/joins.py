@@ -139,7 +139,7 @@ def _(t):
        GROUP BY ALL""", ("requests", "guides"))
 def _(t):
     own = t.requests.select("request_id", F.posexplode("wanted").alias("position", "id"))
-    auto = t.requests.select("request_id", F.posexplode(J.mandatory_ids(t.guides)).alias("position", "id"))
+    auto = J.with_mandatory(t.requests.select("request_id"), t.guides).withColumn("position", F.lit(0))
     return J.union_distinct_ids(own, auto).select("request_id", "id", F.col("rank._s").alias("source"))
 
 

@@ -324,6 +324,14 @@ def _(t):
                         request_key="doc_id")
 
 
+# every guide found, whole texts
+@query("guides_for_metadata_whole", "SELECT rid AS doc_id, combined, n_guides FROM gc_text", ("file_meta", "guides"), {
+       "asking": f"""SELECT doc_id AS rid, api_type, list_distinct(list_transform({META_WORDS.replace('[1:5]', '')}, lambda w: lower(w))) AS keywords
+            FROM file_meta""", **{n: q.replace(", 1, 50000)", ", 1)") for n, q in search_ctes("asking", 1 << 40).items()}})
+def _(t):
+    return G.guides_for(G.metadata_requests(t.file_meta), t.guides, request_key="doc_id")
+
+
 _DIM_COUNTS = ", ".join(
     f"{{'n': -({' + '.join(f'contains(low, {Q.lit(w)})::INT' for w in ws)}), 'o': {i}, 'd': '{d}'}}"
     for i, (d, ws) in enumerate(R.DIMENSION_WORDS))

@@ -33,18 +33,32 @@ _SHORTCUTS = [
 ]
 
 
-@query("search_files_shortcuts", " UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{n}' AS shortcut, doc_id FROM scored WHERE {w}{f' ORDER BY doc_id LIMIT {k}' if k else ''})"
-    for n, w, k in _SHORTCUTS), FILES, Q.SCORED)
-def _(t):
+def _shortcuts_sql(cut: bool) -> str:
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{n}' AS shortcut, doc_id FROM scored WHERE {w}{f' ORDER BY doc_id LIMIT {k}' if k and cut else ''})"
+        for n, w, k in _SHORTCUTS)
+
+
+def _shortcuts(t, cut: bool):
     df = t.case_store.select("doc_id", "project", "file_role", "keywords", "entities", "typeUsage")
-    parts = {"keywords": A.by_keywords(df, "search", "modal", limit=10), "function": A.by_function(df, "table", limit=10),
-             "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1", limit=10),
-             "entity": A.by_entity(df, "user", limit=10), "recommended": A.recommended_code(df, "search", "page", ["the"], limit=5)}
+    ten, five = (10, 5) if cut else (None, None)
+    parts = {"keywords": A.by_keywords(df, "search", "modal", limit=ten), "function": A.by_function(df, "table", limit=ten),
+             "min_score": A.by_min_score(df, "typeUsage", 50), "role": A.by_role(df, "store", "src1", limit=ten),
+             "entity": A.by_entity(df, "user", limit=ten), "recommended": A.recommended_code(df, "search", "page", ["the"], limit=five)}
     return reduce(lambda a, b: a.unionByName(b),
                   [p.select(F.lit(n).alias("shortcut"), "doc_id") for n, p in parts.items()])
 
 
+@query("search_files_shortcuts", _shortcuts_sql(True), FILES, Q.SCORED)
+def _(t):
+    return _shortcuts(t, True)
+
+
+@query("search_files_shortcuts_whole", _shortcuts_sql(False), FILES, Q.SCORED)
+def _(t):
+    return _shortcuts(t, False)
+
+
 @query("search_cases_exact", f"""SELECT id, project, category, coalesce(raw_score, -1) AS score FROM cases WHERE category = 'table-browse'
        AND list_has_any({Q.split('tags_s')}, ['search', 'form'])""", ("cases",))
 def _(t):
