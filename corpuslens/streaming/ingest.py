@@ -82,6 +82,13 @@ def dedup_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def latest_batch(log: str, key: str, *order: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: newest row per key of the batch, logged; ``latest_state`` keeps one row per key instead."""
+    def each(rows: DataFrame, batch_id: int) -> None:
+        write_batch(latest(rows, key, *order), log, batch_id)
+    return each
+
+
 def latest_state(store: str, key: str, *order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: the newest row per key, kept in a record store at ``store``.
 
