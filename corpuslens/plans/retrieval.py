@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslens.functions import rules as R, scoring as S, text as X
-from corpuslens.operators import guides as G, joins as J, packages as P, recommend as C, similar as M, vectors as V
+from corpuslens.operators import (guides as G, joins as J, packages as P, page_matches as B, recommend as C, similar as M,
+                                  vectors as V)
 from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.features import API_TYPE, CATEGORY_10, FILES, MANIFESTS, META, META_WORDS, REQUESTS, SYSTEMS, joined
 from corpuslens.plans.joins import _groups
@@ -227,6 +228,70 @@ def _(t):
         "doc_id", "file_category", "path", "relevance", "category_place")
 
 
+def _wanted_sql(tags):
+    """Points of case c for the form f, criteria as columns."""
+    def ratio(case, form, weight):
+        want = Q.split("f." + form)
+        return (f"CASE WHEN len({want}) = 0 THEN {dict(frameworks_s=6, tags_s=2)[case]} ELSE floor({weight} * "
+                f"(len(list_intersect(list_distinct({Q.split('c.' + case)}), {want})) / len({want})) + 0.5) END")
+    return f"""least(100, CASE WHEN f.category IS NULL THEN 15 WHEN lower(c.category) = lower(f.category) THEN 35
+             WHEN list_has_any({_groups('c.category')}, {_groups('f.category')}) THEN 20 ELSE 0 END
+        + CASE WHEN f.api_type IS NULL THEN 10 WHEN c.api_type = f.api_type THEN 25
+               WHEN c.api_type = 'mixed' OR (f.api_type = 'mixed' AND c.api_type IS NOT NULL) THEN 15 ELSE 0 END
+        + CASE WHEN f.design_system IS NULL THEN 8 WHEN c.design_system = f.design_system THEN 20 ELSE 0 END
+        + {ratio('frameworks_s', 'frameworks_s', 15)} + {ratio('tags_s', tags, 5)}
+        + CASE WHEN c.raw_score >= 85 THEN 5 ELSE 0 END)::BIGINT"""
+
+
+# every case is a request
+_SAME_FORM = " AND ".join(f"f.{c} IS NOT DISTINCT FROM r.{c}" for c in
+                          ("category", "api_type", "design_system", "frameworks_s", "tags_s"))
+_FORMS = {"forms": "SELECT DISTINCT category, api_type, design_system, frameworks_s, tags_s FROM cases",
+          "form_scores": f"SELECT f.*, c.id, c.raw_score, {_wanted_sql('tags_s')} AS match_score FROM forms f CROSS JOIN cases c"}
+
+
+def _form_top(least, k, where="TRUE"):
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, api_type, design_system, frameworks_s, tags_s
+        ORDER BY match_score DESC, id) AS rank FROM form_scores WHERE match_score >= {least} AND {where}) WHERE rank <= {k}"""
+
+
+def page_requests(t):
+    return scored_cases(t).select(F.col("id").alias("request_id"), "category", "api_type", "design_system", "frameworks", "tags")
+
+
+@query("similar_pages_bulk", f"""SELECT r.id AS request_id, f.rank, f.id, f.match_score FROM cases r JOIN
+       ({_form_top(40, 10, "(coalesce(raw_score, 0) = 0 OR raw_score >= 30)")}) f ON {_SAME_FORM}""", ("cases",), _FORMS)
+def _(t):
+    return B.similar_bulk(scored_cases(t), page_requests(t), min_total=30).select(
+        "request_id", F.col("rank").cast("bigint").alias("rank"), "id", "match_score")
+
+
+def _bonus_sql():
+    def by(order):
+        return Q.case([(max(5, 30 - 5 * i), f"file_category = '{c}'") for i, c in enumerate(order)], 5)
+    rest = by(R.DEFAULT_PRIORITIES)
+    return "CASE " + " ".join(f"WHEN lower(category) = '{p}' THEN {by(o)}" for p, o in R.FILE_PRIORITIES.items()) + f" ELSE {rest} END"
+
+
+_PAGE_FILES = {**_FORMS, "form_top": _form_top(35, 5), "page_files0": f"""
+    SELECT p.* EXCLUDE (rank, id, raw_score), f.doc_id, f.case_id, f.path, {CATEGORY_10} AS file_category,
+        regexp_extract(path, '([^/]*)$', 1) AS file_name, len(string_split(content, chr(10))) AS lines, {Q.split('p.tags_s')} AS wanted,
+        lower(concat_ws(chr(10), content, path, purpose)) AS hay FROM case_files f JOIN form_top p ON p.id = f.case_id""",
+    "page_files": f"""SELECT *, least(100, floor(match_score * 0.4::DOUBLE + 0.5) + {_bonus_sql()}
+        + CASE WHEN len(wanted) = 0 THEN 0 ELSE floor(20 * (len(list_filter(wanted, lambda x: contains(hay, lower(x)))) / len(wanted)) + 0.5) END
+        + CASE WHEN lines BETWEEN 50 AND 500 THEN 10 WHEN lines > 500 THEN 5 ELSE 0 END)::BIGINT AS relevance FROM page_files0""",
+    "page_best": """SELECT *, row_number() OVER (PARTITION BY category, api_type, design_system, frameworks_s, tags_s
+        ORDER BY relevance DESC, case_id, path, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category, api_type, design_system,
+        frameworks_s, tags_s, file_category, file_name ORDER BY relevance DESC, case_id, path, doc_id) AS n FROM page_files WHERE relevance >= 30) WHERE n = 1"""}
+
+
+@query("recommend_page_files_bulk", f"""SELECT r.id AS request_id, f.rank, f.doc_id, f.case_id, f.path, f.file_category, f.relevance
+       FROM cases r JOIN page_best f ON f.rank <= 15 AND {_SAME_FORM}""", ("cases", "case_files"), _PAGE_FILES)
+def _(t):
+    asked = page_requests(t).withColumnRenamed("tags", "features")
+    return B.recommend_pages(scored_cases(t), t.case_files, asked).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 GUIDE_REQUESTS = {**REQUESTS, "greq": """SELECT request_id, keywords, api_type, CASE WHEN file_role = 'page' THEN 'element-plus' END AS design_system,
     CASE WHEN target_function = 'async' THEN 'lodash' END AS utility_library, CASE WHEN file_role = 'composable' THEN 'org' END AS scope FROM req"""}
 
