@@ -4,11 +4,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import facets as A
+from corpuslens.operators import bitmaps as B, facets as A
 from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.aggregates import POSTINGS
 from corpuslens.plans.features import FILES, joined
 from corpuslens.plans.registry import query
+from corpuslens.sources.store import written_once
 
 
 def _exists(values, word):
@@ -77,6 +78,33 @@ def _(t):
                            min_total=40).select("doc_id", "grade", "total_score")
 
 
+def bitmap_tables(t):
+    numbers = written_once(t.spark, f"numbers-{t.sf_dir}", lambda: B.record_numbers(t.case_store, "doc_id"))
+    return written_once(t.spark, f"bitmaps-{t.sf_dir}", lambda: B.facet_bitmaps(t.postings, numbers, "doc_id"), ["facet"]), numbers
+
+
+@query("facet_counts_bitmaps", "SELECT facet, term, count(*) AS n FROM postings GROUP BY ALL", FILES, POSTINGS)
+def _(t):
+    return B.counts(bitmap_tables(t)[0])
+
+
+@query("search_facets_bitmaps", "SELECT doc_id, grade, total_score FROM graded WHERE coalesce(total_score, 0) >= 40 AND "
+       + _ANY.format("tag", "'search', 'grpc'") + " AND " + _ANY.format("grade", "'poor'") + " AND "
+       + _ANY.format("project", "'src3'"), FILES, POSTINGS)
+def _(t):
+    bitmaps, numbers = bitmap_tables(t)
+    return B.search(bitmaps, numbers, t.case_store, "doc_id", project="src3", tags=["search", "grpc"], grade="poor",
+                    min_total=40).select("doc_id", "grade", "total_score")
+
+
+@query("intersect_facets_bitmaps", "SELECT DISTINCT doc_id FROM postings WHERE " + _ANY.format("tag", "'search', 'list'") + " AND "
+       + _ANY.format("project", "'src1', 'src2', 'src3'") + " AND " + _ANY.format("grade", "'poor'"), FILES, POSTINGS)
+def _(t):
+    bitmaps, numbers = bitmap_tables(t)
+    wanted = {"tag": ["search", "list"], "project": ["src1", "src2", "src3"], "grade": ["poor"]}
+    return B.keys_of(B.matching(bitmaps, wanted), numbers)
+
+
 @query("search_score_ranges", """SELECT doc_id, structure, "apiConnection", total_score FROM graded
        WHERE "apiConnection" >= 50 AND structure <= 70 AND "errorHandling" BETWEEN 20 AND 60""", FILES, Q.SCORED | {
        "graded": f"SELECT *, {Q.grade('total_score')} AS grade FROM scored"})
