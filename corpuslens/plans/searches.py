@@ -4,10 +4,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import bitmaps as B, facets as A
+from corpuslens.operators import bitmaps as B, facets as A, terms as T
 from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.aggregates import POSTINGS
-from corpuslens.plans.features import FILES, joined
+from corpuslens.plans.features import FILES, REQUESTS, joined
 from corpuslens.plans.registry import query
 from corpuslens.sources.store import written_once
 
@@ -16,14 +16,38 @@ def _exists(values, word):
     return f"len(list_filter({values}, lambda v: contains(lower(v), '{word}'))) > 0"
 
 
-@query("search_files", f"""SELECT doc_id, project, file_role, total_score FROM scored WHERE file_role = 'page'
+_SEARCH = f"""SELECT doc_id, project, file_role, total_score FROM scored WHERE file_role = 'page'
        AND "apiConnection" >= 40 AND ({_exists('keywords', 'rest')} OR {_exists('keywords', 'sort')} OR {_exists('keywords', 'stat')})
        AND {_exists('keywords', 'form')} AND {_exists('keywords', 'sea')} AND {_exists('entities', 'dto')}
-       AND {_exists('components_used', 'card')} AND {_exists('api_methods', 'get')}""", FILES, Q.SCORED)
+       AND {_exists('components_used', 'card')} AND {_exists('api_methods', 'get')}"""
+_SEARCHED = dict(role="page", keywords=["REST", "sort", "stat"], keywords_all=["form", "Sea"],
+                 min_scores={"apiConnection": 40}, entities=["Dto"], components=["card"], methods=["get"])
+
+
+@query("search_files", _SEARCH, FILES, Q.SCORED)
+def _(t):
+    return A.search_files(t.case_store, **_SEARCHED).select("doc_id", "project", "file_role", "total_score")
+
+
+def term_index(t):
+    columns = {"keywords": "keywords", "entities": "entities", "components": "components_used", "methods": "api_methods"}
+    return T.build_index(t.case_store, columns, "doc_id")
+
+
+@query("search_files_indexed", _SEARCH, FILES, Q.SCORED)
+def _(t):
+    return T.search_files(t.case_store, term_index(t), **_SEARCHED).select("doc_id", "project", "file_role", "total_score")
+
+
+# every distinct keyword of the requests, wanted in the keywords or entities of a file
+@query("search_files_bulk", f"""SELECT n.request, s.doc_id FROM (SELECT DISTINCT unnest(keywords) AS request FROM req) n
+       JOIN scored s ON {_exists('s.keywords', "' || lower(n.request) || '")} OR {_exists('s.entities', "' || lower(n.request) || '")}""",
+       (*FILES, "requests"), {**Q.SCORED, **REQUESTS})
 def _(t):
-    return A.search_files(t.case_store, role="page", keywords=["REST", "sort", "stat"], keywords_all=["form", "Sea"],
-                          min_scores={"apiConnection": 40}, entities=["Dto"], components=["card"], methods=["get"]
-                          ).select("doc_id", "project", "file_role", "total_score")
+    words = t.request_rows.select(F.explode("keywords").alias("request")).distinct()
+    asked = words.select("request", F.lit(0).alias("part"), F.explode(F.array(F.lit("keywords"), F.lit("entities"))).alias("field"),
+                         F.col("request").alias("needle"))
+    return T.matching(asked, term_index(t)).select("request", "doc_id")
 
 
 _SHORTCUTS = [

@@ -37,7 +37,8 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = fresh_path(df.sparkSession, name)
     writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # an empty table in folders has no file to tell its schema
+    return (df.sparkSession.read.schema(df.schema) if partition_by else df.sparkSession.read).parquet(path)
 
 
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:

@@ -40,3 +40,10 @@ def test_search_over_several_blocks(spark):
         assert sorted(r.id for r in got.select("id").collect()) == [i for i in want if i % 90 >= 30]
     assert B.search(bitmaps, numbers, records).count() == len(rows)
     assert B.how_many(B.matching(bitmaps.limit(0), {"tag": ["a"]})).first().n == 0
+
+
+def test_no_records(spark):
+    records = spark.createDataFrame([], "id long, grade string, tags array<string>")
+    bitmaps, numbers = B.write_bitmaps(A.facet_postings(records, {"grade": "grade", "tag": "tags"}), records)
+    assert B.counts(bitmaps).count() == 0
+    assert B.keys_of(B.matching(bitmaps, {"tag": ["a"]}), numbers).count() == 0
