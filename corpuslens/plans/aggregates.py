@@ -8,6 +8,7 @@ from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.features import FILES, META, NAMING, joined
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import ROLLUP, project_rows, scored
+from corpuslens.sources import observed as W
 
 
 def _pairs_sql(field):
@@ -186,6 +187,28 @@ def _(t):
     return I.outcome_stats(t.events, "user_id", "event_type").withColumn("user_id", F.coalesce("user_id", F.lit(-1)))  # all projects
 
 
+def _counted(t, df, name, counts):
+    """The counts of the job that writes ``df``, as a row."""
+    _, found = W.write_observed(df, name, counts)
+    return t.spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
+
+
+_OUTCOMES = ["click", "error", "view"]
+
+
+@query("scan_outcomes_observed", "SELECT count(*) AS rows, " + ", ".join(
+       f"count(*) FILTER (event_type = '{o}') AS {o}" for o in _OUTCOMES)
+       + f", count(*) FILTER (event_type NOT IN ({', '.join(map(Q.lit, _OUTCOMES))})) AS other FROM events")
+def _(t):
+    return _counted(t, t.events, "scan-outcomes", W.outcome_counts("event_type", _OUTCOMES))
+
+
+@query("dimension_mismatch_observed", """SELECT count(*) AS rows, count(*) FILTER (embedding IS NULL) AS missing,
+       count(*) FILTER (len(embedding) <> 64) AS mismatched, min(len(embedding)) AS shortest, max(len(embedding)) AS longest FROM embeddings""")
+def _(t):
+    return _counted(t, t.embeddings, "vectors", W.dimension_counts("embedding", 64))
+
+
 @query("file_case_text_stats", """SELECT project, sum(lines_of_code)::BIGINT AS total_lines_of_code,
        count(*) FILTER (error_handling = 'comprehensive') AS files_with_good_error_handling,
        count(*) FILTER (type_definitions IN ('excellent', 'good')) AS files_with_good_types FROM file_meta GROUP BY project""", META)
