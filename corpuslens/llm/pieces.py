@@ -322,10 +322,11 @@ def encoder_for(parts: tuple, ranked: bool, name: str) -> Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(id, ids, n_pieces, score, others, decoded_sha256) of every whole text.
+           text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, ids, n_pieces, score, others, decoded_sha256) of every whole text, and other_ids if ``whole``.
 
-    ``ids`` is the best segmentation, ``others`` the scores of the next ``k - 1`` best (fewer if there are fewer).
+    ``ids`` is the best segmentation, ``others`` the scores of the next ``k - 1`` best (fewer if there are fewer), and
+    ``other_ids`` their ids.
     ``decoded_sha256`` is of the text that the ids decode to, which is the text itself if the vocabulary has byte
     pieces. A null text counts as empty; an empty text is its leading space. Repeated rows are encoded alike; an
     empty table gives no rows; other columns are left out.
@@ -348,17 +349,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
                 for text, words in zip(texts, split):
                     (ids, score), *others = coder.encode(text, k, words)
                     digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest))
-                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256"]).assign(
+                    out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest,
+                                [i for i, _ in others] if whole else []))
+                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256", "other_ids"]).assign(
                     id=b["id"].iloc[begin:end].to_numpy())
                 begin = end
 
     # ids travel as strings: pandas has no integers with nulls
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(apply, "id string, ids array<int>, n_pieces long, score double, others array<double>, "
-                                   "decoded_sha256 string").select(
+                                   "decoded_sha256 string, other_ids array<array<int>>").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "ids", "n_pieces", "score", "others",
-        "decoded_sha256")
+        "decoded_sha256", *(["other_ids"] if whole else []))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

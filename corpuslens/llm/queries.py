@@ -78,9 +78,9 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = pieces.encode(docs, pieces.Vocabulary.read(pieces.MODEL), k=2)
+    coded = pieces.encode(docs, pieces.Vocabulary.read(pieces.MODEL), k=2, whole=True)
     return coded.select("doc_id", "ids", "n_pieces", "score", F.get("others", F.lit(0)).alias("second_score"),
-                        "decoded_sha256")
+                        F.get("other_ids", F.lit(0)).alias("second_ids"), "decoded_sha256")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

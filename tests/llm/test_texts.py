@@ -311,6 +311,15 @@ def test_pieces_round_trip(spark):
     for r in back:
         assert r.n_pieces == len(r.ids) and all(s <= r.score for s in r.others)
     assert pieces.encode(docs.limit(0), v).count() == 0
+    # every further segmentation decodes to the same text and is told apart by its ids
+    every = pieces.encode(docs, v, k=3, whole=True).select("doc_id", "ids", "others", F.posexplode("other_ids"))
+    again = pieces.decode(every, v, "col").collect()
+    assert Counter((r.doc_id, r.text) for r in again if r.pos == 0) == Counter((i, t or "") for i, t in rows if t)
+    value = {i: s for i, s in v.pieces.values()}
+    for r in again:
+        assert r.col != r.ids and len(r.others) > r.pos
+        if all(i in value for i in r.col):
+            assert abs(sum(value[i] for i in r.col) - r.others[r.pos]) < 1e-6 * len(r.col)
 
 
 def test_toxicity_sample_is_bounded_though_ids_repeat(spark):
