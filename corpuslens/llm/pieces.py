@@ -335,7 +335,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))     # as large as the vocabulary
 
     def apply(batches):
-        coder = encoder_for(shared.value, k > 1, name)
+        coder, none = encoder_for(shared.value, k > 1, name), np.zeros(0, dtype=np.int32)
         for b in batches:
             begin = 0
             while begin < len(b):       # groups of bounded size
@@ -350,17 +350,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
                     (ids, score), *others = coder.encode(text, k, words)
                     digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest,
-                                [i for i, _ in others] if whole else []))
-                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256", "other_ids"]).assign(
+                                np.concatenate([none, *[i for i, _ in others if whole]]), [len(i) for i, _ in others]))
+                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256", "rest", "sizes"]).assign(
                     id=b["id"].iloc[begin:end].to_numpy())
                 begin = end
 
+    # the further segmentations travel one after the other, since lists of lists are slow to leave pandas
+    other_ids = F.transform("sizes", lambda n, at: F.slice("rest", 1 + F.aggregate(
+        F.slice("sizes", F.lit(1), at), F.lit(0), lambda total, m: total + m), n))
     # ids travel as strings: pandas has no integers with nulls
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(apply, "id string, ids array<int>, n_pieces long, score double, others array<double>, "
-                                   "decoded_sha256 string, other_ids array<array<int>>").select(
+                                   "decoded_sha256 string, rest array<int>, sizes array<int>").select(
         F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "ids", "n_pieces", "score", "others",
-        "decoded_sha256", *(["other_ids"] if whole else []))
+        "decoded_sha256", *([other_ids.alias("other_ids")] if whole else []))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
