@@ -112,6 +112,45 @@ def score_signatures(cases: DataFrame, n: int, key: str = "doc_id", role: str =
         role, F.array(*R.DIMENSIONS).alias("scores"), "n", "ids")
 
 
+def dimension_lists(pool: DataFrame, n: int) -> DataFrame:
+    """The first n signatures of every (role_key, dimension), best score first, ties by first id.
+
+    At most n rows for each of them, whatever the size of the corpus; Spark cuts the lists before the exchange.
+    """
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col("scores")[i].alias("score"))
+                      for i, d in enumerate(R.DIMENSIONS)])
+    rows = pool.select("role_key", F.explode(pairs).alias("p"), "scores", "ids").select("role_key", "p.*", "scores", "ids")
+    return _first_k(rows.filter("score IS NOT NULL"), ["role_key", "dimension"], n, F.desc("score"), F.col("ids")[0])
+
+
+def _best_tenth(forms: DataFrame, pool: DataFrame, picked, n: int, key: str) -> DataFrame:
+    """(form, top_score, key): the n best of the best tenth by mean of each form (form, role_key, dimensions, total).
+
+    Where the tenth ends is found in two steps: by whole points of the mean, then by the steps of the one point that
+    is cut. So no window holds more than the points of a form, or the steps within one.
+    """
+    rows = forms.join(pool, "role_key").withColumn("picked", picked("scores")).select(
+        "form", "total", F.array_max("picked").alias("top_score"), "n", "ids",
+        F.try_divide(F.aggregate("picked", F.lit(0.0), lambda a, x: a + x), F.size("picked")).alias("mean"))
+    rows = rows.filter("mean IS NOT NULL").withColumn("point", F.floor("mean"))
+    points = rows.groupBy("form", "point").agg(F.sum("n").alias("held"), F.first("total").alias("total"))
+    above = Window.partitionBy("form").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, -1)
+    room = F.ceil(F.col("total") * 0.1) - F.coalesce(F.sum("held").over(above), F.lit(0))
+    points = pin(points.withColumn("room", room).filter("room > 0").select("form", "point", "held", "room"), "points")
+    whole = rows.join(points.filter("held <= room").select("form", "point"), ["form", "point"])
+    whole = whole.select("form", "top_score", F.explode("ids").alias(key))
+    cut = rows.join(points.filter("held > room").select("form", "point", "room"), ["form", "point"])
+    step = ["form", "mean", "top_score"]
+    steps = cut.groupBy(*step).agg(F.sum("n").alias("n"), F.first("room").alias("room"))
+    before = Window.partitionBy("form").orderBy(F.desc("mean"), F.desc("top_score")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    steps = steps.withColumn("left", F.col("room") - F.coalesce(F.sum("n").over(before), F.lit(0))).filter("left > 0")
+    tail = cut.select(*step, F.explode("ids").alias(key)).join(steps.select(*step, "left"), step)
+    within = Window.partitionBy(*step).orderBy(key)
+    tail = tail.withColumn("_n", F.row_number().over(within)).filter((F.col("_n") <= n) & (F.col("_n") <= F.col("left")))
+    return _first_k(whole.unionByName(tail.select("form", "top_score", key)), ["form"], n, F.desc("top_score"), key)
+
+
 def best_practice(requests: DataFrame, signatures: DataFrame, n: int = 3, min_score: float = 75, dynamic: bool = True,
                   request_key: str = "request_id", key: str = "doc_id", role: str = "file_role") -> DataFrame:
     """Best n records per request in its dimensions: (request, rank, record, top_score, excellent_in).
@@ -119,7 +158,14 @@ def best_practice(requests: DataFrame, signatures: DataFrame, n: int = 3, min_sc
     ``requests``: key, dimensions, role (null: any). The threshold drops to
     the larger of 110 % of and 10 above the lowest mean when that mean is below
     ``min_score``. Without a record above it, the best tenth by mean score
-    stands in. Ties go by top score, then id.
+    stands in. Ties go by top score, then id. A request without known
+    dimensions gets nothing.
+
+    Lists of the corpus sorted by each dimension are read to depth n: a record
+    that is among a form's n best by its highest score is among the n best of the
+    list of that dimension. So a form reads n signatures for each of its dimensions. The whole
+    corpus is only read for forms that no list lifts over their threshold, once
+    for each role and set of dimensions.
     """
     req = requests.select(request_key, F.coalesce(role, F.lit(ANY)).alias("role_key"), "dimensions")
     req = pin(req.withColumn("sig", F.concat_ws("|", "role_key", F.array_join("dimensions", ","))), "requests")
@@ -132,35 +178,30 @@ def best_practice(requests: DataFrame, signatures: DataFrame, n: int = 3, min_sc
     means = means.select("role_key", "total", F.array(*[f"m{i}" for i in range(len(R.DIMENSIONS))]).alias("means"))
     place = F.create_map(*[x for i, d in enumerate(R.DIMENSIONS) for x in (F.lit(d), F.lit(i))])
 
-    def pick(values: str) -> Column:
+    def picked(values: str) -> Column:
         return F.transform("dimensions", lambda d: F.get(F.col(values), place[d]))
 
-    lowest = F.array_min(pick("means"))
+    lowest = F.array_min(picked("means"))
     lowered = F.greatest(lowest * 1.1, lowest + 10)
     threshold = F.when(F.lit(dynamic) & (lowest < min_score), lowered).otherwise(F.lit(float(min_score)))
-    goal = sigs.join(means, "role_key").withColumn("threshold", threshold).select(
-        "sig", "role_key", "dimensions", "total", "threshold")
-    rows = goal.join(pool, "role_key").withColumn("picked", pick("scores")).withColumns({
-        "top_score": F.array_max("picked"),
-        "mean": F.aggregate("picked", F.lit(0.0), lambda a, x: a + x) / F.size("picked")})
-    above = F.col("top_score") >= F.col("threshold")
+    goal = pin(sigs.join(means, "role_key").withColumn("threshold", threshold).select(
+        "sig", "role_key", "dimensions", "total", "threshold",
+        F.concat_ws("|", "role_key", F.array_join(F.array_sort("dimensions"), ",")).alias("form")), "goals")
+    # a signature that several lists of a form hold is met once: by its list of the form's first best dimension
+    met = (goal.select("sig", "role_key", "dimensions", "threshold", F.explode(F.array_distinct("dimensions")).alias("dimension"))
+           .join(dimension_lists(pool, n), ["role_key", "dimension"]).withColumn("picked", picked("scores"))
+           .withColumn("top_score", F.array_max("picked")).filter("score = top_score AND score >= threshold")
+           .filter(F.col("dimension") == F.get("dimensions", F.array_position("picked", F.col("top_score")).cast("int") - 1)))
     names = F.transform(
         F.filter(F.arrays_zip("dimensions", "picked"), lambda z: z["picked"] >= F.col("threshold")), lambda z: z["dimensions"])
-    direct = rows.filter(above).select("sig", F.explode("ids").alias(key), "top_score", names.alias("excellent_in"))
-    picked = direct
+    best = met.select("sig", "top_score", names.alias("excellent_in"), F.explode("ids").alias(key))
     if dynamic:
-        empty = rows.groupBy("sig").agg(F.max(above).alias("_any")).filter(~F.col("_any")).select("sig")
-        left = rows.join(empty, "sig", "left_semi")
-        steps = left.groupBy("sig", "mean", "top_score").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
-        before = Window.partitionBy("sig").orderBy(F.desc("mean"), F.desc("top_score")).rowsBetween(
-            Window.unboundedPreceding, -1)
-        room = F.ceil(F.col("total") * 0.1) - F.coalesce(F.sum("n").over(before), F.lit(0))
-        kept = steps.withColumn("room", room).filter("room > 0").select("sig", "mean", "top_score", "room")
-        tail = (left.join(kept, ["sig", "mean", "top_score"])
-                .select("sig", "mean", "top_score", "room", "dimensions", F.explode("ids").alias(key)))
-        within = Window.partitionBy("sig", "mean", "top_score").orderBy(key)
-        tail = tail.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= F.col("room"))
-        picked = direct.unionByName(tail.select("sig", key, "top_score", F.col("dimensions").alias("excellent_in")))
+        best = pin(_first_k(best, ["sig"], n, F.desc("top_score"), key), "above")
+        lost = goal.join(best.select("sig").distinct(), "sig", "left_anti")
+        forms = pin(lost.groupBy("form").agg(*[F.first(c).alias(c) for c in ("role_key", "total")],
+                                             F.array_sort(F.first("dimensions")).alias("dimensions")), "forms")
+        tenth = _best_tenth(forms, pool, picked, n, key)
+        best = best.unionByName(lost.select("sig", "form", F.col("dimensions").alias("excellent_in")).join(tenth, "form").drop("form"))
     order = Window.partitionBy("sig").orderBy(F.desc("top_score"), key)
-    best = picked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return req.select(request_key, "sig").join(best, "sig").drop("sig")
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return req.select(request_key, "sig").join(best, "sig").select(request_key, key, "top_score", "excellent_in", "rank")

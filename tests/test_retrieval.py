@@ -142,6 +142,29 @@ def test_best_practice(spark, seed, spread):
     assert sorted((r.request_id, r["rank"], r.doc_id) for r in got.collect()) == sorted(want)
 
 
+def test_best_practice_reads_short_lists(spark):
+    """One of the lists is the whole corpus tied at the top; unknown and no dimensions give no rows or no error."""
+    cols = "doc_id BIGINT, file_role STRING, " + ", ".join(f"{d} DOUBLE" for d in R.DIMENSIONS)
+    first, second, *others = R.DIMENSIONS
+    cases = [(i, "page", 100.0, i / 4, *[100.0 if i == 399 else 50.0 for _ in others]) for i in range(400)]
+    signatures = C.score_signatures(spark.createDataFrame(cases, cols), 3)
+    pool = signatures.withColumnRenamed("file_role", "role_key")
+    lists = C.dimension_lists(pool, 3)
+    assert {r.dimension: r["count"] for r in lists.groupBy("dimension").count().collect()} == {d: 3 for d in R.DIMENSIONS}
+    assert "WindowGroupLimit" in lists._jdf.queryExecution().executedPlan().toString()
+    requests = [("both", "page", [second, first]), ("second", None, [second]), ("other", "page", [others[0]]),
+                ("unknown", "page", ["?"]), ("mixed", "page", ["?", second]), ("none", "page", []), ("role", "?", [first])]
+    got = C.best_practice(spark.createDataFrame(requests, "request_id STRING, file_role STRING, dimensions ARRAY<STRING>"), signatures)
+    found = {}
+    for r in got.orderBy("request_id", "rank").collect():
+        found.setdefault(r.request_id, []).append((r.doc_id, r.top_score, r.excellent_in))
+    assert found == {
+        "both": [(0, 100.0, [first]), (1, 100.0, [first]), (2, 100.0, [first])],
+        "second": [(399, 99.75, [second]), (398, 99.5, [second]), (397, 99.25, [second])],
+        "other": [(399, 100.0, [others[0]])],
+        "mixed": [(399, 99.75, [second]), (398, 99.5, [second]), (397, 99.25, [second])]}
+
+
 def test_important_dimensions_default(spark):
     df = spark.createDataFrame([("nothing known",), ("error retry and a pinia store",)], "t STRING")
     got = [r[0] for r in df.select(C.important_dimensions(F.col("t"))).collect()]
