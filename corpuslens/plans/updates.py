@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpuslens.functions import rules as R, text as X
-from corpuslens.operators import annotate as N, incremental as I, migrate as H, replies as P, rollup as U, vectors as V
+from corpuslens.operators import annotate as N, incremental as I, migrate as H, open_records as O, replies as P, rollup as U, vectors as V
 from corpuslens.plans import sqlgen as Q
 from corpuslens.plans.features import EMBEDDING_TEXT, FILES, META, STRIP, _detect_sql, joined
 from corpuslens.plans.registry import query
@@ -88,7 +88,7 @@ def _(t):
 
 # --- stored project records of three shapes, built from the flat view
 
-def stored_records(t):
+def stored_records(t, *others):
     c, shape = F.col, F.col("shape")
     some = lambda *pairs: F.array_compact(F.array(*[F.when(cond, F.lit(v)) for v, cond in pairs]))
     true = F.lit(True)
@@ -128,7 +128,7 @@ def stored_records(t):
         F.when(scored, (c("stored_total") % 100).cast("bigint")).alias("total_score"),
         F.when(scored, F.array().cast("array<string>")).alias("excellent_in"), "scoring_version",
         F.when(c("amount") > 5000, F.struct(c("created_at"), c("created_at").alias("updated_at"),
-                                            F.array(F.lit("v2.0")).alias("tags"))).alias("metadata"))
+                                            F.array(F.lit("v2.0")).alias("tags"))).alias("metadata"), *others)
 
 
 _SCORED = "shape = 'scored'"
@@ -202,6 +202,42 @@ def _(t):
                     joined(F.col("tags")).alias("tags"), "scoring_version")
 
 
+def open_records(t):
+    """The stored records as JSON, each with fields of its writer's own beside the known ones."""
+    own = stored_records(t, "amount", "has_framework")
+    known = [c for c in own.columns if c not in ("amount", "has_framework", "patterns", "metadata")]
+    patterns = F.when(F.col("patterns").isNotNull(), F.struct(
+        F.col("patterns.*"), F.struct(F.col("amount").alias("seen"), F.array(F.lit("x"), F.col("id")).alias("of")).alias("odd")))
+    metadata = F.when(F.col("metadata").isNotNull(), F.struct(F.col("metadata.*"), F.col("project_name").alias("owner")))
+    return own.select("id", F.to_json(F.struct(*known, patterns.alias("patterns"), metadata.alias("metadata"),
+                                               F.col("has_framework").alias("flag"))).alias("json"))
+
+
+# fields that no schema names, read back from the migrated JSON
+@query("migrate_open_records", f"""SELECT id, CASE WHEN needs_migration THEN 'migrated' ELSE 'skipped' END AS status, rescored,
+       total_score::BIGINT AS total_score, {Q.joined(_TAGS)} AS tags, has_framework AS flag,
+       CASE WHEN shape <> 'none' THEN id END AS odd, CASE WHEN amount > 5000 THEN project_name END AS owner FROM mig""",
+       ("records",), MIGRATED)
+def _(t):
+    done = O.migrate_records(open_records(t), F.lit(_NOW).cast("timestamp_ntz"), style=str)
+    back = F.parse_json("migrated")
+
+    def read(path, kind="string"):
+        return F.try_variant_get(back, path, kind)
+
+    return done.select(
+        "id", "status", "rescored", "total_score", joined(read("$.metadata.tags", "array<string>")).alias("tags"),
+        read("$.flag", "boolean").alias("flag"), read("$.patterns.odd.of[1]").alias("odd"), read("$.metadata.owner").alias("owner"))
+
+
+@query("unnamed_fields", """SELECT '$.flag' AS path, 'BOOLEAN' AS kind, count(*) AS n FROM records HAVING count(*) > 0
+       UNION ALL SELECT '$.patterns.odd', 'OBJECT<of: ARRAY<STRING>, seen: BIGINT>', count(*) FROM records WHERE shape <> 'none' HAVING count(*) > 0
+       UNION ALL SELECT '$.metadata.owner', 'STRING', count(*) FROM records WHERE amount > 5000 AND project_name IS NOT NULL
+       HAVING count(*) > 0""", ("records",))
+def _(t):
+    return O.unnamed_fields(O.parse(open_records(t)), style=str)
+
+
 _AGE = "date_diff('day', created_at::DATE, DATE '1999-06-01')"
 VALID = {"checked": f"""SELECT id, CASE WHEN project_name IS NULL OR category IS NULL THEN 'missing fields' WHEN shape = 'none' THEN 'no patterns'
     WHEN shape <> 'scored' THEN 'no scores' WHEN amount <= 10000 THEN 'no files'
