@@ -1,6 +1,6 @@
 """Queries: ranking, top-k and retrieval."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuslens.functions import rules as R, scoring as S, text as X
 from corpuslens.operators import (guides as G, joins as J, packages as P, page_matches as B, recommend as C, similar as M,
@@ -49,6 +49,23 @@ def _(t):
     return best.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", six(F.col("similarity")).alias("similarity"))
 
 
+# one request for each record: its five nearest others
+_NEAR = "floor(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) * 1e9 + 0.5)"
+
+
+@query("vector_top_k_each", f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, vec_id,
+       floor(s / 1e3 + 0.5) / 1e6 AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, {_NEAR} AS s FROM embeddings q JOIN embeddings e
+       ON q.vec_id <> e.vec_id) QUALIFY rank <= 5""")
+def _(t):
+    each = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    # six at most hold the record itself, or six that equal it and come first
+    best = V.top_k(each, t.embeddings, 6, "query_id", "vec_id").filter("query_id <> vec_id")
+    near = F.floor(F.col("similarity") * 1e9 + 0.5)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(near.desc(), "vec_id")).cast("bigint")
+    return best.withColumn("rank", place).filter("rank <= 5").select(
+        "query_id", "rank", "vec_id", (F.floor(near / 1e3 + 0.5) / 1e6).alias("similarity"))
+
+
 @query("dimension_mismatch_report", "SELECT len(embedding) AS dimension, count(*) AS n, len(embedding) <> 64 AS mismatch FROM embeddings GROUP BY ALL")
 def _(t):
     return V.dimension_report(t.embeddings, expected=64).withColumn("dimension", F.col("dimension").cast("bigint"))
