@@ -3,9 +3,11 @@
 A text is a lattice of vocabulary pieces. Forward Viterbi gives the best score
 up to every position; those scores are exact heuristics for an A* search that
 walks back from the end and meets the segmentations in order of score. No piece
-reaches from one word into the next, so words are segmented apart and kept in a
-bounded cache; only the words with the smallest loss for their second choice
-can matter to the N best of a text.
+reaches from one word into the next, or from a letter to a sign that follows
+letters in no piece, so such parts are segmented apart and kept in a bounded
+cache; only the parts with the smallest loss for their second choice can matter
+to the N best of a text. The texts of a group are put together from the cache's
+arrays at once and travel as Arrow arrays.
 
 The vocabulary file gives pieces and their scores; this is the lattice
 (maximum score) segmentation, for every kind of model file.
@@ -18,20 +20,21 @@ import heapq
 import re
 import sys
 import types
-from array import array
 from collections import defaultdict
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuslens.llm.common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHE = 500_000             # words kept per worker
-GROUP_CHARS = 1 << 20       # text segmented at once
+GROUP_CHARS = 1 << 21       # text segmented at once
 # Fixed value: what an unknown character costs beyond the worst piece.
 UNKNOWN = 10.0
 _NEVER = -float("inf")
@@ -128,6 +131,7 @@ def _raw(character: str) -> bytes:
     return SPACE.encode() if character == _ESCAPED else character.encode("utf-8", "surrogatepass")
 
 
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ESCAPED = "\udfff"     # no text holds a lone surrogate: stands for a space sign that was in the text
 
 
@@ -137,10 +141,20 @@ def normal(text: str) -> str:
 
 
 def word_pattern(vocabulary: Vocabulary) -> re.Pattern:
-    """Words with the spaces before them; line ends and the like stand alone if no piece holds them."""
-    used = {c for piece in vocabulary.pieces for c in piece}
-    alone = re.escape("".join(c for c in "\n\t\r\x0b\x0c" + _ESCAPED if c not in used) or _ESCAPED)
-    return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
+    """Words with the spaces before them, cut between a letter and an ASCII sign where no piece holds the two in this
+    order; line ends and the like stand alone if no piece holds them."""
+    before = defaultdict(set)
+    for piece in vocabulary.pieces:
+        for a, b in zip(SPACE + piece, piece):
+            before[b].add(a)
+    alone = re.escape("".join(c for c in "\n\t\r\x0b\x0c" + _ESCAPED if c not in before) or _ESCAPED)
+    signs = [c for c in _SIGNS if not any(a.isascii() and a.isalnum() for a in before[c])]
+    if not signs:
+        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]")
+    joined_on = re.escape("".join(sorted({a for c in signs for a in before[c] if a.isalnum()})))
+    sign, letter = f"[{re.escape(''.join(signs))}]", f"[^\\W_{joined_on}]"
+    rest = f"[^{SPACE}{alone}{sign[1:]}"
+    return re.compile(f"{SPACE}*+(?:{sign}*+{rest}++(?:(?<!{letter}){sign}++{rest}*+)*+|{sign}++)|{SPACE}+|[{alone}]")
 
 
 class Trie:
@@ -162,49 +176,94 @@ class Trie:
         self.letter = np.zeros(0x110000, dtype=np.int32)      # 0: in no piece
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         number = {c: i + 1 for i, c in enumerate(letters)}
-        self.width = len(letters) + 1
-        steps = sorted((at * self.width + number[c], to) for at, next_ in enumerate(children)
-                       for c, to in next_.items())
-        self.keys = np.array([k for k, _ in steps] or [-1], dtype=np.int64)
-        self.to = np.array([t for _, t in steps] or [0], dtype=np.int64)
+        # a state's steps lie in one array, as far from the state's base as the letter's number; a slot has one owner
+        width, steps = len(letters) + 1, len(children)
+        used = bytearray(2 * (steps + width))
+        self.base = np.zeros(steps, dtype=np.int64)
+        owner, to = np.full(len(used), -1, dtype=np.int64), np.zeros(len(used), dtype=np.int64)
+        for at in sorted((i for i, c in enumerate(children) if c), key=lambda i: -len(children[i])):
+            marks = [number[c] for c in children[at]]
+            slot = width + at * 2654435761 % (2 * steps)
+            while True:
+                slot = used.find(0, slot)
+                base = slot - marks[0]
+                if slot < 0 or base + width > len(used):        # no room: twice as long
+                    more = bytearray(len(used))
+                    used, slot = used + more, len(used)
+                    owner, to = np.append(owner, np.full(len(more), -1)), np.append(to, np.zeros(len(more), dtype=np.int64))
+                elif any(used[base + m] for m in marks):
+                    slot += 1
+                else:
+                    break
+            self.base[at] = base
+            for m, next_ in zip(marks, children[at].values()):
+                used[base + m], owner[base + m], to[base + m] = 1, at, next_
+        self.owner, self.to = owner, to
         self.id = np.array([i for i, _ in entry], dtype=np.int32)
         self.score = np.array([s for _, s in entry])
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which go on, their states)"""
-        key = state * self.width + letter
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        on = np.flatnonzero(self.keys[at] == key)
+        at = self.base[state] + letter
+        on = np.flatnonzero(self.owner[at] == state)
         return on, self.to[at[on]]
 
 
+class Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1024, dtype=dtype), 0
+
+    def add(self, more) -> None:
+        n = self.n + len(more)
+        if n > len(self.data):
+            self.data = np.append(self.data[:self.n], np.zeros(n, dtype=self.data.dtype))
+        self.data[self.n:n] = more
+        self.n = n
+
+
+def joined(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``begins``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Segments texts word by word; without ``ranked`` only the best segmentation can be asked for."""
 
     def __init__(self, vocabulary: Vocabulary, ranked: bool = True, cache: int = CACHE):
         self.vocabulary, self.ranked, self.limit = vocabulary, ranked, cache
-        self.words: dict[str, tuple[bytes, float, float]] = {}      # ids as bytes, score, loss of the second choice
         names = vocabulary.names()
         ordered = [names[i] for i in range(max(names, default=0) + 1)] + [b""]      # the last: ids without a name
         self.letters = np.frombuffer(b"".join(ordered) or b" ", dtype=np.uint8)
         self.sizes = np.array([len(n) for n in ordered], dtype=np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.trie, self.pattern = Trie(vocabulary), word_pattern(vocabulary)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}         # their numbers, in the rows below
+        self.choices: dict[tuple[str, int], list[tuple[list[int], float]]] = {}     # best segmentations of some
+        self.ids, self.begin, self.size = Rows(np.int32), Rows(np.int64), Rows(np.int64)
+        self.score, self.loss = Rows(float), Rows(float)        # loss of the second choice
 
-    def word(self, word: str) -> tuple[bytes, float, float]:
+    def keep(self, words: list[str], ids, sizes, scores, losses) -> None:
+        self.words.update(zip(words, range(self.size.n, self.size.n + len(words))))
+        self.begin.add(self.ids.n + np.cumsum(sizes) - sizes)
+        for rows, more in ((self.ids, ids), (self.size, sizes), (self.score, scores), (self.loss, losses)):
+            rows.add(more)
+
+    def keep_one(self, word: str) -> None:
         """One word, for those that are long or hold unknown characters."""
         two = Lattice(self.vocabulary, word).n_best(2 if self.ranked else 1)
         loss = two[0][1] - two[1][1] if len(two) > 1 else -_NEVER
-        return array("i", two[0][0]).tobytes(), two[0][1], loss
+        self.keep([word], two[0][0], np.array([len(two[0][0])]), [two[0][1]], [loss])
 
     def learn(self, words) -> None:
-        """Put words into the cache, those of one length together."""
-        new = set(words).difference(self.words)
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = set(words)
+        """Put new words into the cache, those of one length together."""
         by_length = defaultdict(list)
-        for w in new:
+        for w in words:
             by_length[len(w)].append(w)
         for n, group in by_length.items():
             for begin in range(0, len(group), 2048):
@@ -213,32 +272,37 @@ class Encoder:
     def _learn(self, n: int, words: list[str]) -> None:
         longest = min(self.vocabulary.longest, n)
         if n > 64 or not len(self.vocabulary.pieces):
-            self.words.update((w, self.word(w)) for w in words)
+            for w in words:
+                self.keep_one(w)
             return
         m = len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(m, n).T
-        letter = self.trie.letter[codes]                    # position x word
+        letter = self.trie.letter[np.ascontiguousarray(codes)].ravel()      # by position, then word
         score = np.full((longest, n, m), _NEVER)            # of the piece of a length that begins at a position
         ids = np.full((longest, n, m), -1, dtype=np.int32)
-        begin, word = (x.ravel() for x in np.indices((n, m)))
-        state = np.zeros(len(begin), dtype=np.int64)
+        at = np.arange(n * m)
+        state = np.zeros(n * m, dtype=np.int64)
         for size in range(longest):
-            on, state = self.trie.step(state, letter[begin + size, word])
-            begin, word = begin[on], word[on]
-            score[size, begin, word] = self.trie.score[state]
-            ids[size, begin, word] = self.trie.id[state]
-            inside = begin + size + 1 < n
-            begin, word, state = begin[inside], word[inside], state[inside]
+            on, state = self.trie.step(state, letter[at + size * m])
+            at = at[on]
+            score[size].reshape(-1)[at] = self.trie.score[state]
+            ids[size].reshape(-1)[at] = self.trie.id[state]
+            inside = np.flatnonzero(at < (n - size - 1) * m)
+            at, state = at[inside], state[inside]
+            if not len(at):
+                longest = size + 1
+                break
         plain = (ids[0] >= 0).all(axis=0)                   # every character is a piece
         forward, size_of = np.zeros((n + 1, m)), np.zeros((n + 1, m), dtype=np.int64)
+        s, better = np.empty(m), np.empty(m, dtype=bool)
         for end in range(1, n + 1):
-            best = np.full(m, _NEVER)
+            best = forward[end]
+            best[:] = _NEVER
             for size in range(min(longest, end), 0, -1):    # ties stay with the longer last piece
-                s = forward[end - size] + score[size - 1, end - size]
-                better = s > best
-                best = np.where(better, s, best)
-                size_of[end][better] = size
-            forward[end] = best
+                np.add(forward[end - size], score[size - 1, end - size], out=s)
+                np.greater(s, best, out=better)
+                np.maximum(s, best, out=best)
+                np.copyto(size_of[end], size, where=better)
         taken = np.full((n, m), -1, dtype=np.int32)         # id of the piece that begins at a position
         on_best = np.zeros((longest, n, m), dtype=bool)
         column, end = np.arange(m)[plain], np.full(int(plain.sum()), n)
@@ -252,62 +316,90 @@ class Encoder:
         if self.ranked:
             rest, second = np.full((n + 1, m), _NEVER), np.full(m, _NEVER)
             rest[n] = 0.0
+            other = np.empty(m)                             # best from a position on, but for the best one's piece
             for i in range(n - 1, -1, -1):
+                other[:] = _NEVER
                 for size in range(1, min(longest, n - i) + 1):
-                    s = score[size - 1, i] + rest[i + size]
-                    rest[i] = np.maximum(rest[i], s)
-                    second = np.maximum(second, np.where(on_best[size - 1, i], _NEVER, forward[i] + s))
+                    np.add(score[size - 1, i], rest[i + size], out=s)
+                    np.maximum(rest[i], s, out=rest[i])
+                    np.putmask(s, on_best[size - 1, i], _NEVER)
+                    np.maximum(other, s, out=other)
+                np.maximum(second, forward[i] + other, out=second)
             loss[plain] = np.maximum(0.0, forward[n][plain] - second[plain])
-        raw = taken.T[taken.T >= 0].tobytes()
-        ends = (4 * np.cumsum((taken >= 0).sum(axis=0))).tolist()
-        begins = [0] + ends[:-1]
-        for w, i, j, s, lost, ok in zip(words, begins, ends, forward[n].tolist(), loss.tolist(), plain.tolist()):
-            self.words[w] = (raw[i:j], s, lost) if ok else self.word(w)
+        self.keep([w for w, ok in zip(words, plain.tolist()) if ok], taken.T[taken.T >= 0],
+                  (taken >= 0).sum(axis=0)[plain], forward[n][plain], loss[plain])
+        for i in np.flatnonzero(~plain).tolist():
+            self.keep_one(words[i])
 
     def split(self, text: str) -> list[str]:
         whole = normal(text)
         return [whole] if self.vocabulary.crossing else self.pattern.findall(whole)
 
-    def encode(self, text: str, k: int = 1, words: list[str] | None = None) -> list[tuple[np.ndarray, float]]:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers in the cache, which learns those that are new."""
+        distinct: dict[str, int] = defaultdict()       # numbered as they come; small, and so fast to search
+        distinct.default_factory = distinct.__len__
+        found = np.fromiter(map(distinct.__getitem__, words), dtype=np.int64, count=len(words))
+        new = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(new) > self.limit:
+            self.forget()
+            new = distinct
+        self.learn(new)
+        return np.fromiter(map(self.words.__getitem__, distinct), dtype=np.int64, count=len(distinct))[found]
+
+    def n_best(self, word: str, k: int) -> list[tuple[list[int], float]]:
+        if (word, k) not in self.choices:
+            self.choices[word, k] = Lattice(self.vocabulary, word).n_best(k)
+        return self.choices[word, k]
+
+    def encode(self, text: str, k: int = 1) -> list[tuple[np.ndarray, float]]:
         """The ``k`` best segmentations of the text, as ids and scores; fewer if there are fewer."""
-        words = self.split(text) if words is None else words
-        try:
-            raw, scores, loss = zip(*map(self.words.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            raw, scores, loss = zip(*map(self.words.__getitem__, words))
-        ids = np.frombuffer(b"".join(raw), dtype=np.int32)
-        score = sum(scores)
-        if k <= 1:
-            return [(ids, score)]
-        # only the k - 1 words with the smallest losses can take another choice among the k best
-        few = [loss.index(min(loss))] if k == 2 else heapq.nsmallest(k - 1, range(len(loss)), loss.__getitem__)
-        options = {i: Lattice(self.vocabulary, words[i]).n_best(k) for i in few if loss[i] < -_NEVER}
-        totals: list[tuple[float, dict[int, int]]] = [(score, {})]
-        for i, choices in options.items():
-            totals = sorted(((s + c[1] - choices[0][1], picked | ({i: at} if at else {}))
-                             for s, picked in totals for at, c in enumerate(choices)),
-                            key=lambda t: (-t[0], sorted(t[1].items())))[:k]
+        return self.encode_all([text], k)[0]
+
+    def encode_all(self, texts: list[str], k: int = 1) -> list[list[tuple[np.ndarray, float]]]:
+        """``encode`` of every text."""
+        if not texts:
+            return []
+        split = [self.split(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        number = self.numbers(words)
+        sizes, score, loss = self.size.data[number], self.score.data[number], self.loss.data[number]
+        ids = self.ids.data[joined(self.begin.data[number], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes)])        # where a word's ids begin
+        ends = np.cumsum([len(x) for x in split])
+        begins = ends - [len(x) for x in split]
+        if k == 2:      # the first word of those with the smallest loss
+            least = np.flatnonzero(loss == np.repeat(np.minimum.reduceat(loss, begins), ends - begins))
+            least = least[np.searchsorted(least, begins)].tolist()
         out = []
-        for s, picked in totals:
-            if not picked:
-                out.append((ids, s))
-                continue
-            parts = list(raw)
-            for i, at in picked.items():
-                parts[i] = np.array(options[i][at][0], dtype=np.int32).tobytes()
-            out.append((np.frombuffer(b"".join(parts), dtype=np.int32), s))
+        for i, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
+            best = ids[at[begin]:at[end]], sum(score[begin:end].tolist())
+            # only the k - 1 words with the smallest losses can take another choice among the k best
+            few = ([] if k <= 1 else [least[i]] if k == 2 else
+                   heapq.nsmallest(k - 1, range(begin, end), loss.__getitem__))
+            options = {w: self.n_best(words[w], k) for w in few if loss[w] < -_NEVER}
+            totals: list[tuple[float, dict[int, int]]] = [(best[1], {})]
+            for w, choices in options.items():
+                totals = sorted(((s + c[1] - choices[0][1], picked | ({w: n} if n else {}))
+                                 for s, picked in totals for n, c in enumerate(choices)),
+                                key=lambda t: (-t[0], sorted(t[1].items())))[:k]
+            out.append([])
+            for s, picked in totals:
+                if not picked:
+                    out[-1].append(best)
+                    continue
+                parts, done = [], at[begin]
+                for w, n in sorted(picked.items()):
+                    parts += [ids[done:at[w]], np.array(options[w][n][0], dtype=np.int32)]
+                    done = at[w + 1]
+                out[-1].append((np.concatenate([*parts, ids[done:at[end]]]), s))
         return out
 
     def decode(self, ids) -> str:
         """The text of the ids; unknown ids decode to nothing."""
         ids = np.asarray(ids, dtype=np.int64)
         ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        # byte i of the text is a byte of its piece, as far from the piece's begin as i is
-        at = np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        raw = self.letters[at].tobytes()
+        raw = self.letters[joined(self.begins[ids], self.sizes[ids])].tobytes()
         text = raw.decode("utf-8", "surrogatepass" if b"\xed" in raw else "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -334,36 +426,41 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 1, id_col: str = "d
     name = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))     # as large as the vocabulary
 
+    def lists(of: list[np.ndarray], kind) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, of)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=kind), *of])))
+
     def apply(batches):
-        coder, none = encoder_for(shared.value, k > 1, name), np.zeros(0, dtype=np.int32)
+        coder = encoder_for(shared.value, k > 1, name)
         for b in batches:
             begin = 0
             while begin < len(b):       # groups of bounded size
-                end, size = begin, 0
-                while end < len(b) and size < GROUP_CHARS:
-                    size += len(b["text"].iat[end])
-                    end += 1
-                out, texts = [], b["text"].iloc[begin:end].tolist()
-                split = [coder.split(t) for t in texts]
-                coder.learn(set().union(*split))
-                for text, words in zip(texts, split):
-                    (ids, score), *others = coder.encode(text, k, words)
-                    digest = hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((ids, len(ids), score, np.array([s for _, s in others], dtype=float), digest,
-                                np.concatenate([none, *[i for i, _ in others if whole]]), [len(i) for i, _ in others]))
-                yield pd.DataFrame(out, columns=["ids", "n_pieces", "score", "others", "decoded_sha256", "rest", "sizes"]).assign(
-                    id=b["id"].iloc[begin:end].to_numpy())
-                begin = end
-
-    # the further segmentations travel one after the other, since lists of lists are slow to leave pandas
-    other_ids = F.transform("sizes", lambda n, at: F.slice("rest", 1 + F.aggregate(
-        F.slice("sizes", F.lit(1), at), F.lit(0), lambda total, m: total + m), n))
-    # ids travel as strings: pandas has no integers with nulls
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(apply, "id string, ids array<int>, n_pieces long, score double, others array<double>, "
-                                   "decoded_sha256 string, rest array<int>, sizes array<int>").select(
-        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "ids", "n_pieces", "score", "others",
-        "decoded_sha256", *([other_ids.alias("other_ids")] if whole else []))
+                texts, size = [], 0
+                while begin + len(texts) < len(b) and size < GROUP_CHARS:
+                    texts.append(b["text"][begin + len(texts)].as_py())
+                    size += len(texts[-1])
+                coded = coder.encode_all(texts, k)
+                best = [x[0] for x in coded]
+                digests = [hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
+                           for ids, _ in best]
+                columns = {"id": b["id"].slice(begin, len(texts)), "ids": lists([ids for ids, _ in best], np.int32),
+                           "n_pieces": pa.array([len(ids) for ids, _ in best], pa.int64()),
+                           "score": pa.array([s for _, s in best], pa.float64()),
+                           "others": lists([np.array([s for _, s in x[1:]], dtype=float) for x in coded], float),
+                           "decoded_sha256": pa.array(digests, pa.string())}
+                if whole:
+                    ends = np.cumsum([0, *(len(x) - 1 for x in coded)]).astype(np.int32)
+                    columns["other_ids"] = pa.ListArray.from_arrays(
+                        ends, lists([ids for x in coded for ids, _ in x[1:]], np.int32))
+                yield pa.RecordBatch.from_pydict(columns)
+                begin += len(texts)
+
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    ints = T.ArrayType(T.IntegerType())
+    made = (T.StructType().add("id", docs.schema[id_col].dataType).add("ids", ints).add("n_pieces", "long")
+            .add("score", "double").add("others", T.ArrayType(T.DoubleType())).add("decoded_sha256", "string"))
+    coded = rows.mapInArrow(apply, made.add("other_ids", T.ArrayType(ints)) if whole else made)
+    return coded.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -322,6 +322,53 @@ def test_pieces_round_trip(spark):
             assert abs(sum(value[i] for i in r.col) - r.others[r.pos]) < 1e-6 * len(r.col)
 
 
+@pytest.fixture(scope="module")
+def signs_vocabulary():
+    rng = random.Random(2)
+    found = {c: (i, -float(rng.randint(5, 9))) for i, c in enumerate("ab²,.(_▁")}
+    for w in ["ab", "ba", "▁a", "▁(", "(a", ".a", "²,", "),", ",.", "._", "b_", "b_a", "▁ab", "▁▁"]:
+        found[w] = (len(found), -float(rng.randint(3, 12)))
+    return pieces.Vocabulary.of(found, list(range(100, 356)))
+
+
+def test_pieces_are_cut_before_signs_that_no_piece_joins(signs_vocabulary):
+    coder = pieces.Encoder(signs_vocabulary)
+    coder.encode("ab ab, ab,. ab. b_a ²,")
+    # a cut word is learnt once, whatever follows it; "b_" and "²," are in pieces, so nothing is cut there
+    assert {"▁ab", ",", ",.", ".", "▁b_a", "▁²,"} == set(coder.words)
+    for word in ("ab", ",", "b_a", "²,", "▁(a"):
+        assert "".join(coder.split(word)) == pieces.SPACE + word.replace("▁", pieces._ESCAPED)
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+@pytest.mark.parametrize("cache", [3, pieces.CACHE])
+def test_groups_of_texts_match_all_segmentations(signs_vocabulary, k, cache):
+    rng = random.Random(k)
+    coder = pieces.Encoder(signs_vocabulary, cache=cache)
+    for _ in range(20):
+        texts = ["".join(rng.choice("aabb²,.(_) é\n") for _ in range(rng.randint(0, 8))) for _ in range(8)]
+        for text, got in zip(texts, coder.encode_all(texts, k), strict=True):
+            every = segmentations(signs_vocabulary, pieces.normal(text))
+            scores = dict(every)
+            assert [s for _, s in got] == sorted((s for _, s in every), reverse=True)[:k]
+            assert len({tuple(ids.tolist()) for ids, _ in got}) == len(got)
+            for ids, s in got:
+                assert scores[tuple(ids.tolist())] == s and coder.decode(ids) == text
+    assert coder.encode_all([], k) == []
+
+
+def test_trie_knows_every_piece(signs_vocabulary, small_vocabulary):
+    for v in (signs_vocabulary, small_vocabulary, pieces.Vocabulary.read(pieces.MODEL)):
+        trie = pieces.Trie(v)
+        for piece, (i, score) in list(v.pieces.items())[::37]:
+            state = np.zeros(1, dtype=np.int64)
+            for c in piece:
+                on, state = trie.step(state, trie.letter[[ord(c)]])
+                assert len(on) == 1
+            assert trie.id[state] == i and trie.score[state] == score
+            assert not len(trie.step(state, np.zeros(1, dtype=np.int32))[0])
+
+
 def test_toxicity_sample_is_bounded_though_ids_repeat(spark):
     docs = [(1, f"text {i}") for i in range(400)] + [(i, f"own {i}") for i in range(2, 60)] + [(2, "own 2")] * 30
     labels = [(i, i % 2) for i in range(1, 60)]
