@@ -21,7 +21,8 @@ import re
 import sys
 import types
 from collections import defaultdict
-from itertools import chain
+from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +34,14 @@ from corpuslens.llm.common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 500_000             # words kept per worker
-GROUP_CHARS = 1 << 21       # text segmented at once
+CACHE = 150_000             # words kept per worker
+GROUP_CHARS = 1 << 20       # text segmented at once
+BLOCK_CHARS = 1 << 16       # text that is a list of words at once
+LEARN_CHARS = 1 << 15       # of new words of one length, learnt at once
 # Fixed value: what an unknown character costs beyond the worst piece.
 UNKNOWN = 10.0
 _NEVER = -float("inf")
+_BREAK = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 class Vocabulary(NamedTuple):
@@ -266,8 +270,9 @@ class Encoder:
         for w in words:
             by_length[len(w)].append(w)
         for n, group in by_length.items():
-            for begin in range(0, len(group), 2048):
-                self._learn(n, group[begin:begin + 2048])
+            width = min(2048, max(64, LEARN_CHARS // n))
+            for begin in range(0, len(group), width):
+                self._learn(n, group[begin:begin + width])
 
     def _learn(self, n: int, words: list[str]) -> None:
         longest = min(self.vocabulary.longest, n)
@@ -335,17 +340,37 @@ class Encoder:
         whole = normal(text)
         return [whole] if self.vocabulary.crossing else self.pattern.findall(whole)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """``split`` in lists of bounded size: no word goes on at a space that follows another character."""
+        if self.vocabulary.crossing or len(text) < BLOCK_CHARS:
+            yield self.split(text)
+            return
+        whole, begin = normal(text), 0
+        while begin < len(whole):
+            cut = _BREAK.search(whole, begin + BLOCK_CHARS)
+            end = cut.start() if cut else len(whole)
+            yield self.pattern.findall(whole, begin, end)
+            begin = end
+
+    def numbered(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words, the number in that list of every word of the texts, words of each text)"""
+        # numbered as they come; small, and so fast to search; it does not hold itself, and so goes with its words at once
+        distinct: dict[str, int] = defaultdict(count().__next__)
+        found, counts = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):        # of a word's occurrences only the number stays
+            for words in self.blocks(text):
+                found.append(np.fromiter(map(distinct.__getitem__, words), dtype=np.int32, count=len(words)))
+                counts[i] += len(words)
+        return list(distinct), np.concatenate(found), counts
+
+    def numbers(self, distinct: list[str]) -> np.ndarray:
         """The words' numbers in the cache, which learns those that are new."""
-        distinct: dict[str, int] = defaultdict()       # numbered as they come; small, and so fast to search
-        distinct.default_factory = distinct.__len__
-        found = np.fromiter(map(distinct.__getitem__, words), dtype=np.int64, count=len(words))
         new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > self.limit:
             self.forget()
             new = distinct
         self.learn(new)
-        return np.fromiter(map(self.words.__getitem__, distinct), dtype=np.int64, count=len(distinct))[found]
+        return np.fromiter(map(self.words.__getitem__, distinct), dtype=np.int64, count=len(distinct))
 
     def n_best(self, word: str, k: int) -> list[tuple[list[int], float]]:
         if (word, k) not in self.choices:
@@ -360,16 +385,15 @@ class Encoder:
         """``encode`` of every text."""
         if not texts:
             return []
-        split = [self.split(t) for t in texts]
-        words = list(chain.from_iterable(split))
-        number = self.numbers(words)
+        words, found, counts = self.numbered(texts)
+        number = self.numbers(words)[found]
         sizes, score, loss = self.size.data[number], self.score.data[number], self.loss.data[number]
         ids = self.ids.data[joined(self.begin.data[number], sizes)]
         at = np.concatenate([[0], np.cumsum(sizes)])        # where a word's ids begin
-        ends = np.cumsum([len(x) for x in split])
-        begins = ends - [len(x) for x in split]
+        ends = np.cumsum(counts)
+        begins = ends - counts
         if k == 2:      # the first word of those with the smallest loss
-            least = np.flatnonzero(loss == np.repeat(np.minimum.reduceat(loss, begins), ends - begins))
+            least = np.flatnonzero(loss == np.repeat(np.minimum.reduceat(loss, begins), counts))
             least = least[np.searchsorted(least, begins)].tolist()
         out = []
         for i, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist())):
@@ -377,7 +401,7 @@ class Encoder:
             # only the k - 1 words with the smallest losses can take another choice among the k best
             few = ([] if k <= 1 else [least[i]] if k == 2 else
                    heapq.nsmallest(k - 1, range(begin, end), loss.__getitem__))
-            options = {w: self.n_best(words[w], k) for w in few if loss[w] < -_NEVER}
+            options = {w: self.n_best(words[found[w]], k) for w in few if loss[w] < -_NEVER}
             totals: list[tuple[float, dict[int, int]]] = [(best[1], {})]
             for w, choices in options.items():
                 totals = sorted(((s + c[1] - choices[0][1], picked | ({w: n} if n else {}))

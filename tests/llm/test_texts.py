@@ -1,5 +1,7 @@
+import gc
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -357,6 +359,40 @@ def test_groups_of_texts_match_all_segmentations(signs_vocabulary, k, cache):
     assert coder.encode_all([], k) == []
 
 
+@pytest.mark.parametrize("size", [1, 3, 16])
+def test_blocks_of_a_text_hold_its_words(signs_vocabulary, monkeypatch, size):
+    rng = random.Random(size)
+    coder = pieces.Encoder(signs_vocabulary)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", size)
+    for _ in range(300):
+        text = "".join(rng.choice("ab²,.(_▁   é\n") for _ in range(rng.randint(0, 60)))
+        blocks = list(coder.blocks(text))
+        assert [w for words in blocks for w in words] == coder.split(text)
+        assert not any(pieces._BREAK.search("".join(words), size) for words in blocks)
+
+
+def test_memory_of_many_groups_is_bounded(small_vocabulary):
+    rng = random.Random(5)
+    coder = pieces.Encoder(small_vocabulary)
+    rest, peaks = [" ".join(["abc"] * 250_000)], []     # and one long text
+    gc.collect()
+    gc.disable()        # what a group leaves goes without the collector, which numpy's arrays seldom start
+    tracemalloc.start()
+    try:
+        for _ in range(6):
+            texts = [" ".join("".join(rng.choices("abc", k=11)) for _ in range(400)) for _ in range(200)] + rest
+            rest = []
+            tracemalloc.reset_peak()
+            coded = coder.encode_all(texts, 2)
+            peaks.append(tracemalloc.get_traced_memory()[1] / 2 ** 20)
+            assert [coder.decode(x[0][0]) for x in coded] == texts
+            del coded
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert max(peaks) < 65, peaks     # 91 with the words of earlier groups
+
+
 def test_trie_knows_every_piece(signs_vocabulary, small_vocabulary):
     for v in (signs_vocabulary, small_vocabulary, pieces.Vocabulary.read(pieces.MODEL)):
         trie = pieces.Trie(v)
