@@ -258,9 +258,10 @@ def across(views: DataFrame, joined: DataFrame, percent: int, block_rows: int =
               .withColumn("strays", F.expr(f"cast(ceil((members - most) / {block_rows}) as int)")))
     open_ = write_table(member.join(write_table(groups, "pivot-groups"), "pivot"), "open-groups")
     columns = ["node", "n", "component", "held", "others"]
-    left = (open_.filter("component <> main").withColumn("i", F.expr("pmod(xxhash64('i', node), strays)"))
+    # int on both sides: partitions are chosen by a hash, and that of a long is another one
+    left = (open_.filter("component <> main").withColumn("i", F.expr("cast(pmod(xxhash64('i', node), strays) as int)"))
             .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("pivot", "i", "j", *columns))
-    right = (open_.withColumn("j", F.expr("pmod(xxhash64('j', node), blocks)"))
+    right = (open_.withColumn("j", F.expr("cast(pmod(xxhash64('j', node), blocks) as int)"))
              .withColumn("i", F.explode(F.expr("sequence(0, strays - 1)")))
              .select(*[F.col(c).alias(f"r_{c}") for c in ["pivot", "i", "j", *columns]]))
 

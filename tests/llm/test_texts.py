@@ -71,6 +71,31 @@ def test_links_that_miss_the_first_member_are_found(spark):
     assert got == root and set(root.values()) == {0}
 
 
+def test_strays_meet_over_many_partitions(spark):
+    """Chains of one bucket each, in partitions that are not put together: most links are between strays."""
+    rows = []
+    for chain in range(6):
+        words = [f"c{chain}w{i}" for i in range(400)]
+        rows += [(100 * chain + i, " ".join(words[8 * i:] + [f"c{chain}n{k}" for k in range(8 * i)])) for i in range(12)]
+    root, sets = brute_groups(rows, 4, 80)
+    assert set(root.values()) == {0, 100, 200, 300, 400, 500}
+    held = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.createDataFrame(rows, SCHEMA)
+        sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "doc_id long, n_shingles int")
+        signed = docs.join(sizes, "doc_id").select(
+            F.col("doc_id").alias("node"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "n_shingles",
+            F.array(F.floor(F.col("doc_id") / 100)).alias("bands"))
+        found = minhash.links(docs, signed, "doc_id", "text", 4, 80).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert components_of([(r.a, r.b) for r in found], root) == root
+
+
 def test_repeated_id_with_two_texts_and_strays_in_its_bucket(spark):
     rng = random.Random(14)
     words = [f"w{i}" for i in range(300)]
