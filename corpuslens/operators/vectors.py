@@ -23,6 +23,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK_ROWS = 4096  # requests in a block
 SPLIT_ROWS = 1 << 16  # records in a split
 MATRIX_CELLS = 2_000_000  # request × record scores held at once in a task
+VECTOR_CELLS = 1 << 22  # numbers in a block or split where vectors alone count
+TILE = 1024, 4096, 512  # requests and records scored at once, and records for a first bound
+TASKS = 6  # pairs of blocks and splits per core, at least
+PAIR_ROWS = 1 << 16  # pairs scored in double precision at once
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -75,6 +79,86 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
 
 
+def _nearest(asked: np.ndarray, records: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(requests, records, scores) by position: the best k records per request, ties by position.
+
+    Products in single precision leave out what cannot be among the best, by a bound on their error; the others are
+    scored in double precision, rounded to nine places.
+    """
+    slack = 2e-9 + 4 * (asked.shape[1] + 8) * 2.0 ** -24
+    asked_32, records_32 = asked.astype("float32"), records.astype("float32")
+    n, found = len(records), []
+    for a in range(0, len(asked), TILE[0]):
+        q, q_32 = asked[a:a + TILE[0]], asked_32[a:a + TILE[0]]
+        bound = np.full(len(q), -np.inf, dtype="float32")
+        if n > k:
+            first = q_32 @ records_32[:max(TILE[2], k)].T
+            bound = np.partition(first, first.shape[1] - k, axis=1)[:, first.shape[1] - k] - np.float32(2 * slack)
+        rows, places, scores = np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+        for b in range(0, n, TILE[1]):
+            near = q_32 @ records_32[b:b + TILE[1]].T
+            row, place = np.divmod(np.flatnonzero(near >= bound[:, None]), near.shape[1])
+            place += b
+            exact = [np.einsum("ij,ij->i", q[row[i:i + PAIR_ROWS]], records[place[i:i + PAIR_ROWS]])
+                     for i in range(0, len(row), PAIR_ROWS)]
+            rows, places = np.concatenate([rows, row]), np.concatenate([places, place])
+            scores = np.concatenate([scores, *[np.floor(x * 1e9 + 0.5) / 1e9 for x in exact]])
+            order = np.lexsort((places, -scores, rows))
+            counts = np.bincount(rows, minlength=len(q))
+            starts = np.cumsum(counts) - counts
+            order = order[np.arange(len(order)) - starts[rows[order]] < k]
+            rows, places, scores = rows[order], places[order], scores[order]
+            counts = np.minimum(counts, k)
+            full = np.flatnonzero(counts == k)
+            kth = scores[np.cumsum(counts)[full] - 1] - slack
+            bound[full] = np.maximum(bound[full], kth.astype("float32"))
+        found.append((rows + a, places, scores))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=int),) * 2 + (np.zeros(0),)
+
+
+def _alike(units: np.ndarray) -> np.ndarray:
+    """Per row the number of its vector among the distinct ones, in the order of their first rows."""
+    raw = np.ascontiguousarray(units).view(np.dtype((np.void, units.shape[1] * units.itemsize))).ravel()
+    first, number = np.unique(raw, return_index=True, return_inverse=True)[1:]
+    return np.argsort(np.argsort(first))[number]
+
+
+def _nearest_of_split(asked: pa.Table, records: pa.Table, request_key: str, key: str, vector: str, k: int):
+    """(request keys, record keys, scores) of the best k records per request by cosine alone."""
+    sizes = asked["vector"].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    dim = int(sizes.max(initial=0))
+    nothing = pa.nulls(0, asked.schema.field(request_key).type), pa.nulls(0, records.schema.field(key).type), np.zeros(0)
+    if not dim:
+        return nothing
+    units, usable = _matrix(asked["vector"], dim)
+    mine = np.flatnonzero(usable & np.isfinite(units).all(axis=1))
+    units = units[mine]
+    others, _ = _matrix(records[vector], dim)   # one of another length scores 0
+    present = records[vector].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    theirs = np.flatnonzero(present & np.isfinite(others).all(axis=1))
+    if not len(mine) or not len(theirs):
+        return nothing
+    # in the order of their ids; of equal vectors only the first k can be in an answer
+    ids = np.asarray(records[key].to_pylist())
+    theirs = theirs[np.argsort(ids[theirs], kind="stable")]
+    alike = _alike(others[theirs])
+    order = np.argsort(alike, kind="stable")
+    counts = np.bincount(alike)
+    nth = np.empty(len(order), dtype=int)
+    nth[order] = np.arange(len(order)) - (np.cumsum(counts) - counts)[alike[order]]
+    theirs = theirs[nth < k]
+    # equal requests are answered once
+    form = _alike(units)
+    which = np.unique(form, return_index=True)[1]
+    rows, places, scores = _nearest(units[which], others[theirs], k)
+    counts = np.bincount(rows, minlength=len(which))
+    starts = np.cumsum(counts) - counts
+    repeat = counts[form]
+    take = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat) + np.repeat(starts[form], repeat)
+    return (asked[request_key].combine_chunks().take(pa.array(np.repeat(mine, repeat))),
+            records[key].combine_chunks().take(pa.array(theirs[places[take]])), scores[take])
+
+
 class _Block:
     """Bounded set of requests as arrays."""
 
@@ -144,6 +228,30 @@ def _score_batch(block: _Block, batch: pa.Table, weights, vector: str, keyword_o
     return np.where(ok, score, -np.inf), ok, with_vector
 
 
+def _grid(requests: DataFrame, corpus: DataFrame, vector: str, block_rows: int, alone: bool) -> tuple[int, int]:
+    """Number of blocks and of splits.
+
+    Each request is sent to every split and each record to every block, so where vectors alone count both are as large
+    as a task can hold, but several times more pairs of them than there are cores.
+    """
+    spark = corpus.sparkSession
+    if not alone:
+        splits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(corpus.count() / SPLIT_ROWS))
+        return max(1, math.ceil(requests.count() / block_rows)), splits
+
+    def measured(df: DataFrame, column: str, most: int) -> tuple[int, int]:
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size(column))).first()
+        return n, max(1, math.ceil(n / max(1, min(most, VECTOR_CELLS // max(width or 1, 1)))))
+
+    (asked, blocks), (records, splits) = measured(requests, "vector", block_rows), measured(corpus, vector, SPLIT_ROWS)
+    while blocks * splits < TASKS * spark.sparkContext.defaultParallelism and max(asked / blocks, records / splits) > 256:
+        if asked / blocks > records / splits:
+            blocks += 1
+        else:
+            splits += 1
+    return blocks, splits
+
+
 def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[float, float] = (0.7, 0.3),
            request_key: str = "request_id", key: str = "id", vector: str = "embedding", filters: tuple[str, ...] = (),
            keyword_only_weight: float = 0.5, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -164,8 +272,14 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
                   f"{key} {corpus.schema[key].dataType.simpleString()}, similarity DOUBLE, any_vector BOOLEAN, scale DOUBLE")
 
     scale = 1.0 / keyword_only_weight
+    alone = not lists and not filters and weights == (1.0, 0.0)     # vectors alone count
 
     def best_of_split(asked: pa.Table, records: pa.Table) -> pa.Table:
+        if alone:
+            found = _nearest_of_split(asked, records, request_key, f"c_{key}", f"c_{vector}", k)
+            return pa.table({request_key: found[0], key: found[1], "similarity": pa.array(found[2]),
+                             "any_vector": pa.array(np.ones(len(found[2]), dtype=bool)),
+                             "scale": pa.array(np.full(len(found[2]), scale))})
         block = _Block(asked, request_key, list(filters))
         records = records.rename_columns([c.removeprefix("c_") for c in records.column_names])
         n = len(block.keys)
@@ -195,9 +309,7 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
             "any_vector": pa.array(seen_vector[rows]),
             "scale": pa.array(np.where(block.has_vector[rows], scale, 1.0))})
 
-    splits = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                 math.ceil(corpus.count() / SPLIT_ROWS))
-    blocks = max(1, math.ceil(requests.count() / block_rows))
+    blocks, splits = _grid(requests, corpus, vector, block_rows, alone)
     asked = (requests.select(*wanted).dropDuplicates([request_key])
              .withColumn("_length", F.coalesce(F.size("vector"), F.lit(-1)))
              .withColumn("_block", F.pmod(F.xxhash64(request_key), F.lit(blocks)).cast("int")))
@@ -218,7 +330,7 @@ def hybrid(requests: DataFrame, corpus: DataFrame, k: int = 5, weights: tuple[fl
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, request_key: str = "request_id", key: str = "id",
-          vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+          vector: str = "embedding", block_rows: int = SPLIT_ROWS) -> DataFrame:
     """Best k vectors per query by cosine (queries: key, vector)."""
     columns = corpus.filter(F.col(vector).isNotNull())
     return hybrid(queries.select(request_key, "vector"), columns, k, (1.0, 0.0), request_key, key, vector,

@@ -61,3 +61,48 @@ def test_substrings_of_long_texts_by_key(spark):
     got = {(r.needle, r.id, r.field) for r in substring_matches(needles, hays, "needle", "hay", ["id", "field"]).collect()}
     texts = {(r.id, r.field): r.hay or "" for r in hays.collect()}
     assert got == {(n.needle, *k) for n in needles.collect() for k, t in texts.items() if n.needle and n.needle in t}
+
+
+def test_top_k_of_odd_vectors_matches_brute_force(spark, monkeypatch):
+    """Equal, zero, broken, short and missing vectors; tiles of a few rows; scores that differ below single precision."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    vectors = [list(map(float, rng.normal(size=8).round(1))) for _ in range(60)]
+    vectors += [vectors[0]] * 9 + [[2 * x for x in vectors[0]]] * 3 + [[0.0] * 8] * 7 + [[1.0, 2.0]] * 3 + [[]] * 2 + [None] * 3
+    close = np.array(vectors[1])
+    vectors += [list(map(float, close + 1e-5 * rng.normal(size=8))) for _ in range(40)]
+    vectors += [[float("nan")] + [1.0] * 7, [None] + [1.0] * 7]
+    rows = [(f"v{i:03}", v) for i, v in enumerate(rng.permutation(np.array(vectors + [0], dtype=object)[:-1]).tolist())]
+
+    def score(a, b):
+        if not a or b is None or any(x is None or x != x for x in [*a, *b]):
+            return None
+        if len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        a, b = np.array(a), np.array(b)
+        return float(np.floor(a @ b / np.linalg.norm(a) / np.linalg.norm(b) * 1e9 + 0.5) / 1e9)
+
+    want = set()
+    for i, a in rows:
+        found = sorted((-s, j) for j, b in rows if (s := score(a, b)) is not None)[:5]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(found)}
+    corpus = spark.createDataFrame(rows, "id STRING, embedding ARRAY<DOUBLE>")
+    asks = corpus.select(F.col("id").alias("request_id"), F.col("embedding").alias("vector"))
+    for tile, cells in (((7, 11, 3), 200), ((1024, 4096, 512), 1 << 22)):
+        monkeypatch.setattr(V, "TILE", tile)
+        monkeypatch.setattr(V, "VECTOR_CELLS", cells)
+        got = {tuple(r) for r in V.top_k(asks, corpus, 5).collect()}
+        assert {g[:3] for g in got} == {w[:3] for w in want}
+        assert {g[:3]: round(g[3], 8) for g in got} == {w[:3]: round(w[3] + 0.0, 8) for w in want}
+
+
+def test_copies_of_vectors_do_not_grow_with_the_shuffle_partitions(spark):
+    vectors = spark.range(3000).select(F.col("id").alias("request_id"), F.col("id"), F.array(F.rand(1), F.rand(2)).alias("vector"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        plan = V.top_k(vectors.select("request_id", "vector"), vectors.select("id", F.col("vector").alias("embedding")), 3)
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "599" not in text
