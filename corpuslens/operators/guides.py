@@ -8,7 +8,7 @@ from corpuslens.functions import rules as R, text as X
 from corpuslens.functions.scoring import lookup
 from corpuslens.operators.joins import union_distinct_ids, with_mandatory
 from corpuslens.operators.strings import substring_matches
-from corpuslens.sources.store import pin
+from corpuslens.sources.store import pin, spread
 
 OPTIONAL = {"api_type": "string", "scope": "string", "design_system": "string", "utility_library": "string",
             "mandatory": "array<string>"}
@@ -139,11 +139,58 @@ def combined_text(kept: DataFrame, guides: DataFrame, request_key: str = "reques
 def guides_for(requests: DataFrame, guides: DataFrame, max_guides: int | None = None,
                max_chars: int | None = None, request_key: str = "request_id") -> DataFrame:
     """Search, keep the first ``max_guides`` if given, combine, and cut the text to ``max_chars`` if given."""
+    if max_guides is None:
+        return whole_guides_for(requests, guides, max_chars, request_key)
     found = pin(search_guides(requests, guides, max_guides, request_key), "found")
     kept = combine_guides(found.select(request_key, "id", F.col("rank").alias("position")), guides, request_key)
     return combined_text(kept, guides, request_key, max_chars)
 
 
+def request_forms(requests: DataFrame, guides: DataFrame, request_key: str) -> tuple[DataFrame, DataFrame]:
+    """(request, ask, forms) and (form, options, keywords): requests by what decides their guides.
+
+    A keyword that occurs in no guide decides nothing, so requests with the same options and the same other keywords are
+    of one form. A request key that occurs in several rows has the forms of all of them; ``ask`` is equal for equal forms.
+    """
+    options = [c for c in OPTIONAL if c in requests.columns]
+    rows = pin(requests.select(F.monotonically_increasing_id().alias("_row"), request_key, *options, "keywords"),
+               "request-rows")
+    words = rows.select("_row", F.explode("keywords").alias("keyword"))
+    distinct = pin(words.select("keyword").distinct(), "request-words")
+    telling = pin(keyword_points(distinct, guides).select("keyword").distinct(), "telling-words")
+    held = words.join(telling, "keyword").groupBy("_row").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    formed = rows.drop("keywords").join(held, "_row", "left").withColumn(
+        "keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    formed = pin(formed.select(request_key, *options, "keywords", F.sha2(F.to_json(F.struct(
+        *options, "keywords")), 256).alias("form")), "request-forms")
+    asked = formed.groupBy(request_key).agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    return (pin(asked.withColumn("ask", F.sha2(F.concat_ws(",", "forms"), 256)), "asks"),
+            formed.select("form", *options, "keywords").dropDuplicates(["form"]))
+
+
+def whole_guides_for(requests: DataFrame, guides: DataFrame, max_chars: int | None = None,
+                     request_key: str = "request_id") -> DataFrame:
+    """All guides found, combined, as one text per request.
+
+    Search and combination run once for equal requests, and what moves are places of guides, not texts: one answer may
+    hold every guide, so the guides as a whole go to each task, which puts the texts together as it returns them.
+    """
+    asked, forms = request_forms(requests, guides, request_key)
+    found = pin(search_guides(forms, guides, None, "form"), "found")
+    asks = asked.select("ask", "forms").dropDuplicates(["ask"]).select("ask", F.explode("forms").alias("form"))
+    kept = combine_guides(asks.join(found, "form").select("ask", "id", F.col("rank").alias("position")), guides, "ask")
+    part = F.concat(F.lit("# "), "summary", F.lit("\n\n"), "content")
+    book = guides.agg(F.array_sort(F.collect_list(F.struct("id", part.alias("part")))).alias("book"))
+    numbers = book.select(F.posexplode("book").alias("no", "g")).select("no", "g.id")
+    places = pin(kept.join(numbers, "id").groupBy("ask").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("position", "no"))), lambda x: x["no"]).alias("places")), "places")
+    texts = book.select(F.transform("book", lambda g: g["part"])).scalar()
+    text = F.array_join(F.transform("places", lambda n: F.get("_texts", n)), "\n\n---\n\n")
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
+    return spread(asked.select(request_key, "ask")).join(places, "ask").withColumn("_texts", texts).select(
+        request_key, text.alias("combined"), F.size("places").cast("bigint").alias("n_guides"))
+
+
 def metadata_requests(meta: DataFrame, request_key: str = "doc_id", k_methods: int | None = None) -> DataFrame:
     """Guide requests of metadata rows: their keywords and api type."""
     c = F.col

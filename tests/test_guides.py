@@ -37,6 +37,27 @@ def test_combine(spark, guides):
     assert len(G.combined_text(kept, guides, max_chars=10).first().combined) == 10
 
 
+def test_whole_guides_once_for_equal_requests(spark, guides, monkeypatch):
+    """Words that no guide has make no other request; repeated keys have the guides of all their rows."""
+    rows = [(n, api, words + [f"nowhere{n}"]) for n, (api, words) in enumerate(
+        [("grpc", ["table"]), (None, ["rest", "TABLE"]), ("openapi", []), ("grpc", ["table", "table"]), (None, ["TABLE", "rest"]),
+         ("none", ["error"]), ("none", [])] * 3)] + [(100, "grpc", ["api"]), (100, "openapi", ["rest"]), (None, "grpc", ["api"])]
+    requests = spark.createDataFrame(rows, "request_id INT, api_type STRING, keywords ARRAY<STRING>")
+    # of equal rank, so that keywords decide
+    guides = guides.withColumns({"priority": F.lit(5), "version": F.lit("2025.01.01"), "scope": F.lit("org"),
+                                 "requires": F.array().cast("array<string>")})
+    found = G.search_guides(requests, guides, None)
+    kept = G.combine_guides(found.select("request_id", "id", F.col("rank").alias("position")), guides)
+    want = {tuple(r) for r in G.combined_text(kept, guides).collect()}
+    searched = []
+    search = G.search_guides
+    monkeypatch.setattr(G, "search_guides", lambda asked, *a: searched.append(asked.count()) or search(asked, *a))
+    got = G.guides_for(requests, guides)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 23 and len({w[1] for w in want}) > 3
+    assert searched == [7]
+    assert {r.combined for r in G.guides_for(requests, guides, max_chars=30).collect()} == {w[1][:30] for w in want}
+
+
 def test_requirement_is_met_by_a_request_that_is_later_dropped(spark, guides):
     more = guides.withColumn("requires", F.when(F.col("id") == "error.handling", F.array(F.lit("rest.api"))).otherwise(F.col("requires")))
     kept = G.combine_guides(wanted(spark, "error.handling", "rest.api", "grpc.api.connection"), more)
